@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, lines, mixing, tiff, warc
+from . import chat, language, leaks, lines, mixing, tiff, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op2_language": lambda spark, d: language.language_digest(table(spark, d, "documents")),
     "op3_tiff": lambda spark, d: tiff.media_digest(table(spark, d, "documents")),
     "op4_line_dedup": lambda spark, d: lines.line_digest(table(spark, d, "documents")),
     "op6_chat": lambda spark, d: chat.chat_digest(chat.with_probe(table(spark, d, "conversations"))),
     "op8_mixing": lambda spark, d: mixing.mix_digest(table(spark, d, "documents")),
     "op9_warc": lambda spark, d: warc.warc_digest(table(spark, d, "pages")),
+    "op10_decontamination": lambda spark, d: leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 
 ORACLE: dict[str, str] = {

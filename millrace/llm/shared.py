@@ -105,6 +105,14 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         at = to
 
 
+def span_hashes(value: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of symbols, by prefix sums of a polynomial."""
+    up, down = _power_tables(len(value))
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value * up[: len(value)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+
+
 def scan(data: np.ndarray, bounds: np.ndarray, symbols: np.ndarray) -> Scan:
     """Find and hash the words of the texts that `bounds` parts. No word crosses a bound."""
     n = len(data)
@@ -120,11 +128,7 @@ def scan(data: np.ndarray, bounds: np.ndarray, symbols: np.ndarray) -> Scan:
     after[-1], after[:-1] = False, inside[1:]
     after[bounds[1:][bounds[1:] > 0] - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = _power_tables(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(value * up[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
-    return Scan(data, starts, ends, np.searchsorted(bounds, starts, side="right") - 1, hashes, np.searchsorted(starts, bounds))
+    return Scan(data, starts, ends, np.searchsorted(bounds, starts, side="right") - 1, span_hashes(value, starts, ends), np.searchsorted(starts, bounds))
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

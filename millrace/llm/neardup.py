@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,8 @@ from .shared import OUT_ROWS, Scan, blank_table, grams, scan, settle, slices, te
 SHINGLE, SKETCH, NEEDED = 4, 64, 0.4375
 #: Similarity of a link, in percent, so that the test is one of integers.
 PERCENT = 80
+#: Parity bits of a full shingle set, a multiple of 64.
+PARITY = 1024
 #: Sketches of linked texts agree on at least this share of their union, but for a chance of under 1e-8.
 LEAST_ESTIMATE = 0.5
 
@@ -36,6 +40,12 @@ def text_key(found: Scan, i: int) -> bytes:
     return hashlib.blake2b(found.hashes[found.first[i] : found.first[i + 1]].tobytes(), digest_size=16).digest()
 
 
+def shingle_hashes(found: Scan, i: int, words: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of text i, which has words."""
+    own = found.hashes[found.first[i] : found.first[i + 1]]
+    return np.unique(grams(own, min(words, len(own))))
+
+
 def sketches(docs: DataFrame, words: int = SHINGLE, k: int = SKETCH) -> DataFrame:
     """doc_id, n_shingles, text_key, sketch: distinct shingles of the whole text, 128 bits of its words, its k smallest hashes.
 
@@ -50,15 +60,12 @@ def sketches(docs: DataFrame, words: int = SHINGLE, k: int = SKETCH) -> DataFram
             column = texts_of(batch.column(1))
             for from_, to, data, bounds in slices(column):
                 found = scan(data, bounds, table)
-                shingles = grams(found.hashes, words)
                 sizes, keys, kept = [], [], []
                 for i in range(to - from_):
-                    a, b = found.first[i], found.first[i + 1]
-                    if a == b:
+                    if found.first[i] == found.first[i + 1]:
                         sizes.append(0), keys.append(None), kept.append([])
                         continue
-                    own = shingles[a : b - words + 1] if b - a >= words else grams(found.hashes[a:b], int(b - a))
-                    own = np.unique(own)
+                    own = shingle_hashes(found, i, words)
                     sizes.append(len(own))
                     keys.append(text_key(found, i))
                     kept.append(own[:k].view(np.int64))
@@ -108,14 +115,28 @@ def star_pairs(lists: DataFrame) -> DataFrame:
     return met.select(F.least("node", "_c").alias("a"), F.greatest("node", "_c").alias("b")).distinct()
 
 
-def crossing_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """a < b: all pairs of a list whose sizes allow a link and that are not in one component yet."""
+def unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, n, value, component of the lists that still hold several components."""
     named = lists.join(labels, lists["node"] == labels["_node"], "left").select("node", "n", "value", F.coalesce("component", "node").alias("component"))
     several = named.groupBy("value").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("value")
-    open_ = named.join(several, "value")
-    x, y = open_.alias("x"), open_.alias("y")
-    on = (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _near("x.n", "y.n")
-    return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return named.join(several, "value", "left_semi")
+
+
+def crossing_pairs(open_lists: DataFrame, known: DataFrame) -> DataFrame:
+    """a < b: the pairs of a list that are not in one component yet and that may be linked.
+
+    Two sets of n and m shingles are linked only if at most (n + m) / 9 shingles are in just one of them (for 80 percent), and
+    the parity bits of the two sets differ in no more places than that. The bound is exact, so it loses no link, and it is
+    checked before a pair is made. A pair comes from the smallest value that both have open lists for, so only once.
+    """
+    values = open_lists.groupBy("node").agg(F.collect_set("value").alias("_values"))
+    held = open_lists.join(values, "node").join(known.select("node", "parity"), "node")
+    x, y = held.alias("x"), held.alias("y")
+    apart = reduce(add, (F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i])) for i in range(PARITY // 64)))
+    may = apart * (100 + PERCENT) <= (F.col("x.n") + F.col("y.n")) * (100 - PERCENT)
+    on = (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _near("x.n", "y.n") & may
+    once = F.array_min(F.array_intersect("x._values", "y._values")) == F.col("x.value")
+    return x.join(y, on & once).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def promising(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -160,22 +181,27 @@ def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def with_texts(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """`classes` with the text of each: that of its smallest doc_id with the key of the class."""
+    """`classes` with the text of each, that of its smallest doc_id with the key of the class, and the parity bits of its set:
+    bit i is set if an odd number of its shingles has a hash of i modulo PARITY."""
     own = docs.where("doc_id is not null").select("doc_id", F.col("text"))
     met = classes.join(own, "doc_id").select("node", "text_key", "text")
     table = blank_table(lower=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, bits = [], []
             for from_, to, data, bounds in slices(texts_of(batch.column(2))):
                 found = scan(data, bounds, table)
-                keep += [from_ + i for i in range(to - from_) if text_key(found, i) == batch.column(1)[from_ + i].as_py()]
+                for i in range(to - from_):
+                    if text_key(found, i) == batch.column(1)[from_ + i].as_py():
+                        keep.append(from_ + i)
+                        own = shingle_hashes(found, i)
+                        bits.append(np.packbits(np.bincount((own % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).view(np.int64))
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at)], names=["node", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(bits, pa.list_(pa.int64()))], names=["node", "text", "parity"])
 
-    texts = met.mapInArrow(run, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
-    return classes.join(texts, "node")
+    texts = met.mapInArrow(run, "node long, text string, parity array<long>").groupBy("node").agg(F.min(F.struct("text", "parity")).alias("_t"))
+    return classes.join(texts.select("node", "_t.text", "_t.parity"), "node")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -187,7 +213,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     is judged by its own text. Columns other than doc_id and text are ignored; an empty table gives an empty one.
 
     Links are found between different texts only, and in two rounds: stars around centres of the inverted lists first, then
-    all pairs of a list that stars have left in different components. So a group of n near copies costs about n pairs, and
+    all pairs of a list that stars have left in different components and whose parity bits allow a link. So a group of n near copies costs about n pairs, and
     pairs that only a chain connects are still found.
     """
     drawn = settle(sketches(docs))
@@ -196,11 +222,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = settle(grouped.withColumn("node", F.monotonically_increasing_id()))  # written at once, so the numbers stay
     lists = settle(candidate_lists(classes))
     known = settle(with_texts(classes.join(lists.select("node").distinct(), "node", "left_semi"), docs))
-    pairs = settle(promising(star_pairs(lists), known))
-    links = settle(verified(pairs, known))
+    links = settle(verified(settle(promising(star_pairs(lists), known)), known))
     labels = components(links).select(F.col("node").alias("_node"), "component")
-    crossing = settle(promising(crossing_pairs(lists, labels), known).join(pairs, ["a", "b"], "left_anti"))
-    more = settle(verified(crossing, known))
+    left = settle(unsettled(lists, labels))
+    more = settle(verified(settle(promising(crossing_pairs(left, known), known)), known))
     if not more.isEmpty():
         labels = components(links.union(more)).select(F.col("node").alias("_node"), "component")
     named = classes.select("node", "text_key", "doc_id").join(labels, F.col("node") == F.col("_node"), "left").select("text_key", "doc_id", F.coalesce("component", "node").alias("_c"))

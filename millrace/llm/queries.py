@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, leaks, lines, mixing, neardup, tiff, warc
+from . import chat, language, leaks, lines, mixing, neardup, passages, tiff, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op2_language": lambda spark, d: language.language_digest(table(spark, d, "documents")),
     "op3_tiff": lambda spark, d: tiff.media_digest(table(spark, d, "documents")),
     "op4_line_dedup": lambda spark, d: lines.line_digest(table(spark, d, "documents")),
+    "op5_passages": lambda spark, d: passages.passage_digest(table(spark, d, "documents")),
     "op6_chat": lambda spark, d: chat.chat_digest(chat.with_probe(table(spark, d, "conversations"))),
     "op7_near_duplicates": lambda spark, d: neardup.near_duplicates(table(spark, d, "documents")),
     "op8_mixing": lambda spark, d: mixing.mix_digest(table(spark, d, "documents")),

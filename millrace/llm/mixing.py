@@ -115,6 +115,16 @@ def mix(docs: DataFrame) -> DataFrame:
     return out.select(*rest, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "_copy")
 
 
+def mix_with_texts(docs: DataFrame) -> DataFrame:
+    """`docs` with size, source_size, target and taken added to their columns."""
+    same = Window.partitionBy("doc_id").orderBy("source", F.xxhash64("text"), F.char_length("text"))
+    plain = docs.drop("size", "source_size", "target", "taken")
+    told = mix(plain.select("doc_id", "source", "text")).select(F.col("doc_id").alias("_d"), F.col("_copy").alias("_c"), "size", "source_size", "target", "taken")
+    rows = plain.withColumn("_copy", F.row_number().over(same))
+    met = rows.join(told, rows["doc_id"].eqNullSafe(told["_d"]) & (rows["_copy"] == told["_c"]))
+    return met.select(*plain.columns, "size", "source_size", "target", "taken")
+
+
 def mix_digest(docs: DataFrame) -> DataFrame:
     """Per row of `docs`: doc_id, source, size, source_size, target, taken."""
     return mix(docs.select("doc_id", "source", "text")).drop("_copy")

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, leaks, lines, mixing, neardup, passages, tiff, warc
+from . import chat, html, language, leaks, lines, mixing, neardup, passages, tiff, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_html": lambda spark, d: html.extract(table(spark, d, "pages")),
     "op2_language": lambda spark, d: language.language_digest(table(spark, d, "documents")),
     "op3_tiff": lambda spark, d: tiff.media_digest(table(spark, d, "documents")),
     "op4_line_dedup": lambda spark, d: lines.line_digest(table(spark, d, "documents")),

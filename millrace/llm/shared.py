@@ -26,13 +26,12 @@ _BASE = 0x100000001B3
 _powers: dict[str, np.ndarray] = {}
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which all executors share.
 
-    The folder is the session's spark.checkpoint.dir. Only a local master, as in tests, may leave it
-    unset, and then gets a folder of its own.
+    Only a local master, as in tests, may leave it unset, and then gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
         if named is None:
@@ -40,6 +39,12 @@ def settle(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="millrace-")
         context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

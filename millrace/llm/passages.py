@@ -93,8 +93,9 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
 
 
 def segments(joined: DataFrame) -> DataFrame:
-    """key, single, passage, doc_ids, starts, lo: the distinct segments of a batch of (doc_id, text, anchors, hot), by anchor; the
-    windows of hot anchors one by one, by their own hash."""
+    """key, single, passage, doc_id, start, more_ids, more_starts: the distinct segments of a batch of (doc_id, text, anchors, hot),
+    by anchor, each with its smallest document and, if it is found more than once, the others; the windows of hot anchors
+    one by one, by their own hash."""
     table = blank_table(lower=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,14 +135,16 @@ def segments(joined: DataFrame) -> DataFrame:
             if rows:
                 yield _segment_batch(rows)
 
-    return joined.select("doc_id", "text", "anchors", "hot").mapInArrow(run, "key long, single boolean, passage binary, doc_ids array<long>, starts array<int>, lo long")
+    return joined.select("doc_id", "text", "anchors", "hot").mapInArrow(run, "key long, single boolean, passage binary, doc_id long, start int, more_ids array<long>, more_starts array<int>")
 
 
 def _segment_batch(rows: dict) -> pa.RecordBatch:
     key, single, passage = zip(*rows, strict=True)
-    ids, starts = zip(*rows.values(), strict=True)
-    columns = [pa.array(key, pa.int64()), pa.array(single), pa.array(passage, pa.binary()), pa.array(ids, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32())), pa.array([min(x) for x in ids], pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "single", "passage", "doc_ids", "starts", "lo"])
+    places = [sorted(zip(ids, starts, strict=True)) for ids, starts in rows.values()]
+    more_ids = [[d for d, _ in p[1:]] if len(p) > 1 else None for p in places]
+    more_starts = [[s for _, s in p[1:]] if len(p) > 1 else None for p in places]
+    columns = [pa.array(key, pa.int64()), pa.array(single), pa.array(passage, pa.binary()), pa.array([p[0][0] for p in places], pa.int64()), pa.array([p[0][1] for p in places], pa.int32()), pa.array(more_ids, pa.list_(pa.int64())), pa.array(more_starts, pa.list_(pa.int32()))]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "single", "passage", "doc_id", "start", "more_ids", "more_starts"])
 
 
 class Shard:
@@ -154,12 +157,22 @@ class Shard:
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
 
     def add(self, group: dict[bytes, list[tuple[list[int], list[int]]]]) -> None:
-        """All segments of an anchor, with the documents and first words of each."""
+        """All segments of an anchor, with the documents, ascending, and first words of each."""
+        if len(group) == 1:  # one text around this anchor: all of it recurs, or nothing
+            ((passage, places),) = group.items()
+            lo, hi = min(p[0][0] for p in places), max(p[0][-1] for p in places)
+            if lo < hi:
+                numbers = self.numbers
+                words = tuple([numbers.setdefault(w, len(numbers)) for w in passage.split()])
+                self.automaton.add_word(words, (len(words), lo))
+                self.words.append(words)
+                self.places.append(places)
+            return
         numbers = self.numbers
         read = [(tuple(numbers.setdefault(w, len(numbers)) for w in passage.split()), places) for passage, places in group.items()]
         seen: dict[tuple[int, ...], list[int]] = {}
         for words, places in read:
-            lo, hi = min(min(p[0]) for p in places), max(max(p[0]) for p in places)
+            lo, hi = min(p[0][0] for p in places), max(p[0][-1] for p in places)
             for i in range(len(words) - WINDOW + 1):
                 span = seen.setdefault(words[i : i + WINDOW], [lo, hi])
                 span[0], span[1] = min(span[0], lo), max(span[1], hi)
@@ -199,8 +212,8 @@ def occurrences(parts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, key, group, firsts, out = Shard(), 0, None, {}, {}, []
         for batch in batches:
-            for i in range(batch.num_rows):
-                own, single, passage, ids, starts = (batch.column(j)[i].as_py() for j in range(5))
+            for own, single, passage, doc_id, start, more_ids, more_starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, starts = ([doc_id, *more_ids], [start, *more_starts]) if more_ids else ([doc_id], [start])
                 if (own, single) != key:
                     if group:
                         shard.add(group)
@@ -210,7 +223,7 @@ def occurrences(parts: DataFrame) -> DataFrame:
                         out += shard.locate()
                         shard, held = Shard(), 0
                 if single:  # rows of a window come by their smallest document: the first has the first
-                    origin = firsts.setdefault(passage, min(ids))
+                    origin = firsts.setdefault(passage, doc_id)
                     out += [(doc, at, at + WINDOW) for doc, at in zip(ids, starts, strict=True) if doc > origin]
                 else:
                     group.setdefault(passage, []).append((ids, starts))
@@ -223,8 +236,8 @@ def occurrences(parts: DataFrame) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    dealt = parts.repartition("key").sortWithinPartitions("key", "single", "lo")
-    return dealt.select("key", "single", "passage", "doc_ids", "starts").mapInArrow(run, "doc_id long, from_word int, to_word int")
+    dealt = parts.repartition("key").sortWithinPartitions("key", "single", "doc_id")
+    return dealt.mapInArrow(run, "doc_id long, from_word int, to_word int")
 
 
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:

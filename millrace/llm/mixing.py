@@ -19,7 +19,7 @@ WEIGHTS, SHARE, PASSES = (5.0, 2.0, 1.0), 1.5, 2
 #: The mix has at least SLOTS slots, unless its words are fewer; a block has at most BLOCK_WORDS words.
 SLOTS, BLOCK_WORDS = 1 << 16, 4096
 #: Rows that one window partition of a running total gets, about; so no task gets a whole source.
-RUN_ROWS = 1 << 16
+RUN_ROWS = 1 << 12
 GOLDEN = 0.6180339887498949
 
 
@@ -108,7 +108,7 @@ def mix(docs: DataFrame) -> DataFrame:
         return pd.Series(np.searchsorted(inner_edges, point - np.floor(point), side="right").astype(np.int32))
 
     drawn = spark.range(slots).withColumn("_s", source_at("id"))
-    ranked = _numbered(drawn, "_s", F.expr(f"id div {RUN_ROWS * 4}"), [F.col("id")], F.lit(1), "_block").select("_s", "_block")
+    ranked = _numbered(drawn, "_s", F.expr(f"id div {RUN_ROWS * 64}"), [F.col("id")], F.lit(1), "_block").select("_s", "_block")
     taken = blocks.select("_s", "_block", "doc_id", "_copy", "_words").join(ranked, ["_s", "_block"]).groupBy("doc_id", "_copy").agg(F.sum("_words").alias("taken"))
     taken = taken.select(F.col("doc_id").alias("_d"), F.col("_copy").alias("_c"), "taken")
     out = known.join(taken, known["doc_id"].eqNullSafe(taken["_d"]) & (known["_copy"] == taken["_c"]), "left")

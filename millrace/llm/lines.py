@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import settle
+
 #: Characters that a key loses at both ends: space and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,8 +31,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2)
     like the three added ones are replaced.
 
     Only hashes, ids and positions are shuffled for the counts; a hash has one row per task before its shuffle, however
-    many lines carry it, and the join that leads back to the lines is one that adaptive execution can split at hot
-    hashes. The texts are shuffled once, by doc_id, to meet the positions of their dropped lines.
+    many lines carry it. The repeated hashes are checkpointed, so that the join that leads back to the lines has a shuffle on
+    either side, which adaptive execution can split at hot hashes. The texts are shuffled once, by doc_id, to meet the positions of their dropped lines.
     """
     line = F.col("_line")
     keyed = (
@@ -44,7 +46,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2)
     else:
         spread = keyed.select("_h1", "_h2", "doc_id").distinct().groupBy("_h1", "_h2").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_docs")).where(F.col("_docs") >= min_docs)
     gone = (
-        keyed.join(spread.select("_h1", "_h2", "_first"), ["_h1", "_h2"])
+        keyed.join(settle(spread.select("_h1", "_h2", "_first")), ["_h1", "_h2"])
         .where(F.col("doc_id") > F.col("_first"))
         .groupBy("doc_id")
         .agg(F.collect_set("_pos").alias("_gone"))

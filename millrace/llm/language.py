@@ -143,8 +143,8 @@ def train(docs: DataFrame) -> Model | None:
     return fit(training_sample(docs))
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
-    """The columns `keep` of `docs`, lang_pred and score. `und` with score 0 where the text is null or has no letter,
+def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of `docs`, language and score, under `names`. `und` with score 0 where the text is null or has no letter,
     or where there is no model because no row could be learnt from."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # bounded by the parameters, not by the input
@@ -164,10 +164,10 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] = ["doc_id"])
                     found, values = predict(own, [batch.column(at + 1)[i].as_py() for i in rows], symbols)
                     for i, lang, value in zip(rows, found, values, strict=True):
                         langs[i], scores[i] = lang, value
-                yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(langs), pa.array(scores)], names=[*batch.schema.names[:at], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(langs), pa.array(scores)], names=[*keep, *names])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*keep, lettered.alias("_lettered"), F.when(lettered, F.col("text")).alias("_text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.select(*keep, lettered.alias("_lettered"), F.when(lettered, F.col("text")).alias("_text")).mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
@@ -180,5 +180,5 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """`docs` without the rows whose text is null or has no letter, which is all that identification rejects."""
     plain = docs.select("doc_id", "text", "lang")
     columns = docs.columns
-    told = identify(docs, train(plain), keep=columns)
-    return told.where(F.col("lang_pred") != "und").select(*columns)
+    told = identify(docs, train(plain), tuple(columns), ("_lang_pred", "_lang_score"))
+    return told.where(F.col("_lang_pred") != "und").select(*columns)

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 STOPWORDS = "a an and are as at be by for from has in is it its of on or that the this to was were will with".split()
 K1, B, RRF = 1.2, 0.75, 60
 
-_CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
-_TOKEN = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{Nd}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+)"
+# Han, Hiragana and Katakana all lie past U+2E7F: testing the range first spares the other characters a search for their script.
+_CJK = r"[\x{2E80}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]"
+_WORD = r"[0-9a-zß-öø-ÿ[\p{L}\p{Nd}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]]"
+_TOKEN = f"({_WORD}+|{_CJK})"
 
 
 def tokens(text: Column) -> Column:

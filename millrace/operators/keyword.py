@@ -14,9 +14,18 @@ def analyzed(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("tokens", T.tokens(body)).withColumn("bm25_len", F.size("tokens"))
 
 
+def terms_of(chunks: DataFrame, *columns: str) -> DataFrame:
+    """`columns` and term, for each token.
+
+    An outer explode with the empty rows dropped after it: before a plain one Spark sets a filter on the tokens, which moves
+    below their analysis and makes it run several times.
+    """
+    return chunks.select(*columns, F.explode_outer("tokens").alias("term")).where("term is not null")
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """chunk_id, term, tf."""
-    return chunks.select("chunk_id", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    return terms_of(chunks, "chunk_id").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(post: DataFrame) -> DataFrame:
@@ -25,7 +34,8 @@ def document_frequencies(post: DataFrame) -> DataFrame:
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """n, average: over all chunks that have tokens, whatever a search filters."""
-    return chunks.where("bm25_len > 0").agg(F.count("*").alias("n"), F.avg("bm25_len").alias("average"))
+    length = F.when(F.col("bm25_len") > 0, F.col("bm25_len"))  # a filter would run the analysis once more
+    return chunks.agg(F.count(length).alias("n"), F.avg(length).alias("average"))
 
 
 def keyword_hits(queries: DataFrame, chunks: DataFrame, pool: int, allowed: DataFrame | None = None) -> DataFrame:
@@ -41,7 +51,7 @@ def keyword_hits(queries: DataFrame, chunks: DataFrame, pool: int, allowed: Data
     asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("_asked"))
     terms = asked.select("term").distinct()
-    post = chunks.select("chunk_id", "bm25_len", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("chunk_id", "bm25_len", "term").agg(F.count("*").alias("tf"))
+    post = terms_of(chunks, "chunk_id", "bm25_len").join(terms, "term", "left_semi").groupBy("chunk_id", "bm25_len", "term").agg(F.count("*").alias("tf"))
     frequency = post.groupBy("term").agg(F.count("*").alias("df"))
     hits = post if allowed is None else post.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
     scored = (

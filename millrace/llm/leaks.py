@@ -53,8 +53,9 @@ def canonical(data: np.ndarray, bounds: np.ndarray) -> Template:
     """Template words of the texts that `bounds` parts in UTF-8 bytes.
 
     A word is a run of letters or of digits; 3.5 and 1:30 are one number. A unit is a word of UNITS after a number, or a
-    percent or dollar sign at one. A name is a word with a capital (ASCII or Latin-1) that does not start a sentence: a word
-    that starts one is an ordinary word, whatever it is. Latin-1 and general punctuation and currency signs part words.
+    percent or dollar sign at one. A name is a word with a capital (ASCII or Latin-1) and then a small letter that does not
+    start a sentence: a word that starts one, a single letter or a word all in capitals is an ordinary word, so that a passage
+    in capitals is still found. Latin-1 and general punctuation and currency signs part words.
     """
     n = len(data)
     none = np.zeros(0, np.int64)
@@ -99,9 +100,10 @@ def canonical(data: np.ndarray, bounds: np.ndarray) -> Template:
     closes = np.concatenate([[0], np.cumsum(_ENDS[data])])
     fresh = ~same
     fresh[1:] |= closes[starts[1:]] > closes[ends[:-1]]
-    capital = (data[starts] >= 65) & (data[starts] <= 90)
-    if len(upper):
-        capital |= np.isin(starts + 1, upper)
+    raised = (data >= 65) & (data <= 90)
+    raised[upper - 1] = True
+    second = starts + np.where(data[starts] == 0xC3, 2, 1)
+    capital = raised[starts] & (second < ends) & ~raised[np.minimum(second, n - 1)]
     after_number = np.zeros(len(starts), bool)
     after_number[1:] = same[1:] & digit[:-1]
     kind = np.where(digit, NUMBER, np.where((kind_of[starts] == _SIGN) | (after_number & np.isin(hashes, _unit_hashes())), UNIT, np.where(capital & ~fresh, NAME, LITERAL)))

@@ -108,6 +108,13 @@ def test_leaks_with_other_slots(spark):
     assert [r["doc_id"] for r in leaks.find_leaks(docs, items).collect()] == [1]
 
 
+def test_leaks_in_capitals(spark):
+    text = "La. Éai éonleeau pour an ñ éonqueê aivi ai, éenaitreoiaux éoiré anvitre, pour 3.50 kg. Ouèà les à 7% au."
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"THE!! {text.upper()}!! IN"), (2, f"one {text.lower()} two"), (3, text.upper().replace("POUR", "PAR").replace("AIVI", "AVI"))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in leaks.find_leaks(docs, items).collect()) == [1, 2]
+
+
 def test_mix_is_near_its_targets(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = mixing.mix_digest(docs.union(docs.limit(3)).repartition(7))

@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import stem
+from ..functions import text as T
+from ..sources.files import folder_covers, stem
 
 # Order of kinds in the queue, bytes of one unit of work, attempts of a job, weight of a new rate.
 PRIORITY = {"markdown": 0, "code": 1, "pdf": 2, "image": 3, "audio": 4}
 UNIT_BYTES = {"markdown": 4 << 10, "code": 4 << 10, "pdf": 80 << 10, "audio": 16 << 10, "video": 256 << 10}
 MAX_ATTEMPTS, ALPHA = 3, 0.2
+#: Note of an image that is indexed with the document that shows it.
+LINKED = "indexed with the document that shows it"
 
 
 def snapshot_diff(known: DataFrame, found: DataFrame) -> DataFrame:
     """path, change: `known` has path, size, mtime, sha256, status; `found` path, size, mtime, sha256.
 
-    unchanged (size and time), touched (other time, same content), changed, new, revived (was stale), gone.
+    unchanged (size and time), touched (other time, same content), changed, new, revived (was stale, same content), gone.
     """
     k, f = known.alias("k"), found.alias("f")
     same = (F.col("k.size") == F.col("f.size")) & (F.col("k.mtime") == F.col("f.mtime")) & F.col("k.sha256").isNotNull()
     change = (
         F.when(F.col("k.path").isNull(), "new")
         .when(F.col("f.path").isNull(), "gone")
-        .when(F.col("k.status") == "stale", "revived")
+        .when((same | (F.col("k.sha256") == F.col("f.sha256"))) & (F.col("k.status") == "stale"), "revived")
         .when(same, "unchanged")
         .when(F.col("k.sha256") == F.col("f.sha256"), "touched")
         .otherwise("changed")
@@ -31,6 +34,21 @@ def snapshot_diff(known: DataFrame, found: DataFrame) -> DataFrame:
     return k.join(f, F.col("k.path") == F.col("f.path"), "full").select(F.coalesce("k.path", "f.path").alias("path"), change.alias("change"))
 
 
+def really_gone(gone: DataFrame, keep: list[str], there: DataFrame) -> DataFrame:
+    """`gone` (path, status) without the documents of folders that are kept, while their files are there and they aren't stale.
+
+    `keep` are the configured folders, a handful.
+    """
+    if not keep:
+        return gone
+    covered = F.lit(False)
+    for folder in keep:
+        covered = covered | folder_covers(F.lit(folder), F.col("path"))
+    held = there.select(F.col("path").alias("_p")).distinct().withColumn("_t", F.lit(True))
+    met = gone.join(held, F.col("path") == F.col("_p"), "left")
+    return met.where(~(covered & (F.col("status") != "stale") & F.coalesce("_t", F.lit(False)))).drop("_p", "_t")
+
+
 def moves(gone: DataFrame, new: DataFrame) -> DataFrame:
     """old_path, new_path: the n-th gone and the n-th new path of equal content and kind are one moved document."""
     nth = Window.partitionBy("sha256", "kind").orderBy("path")
@@ -77,6 +95,80 @@ def dropped_links(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new, ["parent_id", "child_path"], "left_anti").select("child_path").distinct().join(new.select("child_path").distinct(), "child_path", "left_anti")
 
 
+def replace_links(docs: DataFrame, old: DataFrame, new: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and documents after the documents of `parents` (document_id) have been read again.
+
+    `docs` has path, status, chunk_count and note; `old` are all links, `new` those of the parents, both with parent_id and
+    child_path, of which the first row of a pair counts. An image that no document shows any more is pending; one that is shown
+    now is done, has no chunks of its own, and a note.
+    """
+    again = parents.select(F.col("document_id").alias("parent_id")).distinct()
+    links = old.join(again, "parent_id", "left_anti").unionByName(new.dropDuplicates(["parent_id", "child_path"]))
+    lost = dropped_links(old, links).withColumn("_lost", F.lit(True))
+    shown = new.select("child_path").distinct().withColumn("_shown", F.lit(True))
+    met = docs.join(lost, F.col("path") == lost["child_path"], "left").drop("child_path").join(shown, F.col("path") == shown["child_path"], "left").drop("child_path")
+    status = F.when(F.col("_shown"), "done").when(F.col("_lost"), "pending").otherwise(F.col("status"))
+    told = {"status": status, "chunk_count": F.when(F.col("_shown"), 0).otherwise(F.col("chunk_count")), "note": F.when(F.col("_shown"), LINKED).otherwise(F.col("note"))}
+    return links, met.withColumns(told).drop("_lost", "_shown")
+
+
+def delete_documents(docs: DataFrame, links: DataFrame, lost: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents (document_id, path, kind, status, pair_id) and links after those of `lost` (document_id) are gone.
+
+    Images they showed and PDFs that lose their transcription are pending again; nothing points at a lost document.
+    """
+    gone = lost.select("document_id").distinct()
+    by_parent = links.join(gone.withColumnRenamed("document_id", "parent_id"), "parent_id", "left_semi")
+    orphans = by_parent.select("child_path").distinct().withColumn("_o", F.lit(True))
+    unpaired = gone.select(F.col("document_id").alias("_gone"))
+    left = docs.join(gone, "document_id", "left_anti").join(orphans, F.col("path") == F.col("child_path"), "left").join(unpaired, F.col("pair_id") == F.col("_gone"), "left")
+    redo = F.coalesce("_o", F.lit(False)) | (F.col("_gone").isNotNull() & (F.col("kind") == "pdf"))
+    told = {"status": F.when(redo, "pending").otherwise(F.col("status")), "pair_id": F.when(F.col("_gone").isNull(), F.col("pair_id"))}
+    kept = links.join(gone.withColumnRenamed("document_id", "parent_id"), "parent_id", "left_anti")
+    return left.withColumns(told).drop("_o", "child_path", "_gone"), kept
+
+
+def apply_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Documents (document_id, path, kind, status, pair_id) with the pairs (md_path, pdf_path) both ways.
+
+    A PDF that gains or loses its transcription is pending, since its own text is read only without one.
+    """
+    ids = docs.select(F.col("path").alias("_path"), F.col("document_id").alias("_id"))
+    named = pairs.join(ids.select(F.col("_path").alias("md_path"), F.col("_id").alias("_md")), "md_path").join(ids.select(F.col("_path").alias("pdf_path"), F.col("_id").alias("_pdf")), "pdf_path")
+    both = named.select(F.col("_md").alias("document_id"), F.col("_pdf").alias("_pair")).union(named.select("_pdf", "_md"))
+    met = docs.join(both, "document_id", "left")
+    flips = (F.col("kind") == "pdf") & (F.col("pair_id").isNull() != F.col("_pair").isNull())
+    return met.withColumns({"status": F.when(flips, "pending").otherwise(F.col("status")), "pair_id": F.col("_pair")}).drop("_pair")
+
+
+def enqueue(jobs: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """Jobs (document_id, state, attempts, enqueued_at) with those of `ids` (document_id) waiting anew, without attempts."""
+    own = ids.select("document_id").distinct()
+    fresh = own.select("document_id", F.lit("queued").alias("state"), F.lit(0).alias("attempts"), now.alias("enqueued_at"))
+    return jobs.join(own, "document_id", "left_anti").select(*fresh.columns).unionByName(fresh)
+
+
+def recovered(jobs: DataFrame) -> DataFrame:
+    """Jobs after a run was cut off: running ones wait again."""
+    return jobs.withColumn("state", F.when(F.col("state") == "running", "queued").otherwise(F.col("state")))
+
+
+def cached(asked: DataFrame, cache: DataFrame, space: str, dim: int, now: Column) -> tuple[DataFrame, DataFrame]:
+    """What the cache knows of the queries, and the cache afterwards.
+
+    `asked` has query_id and text; `cache` space, query, vector, hits and last_used. Queries match by their normal form. The
+    first result has query_id, query and vector, null if there is none of this space and length; the second counts a hit
+    for every asked row.
+    """
+    wanted = asked.select("query_id", T.normal_query(F.col("text")).alias("query"))
+    known = cache.where(F.col("space") == space)
+    met = wanted.join(known.select("query", "vector"), "query", "left").select("query_id", "query", F.when(F.size("vector") == dim, F.col("vector")).alias("vector"))
+    uses = wanted.groupBy("query").agg(F.count("*").alias("_u"))
+    used = known.join(uses, "query").withColumns({"hits": F.col("hits") + F.col("_u"), "last_used": now}).drop("_u")
+    rest = cache.where(F.col("space") != space).unionByName(known.join(uses.select("query"), "query", "left_anti").select(*cache.columns))
+    return met, rest.unionByName(used.select(*cache.columns))
+
+
 def job_order(jobs: DataFrame) -> DataFrame:
     rank = F.lit(5)
     for kind, n in PRIORITY.items():

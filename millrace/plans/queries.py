@@ -11,11 +11,13 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking as C
 from ..operators import keyword as K
+from ..operators import links as L
 from ..operators import maintain as M
 from ..operators import merge
 from ..operators import ranking as R
 from ..sources import files as S
 from ..streaming.watch import quiet_bursts
+from . import spaces
 from .search import SearchOptions, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -397,7 +399,7 @@ def _snapshots(spark, d):
 
 
 @query(
-    f"""WITH {_OLD}, {_NEW} SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'gone' WHEN o.status = 'stale' THEN 'revived'
+    f"""WITH {_OLD}, {_NEW} SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'gone' WHEN o.status = 'stale' AND o.sha = n.sha THEN 'revived'
 WHEN o.size = n.size AND o.mtime = n.mtime THEN 'unchanged' WHEN o.sha = n.sha THEN 'touched' ELSE 'changed' END AS change FROM old o FULL JOIN new n ON o.path = n.path"""
 )
 def snapshot_diff(spark, d):
@@ -620,3 +622,109 @@ def merge_pairs(spark, d):
 @query("SELECT event_type AS key, min(ts) AS from_ts, max(ts) + INTERVAL 20 SECOND AS to_ts, count(*) AS events FROM (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM (SELECT event_type, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 20 SECOND THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY event_type, burst")
 def change_bursts(spark, d):
     return quiet_bursts(table(spark, d, "events").select(F.col("event_type").alias("key"), "ts"), "20 seconds")
+
+
+# A Markdown text per document: an image beside it that some documents have a file for, one in a folder of assets, one outside,
+# one elsewhere, one defined at the end, one by its tag, the first one again, and one in code.
+_SHOWS = "m AS (SELECT doc_id, n_chars % 60 AS a, doc_id % 7 AS b, lang FROM documents)"
+_IMAGES = f"""{_SHOWS}, f AS (SELECT DISTINCT 'img/' || a || ' x.png' AS path FROM m WHERE lang = 'en' UNION ALL SELECT DISTINCT 'md/assets/' || b || '.jpg' FROM m UNION ALL SELECT 'md/notes.txt'),
+l AS (SELECT doc_id AS document_id, unnest([{{'ord': 0, 'p': 'img/' || a || ' x.png', 'alt': 'one', 'h': lang, 'e': 'missing'}}, {{'ord': 1, 'p': 'md/assets/' || b || '.jpg', 'alt': 'two', 'h': lang, 'e': ''}},
+{{'ord': 2, 'p': NULL, 'alt': 'out', 'h': lang, 'e': 'outside'}}, {{'ord': 4, 'p': 'img/' || b || ' x.png', 'alt': 'tag', 'h': lang || ' > Part', 'e': 'missing'}},
+{{'ord': 5, 'p': NULL, 'alt': 'text', 'h': lang || ' > Part', 'e': 'kind'}}, {{'ord': 6, 'p': 'img/' || a || ' x.png', 'alt': 'again', 'h': lang || ' > Part', 'e': 'missing'}}], recursive := true) FROM m),
+r AS (SELECT document_id, ord, path AS child_path, alt, h AS heading_path, CASE WHEN path IS NULL THEN e END AS warning FROM l LEFT JOIN f ON f.path = l.p)"""
+
+
+def _shown(spark, d):
+    docs = table(spark, d, "documents").withColumns({"a": F.col("n_chars") % 60, "b": F.col("doc_id") % 7})
+    text = F.concat(
+        F.lit("# "), "lang", F.lit("\n\n![one](../img/"), F.col("a").cast("string"), F.lit("%20x.png?raw=1 \"t\")\n\n![two][ref]\n![out](../../up.png) ![web](https://example.com/a.png)\n\n## Part\n\n<img alt='tag' src='/img/"),
+        F.col("b").cast("string"), F.lit("%20x.png'>\n![text](notes.txt)\n\n![again](<./../img/"), F.col("a").cast("string"), F.lit(" x.png>)\n```\n![code](c.png)\n```\n\n[ref]: pics/"), F.col("b").cast("string"), F.lit(".jpg\n"),
+    )
+    files = docs.where("lang = 'en'").select(F.concat(F.lit("img/"), F.col("a").cast("string"), F.lit(" x.png")).alias("path"))
+    files = files.union(docs.select(F.concat(F.lit("md/assets/"), F.col("b").cast("string"), F.lit(".jpg")))).union(docs.select(F.lit("md/notes.txt")))
+    links = L.image_links(docs.select(F.col("doc_id").alias("document_id"), F.concat(F.lit("md/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), text.alias("text")))
+    return L.resolve_links(links, files.distinct())
+
+
+@query(f"WITH {_IMAGES} SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY document_id, coalesce(child_path, ord::VARCHAR) ORDER BY ord) = 1")
+def image_links(spark, d):
+    return _shown(spark, d).select("document_id", "ord", "child_path", "alt", "heading_path", "warning")
+
+
+# Turns as links again; documents are images named by their id's rest by 97, read again are the conversations of even ids.
+_LINKS = """o AS (SELECT DISTINCT conv_id AS parent_id, 'img/' || (length(text) % 97) || '.png' AS child_path FROM conversations WHERE role = 'user'),
+n AS (SELECT DISTINCT conv_id AS parent_id, 'img/' || (length(text) % 97) || '.png' AS child_path FROM conversations WHERE role = 'assistant' AND conv_id % 2 = 0 AND length(text) % 3 = 0),
+nl AS (SELECT * FROM o WHERE parent_id % 2 = 1 UNION ALL SELECT * FROM n)"""
+
+
+def _old_new_links(spark, d):
+    turns = table(spark, d, "conversations")
+    links = lambda t: t.select(F.col("conv_id").alias("parent_id"), F.concat(F.lit("img/"), (F.char_length("text") % 97).cast("string"), F.lit(".png")).alias("child_path")).distinct()
+    again = turns.where("conv_id % 2 = 0").select(F.col("conv_id").alias("document_id"))
+    return links(turns.where("role = 'user'")), links(turns.where("role = 'assistant' AND conv_id % 2 = 0 AND char_length(text) % 3 = 0")), again
+
+
+@query(f"""WITH {_LINKS} SELECT doc_id AS document_id, CASE WHEN p IN (SELECT child_path FROM n) THEN 'done' WHEN p IN (SELECT child_path FROM o) AND p NOT IN (SELECT child_path FROM nl) THEN 'pending' ELSE 'done' END AS status,
+CASE WHEN p IN (SELECT child_path FROM n) THEN 0 ELSE 1 END AS chunk_count, p IN (SELECT child_path FROM n) AS noted FROM (SELECT doc_id, 'img/' || (doc_id % 97) || '.png' AS p FROM documents)""")
+def link_ownership(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("img/"), (F.col("doc_id") % 97).cast("string"), F.lit(".png")).alias("path"), F.lit("done").alias("status"), F.lit(1).alias("chunk_count"), F.lit(None).cast("string").alias("note"))
+    return M.replace_links(docs, *_old_new_links(spark, d))[1].select("document_id", "status", "chunk_count", F.col("note").isNotNull().alias("noted"))
+
+
+def _paired_docs(spark, d):
+    """Documents in pairs of an even id, a text, and the odd id after it, a PDF; images are of German."""
+    kind = F.when(F.col("lang") == "de", "image").when(F.col("doc_id") % 2 == 1, "pdf").otherwise("markdown")
+    other = F.when(F.col("lang") != "de", F.col("doc_id") + 1 - 2 * (F.col("doc_id") % 2))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("img/"), (F.col("doc_id") % 97).cast("string"), F.lit(".png")).alias("path"), kind.alias("kind"), F.lit("done").alias("status"), other.alias("pair_id"))
+
+
+@query(f"""WITH {_LINKS}, lost AS (SELECT doc_id FROM labels WHERE toxic = 1), d AS (SELECT doc_id, 'img/' || (doc_id % 97) || '.png' AS p, CASE WHEN lang = 'de' THEN 'image' WHEN doc_id % 2 = 1 THEN 'pdf' ELSE 'markdown' END AS kind, CASE WHEN lang <> 'de' THEN doc_id + 1 - 2 * (doc_id % 2) END AS pair FROM documents)
+SELECT doc_id AS document_id, CASE WHEN p IN (SELECT child_path FROM o WHERE parent_id IN (SELECT doc_id FROM lost)) OR (kind = 'pdf' AND coalesce(pair IN (SELECT doc_id FROM lost), false)) THEN 'pending' ELSE 'done' END AS status,
+CASE WHEN pair NOT IN (SELECT doc_id FROM lost) THEN pair END AS pair_id FROM d WHERE doc_id NOT IN (SELECT doc_id FROM lost)""")
+def delete_documents(spark, d):
+    lost = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("document_id"))
+    docs, _ = M.delete_documents(_paired_docs(spark, d), _old_new_links(spark, d)[0], lost)
+    return docs.select("document_id", "status", "pair_id")
+
+
+@query(f"""WITH {_OLD}, {_NEW} SELECT path FROM old WHERE path NOT IN (SELECT path FROM new) AND NOT ((starts_with(path, 'src1/') OR starts_with(path, 'src2/en/') OR starts_with(path, 'src5/')) AND status <> 'stale' AND path IN (SELECT {_PATH} FROM documents WHERE n_chars % 2 = 0))""")
+def keep_folders(spark, d):
+    old, new = _snapshots(spark, d)
+    there = table(spark, d, "documents").where("n_chars % 2 = 0").select(path().alias("path"))
+    return M.really_gone(old.join(new.select("path"), "path", "left_anti").select("path", "status"), ["src1", "src2/en", "src5"], there).select("path")
+
+
+@query(f"""WITH {_PAIRS}, d AS (SELECT path, doc_id AS id, 'markdown' AS kind, NULL AS pair FROM md UNION ALL SELECT path, -doc_id, 'pdf', CASE WHEN doc_id % 3 = 0 THEN 0 END FROM pdf),
+w AS (SELECT a.id AS a, b.id AS b FROM paired JOIN d a ON a.path = md_path JOIN d b ON b.path = pdf_path), both_ AS (SELECT a AS id, b AS pair FROM w UNION ALL SELECT b, a FROM w)
+SELECT d.id AS document_id, b.pair AS pair_id, CASE WHEN kind = 'pdf' AND (d.pair IS NULL) <> (b.pair IS NULL) THEN 'pending' ELSE 'done' END AS status FROM d LEFT JOIN both_ b ON b.id = d.id""")
+def pair_requeue(spark, d):
+    texts, pdfs = _pairing(spark, d)
+    number = F.regexp_extract("path", r"(\d+)\.[a-z]+$", 1).cast("long")
+    row = lambda df, key, kind, pair: df.select(key.alias("document_id"), "path", F.lit(kind).alias("kind"), F.lit("done").alias("status"), pair.alias("pair_id"))
+    docs = row(texts, number, "markdown", F.lit(None).cast("long")).union(row(pdfs, -number, "pdf", F.when(number % 3 == 0, F.lit(0).cast("long"))))
+    return M.apply_pairs(docs, M.pairs(texts, pdfs)).select("document_id", "pair_id", "status")
+
+
+@query("SELECT d.doc_id AS document_id, CASE WHEN toxic = 1 THEN 'queued' WHEN lang = 'en' THEN 'queued' ELSE 'failed' END AS state, CASE WHEN toxic = 1 THEN 0 ELSE 2 END AS attempts FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id")
+def job_recovery(spark, d):
+    jobs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.when(F.col("lang") == "en", "running").otherwise("failed").alias("state"), F.lit(2).alias("attempts"), F.lit(1).alias("enqueued_at"))
+    toxic = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("document_id"))
+    return M.enqueue(M.recovered(jobs), toxic, F.lit(2)).select("document_id", "state", "attempts")
+
+
+@query("SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 AND item_id % 2 = 0 THEN item_id::DOUBLE END AS first FROM benchmark")
+def cache_lookup(spark, d):
+    """Of the benchmark's queries the cache holds every third; those of odd ids with vectors of another length."""
+    items = table(spark, d, "benchmark")
+    vector = F.when(F.col("item_id") % 2 == 0, F.array(F.col("item_id").cast("double"), F.lit(1.0))).otherwise(F.array(F.lit(1.0)))
+    cache = items.where("item_id % 3 = 0").select(F.lit("s").alias("space"), T.normal_query(F.concat(F.lit("  "), F.col("text"))).alias("query"), vector.alias("vector"), F.lit(1).alias("hits"), F.lit(0).alias("last_used")).dropDuplicates(["query"])
+    return M.cached(items.select(F.col("item_id").alias("query_id"), "text"), cache, "s", 2, F.lit(1))[0].select("query_id", F.get("vector", F.lit(0)).alias("first"))
+
+
+@query(f"WITH {_BASE}, dirty AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT doc_id AS document_id, len(t) > 0 AND doc_id NOT IN (SELECT doc_id FROM dirty) AS live, CASE WHEN len(t) > 0 THEN 1 ELSE 0 END AS chunk_count FROM toks")
+def give_up_switch(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit("processing").alias("status"), F.lit("next").alias("embed_id"))
+    held = chunks(spark, d).where("bm25_len > 0").select(F.col("chunk_id").alias("document_id"))
+    dirty = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("document_id"))
+    out = spaces.cancelled(docs, held, dirty, F.lit("live"))
+    return out.select("document_id", ((F.col("status") == "done") & (F.col("embed_id") == "live")).alias("live"), F.col("chunk_count").cast("int").alias("chunk_count"))

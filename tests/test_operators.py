@@ -8,9 +8,11 @@ from millrace.functions import text as T
 from millrace.functions import vectors as V
 from millrace.operators import chunking as C
 from millrace.operators import keyword as K
+from millrace.operators import links as L
 from millrace.operators import maintain as M
 from millrace.operators import ranking as R
 from millrace.operators.merge import Hit, merge_moments, merge_pairs
+from millrace.plans import config, spaces
 from millrace.plans.search import SearchOptions, search
 from millrace.sources import files as S
 
@@ -148,3 +150,69 @@ def test_watch_sees_edits_and_deletes(spark, tmp_path):
     finally:
         run.stop()
     assert seen[-1] == {"a.md": 6}
+
+
+def test_images():
+    text = "# A\n![one](a.png \"t\") `![no](b.png)`\n\n![two][r] ![r]\n<img src='c.png'>\n~~~\n![no](d.png)\n~~~\n<!-- page 2 -->\n![x](<e f.png>)\n\n[R]: g.png"
+    assert L.images(text) == [("a.png", "one", "A", 0), ("g.png", "two", "A", 0), ("g.png", "r", "A", 0), ("c.png", "", "A", 0), ("<e f.png>", "x", "A", 2)]
+    assert L.images("") == [] == L.images("![x][nowhere] ![]()")
+
+
+@pytest.mark.parametrize(("path", "clean"), [("a/./b//c", "a/b/c"), ("a/../b", "b"), ("../a", "../a"), ("a/../../b", "../b"), ("../../a/..", "../.."), ("", "")])
+def test_clean_path(spark, path, clean):
+    assert one(spark, L.clean_path(F.lit(path))) == clean
+
+
+def test_diff_of_stale(spark):
+    columns = "path string, size long, mtime long, sha256 string"
+    known = spark.createDataFrame([("a", 1, 1, "x", "stale"), ("b", 1, 1, "x", "stale"), ("c", 1, 1, "x", "stale"), ("d", 1, 1, "x", "done")], columns + ", status string")
+    found = spark.createDataFrame([("a", 1, 1, "x"), ("b", 1, 2, "x"), ("c", 2, 2, "y"), ("d", 1, 2, "x")], columns)
+    assert {r["path"]: r["change"] for r in M.snapshot_diff(known, found).collect()} == {"a": "revived", "b": "revived", "c": "changed", "d": "touched"}
+
+
+def test_settings():
+    told = config.load("[scan]\nkeep = ['old']\n[[pairs]]\nmd = 'md'\npdf = '../pdf'\n[chunk]\ntokens = 16\n[cache]\nquery_ttl = '1x'")
+    assert told.scan.keep == ["old"] and told.chunk.overlap == 32 and config.seconds("1h30m") == 5400
+    assert len(config.problems(told)) == 4 and config.problems(config.Config()) == []
+    with pytest.raises(ValueError, match="chunk.size"):
+        config.load("[chunk]\nsize = 1")
+
+
+def test_folders():
+    assert config.add_folder(["a/b", "c"], "a") == ["a", "c"] and config.add_folder(["a"], "a/b") == ["a"] and config.add_folder(["a"], "ab") == ["a", "ab"]
+    assert config.remove_folder(["a", "b"], "a") == ["b"]
+    with pytest.raises(ValueError):
+        config.remove_folder(["a"], "a/b")
+
+
+def test_rebuild():
+    run = lambda *a, **k: spaces.rebuild(*a, **k).mode
+    assert [run("a", "", "a", 5), run("a", "b", "a", 5), run("a", "b", "b", 5), run("a", "", "b", 0), run("a", "b", "c", 5), run("a", "", "a", 5, force=True)] == ["none", "cancelled", "continue", "in_place", "switch", "switch"]
+    assert spaces.rebuild("a", "", "b", 1, 3_000_000, (2, 4), 11).need_mb == 7
+    with pytest.raises(OSError, match="7 MB"):
+        spaces.rebuild("a", "", "b", 1, 3_000_000, (2, 4), 10)
+    assert spaces.rebuild("a", "", "b", 1, 3_000_000, (2, 4), 10, force=True).need_mb == 7
+
+
+def test_spaces(spark, tmp_path):
+    root = str(tmp_path)
+    assert spaces.current(spark, root) == ""
+    for name in ("first", "second"):
+        spark.range(3).write.parquet(spaces.target(root, name, "chunks"))
+        spaces.switch(spark, root, name)
+        assert spaces.current(spark, root) == name
+    old = spark.createDataFrame([(1, "x")], "id long, source_path string")
+    assert spaces.migrated(old, 1).columns == ["id", "source_path", "start_ms", "end_ms", "bm25_len"] and spaces.migrated(old, 4).columns == old.columns
+    with pytest.raises(ValueError, match="newer"):
+        spaces.migrated(old, 5)
+    jobs = spark.createDataFrame([(1, "failed")], "document_id long, state string")
+    assert spaces.complete(jobs) and not spaces.complete(jobs.withColumn("state", F.lit("running")))
+    assert spaces.vectors_usable("a", "a", "vector") and not spaces.vectors_usable("a", "b", "hybrid")
+
+
+def test_cache_counts_hits(spark):
+    cache = spark.createDataFrame([("s", "a b", [1.0], 4, 0), ("t", "a b", [2.0], 1, 0), ("s", "c", [3.0], 1, 0)], "space string, query string, vector array<double>, hits long, last_used long")
+    asked = spark.createDataFrame([(1, " a  b "), (2, "a b"), (3, "A b")], "query_id long, text string")
+    found, after = M.cached(asked, cache, "s", 1, F.lit(9).cast("long"))
+    assert {r["query_id"]: r["vector"] for r in found.collect()} == {1: [1.0], 2: [1.0], 3: None}
+    assert sorted((r["space"], r["query"], r["hits"], r["last_used"]) for r in after.collect()) == [("s", "a b", 6, 9), ("s", "c", 1, 0), ("t", "a b", 1, 0)]

@@ -3,7 +3,8 @@
 Words are canonicalised to templates: numbers, names and units become typed placeholders, everything else is lower-cased.
 Windows of template words are hash-joined with those of the benchmark; the windows of an item that a document holds at
 one offset are counted, and the slots of their placeholders must map one to one from item to document. So a question is
-caught as it stands and also with other numbers, names or units.
+caught also with other numbers, names or units. A second family of windows has the plain lower-cased words, so that a passage
+is caught as it stands in any case. Either family is enough.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import OUT_ROWS, grams, slices, span_hashes, texts_of
+from .shared import OUT_ROWS, grams, mix, slices, span_hashes, texts_of
 
 #: Words in a window, and words of it that are no placeholders at least. Items of fewer words are one window of all.
 WINDOW, LITERALS = 8, 4
@@ -28,6 +29,7 @@ FILTER_WINDOWS = 1 << 20
 # Units of measure, in lower case.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml cl l gal s sec min h hr hrs kmh mph kb mb gb tb w kw mw v a hz khz mhz ghz k c f usd eur gbp percent"
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
+PLAIN, TYPED = 0, 1
 _GAP, _LETTER, _DIGIT, _SIGN = 0, 1, 2, 3
 
 _CLASS = np.zeros(256, np.uint8)
@@ -39,6 +41,19 @@ _ENDS = np.zeros(256, bool)
 _ENDS[list(b'.!?:;\n"')] = True
 
 
+@dataclass
+class Words:
+    """Words of some texts: number of the text, kind (names are not told yet), hash of the word in lower case, and whether it
+    has a capital and then a small letter, begins with no capital, starts a sentence."""
+
+    text: np.ndarray
+    kind: np.ndarray
+    words: np.ndarray
+    capital: np.ndarray
+    small: np.ndarray
+    fresh: np.ndarray
+
+
 @dataclass
 class Template:
     """Template words of some texts: number of the text, kind, hash of the template word, hash of the word as it stands."""
@@ -49,18 +64,17 @@ class Template:
     words: np.ndarray
 
 
-def canonical(data: np.ndarray, bounds: np.ndarray) -> Template:
-    """Template words of the texts that `bounds` parts in UTF-8 bytes.
+def words_of(data: np.ndarray, bounds: np.ndarray) -> Words:
+    """Words of the texts that `bounds` parts in UTF-8 bytes.
 
     A word is a run of letters or of digits; 3.5 and 1:30 are one number. A unit is a word of UNITS after a number, or a
-    percent or dollar sign at one. A name is a word with a capital (ASCII or Latin-1) and then a small letter that does not
-    start a sentence: a word that starts one, a single letter or a word all in capitals is an ordinary word, so that a passage
-    in capitals is still found. Latin-1 and general punctuation and currency signs part words.
+    percent or dollar sign at one. Capitals are ASCII or Latin-1. Latin-1 and general punctuation and currency signs part words.
     """
     n = len(data)
-    none = np.zeros(0, np.int64)
+    none, flags = np.zeros(0, np.int64), np.zeros(0, bool)
+    nothing = Words(none, none, none.astype(np.uint64), flags, flags, flags)
     if n == 0:
-        return Template(none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return nothing
     kind_of = _CLASS[data]
     value = _LOWER[data]
     wide = data >= 0xC2
@@ -86,7 +100,7 @@ def canonical(data: np.ndarray, bounds: np.ndarray) -> Template:
     edge[bounds[:-1][bounds[:-1] < n]] = True
     starts = np.flatnonzero(edge & (kind_of != _GAP))
     if not len(starts):
-        return Template(none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return nothing
     edges = np.append(np.flatnonzero(edge), n)
     ends = edges[np.searchsorted(edges, starts, side="right")]
     text = np.searchsorted(bounds, starts, side="right") - 1
@@ -106,12 +120,68 @@ def canonical(data: np.ndarray, bounds: np.ndarray) -> Template:
     capital = raised[starts] & (second < ends) & ~raised[np.minimum(second, n - 1)]
     after_number = np.zeros(len(starts), bool)
     after_number[1:] = same[1:] & digit[:-1]
-    kind = np.where(digit, NUMBER, np.where((kind_of[starts] == _SIGN) | (after_number & np.isin(hashes, _unit_hashes())), UNIT, np.where(capital & ~fresh, NAME, LITERAL)))
+    kind = np.where(digit, NUMBER, np.where((kind_of[starts] == _SIGN) | (after_number & np.isin(hashes, _unit_hashes())), UNIT, LITERAL))
     head = np.flatnonzero(~inner)
     words = np.add.reduceat(hashes * np.where(inner, np.uint64(3), np.uint64(1)), head)
-    kind = kind[head]
-    forms = np.where(kind == LITERAL, words, kind.astype(np.uint64))
-    return Template(text[head], kind, forms, words)
+    small = (kind_of[starts] == _LETTER) & ~raised[starts]
+    return Words(text[head], kind[head], words, capital[head], small[head], fresh[head])
+
+
+def plain(w: Words) -> Template:
+    """Every word as it stands, in lower case."""
+    return Template(w.text, np.full(len(w.text), LITERAL), w.words, w.words)
+
+
+def _named(inside: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """Of words that occur with a capital: whether they are names, by how often they have one inside a sentence and how often none."""
+    return (inside > small) | (small == 0)
+
+
+def typed(w: Words, known: np.ndarray, is_name: np.ndarray) -> Template:
+    """Numbers, names and units as placeholders, other words in lower case.
+
+    A word is a name or not wherever it stands and in whatever case: `known` (sorted) and `is_name` say it of the words of the
+    benchmark, and of other words the text itself does.
+    """
+    name = np.zeros(len(w.text), bool)
+    loose = w.kind == LITERAL
+    if len(known):
+        at = np.minimum(np.searchsorted(known, w.words), len(known) - 1)
+        met = known[at] == w.words
+        name = met & is_name[at] & loose
+        loose &= ~met
+    raised = np.flatnonzero(loose & w.capital)
+    if len(raised):
+        own = np.flatnonzero(loose)
+        key = mix(w.words ^ mix(w.text.astype(np.uint64) + np.uint64(1)))
+        keys, where = np.unique(key[raised], return_inverse=True)
+        place = np.minimum(np.searchsorted(keys, key[own]), len(keys) - 1)
+        same = keys[place] == key[own]
+        told = _named(np.bincount(where, ~w.fresh[raised], len(keys)), np.bincount(place[same & w.small[own]], minlength=len(keys)))
+        name[own] = same & told[place]
+    kind = np.where(name, NAME, w.kind)
+    return Template(w.text, kind, np.where(kind == LITERAL, w.words, kind.astype(np.uint64)), w.words)
+
+
+def vocabulary(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the benchmark's words that occur in small letters or with a capital, sorted, and whether they are names: those
+    that more often have a capital inside a sentence than none, or that never have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, bounds in slices(texts_of(batch.column(0))):
+                w = words_of(data, bounds)
+                use = np.flatnonzero((w.kind == LITERAL) & (w.capital | w.small))
+                h, where = np.unique(w.words[use], return_inverse=True)
+                sums = [np.bincount(where, x[use], len(h)).astype(np.int64) for x in (w.capital, w.capital & ~w.fresh, w.small)]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, sums)], names=["h", "raised", "inside", "small"])
+
+    found = items.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "h long, raised long, inside long, small long")
+    rows = found.groupBy("h").agg(F.sum("raised"), F.sum("inside"), F.sum("small")).collect()  # the words of the benchmark
+    table = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 4)
+    known = np.ascontiguousarray(table[:, 0]).view(np.uint64)
+    order = np.argsort(known)
+    return known[order], ((table[:, 1] > 0) & _named(table[:, 2], table[:, 3]))[order]
 
 
 _units: list[np.ndarray] = []
@@ -140,15 +210,15 @@ def _slots(t: Template, at: int, size: int) -> list[int]:
     return t.words[at : at + size][t.kind[at : at + size] != LITERAL].view(np.int64).tolist()
 
 
-_WINDOWS = [("at", pa.int32()), ("size", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.int64()))]
+_WINDOWS = [("family", pa.int32()), ("at", pa.int32()), ("size", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.int64()))]
 
 
 def _batch(key: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *(t for _, t in _WINDOWS)), strict=True)], names=[key, *(n for n, _ in _WINDOWS)])
 
 
-def template_windows(rows: DataFrame, key: str, sizes: list[int] | None, wanted: np.ndarray | None = None) -> DataFrame:
-    """key, at, size, h, slots: the template windows of every whole text.
+def template_windows(rows: DataFrame, key: str, sizes: list[int] | None, names: tuple[np.ndarray, np.ndarray], wanted: np.ndarray | None = None) -> DataFrame:
+    """key, family, at, size, h, slots: the windows of every whole text, of PLAIN words and of TYPED ones by the vocabulary `names`.
 
     `sizes` None: of WINDOW words, or of all words where a text has fewer but at least LEAST_WORDS, which is how items are
     cut. Else of each of these sizes, which is how documents are. With `wanted`, only windows with one of these hashes.
@@ -158,33 +228,34 @@ def template_windows(rows: DataFrame, key: str, sizes: list[int] | None, wanted:
         sieve = np.zeros(1 << 20, bool)  # few windows pass it, and those are looked up
         sieve[wanted >> np.uint64(44)] = True
         wanted = np.sort(wanted)
-    held = rows.sparkSession.sparkContext.broadcast((sieve, wanted))
+    held = rows.sparkSession.sparkContext.broadcast((sieve, wanted, names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        few, exact = held.value
+        few, exact, known = held.value
         out: list[tuple] = []
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for from_, _, data, bounds in slices(texts_of(batch.column(1))):
-                t = canonical(data, bounds)
-                firsts = np.searchsorted(t.text, np.arange(len(bounds)))
-                counts = np.diff(firsts)
-                for size in sizes or sorted({int(min(c, WINDOW)) for c in np.unique(counts) if c >= LEAST_WORDS}):
-                    at, found = window_hashes(t, size)
-                    keep = np.ones(len(at), bool) if sizes else np.minimum(counts[t.text[at]], WINDOW) == size
-                    if few is not None:
-                        keep &= few[found >> np.uint64(44)]
-                        keep[keep] = np.isin(found[keep], exact)
-                    for i in np.flatnonzero(keep):
-                        own = t.text[at[i]]
-                        out.append((int(keys[from_ + own]), int(at[i] - firsts[own]), size, int(found[i].view(np.int64)), _slots(t, at[i], size)))
-                    if len(out) >= OUT_ROWS:
-                        yield _batch(key, out)
-                        out = []
+                w = words_of(data, bounds)
+                for family, t in ((PLAIN, plain(w)), (TYPED, typed(w, *known))):
+                    firsts = np.searchsorted(t.text, np.arange(len(bounds)))
+                    counts = np.diff(firsts)
+                    for size in sizes or sorted({int(min(c, WINDOW)) for c in np.unique(counts) if c >= LEAST_WORDS}):
+                        at, found = window_hashes(t, size)
+                        keep = np.ones(len(at), bool) if sizes else np.minimum(counts[t.text[at]], WINDOW) == size
+                        if few is not None:
+                            keep &= few[found >> np.uint64(44)]
+                            keep[keep] = np.isin(found[keep], exact)
+                        for i in np.flatnonzero(keep):
+                            own = t.text[at[i]]
+                            out.append((int(keys[from_ + own]), family, int(at[i] - firsts[own]), size, int(found[i].view(np.int64)), _slots(t, at[i], size)))
+                        if len(out) >= OUT_ROWS:
+                            yield _batch(key, out)
+                            out = []
         if out:
             yield _batch(key, out)
 
-    return rows.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, "text").mapInArrow(run, f"{key} long, at int, size int, h long, slots array<long>")
+    return rows.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, "text").mapInArrow(run, f"{key} long, family int, at int, size int, h long, slots array<long>")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, most: int = FILTER_WINDOWS) -> DataFrame:
@@ -194,23 +265,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, most: in
     document or an item give one row; columns other than ids and texts are ignored. Up to `most` benchmark windows are
     sent to the tasks as a filter, so that only hits leave them; a larger benchmark is joined by a shuffle of all windows.
     """
-    cut = template_windows(items, "item_id", None).distinct()
+    names = vocabulary(items)
+    cut = template_windows(items, "item_id", None, names).distinct()
     sizes = sorted(r["size"] for r in cut.select("size").distinct().collect())  # at most WINDOW of them
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_found long, n_windows long")
     hashes = cut.select("h").distinct().limit(most + 1).collect()
     wanted = np.array([r["h"] for r in hashes], np.int64).view(np.uint64) if len(hashes) <= most else None
-    held = template_windows(docs, "doc_id", sizes, wanted).select("doc_id", F.col("at").alias("_at"), "size", "h", F.col("slots").alias("_there"))
-    counts = cut.groupBy("item_id").agg(F.count_distinct("at").alias("n_windows"))
+    held = template_windows(docs, "doc_id", sizes, names, wanted).select("doc_id", "family", F.col("at").alias("_at"), "size", "h", F.col("slots").alias("_there"))
+    counts = cut.groupBy("item_id", "family").agg(F.count_distinct("at").alias("n_windows"))
     pairs = F.zip_with("slots", "_there", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     runs = (
-        held.join(cut, ["h", "size"])
-        .groupBy("doc_id", "item_id", (F.col("_at") - F.col("at")).alias("_offset"))
+        held.join(cut, ["h", "size", "family"])
+        .groupBy("doc_id", "item_id", "family", (F.col("_at") - F.col("at")).alias("_offset"))
         .agg(F.count_distinct("at").alias("n_found"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("_map"))
     )
     one_to_one = (F.size(F.array_distinct(F.transform("_map", lambda x: x["a"]))) == F.size("_map")) & (F.size(F.array_distinct(F.transform("_map", lambda x: x["b"]))) == F.size("_map"))
-    sure = runs.join(counts, "item_id").where(one_to_one & (F.col("n_found") >= F.lit(share) * F.col("n_windows")))
-    return sure.groupBy("doc_id", "item_id").agg(F.max("n_found").cast("long").alias("n_found"), F.first("n_windows").cast("long").alias("n_windows"))
+    sure = runs.join(counts, ["item_id", "family"]).where(one_to_one & (F.col("n_found") >= F.lit(share) * F.col("n_windows")))
+    best = F.max(F.struct((F.col("n_found") / F.col("n_windows")).alias("_part"), F.col("n_found").cast("long").alias("n_found"), F.col("n_windows").cast("long").alias("n_windows"))).alias("_best")
+    return sure.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "_best.n_found", "_best.n_windows")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -115,6 +115,19 @@ def test_leaks_in_capitals(spark):
     assert sorted(r["doc_id"] for r in leaks.find_leaks(docs, items).collect()) == [1, 2]
 
 
+def leaky(spark, item, texts):
+    """Numbers of the texts that hold the item, by itself a benchmark."""
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r["doc_id"] for r in leaks.find_leaks(docs, items).collect())
+
+
+def test_leaks_with_names_in_any_case_and_place(spark):
+    item = "We went to see Paris and then took Anna along to Rome where old Mario met Carla near some Tiber bridge"
+    assert leaky(spark, item, [item.upper(), item.lower(), item.replace(" ", "\n"), "We went home."]) == [0, 1, 2]
+    assert leaky(spark, "Anna has 3 apples. Anna buys 5 more.", ["Boris has 4 apples. Boris buys 7 more.", "so Boris has 4 apples\nBoris buys 7 more", "Boris has 4 pears. Boris sells 7 more."]) == [0, 1]
+
+
 def test_mix_is_near_its_targets(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = mixing.mix_digest(docs.union(docs.limit(3)).repartition(7))

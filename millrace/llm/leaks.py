@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are canonicalised to templates: numbers, names and units become typed placeholders, everything else is lower-cased.
-Windows of template words are hash-joined with those of the benchmark; the windows of an item that a document holds at
-one offset are counted, and the slots of their placeholders must map one to one from item to document. So a question is
+Windows of template words are hash-joined with those of the benchmark; the windows of an item that a document holds in
+one place are counted, and the slots of their placeholders must map one to one from item to document. So a question is
 caught also with other numbers, names or units. A second family of windows has the plain lower-cased words, so that a passage
 is caught as it stands in any case. Either family is enough.
 """
@@ -21,14 +21,17 @@ from .shared import OUT_ROWS, grams, mix, slices, span_hashes, texts_of
 
 #: Words in a window, and words of it that are no placeholders at least. Items of fewer words are one window of all.
 WINDOW, LITERALS = 8, 4
-#: Words that an item needs to be looked for, and share of its windows that a document must hold at one offset.
+#: From so many words of an item to below the next number, windows have the words and literals given, so that half of them are
+#: left when a word in the middle is another one.
+SHORTER = ((11, 14, 4, 3), (14, 23, 5, 3))
+#: Words that an item needs to be looked for, and share of its windows that a document must hold in one place.
 LEAST_WORDS, SHARE = 5, 0.5
 #: Benchmark windows that are sent to all tasks as a filter; a larger benchmark is joined by a shuffle instead.
 FILTER_WINDOWS = 1 << 20
 
 # Units of measure, in lower case.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml cl l gal s sec min h hr hrs kmh mph kb mb gb tb w kw mw v a hz khz mhz ghz k c f usd eur gbp percent"
-LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
+LITERAL, NUMBER, NAME, UNIT, SIGN = 0, 1, 2, 3, 4
 PLAIN, TYPED = 0, 1
 _GAP, _LETTER, _DIGIT, _SIGN = 0, 1, 2, 3
 
@@ -39,12 +42,15 @@ _LOWER = np.arange(1, 257, dtype=np.uint64)
 _LOWER[65:91] += 32
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b'.!?:;\n"')] = True
+_JOINS = np.zeros(256, bool)
+_JOINS[list(b" \t\n\r-'")] = True
 
 
 @dataclass
 class Words:
     """Words of some texts: number of the text, kind (names are not told yet), hash of the word in lower case, and whether it
-    has a capital and then a small letter, begins with no capital, starts a sentence."""
+    has a capital and then a small letter, begins with no capital, starts a sentence, follows the last one with nothing or only
+    blanks, hyphens and apostrophes between them."""
 
     text: np.ndarray
     kind: np.ndarray
@@ -52,6 +58,7 @@ class Words:
     capital: np.ndarray
     small: np.ndarray
     fresh: np.ndarray
+    close: np.ndarray
 
 
 @dataclass
@@ -67,12 +74,12 @@ class Template:
 def words_of(data: np.ndarray, bounds: np.ndarray) -> Words:
     """Words of the texts that `bounds` parts in UTF-8 bytes.
 
-    A word is a run of letters or of digits; 3.5 and 1:30 are one number. A unit is a word of UNITS after a number, or a
-    percent or dollar sign at one. Capitals are ASCII or Latin-1. Latin-1 and general punctuation and currency signs part words.
+    A word is a run of letters or of digits; 3.5 and 1:30 are one number. A unit is a word of UNITS after a number, a
+    sign is a percent or dollar sign at one. Capitals are ASCII or Latin-1. Latin-1 and general punctuation and currency signs part words.
     """
     n = len(data)
     none, flags = np.zeros(0, np.int64), np.zeros(0, bool)
-    nothing = Words(none, none, none.astype(np.uint64), flags, flags, flags)
+    nothing = Words(none, none, none.astype(np.uint64), flags, flags, flags, flags)
     if n == 0:
         return nothing
     kind_of = _CLASS[data]
@@ -120,11 +127,14 @@ def words_of(data: np.ndarray, bounds: np.ndarray) -> Words:
     capital = raised[starts] & (second < ends) & ~raised[np.minimum(second, n - 1)]
     after_number = np.zeros(len(starts), bool)
     after_number[1:] = same[1:] & digit[:-1]
-    kind = np.where(digit, NUMBER, np.where((kind_of[starts] == _SIGN) | (after_number & np.isin(hashes, _unit_hashes())), UNIT, LITERAL))
+    kind = np.where(digit, NUMBER, np.where(kind_of[starts] == _SIGN, SIGN, np.where(after_number & np.isin(hashes, _unit_hashes()), UNIT, LITERAL)))
     head = np.flatnonzero(~inner)
     words = np.add.reduceat(hashes * np.where(inner, np.uint64(3), np.uint64(1)), head)
     small = (kind_of[starts] == _LETTER) & ~raised[starts]
-    return Words(text[head], kind[head], words, capital[head], small[head], fresh[head])
+    marks = np.concatenate([[0], np.cumsum(~_JOINS[data])])
+    close = same.copy()
+    close[1:] &= marks[starts[1:]] == marks[ends[:-1]]
+    return Words(text[head], kind[head], words, capital[head], small[head], fresh[head], close[head])
 
 
 def plain(w: Words) -> Template:
@@ -138,7 +148,8 @@ def _named(inside: np.ndarray, small: np.ndarray) -> np.ndarray:
 
 
 def typed(w: Words, known: np.ndarray, is_name: np.ndarray) -> Template:
-    """Numbers, names and units as placeholders, other words in lower case.
+    """Numbers, names and units as placeholders, other words in lower case. A name of several words is one placeholder, and so
+    is a number with its sign.
 
     A word is a name or not wherever it stands and in whatever case: `known` (sorted) and `is_name` say it of the words of the
     benchmark, and of other words the text itself does.
@@ -160,7 +171,14 @@ def typed(w: Words, known: np.ndarray, is_name: np.ndarray) -> Template:
         told = _named(np.bincount(where, ~w.fresh[raised], len(keys)), np.bincount(place[same & w.small[own]], minlength=len(keys)))
         name[own] = same & told[place]
     kind = np.where(name, NAME, w.kind)
-    return Template(w.text, kind, np.where(kind == LITERAL, w.words, kind.astype(np.uint64)), w.words)
+    more = np.zeros(len(kind), bool)
+    more[1:] = w.close[1:] & (((kind[1:] == NAME) & (kind[:-1] == NAME)) | ((kind[1:] == SIGN) & (kind[:-1] == NUMBER)) | ((kind[1:] == NUMBER) & (kind[:-1] == SIGN)))
+    head = np.flatnonzero(~more)
+    if not len(head):
+        return Template(w.text, kind, w.words, w.words)
+    words = np.add.reduceat(w.words * np.where(more, np.uint64(3), np.uint64(1)), head)
+    kind = np.where(kind == SIGN, NUMBER, kind)[head]
+    return Template(w.text[head], kind, np.where(kind == LITERAL, words, kind.astype(np.uint64)), words)
 
 
 def vocabulary(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -195,14 +213,27 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
-def window_hashes(t: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words and hashes of the windows that lie in one text and hold enough literals."""
-    found = grams(t.forms, size)
-    if not len(found):
-        return np.zeros(0, np.int64), found
+def window_size(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words in the windows of items of so many words, 0 for none, and literals that a window needs."""
+    size = np.where(n_words >= LEAST_WORDS, np.minimum(n_words, WINDOW), 0)
+    least = np.minimum(size, LITERALS)
+    for from_, to, own, literals in SHORTER:
+        inside = (n_words >= from_) & (n_words < to)
+        size, least = np.where(inside, own, size), np.where(inside, literals, least)
+    return size, least
+
+
+def window_hashes(t: Template, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each size: first words, hashes and literals of the windows that lie in one text and hold the fewest literals that
+    an item's window can have."""
     literal = np.concatenate([[0], np.cumsum(t.kind == LITERAL)])
-    good = np.flatnonzero((t.text[: len(found)] == t.text[size - 1 :]) & (literal[size:] - literal[:-size] >= min(LITERALS, size)))
-    return good, found[good]
+    for size in sizes:
+        found = grams(t.forms, size)
+        if len(found):
+            held = literal[size:] - literal[:-size]
+            fewest = min([LITERALS, size, *(x[3] for x in SHORTER if x[2] == size)])
+            good = np.flatnonzero((t.text[: len(found)] == t.text[size - 1 :]) & (held >= fewest))
+            yield size, good, found[good], held[good]
 
 
 def _slots(t: Template, at: int, size: int) -> list[int]:
@@ -210,7 +241,7 @@ def _slots(t: Template, at: int, size: int) -> list[int]:
     return t.words[at : at + size][t.kind[at : at + size] != LITERAL].view(np.int64).tolist()
 
 
-_WINDOWS = [("family", pa.int32()), ("at", pa.int32()), ("size", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.int64()))]
+_WINDOWS = [("family", pa.int32()), ("at", pa.int32()), ("size", pa.int32()), ("h", pa.int64()), ("n_words", pa.int32()), ("slots", pa.list_(pa.int64()))]
 
 
 def _batch(key: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -218,10 +249,9 @@ def _batch(key: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def template_windows(rows: DataFrame, key: str, sizes: list[int] | None, names: tuple[np.ndarray, np.ndarray], wanted: np.ndarray | None = None) -> DataFrame:
-    """key, family, at, size, h, slots: the windows of every whole text, of PLAIN words and of TYPED ones by the vocabulary `names`.
+    """key, family, at, size, h, n_words, slots: the windows of every whole text, of PLAIN words and of TYPED ones by the vocabulary `names`.
 
-    `sizes` None: of WINDOW words, or of all words where a text has fewer but at least LEAST_WORDS, which is how items are
-    cut. Else of each of these sizes, which is how documents are. With `wanted`, only windows with one of these hashes.
+    `sizes` None: as window_size() says, which is how items are cut. Else of each of these sizes, which is how documents are. With `wanted`, only windows with one of these hashes.
     """
     sieve = None
     if wanted is not None:
@@ -240,27 +270,30 @@ def template_windows(rows: DataFrame, key: str, sizes: list[int] | None, names:
                 for family, t in ((PLAIN, plain(w)), (TYPED, typed(w, *known))):
                     firsts = np.searchsorted(t.text, np.arange(len(bounds)))
                     counts = np.diff(firsts)
-                    for size in sizes or sorted({int(min(c, WINDOW)) for c in np.unique(counts) if c >= LEAST_WORDS}):
-                        at, found = window_hashes(t, size)
-                        keep = np.ones(len(at), bool) if sizes else np.minimum(counts[t.text[at]], WINDOW) == size
+                    wants, least = window_size(counts)
+                    for size, at, found, literals in window_hashes(t, sizes or sorted({int(x) for x in np.unique(wants) if x})):
+                        keep = np.ones(len(at), bool) if sizes else (wants[t.text[at]] == size) & (literals >= least[t.text[at]])
                         if few is not None:
                             keep &= few[found >> np.uint64(44)]
                             keep[keep] = np.isin(found[keep], exact)
                         for i in np.flatnonzero(keep):
                             own = t.text[at[i]]
-                            out.append((int(keys[from_ + own]), family, int(at[i] - firsts[own]), size, int(found[i].view(np.int64)), _slots(t, at[i], size)))
+                            out.append((int(keys[from_ + own]), family, int(at[i] - firsts[own]), size, int(found[i].view(np.int64)), int(counts[own]), _slots(t, at[i], size)))
                         if len(out) >= OUT_ROWS:
                             yield _batch(key, out)
                             out = []
         if out:
             yield _batch(key, out)
 
-    return rows.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, "text").mapInArrow(run, f"{key} long, family int, at int, size int, h long, slots array<long>")
+    return rows.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, "text").mapInArrow(run, f"{key} long, family int, at int, size int, h long, n_words int, slots array<long>")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, most: int = FILTER_WINDOWS) -> DataFrame:
-    """doc_id, item_id, n_found, n_windows: documents that hold at least `share` of an item's windows at one offset.
+    """doc_id, item_id, n_found, n_windows: documents that hold at least `share` of an item's windows in one place.
 
+    Windows are counted by their place in the item, wherever they begin in a stretch of the document of up to twice the item's
+    length; so words may be put in, dropped or replaced as long as half of the windows are left. Of an item of 11 words or more
+    any one word may be another; of a shorter one it may break every window, and then only other slots are found.
     Both texts are taken whole. Null ids or texts and items of under LEAST_WORDS words match nothing; repeated rows of a
     document or an item give one row; columns other than ids and texts are ignored. Up to `most` benchmark windows are
     sent to the tasks as a filter, so that only hits leave them; a larger benchmark is joined by a shuffle of all windows.
@@ -275,13 +308,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, most: in
     held = template_windows(docs, "doc_id", sizes, names, wanted).select("doc_id", "family", F.col("at").alias("_at"), "size", "h", F.col("slots").alias("_there"))
     counts = cut.groupBy("item_id", "family").agg(F.count_distinct("at").alias("n_windows"))
     pairs = F.zip_with("slots", "_there", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    runs = (
+    reach = (F.col("n_words") + WINDOW).cast("long")  # a copy with a few words more lies in one of two places, each twice as long
+    place = F.floor(F.col("_at") / reach)
+    places = (
         held.join(cut, ["h", "size", "family"])
-        .groupBy("doc_id", "item_id", "family", (F.col("_at") - F.col("at")).alias("_offset"))
+        .withColumn("_place", F.explode(F.array(place - 1, place)))
+        .groupBy("doc_id", "item_id", "family", "_place")
         .agg(F.count_distinct("at").alias("n_found"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("_map"))
     )
     one_to_one = (F.size(F.array_distinct(F.transform("_map", lambda x: x["a"]))) == F.size("_map")) & (F.size(F.array_distinct(F.transform("_map", lambda x: x["b"]))) == F.size("_map"))
-    sure = runs.join(counts, ["item_id", "family"]).where(one_to_one & (F.col("n_found") >= F.lit(share) * F.col("n_windows")))
+    sure = places.join(counts, ["item_id", "family"]).where(one_to_one & (F.col("n_found") >= F.lit(share) * F.col("n_windows")))
     best = F.max(F.struct((F.col("n_found") / F.col("n_windows")).alias("_part"), F.col("n_found").cast("long").alias("n_found"), F.col("n_windows").cast("long").alias("n_windows"))).alias("_best")
     return sure.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "_best.n_found", "_best.n_windows")
 

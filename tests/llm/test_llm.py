@@ -128,6 +128,15 @@ def test_leaks_with_names_in_any_case_and_place(spark):
     assert leaky(spark, "Anna has 3 apples. Anna buys 5 more.", ["Boris has 4 apples. Boris buys 7 more.", "so Boris has 4 apples\nBoris buys 7 more", "Boris has 4 pears. Boris sells 7 more."]) == [0, 1]
 
 
+def test_leaks_with_words_put_in_dropped_or_replaced(spark):
+    words = [f"w{chr(97 + i)}" for i in range(26)]
+    for n in (11, 13, 14, 15, 18, 22, 23, 26):
+        own, half = words[:n], n // 2
+        assert leaky(spark, " ".join(own), [" ".join(x) for x in (own[:half] + ["new"] + own[half:], own[:half] + own[half + 1 :], own[:half] + ["new"] + own[half + 1 :], own[: half - 1], words[::-1])]) == [0, 1, 2], n
+    item = "yesterday the baker saw Ann buy 5 loaves of bread and then the miller gave Ann back some 7 coins of gold"
+    assert leaky(spark, item, [item.replace("Ann", "Mary Jane").replace("5", "$5").replace("7", "7%"), item.replace("Ann", "Mary, Jane").replace("bread", "cake").replace("gold", "tin").replace("baker", "boy")]) == [0]
+
+
 def test_mix_is_near_its_targets(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = mixing.mix_digest(docs.union(docs.limit(3)).repartition(7))

@@ -24,8 +24,10 @@ WINDOW, LITERALS = 8, 4
 #: From so many words of an item to below the next number, windows have the words and literals given, so that half of them are
 #: left when a word in the middle is another one.
 SHORTER = ((11, 14, 4, 3), (14, 23, 5, 3))
-#: Words that an item needs to be looked for, and share of its windows that a document must hold in one place.
+#: Words that an item needs to be looked for by templates (one of fewer is looked for as it stands), and share of its windows that a document must hold in one place.
 LEAST_WORDS, SHARE = 5, 0.5
+#: Windows of so many words at most are whole items, so that a document needs each but once.
+SINGLE = min(LEAST_WORDS, *(x[2] for x in SHORTER)) - 1
 #: Benchmark windows that are sent to all tasks as a filter; a larger benchmark is joined by a shuffle instead.
 FILTER_WINDOWS = 1 << 20
 
@@ -213,9 +215,9 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
-def window_size(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def window_size(n_words: np.ndarray, family: int) -> tuple[np.ndarray, np.ndarray]:
     """Words in the windows of items of so many words, 0 for none, and literals that a window needs."""
-    size = np.where(n_words >= LEAST_WORDS, np.minimum(n_words, WINDOW), 0)
+    size = np.where(n_words >= (1 if family == PLAIN else LEAST_WORDS), np.minimum(n_words, WINDOW), 0)
     least = np.minimum(size, LITERALS)
     for from_, to, own, literals in SHORTER:
         inside = (n_words >= from_) & (n_words < to)
@@ -248,10 +250,11 @@ def _batch(key: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *(t for _, t in _WINDOWS)), strict=True)], names=[key, *(n for n, _ in _WINDOWS)])
 
 
-def template_windows(rows: DataFrame, key: str, sizes: list[int] | None, names: tuple[np.ndarray, np.ndarray], wanted: np.ndarray | None = None) -> DataFrame:
+def template_windows(rows: DataFrame, key: str, sizes: list[list[int]] | None, names: tuple[np.ndarray, np.ndarray], wanted: np.ndarray | None = None) -> DataFrame:
     """key, family, at, size, h, n_words, slots: the windows of every whole text, of PLAIN words and of TYPED ones by the vocabulary `names`.
 
-    `sizes` None: as window_size() says, which is how items are cut. Else of each of these sizes, which is how documents are. With `wanted`, only windows with one of these hashes.
+    `sizes` None: as window_size() says, which is how items are cut. Else of each of these sizes of the two
+    families, which is how documents are. With `wanted`, only windows with one of these hashes.
     """
     sieve = None
     if wanted is not None:
@@ -270,12 +273,18 @@ def template_windows(rows: DataFrame, key: str, sizes: list[int] | None, names:
                 for family, t in ((PLAIN, plain(w)), (TYPED, typed(w, *known))):
                     firsts = np.searchsorted(t.text, np.arange(len(bounds)))
                     counts = np.diff(firsts)
-                    wants, least = window_size(counts)
-                    for size, at, found, literals in window_hashes(t, sizes or sorted({int(x) for x in np.unique(wants) if x})):
+                    wants, least = window_size(counts, family)
+                    for size, at, found, literals in window_hashes(t, sizes[family] if sizes else sorted({int(x) for x in np.unique(wants) if x})):
                         keep = np.ones(len(at), bool) if sizes else (wants[t.text[at]] == size) & (literals >= least[t.text[at]])
                         if few is not None:
                             keep &= few[found >> np.uint64(44)]
                             keep[keep] = np.isin(found[keep], exact)
+                        if sizes and size <= SINGLE:
+                            once = np.flatnonzero(keep)
+                            once = once[np.lexsort((once, found[once], t.text[at[once]]))]
+                            again = np.zeros(len(once), bool)
+                            again[1:] = (found[once][1:] == found[once][:-1]) & (t.text[at[once]][1:] == t.text[at[once]][:-1])
+                            keep[once[again]] = False
                         for i in np.flatnonzero(keep):
                             own = t.text[at[i]]
                             out.append((int(keys[from_ + own]), family, int(at[i] - firsts[own]), size, int(found[i].view(np.int64)), int(counts[own]), _slots(t, at[i], size)))
@@ -294,14 +303,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, most: in
     Windows are counted by their place in the item, wherever they begin in a stretch of the document of up to twice the item's
     length; so words may be put in, dropped or replaced as long as half of the windows are left. Of an item of 11 words or more
     any one word may be another; of a shorter one it may break every window, and then only other slots are found.
-    Both texts are taken whole. Null ids or texts and items of under LEAST_WORDS words match nothing; repeated rows of a
+    Both texts are taken whole. An item of under LEAST_WORDS words is
+    found where its words stand in a row, in any case, even if it is but one common word; numbers, names or units may be all that
+    an item has. Null ids or texts and items without words match nothing, and a run of letters without blanks is one word; repeated rows of a
     document or an item give one row; columns other than ids and texts are ignored. Up to `most` benchmark windows are
     sent to the tasks as a filter, so that only hits leave them; a larger benchmark is joined by a shuffle of all windows.
     """
     names = vocabulary(items)
     cut = template_windows(items, "item_id", None, names).distinct()
-    sizes = sorted(r["size"] for r in cut.select("size").distinct().collect())  # at most WINDOW of them
-    if not sizes:
+    met = sorted((r["family"], r["size"]) for r in cut.select("family", "size").distinct().collect())  # at most WINDOW a family
+    sizes = [[size for own, size in met if own == family] for family in (PLAIN, TYPED)]
+    if not met:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_found long, n_windows long")
     hashes = cut.select("h").distinct().limit(most + 1).collect()
     wanted = np.array([r["h"] for r in hashes], np.int64).view(np.uint64) if len(hashes) <= most else None

@@ -137,6 +137,11 @@ def test_leaks_with_words_put_in_dropped_or_replaced(spark):
     assert leaky(spark, item, [item.replace("Ann", "Mary Jane").replace("5", "$5").replace("7", "7%"), item.replace("Ann", "Mary, Jane").replace("bread", "cake").replace("gold", "tin").replace("baker", "boy")]) == [0]
 
 
+def test_leaks_of_few_or_no_ordinary_words(spark):
+    for item in ("12 + 7 = 19 and 30 - 4 = 26 and 8 / 2 = 4", "Ann Lee, Bob Ray, Cy Fox, Di Orr, Ed Poe", "5 km 3.50 kg 7% 12 h 9 m", "3 + 4", "Quito", "who was it"):
+        assert leaky(spark, item, [f"So, it says: {item}, and {item}! The end", item.upper(), "The end it was 11 + 3 who"]) == [0, 1], item
+
+
 def test_mix_is_near_its_targets(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = mixing.mix_digest(docs.union(docs.limit(3)).repartition(7))

@@ -2,7 +2,7 @@
 
 Words are canonicalised to templates: numbers, names and units become typed placeholders, everything else is lower-cased.
 Windows of template words are hash-joined with those of the benchmark; the windows of an item that a document holds in
-one place are counted, and the slots of their placeholders must map one to one from item to document. So a question is
+one place are counted as far as they agree on what the slots of their placeholders became. So a question is
 caught also with other numbers, names or units. A second family of windows has the plain lower-cased words, so that a passage
 is caught as it stands in any case. Either family is enough.
 """
@@ -239,8 +239,39 @@ def window_hashes(t: Template, sizes: list[int]) -> Iterator[tuple[int, np.ndarr
 
 
 def _slots(t: Template, at: int, size: int) -> list[int]:
-    """Hashes of what stands in the placeholders of a window, in order."""
-    return t.words[at : at + size][t.kind[at : at + size] != LITERAL].view(np.int64).tolist()
+    """Hashes of what stands in the placeholders of a window, 0 for its other words; none where it has no placeholders."""
+    held = np.where(t.kind[at : at + size] != LITERAL, t.words[at : at + size], np.uint64(0)).view(np.int64).tolist()
+    return held if any(held) else []
+
+
+def agreeing(hits: list[dict]) -> int:
+    """How many windows of an item agree on what its slots became, at most, of hits `at` in the item, `there` in the document, with
+    the slots of both (`mine`, `theirs`).
+
+    Of each window the hit that lies nearest to an offset is taken, and each offset that occurs is tried. A value of the item
+    became that which most of its places have in the document; of several that as many places have, its own value, or else
+    none, and no window with it agrees. Several values may become the same.
+    """
+    by_window: dict[int, list[dict]] = {}
+    for hit in hits:
+        by_window.setdefault(hit["at"], []).append(hit)
+    most = 0
+    for offset in sorted({hit["there"] - hit["at"] for hit in hits}):
+        near = [min(own, key=lambda x: (abs(x["there"] - x["at"] - offset), x["there"])) for own in by_window.values()]
+        places: dict[int, dict[int, set[int]]] = {}
+        for hit in near:
+            for i, (a, b) in enumerate(zip(hit["mine"], hit["theirs"], strict=True)):
+                if a:
+                    places.setdefault(a, {}).setdefault(b, set()).add(hit["at"] + i)
+        became = {}
+        for a, held in places.items():
+            top = max(map(len, held.values()))
+            tied = [b for b, own in held.items() if len(own) == top]
+            became[a] = tied[0] if len(tied) == 1 else a if a in tied else None
+        most = max(most, sum(all(became[a] == b for a, b in zip(hit["mine"], hit["theirs"], strict=True) if a) for hit in near))
+        if most == len(by_window):
+            break
+    return most
 
 
 _WINDOWS = [("family", pa.int32()), ("at", pa.int32()), ("size", pa.int32()), ("h", pa.int64()), ("n_words", pa.int32()), ("slots", pa.list_(pa.int64()))]
@@ -319,17 +350,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, most: in
     wanted = np.array([r["h"] for r in hashes], np.int64).view(np.uint64) if len(hashes) <= most else None
     held = template_windows(docs, "doc_id", sizes, names, wanted).select("doc_id", "family", F.col("at").alias("_at"), "size", "h", F.col("slots").alias("_there"))
     counts = cut.groupBy("item_id", "family").agg(F.count_distinct("at").alias("n_windows"))
-    pairs = F.zip_with("slots", "_there", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     reach = (F.col("n_words") + WINDOW).cast("long")  # a copy with a few words more lies in one of two places, each twice as long
     place = F.floor(F.col("_at") / reach)
+    hit = F.struct("at", F.col("_at").alias("there"), F.col("slots").alias("mine"), F.col("_there").alias("theirs"))
     places = (
         held.join(cut, ["h", "size", "family"])
         .withColumn("_place", F.explode(F.array(place - 1, place)))
         .groupBy("doc_id", "item_id", "family", "_place")
-        .agg(F.count_distinct("at").alias("n_found"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("_map"))
+        .agg(F.count_distinct("at").alias("n_found"), F.collect_list(F.when(F.col("family") == TYPED, hit)).alias("_hits"))
     )
-    one_to_one = (F.size(F.array_distinct(F.transform("_map", lambda x: x["a"]))) == F.size("_map")) & (F.size(F.array_distinct(F.transform("_map", lambda x: x["b"]))) == F.size("_map"))
-    sure = places.join(counts, ["item_id", "family"]).where(one_to_one & (F.col("n_found") >= F.lit(share) * F.col("n_windows")))
+    enough = F.col("n_found") >= F.lit(share) * F.col("n_windows")
+    several = places.join(counts, ["item_id", "family"]).where(enough).select("doc_id", "item_id", "family", "n_windows", "n_found", "_hits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [agreeing(h.as_py()) if f.as_py() == TYPED else n.as_py() for f, n, h in zip(batch.column(2), batch.column(4), batch.column(5), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), pa.array(held, pa.int64())], names=["doc_id", "item_id", "n_windows", "n_found"])
+
+    sure = several.mapInArrow(run, "doc_id long, item_id long, n_windows long, n_found long").where(enough)
     best = F.max(F.struct((F.col("n_found") / F.col("n_windows")).alias("_part"), F.col("n_found").cast("long").alias("n_found"), F.col("n_windows").cast("long").alias("n_windows"))).alias("_best")
     return sure.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "_best.n_found", "_best.n_windows")
 

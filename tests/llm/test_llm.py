@@ -142,6 +142,15 @@ def test_leaks_of_few_or_no_ordinary_words(spark):
         assert leaky(spark, item, [f"So, it says: {item}, and {item}! The end", item.upper(), "The end it was 11 + 3 who"]) == [0, 1], item
 
 
+def test_leaks_with_slots_that_disagree(spark):
+    item = "yesterday the boy put 3 red balls and then 4 blue balls into some old box while his little sister Ann looked on and counted up to 9 then after the dinner she took out 3 balls again and gave Ann 9 of those that were left over from last week"
+    same = item.replace("3 red", "5 red").replace("4 blue", "5 blue").replace("out 3", "out 5").replace("Ann", "Eve")
+    once = item.replace("3 red", "7 red").replace("out 3", "out 8").replace("Ann", "Eve").replace("9", "6").replace("4", "2")
+    two = " ".join(item.replace("3", a).replace("9", b).replace("4", c).replace("Ann", d) for a, b, c, d in (("11", "12", "13", "Eve"), ("21", "22", "23", "Zoe")))
+    apart = item.replace("3 red", "7 red").replace("out 3", "out 8").replace("Ann looked", "Eve looked").replace("gave Ann", "gave Zoe").replace("to 9", "to 61").replace("Eve 9", "62").replace("Zoe 9", "Zoe 62")
+    assert leaky(spark, item, [same, once, two, apart]) == [0, 1, 2]
+
+
 def test_mix_is_near_its_targets(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = mixing.mix_digest(docs.union(docs.limit(3)).repartition(7))

@@ -177,8 +177,12 @@ def language_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """`docs` without the rows whose text is null or has no letter, which is all that identification rejects."""
+    """`docs` without the rows whose text is null or has no letter, which is all that identification rejects. That holds too
+    where there is no model because no row has a language to learn from."""
     plain = docs.select("doc_id", "text", "lang")
+    model = train(plain)
+    if model is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     columns = docs.columns
-    told = identify(docs, train(plain), tuple(columns), ("_lang_pred", "_lang_score"))
+    told = identify(docs, model, tuple(columns), ("_lang_pred", "_lang_score"))
     return told.where(F.col("_lang_pred") != "und").select(*columns)

@@ -93,6 +93,13 @@ def test_language_held_out_accuracy(spark):
     assert right > 0.95 and got.where("score < 0 or score > 1").isEmpty()
 
 
+def test_rows_stay_without_a_language_to_learn_from(spark):
+    docs = docs_of(spark, AWKWARD).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r["doc_id"] or 0 for r in language.keep_identified(docs).collect()) == [0, 3, 4, 5, 5, 8]
+    held = docs_of(spark, AWKWARD).where(language.held_out(F.col("doc_id")))
+    assert language.train(held) is None and language.keep_identified(held).count() == held.where(r"text rlike '\\p{L}'").count() > 0
+
+
 def test_leaks_match_brute_force(spark):
     docs, items = (duckdb.sql(f"select * from '{DATA}/{t}.parquet'").fetchall() for t in ("documents", "benchmark"))
     exact = {(d[0], i[0]) for d in docs for i in items if i[1] in d[1]}

@@ -6,6 +6,7 @@ batch costs a few numpy passes over its bytes instead of a Python step for each
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,9 +22,14 @@ SLICE_BYTES = 1 << 20
 #: Rows that a Python task hands back to Spark at a time.
 OUT_ROWS = 1 << 16
 
+#: Two primes below 2**31 and a base of large order for each: a word's hash is its polynomial modulo both, so that no
+#: pattern of letters makes unlike words equal, as patterns do modulo a power of two.
+PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1664525)
+#: Bytes from which a word is hashed by itself: up to here the sum of its terms stays below 2**64.
+LONG_WORD = 1 << 24
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0x100000001B3
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,15 +65,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-    if len(_powers.get("up", ())) < n:
+def _power_tables(prime: int, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base modulo a prime, and of its inverse."""
+    if prime not in _powers or len(_powers[prime][0]) < n:
         size = max(n, SLICE_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"], _powers["down"]
+        made = []
+        for step in (base, pow(base, -1, prime)):
+            out = np.ones(size, np.uint64)
+            done = 1
+            while done < size:  # the next powers are those so far times the one after them
+                more = min(done, size - done)
+                out[done : done + more] = out[:more] * np.uint64(pow(step, done, prime)) % np.uint64(prime)
+                done += more
+            made.append(out)
+        _powers[prime] = (made[0], made[1])
+    return _powers[prime]
 
 
 def blank_table(lower: bool) -> np.ndarray:
@@ -111,11 +123,17 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 
 def span_hashes(value: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of symbols, by prefix sums of a polynomial."""
-    up, down = _power_tables(len(value))
-    total = np.zeros(len(value) + 1, np.uint64)
-    np.cumsum(value * up[: len(value)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    """64-bit hash of each span of symbols (below 2**9), by prefix sums of two polynomials modulo primes."""
+    parts = []
+    for prime, base in zip(PRIMES, BASES, strict=True):
+        up, down = _power_tables(prime, base, len(value) + 1)
+        total = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(value * up[: len(value)], out=total[1:])
+        parts.append((total[ends] - total[starts]) % np.uint64(prime) * down[starts] % np.uint64(prime))
+    out = mix((parts[0] << np.uint64(32) | parts[1]) + (ends - starts).astype(np.uint64) * _ODD)
+    for i in np.flatnonzero(ends - starts >= LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(value[starts[i] : ends[i]].astype(np.uint16).tobytes(), digest_size=8).digest())
+    return out
 
 
 def scan(data: np.ndarray, bounds: np.ndarray, symbols: np.ndarray) -> Scan:

@@ -27,19 +27,20 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2)
     the smallest doc_id that holds it. Keys are compared by 128 bits of hash.
 
     A null or empty text is one empty line. Rows with a null doc_id are left whole and count for no key. Rows that share
-    a doc_id are one document for the counts, and each keeps its row. Other columns pass through; columns of `docs` named
-    like the three added ones are replaced.
+    a doc_id are one document for the counts, but each loses only lines of its own text, by a hash of which they are told
+    apart; rows alike in both get the same result. Other columns pass through; columns of `docs` named like the three added
+    ones are replaced. An empty table gives an empty one.
 
     Only hashes, ids and positions are shuffled for the counts; a hash has one row per task before its shuffle, however
     many lines carry it. The repeated hashes are checkpointed, so that the join that leads back to the lines has a shuffle on
-    either side, which adaptive execution can split at hot hashes. The texts are shuffled once, by doc_id, to meet the positions of their dropped lines.
+    either side, which adaptive execution can split at hot hashes. The texts are shuffled once, by doc_id and text, to meet the positions of their dropped lines.
     """
     line = F.col("_line")
     keyed = (
         docs.where(F.col("doc_id").isNotNull())
-        .select("doc_id", F.posexplode(F.transform(_lines(F.col("text")), line_key)).alias("_pos", "_line"))
+        .select("doc_id", F.xxhash64("text").alias("_text"), F.posexplode(F.transform(_lines(F.col("text")), line_key)).alias("_pos", "_line"))
         .where(F.char_length(line) >= min_chars)
-        .select("doc_id", "_pos", F.xxhash64(line).alias("_h1"), F.xxhash64(F.lit("line"), line).alias("_h2"))
+        .select("doc_id", "_text", "_pos", F.xxhash64(line).alias("_h1"), F.xxhash64(F.lit("line"), line).alias("_h2"))
     )
     if min_docs == 2:
         spread = keyed.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last")
@@ -48,14 +49,15 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2)
     gone = (
         keyed.join(settle(spread.select("_h1", "_h2", "_first")), ["_h1", "_h2"])
         .where(F.col("doc_id") > F.col("_first"))
-        .groupBy("doc_id")
+        .groupBy("doc_id", "_text")
         .agg(F.collect_set("_pos").alias("_gone"))
     )
     whole = docs.drop("kept_text", "n_lines", "n_dropped")
     parts = _lines(F.col("text"))
     places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     kept = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(places, lambda i: F.get(F.col("_all"), i)), "\n"))
-    joined = whole.join(gone, "doc_id", "left").withColumn("_all", parts)
+    told = gone.select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_own"), "_gone")
+    joined = whole.join(told, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_own")), "left").withColumn("_all", parts)
     return joined.select(*whole.columns, kept.alias("kept_text"), F.size("_all").cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 

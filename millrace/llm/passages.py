@@ -92,16 +92,22 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
     return each.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("_n") > HOT, F.col("anchor"))).alias("hot"))
 
 
+def versions(docs: DataFrame) -> DataFrame:
+    """_id: the doc_ids that have several texts. Their rows are told apart by a hash of the text, `own`, which is 0 for all others."""
+    text = F.xxhash64("text")
+    return docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min(text).alias("_lo"), F.max(text).alias("_hi")).where("_lo <> _hi").select("_id")
+
+
 def segments(joined: DataFrame) -> DataFrame:
-    """key, single, passage, doc_id, start, more_ids, more_starts: the distinct segments of a batch of (doc_id, text, anchors, hot),
-    by anchor, each with its smallest document and, if it is found more than once, the others; the windows of hot anchors
-    one by one, by their own hash."""
+    """key, single, passage, doc_id, own, start, more_ids, more_owns, more_starts: the distinct segments of a batch of (doc_id,
+    text, anchors, hot, own), by anchor, each with its smallest document and, if it is found more than once, the others; the
+    windows of hot anchors one by one, by their own hash."""
     table = blank_table(lower=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sets, hots = batch.column(0), batch.column(2), batch.column(3)
-            rows: dict[tuple[int, bool, bytes], tuple[list[int], list[int]]] = {}
+            rows: dict[tuple[int, bool, bytes], tuple[list[int], list[int], list[int]]] = {}
             column = texts_of(batch.column(1))
             for from_, to, data, bounds in slices(column):
                 found = scan(data, bounds, table)
@@ -118,7 +124,7 @@ def segments(joined: DataFrame) -> DataFrame:
                     if not len(at):
                         continue
                     words = data[bounds[i] : bounds[i + 1]].tobytes().split()
-                    doc, base = keys[from_ + i].as_py(), found.first[i]
+                    doc, own_text, base = keys[from_ + i].as_py(), batch.column(4)[from_ + i].as_py(), found.first[i]
                     for j in at.tolist():
                         a, b = int(first[j]), int(last[j])
                         if hot[j - edge[i]]:
@@ -126,8 +132,9 @@ def segments(joined: DataFrame) -> DataFrame:
                         else:
                             parts = [(int(anchor[j].view(np.int64)), False, a, b)]
                         for key, single, x, y in parts:
-                            ids, starts = rows.setdefault((key, single, b" ".join(words[x - base : y - base + WINDOW])), ([], []))
+                            ids, owns, starts = rows.setdefault((key, single, b" ".join(words[x - base : y - base + WINDOW])), ([], [], []))
                             ids.append(doc)
+                            owns.append(own_text)
                             starts.append(int(x - base))
                 if len(rows) >= OUT_ROWS:
                     yield _segment_batch(rows)
@@ -135,16 +142,18 @@ def segments(joined: DataFrame) -> DataFrame:
             if rows:
                 yield _segment_batch(rows)
 
-    return joined.select("doc_id", "text", "anchors", "hot").mapInArrow(run, "key long, single boolean, passage binary, doc_id long, start int, more_ids array<long>, more_starts array<int>")
+    return joined.select("doc_id", "text", "anchors", "hot", "own").mapInArrow(run, "key long, single boolean, passage binary, doc_id long, own long, start int, more_ids array<long>, more_owns array<long>, more_starts array<int>")
 
 
 def _segment_batch(rows: dict) -> pa.RecordBatch:
     key, single, passage = zip(*rows, strict=True)
-    places = [sorted(zip(ids, starts, strict=True)) for ids, starts in rows.values()]
-    more_ids = [[d for d, _ in p[1:]] if len(p) > 1 else None for p in places]
-    more_starts = [[s for _, s in p[1:]] if len(p) > 1 else None for p in places]
-    columns = [pa.array(key, pa.int64()), pa.array(single), pa.array(passage, pa.binary()), pa.array([p[0][0] for p in places], pa.int64()), pa.array([p[0][1] for p in places], pa.int32()), pa.array(more_ids, pa.list_(pa.int64())), pa.array(more_starts, pa.list_(pa.int32()))]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "single", "passage", "doc_id", "start", "more_ids", "more_starts"])
+    places = [sorted(zip(*lists, strict=True)) for lists in rows.values()]
+    more = [[[x[j] for x in p[1:]] if len(p) > 1 else None for p in places] for j in range(3)]
+    more[1] = [owns if owns and any(owns) else None for owns in more[1]]
+    columns = [pa.array(key, pa.int64()), pa.array(single), pa.array(passage, pa.binary())]
+    columns += [pa.array([p[0][j] for p in places], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+    columns += [pa.array(more[j], pa.list_(t)) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "single", "passage", "doc_id", "own", "start", "more_ids", "more_owns", "more_starts"])
 
 
 class Shard:
@@ -153,11 +162,11 @@ class Shard:
     def __init__(self) -> None:
         self.numbers: dict[bytes, int] = {}
         self.words: list[tuple[int, ...]] = []
-        self.places: list[list[tuple[list[int], list[int]]]] = []
+        self.places: list[list[tuple[list[int], list[int], list[int]]]] = []
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
 
-    def add(self, group: dict[bytes, list[tuple[list[int], list[int]]]]) -> None:
-        """All segments of an anchor, with the documents, ascending, and first words of each."""
+    def add(self, group: dict[bytes, list[tuple[list[int], list[int], list[int]]]]) -> None:
+        """All segments of an anchor, with the documents, ascending, their versions, and first words of each."""
         if len(group) == 1:  # one text around this anchor: all of it recurs, or nothing
             ((passage, places),) = group.items()
             lo, hi = min(p[0][0] for p in places), max(p[0][-1] for p in places)
@@ -190,43 +199,43 @@ class Shard:
                 self.words.append(words)
                 self.places.append(places)
 
-    def locate(self) -> Iterator[tuple[int, int, int]]:
-        """doc_id, first word, word after the last, of every occurrence in a document other than the passage's first."""
+    def locate(self) -> Iterator[tuple[int, int, int, int]]:
+        """doc_id, own, first word, word after the last, of every occurrence in a document other than the passage's first."""
         if not self.words:
             return
         self.automaton.make_automaton()
         for words, places in zip(self.words, self.places, strict=True):
             for end, (size, origin) in self.automaton.iter(words):
-                for ids, starts in places:
-                    for doc, start in zip(ids, starts, strict=True):
+                for ids, owns, starts in places:
+                    for doc, own, start in zip(ids, owns, starts, strict=True):
                         if doc > origin:
-                            yield doc, start + end - size + 1, start + end + 1
+                            yield doc, own, start + end - size + 1, start + end + 1
 
 
 def occurrences(parts: DataFrame) -> DataFrame:
-    """doc_id, from_word, to_word of the windows that start in an earlier document too. Takes what segments() gives."""
+    """doc_id, own, from_word, to_word of the windows that start in an earlier document too. Takes what segments() gives."""
 
-    def batch_of(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "from_word", "to_word"])
+    def batch_of(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "own", "from_word", "to_word"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, key, group, firsts, out = Shard(), 0, None, {}, {}, []
         for batch in batches:
-            for own, single, passage, doc_id, start, more_ids, more_starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, starts = ([doc_id, *more_ids], [start, *more_starts]) if more_ids else ([doc_id], [start])
-                if (own, single) != key:
+            for anchor, single, passage, doc_id, own, start, more_ids, more_owns, more_starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, owns, starts = ([doc_id, *more_ids], [own, *(more_owns or [0] * len(more_ids))], [start, *more_starts]) if more_ids else ([doc_id], [own], [start])
+                if (anchor, single) != key:
                     if group:
                         shard.add(group)
                         held += len(group)
-                    key, group, firsts = (own, single), {}, {}
+                    key, group, firsts = (anchor, single), {}, {}
                     if held >= SHARD:
                         out += shard.locate()
                         shard, held = Shard(), 0
                 if single:  # rows of a window come by their smallest document: the first has the first
                     origin = firsts.setdefault(passage, doc_id)
-                    out += [(doc, at, at + WINDOW) for doc, at in zip(ids, starts, strict=True) if doc > origin]
+                    out += [(doc, version, at, at + WINDOW) for doc, version, at in zip(ids, owns, starts, strict=True) if doc > origin]
                 else:
-                    group.setdefault(passage, []).append((ids, starts))
+                    group.setdefault(passage, []).append((ids, owns, starts))
                 if len(out) >= OUT_ROWS:
                     yield batch_of(out)
                     out = []
@@ -237,7 +246,7 @@ def occurrences(parts: DataFrame) -> DataFrame:
             yield batch_of(out)
 
     dealt = parts.repartition("key").sortWithinPartitions("key", "single", "doc_id")
-    return dealt.mapInArrow(run, "doc_id long, from_word int, to_word int")
+    return dealt.mapInArrow(run, "doc_id long, own long, from_word int, to_word int")
 
 
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
@@ -246,14 +255,19 @@ def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     Every word that lies in a window whose words also start in a document with a smaller doc_id is removed; windows are
     those of the input. Words are runs of other than space and \\t to \\r, taken as they stand. Kept words are joined by one
     space. A null or empty text has no words; a row with a null doc_id keeps all and takes nothing from others. Rows that
-    share a doc_id are one document: each loses the words at the places found in any of them. Columns other than doc_id
-    and text are ignored.
+    share a doc_id are of one document, so that they take nothing from each other, and each loses words at places of its own
+    text only. Rows alike get the same result; columns other than doc_id and text are ignored; an empty table gives an
+    empty one.
     """
     plain = docs.select("doc_id", "text")
+    several = versions(plain)
+    own = F.when(F.col("_id").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("text")).alias("own")
     anchors = shared_anchors(plain)
-    found = occurrences(segments(plain.join(anchors, "doc_id", "left")))
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("from_word", "to_word")).alias("_spans"))
-    told = plain.join(spans.select("doc_id", F.col("_spans.from_word").alias("_from"), F.col("_spans.to_word").alias("_to")), "doc_id", "left")
+    met = plain.join(anchors, "doc_id", "left").join(several, F.col("doc_id") == F.col("_id"), "left")
+    found = occurrences(segments(met.select("doc_id", "text", "anchors", "hot", own)))
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("from_word", "to_word", "own")).alias("_spans"))
+    spans = spans.select("doc_id", F.col("_spans.from_word").alias("_from"), F.col("_spans.to_word").alias("_to"), F.col("_spans.own").alias("_owns"))
+    told = plain.join(spans, "doc_id", "left").join(several, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "_from", "_to", "_owns", own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,8 +277,9 @@ def drop_repeated_passages(docs: DataFrame) -> DataFrame:
                 gone = 0
                 if batch.column(2)[i].is_valid:
                     steps = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(steps, np.minimum(batch.column(2)[i].values.to_numpy(), len(words)), 1)
-                    np.add.at(steps, np.minimum(batch.column(3)[i].values.to_numpy(), len(words)), -1)
+                    mine = batch.column(4)[i].values.to_numpy() == batch.column(5)[i].as_py()
+                    np.add.at(steps, batch.column(2)[i].values.to_numpy()[mine], 1)
+                    np.add.at(steps, batch.column(3)[i].values.to_numpy()[mine], -1)
                     stays = np.cumsum(steps)[:-1] == 0
                     gone = int(len(words) - stays.sum())
                     kept.append(b" ".join(words[j] for j in np.flatnonzero(stays)))
@@ -277,7 +292,7 @@ def drop_repeated_passages(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(from_, i + 1 - from_), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())], names=["doc_id", "kept_text", "n_words", "n_removed"])
                     kept, sizes, removed, weight, from_ = [], [], [], 0, i + 1
 
-    return told.select("doc_id", "text", "_from", "_to").mapInArrow(run, "doc_id long, kept_text string, n_words long, n_removed long")
+    return told.mapInArrow(run, "doc_id long, kept_text string, n_words long, n_removed long")
 
 
 def passage_digest(docs: DataFrame) -> DataFrame:
@@ -285,19 +300,19 @@ def passage_digest(docs: DataFrame) -> DataFrame:
     return drop_repeated_passages(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-def brute_force(texts: dict[int, str | None]) -> dict[int, tuple[int, int, str]]:
-    """n_words, n_removed, kept_sha256 by looking every window up, for tests."""
-    words = {d: (t or "").encode().split() for d, t in texts.items()}
+def brute_force(rows: list[tuple[int, str | None]]) -> list[tuple[int, int, int, str]]:
+    """doc_id, n_words, n_removed, kept_sha256 of each row by looking every window up, sorted, for tests."""
+    words = [(d, (t or "").encode().split()) for d, t in rows]
     first: dict[tuple, int] = {}
-    for d in sorted(words):
-        for i in range(len(words[d]) - WINDOW + 1):
-            first.setdefault(tuple(words[d][i : i + WINDOW]), d)
-    out = {}
-    for d, own in words.items():
+    for d, own in sorted(words, key=lambda x: x[0]):
+        for i in range(len(own) - WINDOW + 1):
+            first.setdefault(tuple(own[i : i + WINDOW]), d)
+    out = []
+    for d, own in words:
         stays = [True] * len(own)
         for i in range(len(own) - WINDOW + 1):
             if first[tuple(own[i : i + WINDOW])] < d:
                 stays[i : i + WINDOW] = [False] * WINDOW
         kept = [w for w, s in zip(own, stays, strict=True) if s]
-        out[d] = (len(own), len(own) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
-    return out
+        out.append((d, len(own), len(own) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    return sorted(out)

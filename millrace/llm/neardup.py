@@ -27,6 +27,10 @@ from .shared import OUT_ROWS, Scan, blank_table, grams, scan, settle, slices, te
 
 #: Words in a shingle, values in a sketch, and the share of a sketch that a partner must hold.
 SHINGLE, SKETCH, NEEDED = 4, 64, 0.4375
+#: Words in a shingle where documents are dropped.
+STAGE_SHINGLE = 5
+#: Tasks that the texts of one component are dealt to when they get its smallest document.
+SALTS = 16
 #: Similarity of a link, in percent, so that the test is one of integers.
 PERCENT = 80
 #: Parity bits of a full shingle set, a multiple of 64.
@@ -35,9 +39,9 @@ PARITY = 1024
 LEAST_ESTIMATE = 0.5
 
 
-def text_key(found: Scan, i: int) -> bytes:
-    """128 bits of the words of text i."""
-    return hashlib.blake2b(found.hashes[found.first[i] : found.first[i + 1]].tobytes(), digest_size=16).digest()
+def text_key(raw: bytes) -> bytes:
+    """128 bits of the words of a text in UTF-8, of the words themselves, so that texts of one key have one set."""
+    return hashlib.blake2b(b" ".join(raw.lower().split()), digest_size=16).digest()
 
 
 def shingle_hashes(found: Scan, i: int, words: int = SHINGLE) -> np.ndarray:
@@ -67,7 +71,7 @@ def sketches(docs: DataFrame, words: int = SHINGLE, k: int = SKETCH) -> DataFram
                         continue
                     own = shingle_hashes(found, i, words)
                     sizes.append(len(own))
-                    keys.append(text_key(found, i))
+                    keys.append(text_key(data[bounds[i] : bounds[i + 1]].tobytes()))
                     kept.append(own[:k].view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(from_, to - from_), *(pa.array(c, t) for c, t in zip((sizes, keys, kept), types[1:], strict=True))], names=["doc_id", "n_shingles", "text_key", "sketch"])
 
@@ -156,7 +160,7 @@ def promising(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return met.where(estimate("_sa", "_sb") >= LEAST_ESTIMATE).select("a", "b")
 
 
-def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, known: DataFrame, words: int = SHINGLE) -> DataFrame:
     """The pairs with 100 * intersection >= PERCENT * union, on the full sets of their texts."""
     text = known.select("node", "text")
     met = pairs.join(text.toDF("b", "_tb"), "b").join(text.toDF("a", "_ta"), "a")
@@ -170,8 +174,8 @@ def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
                 for i in range(batch.num_rows):
                     a = batch.column(0)[i].as_py()
                     if last[0] != a:  # pairs of a centre come together after the join
-                        last = (a, shingle_set(batch.column(2)[i].as_py()))
-                    other = shingle_set(batch.column(3)[i].as_py())
+                        last = (a, shingle_set(batch.column(2)[i].as_py(), words))
+                    other = shingle_set(batch.column(3)[i].as_py(), words)
                     both = len(last[1] & other)
                     if 100 * both >= PERCENT * (len(last[1]) + len(other) - both):
                         keep.append(i)
@@ -180,7 +184,7 @@ def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return met.select("a", "b", "_ta", "_tb").mapInArrow(run, "a long, b long")
 
 
-def with_texts(classes: DataFrame, docs: DataFrame) -> DataFrame:
+def with_texts(classes: DataFrame, docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """`classes` with the text of each, that of its smallest doc_id with the key of the class, and the parity bits of its set:
     bit i is set if an odd number of its shingles has a hash of i modulo PARITY."""
     own = docs.where("doc_id is not null").select("doc_id", F.col("text"))
@@ -193,9 +197,9 @@ def with_texts(classes: DataFrame, docs: DataFrame) -> DataFrame:
             for from_, to, data, bounds in slices(texts_of(batch.column(2))):
                 found = scan(data, bounds, table)
                 for i in range(to - from_):
-                    if text_key(found, i) == batch.column(1)[from_ + i].as_py():
+                    if text_key(data[bounds[i] : bounds[i + 1]].tobytes()) == batch.column(1)[from_ + i].as_py():
                         keep.append(from_ + i)
-                        own = shingle_hashes(found, i)
+                        own = shingle_hashes(found, i, words)
                         bits.append(np.packbits(np.bincount((own % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).view(np.int64))
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(bits, pa.list_(pa.int64()))], names=["node", "text", "parity"])
@@ -204,39 +208,41 @@ def with_texts(classes: DataFrame, docs: DataFrame) -> DataFrame:
     return classes.join(texts.select("node", "_t.text", "_t.parity"), "node")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id, kept.
 
-    Documents are linked when 100 * intersection >= 80 * union of their shingle sets; component_id is the smallest doc_id
-    reachable and kept says that it is the row's own. A text without words is linked with nothing. A row with a null doc_id
-    has no component and is kept. Repeated rows get the same result; where a doc_id has several texts, each of its rows
-    is judged by its own text. Columns other than doc_id and text are ignored; an empty table gives an empty one.
+    Documents are linked when 100 * intersection >= 80 * union of their sets of shingles of `words` words; component_id is
+    the smallest doc_id reachable and kept says that it is the row's own. A text without words is linked with nothing. A row
+    with a null doc_id has no component and is kept. Repeated rows get the same result; where a doc_id has several texts,
+    each of its rows is judged by its own text. Columns other than doc_id and text are ignored; an empty table gives an empty one.
 
     Links are found between different texts only, and in two rounds: stars around centres of the inverted lists first, then
-    all pairs of a list that stars have left in different components and whose parity bits allow a link. So a group of n near copies costs about n pairs, and
-    pairs that only a chain connects are still found.
+    all pairs of a list that stars have left in different components and whose parity bits allow a link. So a group of n near
+    copies costs about n pairs, and pairs that only a chain connects are still found.
     """
-    drawn = settle(sketches(docs))
+    drawn = settle(sketches(docs, words))
     full = drawn.where("doc_id is not null and text_key is not null")
     grouped = full.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = settle(grouped.withColumn("node", F.monotonically_increasing_id()))  # written at once, so the numbers stay
     lists = settle(candidate_lists(classes))
-    known = settle(with_texts(classes.join(lists.select("node").distinct(), "node", "left_semi"), docs))
-    links = settle(verified(settle(promising(star_pairs(lists), known)), known))
+    known = settle(with_texts(classes.join(lists.select("node").distinct(), "node", "left_semi"), docs, words))
+    links = settle(verified(settle(promising(star_pairs(lists), known)), known, words))
     labels = components(links).select(F.col("node").alias("_node"), "component")
     left = settle(unsettled(lists, labels))
-    more = settle(verified(settle(promising(crossing_pairs(left, known), known)), known))
+    more = settle(verified(settle(promising(crossing_pairs(left, known), known)), known, words))
     if not more.isEmpty():
         labels = components(links.union(more)).select(F.col("node").alias("_node"), "component")
-    named = classes.select("node", "text_key", "doc_id").join(labels, F.col("node") == F.col("_node"), "left").select("text_key", "doc_id", F.coalesce("component", "node").alias("_c"))
-    smallest = named.groupBy("_c").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(smallest, "_c").select(F.col("text_key").alias("_key"), "component_id")
+    named = classes.select("node", "text_key", "doc_id").join(labels, F.col("node") == F.col("_node"), "left").select("node", "text_key", "doc_id", "component")
+    alone = named.where("component is null").select(F.col("text_key").alias("_key"), F.col("doc_id").alias("component_id"))
+    linked = named.where("component is not null").withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    smallest = linked.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    found = alone.union(linked.join(smallest, ["component", "_salt"]).select(F.col("text_key").alias("_key"), "component_id"))
     out = drawn.select("doc_id", "n_shingles", "text_key").join(found, F.col("text_key") == F.col("_key"), "left")
     group = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(group == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = STAGE_SHINGLE) -> DataFrame:
     """`docs` with one document of each group: the one with the smallest doc_id. Rows that share that id all stay."""
-    gone = near_duplicates(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs.select("doc_id", "text"), words).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

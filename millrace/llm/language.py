@@ -1,14 +1,17 @@
 """Language identification with a blended-spectrum string kernel.
 
-The kernel of two texts is the number of n-grams (n = 1..3, over letters) that both hold, presence only, divided by the
-root of the product of what each shares with itself. Nyström landmarks are texts of the training sample; one-versus-rest
-kernel ridge regression is solved on them, and texts are scored in batches by matrix products.
+The kernel of two texts is the number of n-grams (n = 1..3, over the letters of any script) that both hold, presence only,
+divided by the root of the product of what each shares with itself. N-grams are told apart by a hash of their code points, so
+no alphabet is left out. Nyström landmarks are texts of the training sample; one-versus-rest kernel ridge regression is
+solved on them, and texts are scored in batches by matrix products.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,50 +20,53 @@ from pyspark.sql import functions as F
 
 from .shared import OUT_ROWS
 
-#: Symbols that n-grams are made of: white space and others are 0, the commonest letters of the sample 1 up to 63.
-BITS, LONGEST = 6, 3
+#: Bits of an n-gram's hash, and letters of the longest n-gram.
+BITS, LONGEST = 18, 3
 #: Texts per language in the training sample, landmarks among them, and the ridge.
 SAMPLE, LANDMARKS, RIDGE = 256, 48, 1e-2
 #: Texts scored by one matrix product.
 BATCH = 256
 
+_STEP, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
+
 
 @dataclass
 class Model:
     """Everything that scoring needs; its size is bounded by the parameters above and the number of languages."""
 
     langs: list[str]
-    letters: str  # symbol i + 1 is letters[i]
     column: np.ndarray  # n-gram code to landmark column, -1 for none
     landmarks: np.ndarray  # columns x landmarks, presence
     sizes: np.ndarray  # n-grams of each landmark
     weights: np.ndarray  # landmarks x languages
 
 
-def _symbols(letters: str) -> np.ndarray:
-    """Code point to symbol."""
-    out = np.zeros(0x110000, np.uint8)
-    for i, c in enumerate(letters):
-        out[ord(c)] = i + 1
-        if len(c.upper()) == 1:
-            out[ord(c.upper())] = i + 1
+@cache
+def letters() -> np.ndarray:
+    """Code point to symbol: a letter or a mark on one is its small form, all else 0."""
+    out = np.zeros(0x110000, np.uint32)
+    for point in range(0x110000):
+        c = chr(point)
+        if unicodedata.category(c)[0] in "LM":
+            small = c.lower()
+            out[point] = ord(small) if len(small) == 1 else point
     return out
 
 
-def gram_codes(text: str, symbols: np.ndarray) -> np.ndarray:
-    """Distinct codes of the n-grams of the whole text; all that are not among the letters count as a gap."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = symbols[points].astype(np.int32)
-    if len(s) > 1:  # runs of gaps are one gap
+def gram_codes(text: str) -> np.ndarray:
+    """Distinct codes of the n-grams of the whole text; a run of other than letters is one gap."""
+    s = letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    if len(s) > 1:
         s = s[(s != 0) | np.concatenate([[True], s[:-1] != 0])]
-    s = np.concatenate([[0], s, [0]]).astype(np.int32)
-    seen = np.zeros(LONGEST << BITS * LONGEST, bool)
-    code = np.zeros(len(s), np.int32)
+    s = np.concatenate([[0], s, [0]]).astype(np.uint32)
+    seen = np.zeros(LONGEST << BITS, bool)
+    code = np.zeros(len(s), np.uint32)
     for n in range(1, LONGEST + 1):
-        code = (code[: len(s) - n + 1] << BITS) | s[n - 1 :]
-        if len(code):
-            seen[((n - 1) << BITS * LONGEST) + code] = True
-        code = code[:-1] if len(code) else code
+        if len(s) < n:
+            break
+        code = code[: len(s) - n + 1] * _STEP * _SPREAD + s[n - 1 :] + np.uint32(1)
+        mixed = (code ^ (code >> np.uint32(15))) * _SPREAD
+        seen[((n - 1) << BITS) + (mixed >> np.uint32(32 - BITS)).astype(np.int64)] = True
     return np.flatnonzero(seen)
 
 
@@ -82,20 +88,13 @@ def fit(samples: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     if not samples:
         return None
     langs = sorted({lang for lang, _ in samples})
-    counts: dict[str, int] = {}
-    for _, text in samples:
-        for c in text.lower():
-            if c.isalpha():
-                counts[c] = counts.get(c, 0) + 1
-    letters = "".join(sorted(sorted(counts), key=lambda c: -counts[c])[: (1 << BITS) - 1])
-    symbols = _symbols(letters)
-    codes = [gram_codes(text, symbols) for _, text in samples]
+    codes = [gram_codes(text) for _, text in samples]
     sizes = np.array([len(c) for c in codes], np.float64)
     chosen = []
     for lang in langs:  # the samples of a language come in a hashed order
         chosen += [i for i, (own, _) in enumerate(samples) if own == lang][:landmarks]
     used = np.unique(np.concatenate([codes[i] for i in chosen]))
-    column = np.full(LONGEST << BITS * LONGEST, -1, np.int32)
+    column = np.full(LONGEST << BITS, -1, np.int32)
     column[used] = np.arange(len(used))
     marks = _presence([codes[i] for i in chosen], column, len(used))
     own = _kernel(marks @ marks.T, sizes[chosen], sizes[chosen])
@@ -107,12 +106,12 @@ def fit(samples: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     share = np.array([1.0 / sum(own == lang for own, _ in samples) for lang, _ in samples])
     left = features.T @ (features * share[:, None]) + ridge * np.eye(features.shape[1]) / len(samples)
     weights = root @ np.linalg.solve(left, features.T @ (goal * share[:, None]))
-    return Model(langs, letters, column, np.ascontiguousarray(marks.T), sizes[chosen], weights)
+    return Model(langs, column, np.ascontiguousarray(marks.T), sizes[chosen], weights)
 
 
-def predict(model: Model, texts: list[str], symbols: np.ndarray) -> tuple[list[str], np.ndarray]:
+def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Languages and scores; the score is the winner's share after a logistic squash of the one-versus-rest values."""
-    codes = [gram_codes(t, symbols) for t in texts]
+    codes = [gram_codes(t) for t in texts]
     shared = _presence(codes, model.column, model.landmarks.shape[0]) @ model.landmarks
     values = _kernel(shared, np.array([len(c) for c in codes], np.float64), model.sizes) @ model.weights
     squashed = 1 / (1 + np.exp(-4 * values))
@@ -153,7 +152,6 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        symbols = _symbols(own.letters) if own else None
         for whole in batches:
             for from_ in range(0, whole.num_rows, OUT_ROWS):
                 batch = whole.slice(from_, OUT_ROWS)
@@ -161,7 +159,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
                 todo = [i for i in range(batch.num_rows) if own and batch.column(at)[i].as_py()]
                 for j in range(0, len(todo), BATCH):
                     rows = todo[j : j + BATCH]
-                    found, values = predict(own, [batch.column(at + 1)[i].as_py() for i in rows], symbols)
+                    found, values = predict(own, [batch.column(at + 1)[i].as_py() for i in rows])
                     for i, lang, value in zip(rows, found, values, strict=True):
                         langs[i], scores[i] = lang, value
                 yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(langs), pa.array(scores)], names=[*keep, *names])
@@ -171,7 +169,12 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
-    """Per row of `docs`: doc_id, held_out, lang_pred, score. Repeated rows and extra columns change nothing."""
+    """Per row of `docs`: doc_id, held_out, lang_pred, score.
+
+    Only text and non-null lang of rows that are not held out are learnt from, and prediction reads the text alone. A null or
+    letterless text is `und` with score 0; rows with a null doc_id are predicted but not learnt from. Texts are taken whole.
+    Equal texts get equal results, so repeated rows do; other columns are ignored; an empty table gives an empty one.
+    """
     plain = docs.select("doc_id", "text", "lang")
     return identify(plain, train(plain)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 

@@ -3,12 +3,14 @@
 The reader walks the image directories, decodes PackBits, LZW or deflate strips and tiles, undoes
 horizontal-difference predictors and returns the samples of each page as bytes. It handles 8-bit
 samples, either byte order, chunky planes; what else it meets is reported in the column `error`
-of the file's row rather than raised, so that one bad file does not end a job.
+of the file's row rather than raised, so that one bad file does not end a job. No more memory is
+taken for a page than its pieces really hold.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,15 +27,16 @@ TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 NONE, LZW, ADOBE_DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8}
 
+_RUN = re.compile(rb"(.)\1{2,127}", re.S)
 #: Bytes of samples in one strip.
 STRIP_BYTES = 1 << 16
 #: Bytes of output that a task gathers before it hands a batch on.
 BATCH_BYTES = 8 << 20
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) <= most:
         n = data[i]
         i += 1
         if n < 128:
@@ -46,27 +49,26 @@ def unpack_bits(data: bytes) -> bytes:
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, i = bytearray(), 0
-    while i < len(data):
-        run = 1
-        while run < 128 and i + run < len(data) and data[i + run] == data[i]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        j = i
-        while j < len(data) and j - i < 128 and not (j + 2 < len(data) and data[j] == data[j + 1] == data[j + 2]):
-            j += 1
-        out += bytes((j - i - 1,)) + data[i:j]
-        i = j
+    out, done = bytearray(), 0
+
+    def literal(to: int) -> None:
+        for at in range(done, to, 128):
+            part = data[at : min(at + 128, to)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for run in _RUN.finditer(data):
+        literal(run.start())
+        done = run.end()
+        out.extend((257 - (done - run.start()), data[run.start()]))
+    literal(len(data))
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
+def unpack_lzw(data: bytes, most: int) -> bytes:
     """Codes of 9 to 12 bits, high bit first, widened one code early; 256 clears and 257 ends."""
     table = [bytes((i,)) for i in range(256)] + [b"", b""]
-    out, held, bits, width, last = [], 0, 0, 9, None
+    out, size, held, bits, width, last = [], 0, 0, 0, 9, None
     for byte in data:
         held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
         if bits < width:
@@ -85,6 +87,9 @@ def unpack_lzw(data: bytes) -> bytes:
             entry = table[code] if code < len(table) else last + last[:1]
             table.append(last + entry[:1])
         out.append(entry)
+        size += len(entry)
+        if size > most:
+            break
         last = entry
         width = min(12, (len(table) + 1).bit_length())
     return b"".join(out)
@@ -128,8 +133,19 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
+def inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, most + 1)
+
+
+def inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, most + 1)
+
+
 PACK = {NONE: bytes, LZW: pack_lzw, PACKBITS: pack_bits, ADOBE_DEFLATE: lambda b: zlib.compress(b, 1)}
-UNPACK = {NONE: bytes, LZW: unpack_lzw, PACKBITS: unpack_bits, ADOBE_DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
+#: Each takes the bytes of a piece, and how many it holds: a piece that holds more is cut off soon after.
+UNPACK = {NONE: lambda b, most: b, LZW: unpack_lzw, PACKBITS: unpack_bits, ADOBE_DEFLATE: inflate, OLD_DEFLATE: inflate}
+#: Compression, predictor and tile size (none: strips) that stored texts get in turn, by a checksum of their bytes.
+LAYOUTS = ((ADOBE_DEFLATE, 2, None), (ADOBE_DEFLATE, 1, 64), (LZW, 1, None), (PACKBITS, 2, 64))
 
 
 def write_tiff(pages: list[np.ndarray], compression: int = ADOBE_DEFLATE, predictor: int = 2, tile: int | None = None) -> bytes:
@@ -203,19 +219,24 @@ def read_page(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
         raise ValueError(f"compression {one(COMPRESSION)} is not read")
     unpack, predictor, tile = UNPACK[one(COMPRESSION, NONE)], one(PREDICTOR, 1), one(TILE_WIDTH)
     wide, deep = (tile, one(TILE_LENGTH)) if tile else (columns, min(one(ROWS_PER_STRIP, rows), max(rows, 1)))
+    if not deep or samples < 1:
+        raise ValueError("pieces without rows or samples")
     offsets, sizes = tags[TILE_OFFSETS if tile else STRIP_OFFSETS], tags[TILE_COUNTS if tile else STRIP_COUNTS]
-    out = np.zeros((rows, columns, samples), np.uint8)
     across = -(-columns // wide) if columns else 0
+    if len(offsets) != across * -(-rows // deep):
+        raise ValueError(f"{len(offsets)} pieces instead of {across * -(-rows // deep)}")
+    pieces = []
     for i, (at, n) in enumerate(zip(offsets, sizes, strict=True)):
-        y, x = (i // across * deep, i % across * wide) if across else (0, 0)
+        y, x = i // across * deep, i % across * wide
         high = deep if tile else min(deep, rows - y)
-        piece = np.frombuffer(unpack(data[at : at + n]), np.uint8)
+        piece = np.frombuffer(unpack(data[at : at + n], high * wide * samples), np.uint8)
         if len(piece) != high * wide * samples:
             raise ValueError(f"piece {i} has {len(piece)} bytes instead of {high * wide * samples}")
         piece = piece.reshape(high, wide, samples)
-        if predictor == 2:
-            piece = np.cumsum(piece, axis=1, dtype=np.uint8)
-        out[y : y + high, x : x + wide] = piece[: rows - y, : columns - x]
+        pieces.append((y, x, np.cumsum(piece, axis=1, dtype=np.uint8) if predictor == 2 else piece))
+    out = np.zeros((rows, columns, samples), np.uint8)
+    for y, x, piece in pieces:
+        out[y : y + len(piece), x : x + wide] = piece[: rows - y, : columns - x]
     return out
 
 
@@ -231,10 +252,11 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def pack_texts(docs: DataFrame, width: int = 64, compression: int = ADOBE_DEFLATE) -> DataFrame:
+def pack_texts(docs: DataFrame, width: int = 64, layouts: tuple = LAYOUTS) -> DataFrame:
     """doc_id, n_bytes, media: every whole text (null: empty) as the grey samples of a one-page TIFF, `width` to a row.
 
-    Zero bytes fill up the last row; an empty text is one row of zeros, so that no page is empty.
+    Zero bytes fill up the last row; an empty text is one row of zeros, so that no page is empty. A checksum of the bytes
+    picks the layout of a text, so that equal texts are equal files.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
@@ -243,7 +265,7 @@ def pack_texts(docs: DataFrame, width: int = 64, compression: int = ADOBE_DEFLAT
             for key, text in zip(batch[0].to_pylist(), batch[1], strict=True):
                 raw = (text.as_py() or "").encode()
                 padded = raw + b"\0" * (-len(raw) % width if raw else width)
-                yield key, len(raw), write_tiff([np.frombuffer(padded, np.uint8).reshape(-1, width)], compression)
+                yield key, len(raw), write_tiff([np.frombuffer(padded, np.uint8).reshape(-1, width)], *layouts[zlib.crc32(raw) % len(layouts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batches(rows(batches), schema, lambda r: len(r[2]) + 64)
@@ -274,7 +296,7 @@ def read_pages(media: DataFrame, keys: list[str], column: str = "media") -> Data
                         page += 1
                     if not page:
                         raise ValueError("no directory")
-                except (ValueError, struct.error, KeyError, zlib.error, IndexError, OverflowError) as e:
+                except (ValueError, TypeError, struct.error, KeyError, zlib.error, IndexError, ArithmeticError, MemoryError) as e:
                     yield *key, None, None, None, None, None, None, str(e) or type(e).__name__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

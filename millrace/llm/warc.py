@@ -1,7 +1,8 @@
 """WARC archives as .warc.zst: a writer of one frame per record, and a validating reader.
 
 An archive is a skippable frame that holds the dictionary, then one Zstandard frame per record. Archives are rows of
-(archive, content), which is what spark.read.format("binaryFile") gives for archives in a store as well.
+(archive, content), which is what spark.read.format("binaryFile") gives for archives of others as well; ours are written to a
+table in the shared folder and read from there.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import hashlib
 import re
 import struct
 import uuid
-from base64 import b32decode, b32encode
+from base64 import b32decode, b32encode, b64decode, b64encode
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import shared_folder
+
 # Fixed values of the formats.
 DICTIONARY_MAGIC, ZSTD_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 VERSION = b"WARC/1.1"
@@ -25,8 +28,12 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 #: Payload bytes of an archive, about; bytes of a dictionary; payloads that it is trained on at most.
 ARCHIVE_BYTES, DICTIONARY_BYTES, TRAINING = 4 << 20, 16 << 10, 256
+#: Parts that the pages of one payload are dealt to.
+SALTS = 16
 #: Smallest payload of which equal ones are revisits.
 LEAST_BYTES = 1000
+#: Compressed bytes that the reader hands to a frame at a time.
+STEP_BYTES = 1 << 16
 RECORD = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, error string"
 
 
@@ -35,8 +42,8 @@ def record_id(page_id: int | None) -> str:
 
 
 def _header_text(value: str) -> str:
-    """Header values stand on one line: controls and percent signs are percent-coded."""
-    return re.sub(r"[\x00-\x20%\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
+    """Header values stand on one line: controls and blanks are percent-coded."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
 def write_record(page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None, payload: bytes) -> bytes:
@@ -44,6 +51,7 @@ def write_record(page_id: int | None, url: str | None, digest: str, size: int, r
     kind = "response" if refers_to is None else "revisit"
     head = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", "sha1:" + b32encode(bytes.fromhex(digest)).decode())]
     head += [("WARC-Target-URI", _header_text(url))] if url is not None else []
+    head += [("X-Source-URL", b64encode(url.encode()).decode())] if url is not None and url != _header_text(url) else []
     head += [("X-Page-ID", str(page_id))] if page_id is not None else []
     head += [("X-Payload-Length", str(size))]
     if refers_to is not None:
@@ -54,33 +62,67 @@ def write_record(page_id: int | None, url: str | None, digest: str, size: int, r
     return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def read_record(raw: bytes) -> tuple:
-    """(page_id, url, type, refers_to, payload, bytes, digest); ValueError if the headers, lengths or digest don't hold."""
-    head, mark, rest = raw.partition(b"\r\n\r\n")
-    if not mark or not head.startswith(b"WARC/1."):
-        raise ValueError("no WARC header")
-    fields = {}
+def _sha1(digest: str | None) -> str | None:
+    """Hexadecimal SHA-1 of a digest header in base 32 or 16; None for none or another algorithm."""
+    name, _, value = (digest or "").partition(":")
+    if name.lower() not in ("sha1", "sha-1"):
+        return None
+    return value.lower() if re.fullmatch("[0-9a-fA-F]{40}", value) else b32decode(value.upper()).hex()
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-cased name. A line that starts with a blank continues the one before; only the fields that the
+    standard lets repeat may."""
+    fields: dict[str, str] = {}
+    name = ""
     for line in head.decode().split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += " " + line.strip()
+            continue
         name, colon, value = line.partition(":")
-        if not colon or name.lower() in fields:
+        name = name.strip().lower()
+        if not colon or not name or (name in fields and name != "warc-concurrent-to"):
             raise ValueError(f"bad header line {line[:40]!r}")
-        fields[name.lower()] = value.strip()
+        fields[name] = value.strip()
+    return fields
+
+
+def read_record(raw: bytes) -> tuple:
+    """(page_id, url, type, refers_to, payload, bytes, digest); ValueError if the headers, lengths or digests don't hold.
+
+    The payload is what follows the HTTP header where the block is an HTTP message, else the whole block; revisits have none.
+    The digest is that of the header, or taken from the payload where there is none in SHA-1. URIs are returned as they
+    stand. Records of every type are read; page_id and refers_to are those that write_record() puts down, else null.
+    """
+    head, mark, rest = raw.partition(b"\r\n\r\n")
+    if not mark or not re.match(rb"WARC/[01]\.\d+(?:\r\n|$)", head):
+        raise ValueError("no WARC header")
+    fields = _fields(head)
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in fields:
             raise ValueError(f"no {name}")
-    if not fields["content-length"].isdigit() or len(rest) != int(fields["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
+    if not re.fullmatch("[0-9]+", fields["content-length"]) or len(rest) != int(fields["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         raise ValueError("the content length does not hold")
-    _, mark, payload = rest[:-4].partition(b"\r\n\r\n")
-    if not mark:
-        raise ValueError("no HTTP header in the block")
-    digest = b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-    kind, size = fields["warc-type"], int(fields.get("x-payload-length", len(payload)))
-    if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != size):
-        raise ValueError("the payload digest does not hold")
-    url = fields.get("warc-target-uri")
-    url = re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), url) if url is not None else None
+    block, kind = rest[:-4], fields["warc-type"].lower()
+    if (told := _sha1(fields.get("warc-block-digest"))) and hashlib.sha1(block).hexdigest() != told:
+        raise ValueError("the block digest does not hold")
+    payload: bytes | None = block
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        _, mark, payload = block.partition(b"\r\n\r\n")
+        if not mark:
+            raise ValueError("no HTTP header in the block")
+    digest = _sha1(fields.get("warc-payload-digest"))
+    size = int(fields["x-payload-length"]) if "x-payload-length" in fields else len(payload)
+    if kind == "revisit":
+        payload = None
+    else:
+        own = hashlib.sha1(payload).hexdigest()
+        if (digest is not None and own != digest) or len(payload) != size:
+            raise ValueError("the payload digest does not hold")
+        digest = own
+    url = b64decode(fields["x-source-url"]).decode() if "x-source-url" in fields else fields.get("warc-target-uri")
     number = lambda name: int(fields[name]) if name in fields else None
-    return number("x-page-id"), url, kind, number("x-refers-to-page"), payload if kind == "response" else None, size, digest
+    return number("x-page-id"), url, kind, number("x-refers-to-page"), payload, size, digest
 
 
 def write_archive(records: list[bytes]) -> bytes:
@@ -115,18 +157,20 @@ def read_archive(content: bytes) -> Iterator[bytes]:
     reader = zstandard.ZstdDecompressor(dict_data=held)
     view = memoryview(content)
     while at < len(content):
-        if 0x184D2A50 <= struct.unpack_from("<I", content.ljust(at + 4, b"\0"), at)[0] <= 0x184D2A5F and len(content) >= at + 8:
+        if len(content) >= at + 8 and 0x184D2A50 <= struct.unpack_from("<I", content, at)[0] <= 0x184D2A5F:
             at += 8 + struct.unpack_from("<I", content, at + 4)[0]
             continue
-        frame = reader.decompressobj()
+        frame, parts, first = reader.decompressobj(), [], at
         try:
-            record = frame.decompress(view[at:])
+            while not frame.eof and at < len(content):  # in steps: what a frame leaves over is copied
+                parts.append(frame.decompress(view[at : at + STEP_BYTES]))
+                at = min(at + STEP_BYTES, len(content))
         except zstandard.ZstdError as e:
-            raise ValueError(f"bad frame at byte {at}: {e}") from None
+            raise ValueError(f"bad frame at byte {first}: {e}") from None
         if not frame.eof:
-            raise ValueError(f"the frame at byte {at} is cut short")
-        at = len(content) - len(frame.unused_data)
-        yield record
+            raise ValueError(f"the frame at byte {first} is cut short")
+        at -= len(frame.unused_data)
+        yield b"".join(parts)
 
 
 def digests(pages: DataFrame) -> DataFrame:
@@ -144,11 +188,13 @@ def write_archives(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
     gives no archive.
 
     Only ids and digests are joined to find the responses: one row per task and digest goes into the count, and the
-    pages meet their answer by page_id, so that a payload that a third of all pages share stays spread out.
+    pages meet their answer by page_id and digest, so that a payload that a third of all pages share, or one of very many
+    pages without an id, stays spread out. Ids meet the answer of their digest in SALTS parts.
     """
     seen = digests(pages).where(F.col("size") >= least_bytes)
     kept = seen.groupBy("digest", "size").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1 and _last is not null")
-    answers = seen.join(kept, ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("_last"))).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "_last").distinct()
+    kept = kept.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    answers = seen.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS))).join(kept, ["digest", "size", "_salt"]).where(~F.col("page_id").eqNullSafe(F.col("_last"))).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "_last").distinct()
     html = F.coalesce("html", F.lit("")).cast("binary")
     full = pages.select("page_id", "url", html.alias("payload"), F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("size"))
     told = full.join(answers, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
@@ -206,9 +252,21 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.select("content").mapInArrow(run, RECORD)
 
 
+def stored(archives: DataFrame) -> DataFrame:
+    """`archives` written to a table of their own in the shared folder, and read from there."""
+    spark = archives.sparkSession
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    archives.write.parquet(folder)
+    return spark.read.schema(archives.schema).parquet(folder)
+
+
 def warc_digest(pages: DataFrame) -> DataFrame:
-    """Write all pages to archives, read these back. Per record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    records = read_archives(write_archives(pages.select("page_id", "url", "html")))
+    """Write all pages to archives in the shared folder, read these back.
+
+    Per record: page_id, payload_bytes, payload_digest, record_type, refers_to. See write_archives() for nulls and ties; other
+    columns are ignored, and an empty table gives an empty one.
+    """
+    records = read_archives(stored(write_archives(pages.select("page_id", "url", "html"))))
     whole = records.withColumn("page_id", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("long")).otherwise(F.col("page_id")))
     return whole.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -2,7 +2,8 @@
 
 The golden-ratio sequence is mapped through the cumulative shares of the sources: slot i of the mix belongs to the source
 whose interval holds frac((i + 0.5) * phi). The n-th slot of a source takes the n-th block of words of that source, whose
-documents stand in a hashed order and, from the second pass on, once more.
+documents stand in a hashed order and, from the second pass on, once more. A source gets as many blocks as its target has, the
+last one cut to fit: slots beyond them stay empty, and the few that the sequence leaves a source short of come at the end.
 """
 
 from __future__ import annotations
@@ -14,17 +15,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import settle
+
 #: Weights that the sources get in turn, share of all words that the mix has, and passes over a source at most.
 WEIGHTS, SHARE, PASSES = (5.0, 2.0, 1.0), 1.5, 2
-#: The mix has at least SLOTS slots, unless its words are fewer; a block has at most BLOCK_WORDS words.
-SLOTS, BLOCK_WORDS = 1 << 16, 4096
+#: Words in a block.
+BLOCK_WORDS = 1024
 #: Rows that one window partition of a running total gets, about; so no task gets a whole source.
-RUN_ROWS = 1 << 12
+RUN_ROWS = 1 << 10
 GOLDEN = 0.6180339887498949
+#: Pattern of a word.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def fill_targets(sizes: Iterable[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> dict[str | None, tuple[int, float]]:
@@ -48,83 +53,127 @@ def fill_targets(sizes: Iterable[tuple[str | None, int]], weights: tuple[float,
     return {name: (size, target[name]) for name, size in order}
 
 
-def _numbered(rows: DataFrame, group: str, run: Column, order: list[Column], value: Column, name: str) -> DataFrame:
+def _numbered(rows: DataFrame, group: str, run: Column, order: list[Column], value: Column, name: str, level: int = 0) -> DataFrame:
     """`rows` with the total of `value` over the rows before each in its group, as `name`.
 
-    Rows of a group are ordered by run, then `order`. Totals of the runs are added up first; so a window holds one run
-    of a group, or the totals of its runs, but never a whole group.
+    Rows of a group are ordered by run, then `order`. Totals of the runs are added up first, and those in runs of runs; so no
+    window holds a whole group.
     """
-    held = rows.withColumn("_run", run)
-    within = Window.partitionBy(group, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    totals = held.groupBy(group, "_run").agg(F.sum(value).alias("_total"))
-    bases = totals.select(group, "_run", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    own, total, base = f"_run{level}", f"_total{level}", f"_base{level}"
+    held = rows.withColumn(own, run)
+    within = Window.partitionBy(group, own).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = held.groupBy(group, own).agg(F.sum(value).alias(total))
+    if level < 2:
+        bases = _numbered(totals, group, F.expr(f"{own} div {RUN_ROWS}"), [F.col(own)], F.col(total), base, level + 1)
+    else:
+        before = Window.partitionBy(group).orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
+        bases = totals.withColumn(base, F.coalesce(F.sum(total).over(before), F.lit(0)))
     inner = held.withColumn("_in", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return inner.join(bases, [group, "_run"]).withColumn(name, (F.col("_base") + F.col("_in")).cast("long")).drop("_run", "_base", "_in")
+    return inner.join(bases.select(group, own, base), [group, own]).withColumn(name, (F.col(base) + F.col("_in")).cast("long")).drop(own, "_in", base)
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """`docs` without its text, with size, source_size, target and taken added.
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """`docs` with _h and _copy, which with doc_id tell its rows apart; rows alike are numbered in any order."""
+    own = docs.withColumn("_h", F.xxhash64("source", "text"))
+    return own.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("_h")))
 
-    size: words of the text (null or empty: 0). source_size, target: of the row's source; a null source is a source of its
-    own, last in order. taken: words that the mix takes, repeats counted; never above twice the size. Rows that share a
-    doc_id are documents of their own. A mix of no words takes none. Equal input gives equal results, in whatever
-    partitions it comes. Columns of `docs` named like the added ones are replaced.
 
-    The sizes per source are read by the driver: one row per source. All else stays distributed, in runs of about
-    RUN_ROWS rows, so that a source with a third of all rows is many runs.
+def _sized(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
+    """doc_id, source, _h, _copy, size, _s, source_size, target of every row; _s, target words of every source; the inner edges
+    of the cumulative shares; slots.
+
+    The sizes per source are read by the driver: one row per source.
     """
     spark = docs.sparkSession
-    plain = docs.drop("size", "source_size", "target", "taken", "_copy", "_s")
-    same = Window.partitionBy("doc_id").orderBy("source", F.xxhash64("text"), F.char_length("text"))
-    sized = plain.withColumn("size", word_count(F.col("text"))).withColumn("_copy", F.row_number().over(same))
-    rest = [c for c in plain.columns if c != "text"]
-    base = sized.select(*rest, "size", "_copy")
-
-    per_source = [(r["source"], r["size"], r["n"]) for r in base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()]
-    targets = fill_targets([(s, n) for s, n, _ in per_source])
+    base = settle(_told_apart(docs.select("doc_id", "source", "text")).select("doc_id", "source", "_h", "_copy", word_count(F.col("text")).alias("size")))
+    targets = fill_targets([(r["source"], r["size"]) for r in base.groupBy("source").agg(F.sum("size").alias("size")).collect()])
     names = list(targets)
-    whole = int(round(sum(t for _, t in targets.values())))
-    block = max(1, min(BLOCK_WORDS, whole // SLOTS))
-    slots = -(-whole // block) if whole else 0
-    edges = np.cumsum([targets[n][1] for n in names]) / max(1.0, sum(t for _, t in targets.values()))
-    shares = spark.createDataFrame([(i, n, int(targets[n][0]), float(targets[n][1])) for i, n in enumerate(names)], "_s int, _name string, source_size long, target double")
+    words = [int(targets[n][1] + 1e-6) for n in names]
+    edges = np.cumsum([float(targets[n][1]) for n in names])[:-1] / max(1.0, sum(t for _, t in targets.values()))
+    shares = spark.createDataFrame([(i, n, int(targets[n][0]), float(targets[n][1]), words[i]) for i, n in enumerate(names)], "_s int, _name string, source_size long, target double, _goal long")
     known = base.join(shares, base["source"].eqNullSafe(shares["_name"])).drop("_name")
-    runs = max(1, sum(n for *_, n in per_source) // RUN_ROWS)
-
-    place = F.xxhash64(F.lit("order"), "doc_id", "_copy")
-    spans = _numbered(known.select("_s", "doc_id", "_copy", "size", "source_size").where("size > 0"), "_s", F.pmod(F.shiftrightunsigned(place, 24), F.lit(runs)), [place, F.col("doc_id"), F.col("_copy")], F.col("size"), "_from")
-    blocks = (
-        spans.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))))
-        .withColumn("_from", F.col("_from") + F.col("_pass") * F.col("source_size"))
-        .withColumn("_block", F.explode(F.expr(f"sequence(_from div {block}, (_from + size - 1) div {block})")))
-        .withColumn("_words", F.least(F.col("_from") + F.col("size"), (F.col("_block") + 1) * block) - F.greatest("_from", F.col("_block") * block))
-    )
-    inner_edges = edges[:-1].astype(float)
+    return known, shares, edges, sum(-(-w // BLOCK_WORDS) for w in words)
+
+
+def _drawn(shares: DataFrame, edges: np.ndarray, slots: int) -> DataFrame:
+    """slot, _s, _block: which block of which source stands in each slot that is filled."""
+    spark = shares.sparkSession
 
     @F.pandas_udf("int")
     def source_at(slot: pd.Series) -> pd.Series:
         point = (slot.to_numpy() + 0.5) * GOLDEN
-        return pd.Series(np.searchsorted(inner_edges, point - np.floor(point), side="right").astype(np.int32))
+        return pd.Series(np.searchsorted(edges, point - np.floor(point), side="right").astype(np.int32))
+
+    points = spark.range(slots).select(F.col("id").alias("slot"), source_at("id").alias("_s"))
+    ranked = settle(_numbered(points, "_s", F.expr(f"slot div {RUN_ROWS * 16}"), [F.col("slot")], F.lit(1), "_block").select("slot", "_s", "_block"))
+    goals = shares.select("_s", F.ceil(F.col("_goal") / BLOCK_WORDS).alias("_blocks"))
+    kept = ranked.join(goals, "_s").where("_block < _blocks").select("slot", "_s", "_block")
+    counts = ranked.groupBy("_s").agg(F.count("*").alias("_n"))
+    short = goals.join(counts, "_s", "left").select("_s", F.explode(F.expr("filter(sequence(coalesce(_n, 0), greatest(coalesce(_n, 0), _blocks)), b -> b < _blocks)")).alias("_block"))
+    late = short.select((F.lit(slots) + F.row_number().over(Window.orderBy("_block", "_s")) - 1).cast("long").alias("slot"), "_s", "_block")  # a few for each source
+    return kept.unionByName(late)
+
+
+def _pieces(known: DataFrame, drawn: DataFrame) -> DataFrame:
+    place = F.xxhash64(F.lit("order"), "doc_id", "_h", "_copy")
+    runs = F.greatest(F.lit(1), F.expr(f"cast({known.count()} as bigint) div {RUN_ROWS}"))
+    rows = known.where("size > 0").select("_s", "doc_id", "_h", "_copy", "size", "source_size", "_goal")
+    spans = _numbered(rows, "_s", F.pmod(F.shiftrightunsigned(place, 24), runs), [place, F.col("doc_id"), F.col("_h"), F.col("_copy")], F.col("size"), "_first")
+    passes = spans.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1)))).withColumn("_at", F.col("_first") + F.col("_pass") * F.col("source_size"))
+    used = passes.withColumn("_end", F.least(F.col("_at") + F.col("size"), F.col("_goal"))).where("_at < _end")
+    cut = used.withColumn("_block", F.explode(F.expr(f"sequence(_at div {BLOCK_WORDS}, (_end - 1) div {BLOCK_WORDS})")))
+    from_ = F.greatest(F.col("_at"), F.col("_block") * BLOCK_WORDS)
+    to = F.least(F.col("_end"), (F.col("_block") + 1) * BLOCK_WORDS)
+    held = cut.select("_s", "_block", "doc_id", "_h", "_copy", (from_ - F.col("_block") * BLOCK_WORDS).alias("place"), (from_ - F.col("_at")).alias("from_word"), (to - from_).alias("n_words"))
+    return drawn.join(held, ["_s", "_block"])
+
+
+def schedule(docs: DataFrame) -> DataFrame:
+    """slot, place, source, doc_id, from_word, n_words, _h, _copy: the mix as pieces of documents, in the order of slot and place.
+
+    `docs` has doc_id, source and text; _h and _copy tell rows that share a doc_id apart. See mix() for what a source gets.
+    """
+    known, shares, edges, slots = _sized(docs)
+    names = shares.select("_s", F.col("_name").alias("source"))
+    out = _pieces(known, _drawn(shares, edges, slots)).join(names, "_s")
+    return out.select("slot", "place", "source", "doc_id", "from_word", "n_words", "_h", "_copy")
 
-    drawn = spark.range(slots).withColumn("_s", source_at("id"))
-    ranked = _numbered(drawn, "_s", F.expr(f"id div {RUN_ROWS * 64}"), [F.col("id")], F.lit(1), "_block").select("_s", "_block")
-    taken = blocks.select("_s", "_block", "doc_id", "_copy", "_words").join(ranked, ["_s", "_block"]).groupBy("doc_id", "_copy").agg(F.sum("_words").alias("taken"))
-    taken = taken.select(F.col("doc_id").alias("_d"), F.col("_copy").alias("_c"), "taken")
-    out = known.join(taken, known["doc_id"].eqNullSafe(taken["_d"]) & (known["_copy"] == taken["_c"]), "left")
-    return out.select(*rest, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "_copy")
+
+def mixed_blocks(docs: DataFrame) -> DataFrame:
+    """slot, source, text: the words of the mix, one row per block, by words parted by single spaces."""
+    plain = _told_apart(docs.select("doc_id", "source", "text")).select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), F.col("_copy").alias("_c"), "text")
+    told = schedule(docs)
+    met = told.join(plain, told["doc_id"].eqNullSafe(plain["_d"]) & (told["_h"] == plain["_g"]) & (told["_copy"] == plain["_c"]))
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("from_word") + 1).cast("int"), F.col("n_words").cast("int"))
+    parts = met.select("slot", "source", "place", F.array_join(words, " ").alias("_part"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "_part"))), lambda x: x["_part"]), " ")
+    return parts.groupBy("slot", "source").agg(joined.alias("text"))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, source, _h, _copy, size, source_size, target, taken of every row of `docs` (doc_id, source, text).
+
+    size: words of the text (null or empty: 0). source_size, target: of the row's source; a null source is a source of its
+    own, last in order. taken: words that the schedule takes, repeats counted; never above twice the size, and in sum the whole
+    words of the target. Rows that share a doc_id, or have none, are documents of their own. An empty table gives an empty
+    one. Equal input gives equal results, in whatever partitions it comes.
+    """
+    known, shares, edges, slots = _sized(docs)
+    taken = _pieces(known, _drawn(shares, edges, slots)).groupBy("doc_id", "_h", "_copy").agg(F.sum("n_words").alias("taken"))
+    taken = taken.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), F.col("_copy").alias("_c"), "taken")
+    out = known.join(taken, known["doc_id"].eqNullSafe(taken["_d"]) & (known["_h"] == taken["_g"]) & (known["_copy"] == taken["_c"]), "left")
+    return out.select("doc_id", "source", "_h", "_copy", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_with_texts(docs: DataFrame) -> DataFrame:
-    """`docs` with size, source_size, target and taken added to their columns."""
-    same = Window.partitionBy("doc_id").orderBy("source", F.xxhash64("text"), F.char_length("text"))
+    """`docs` with size, source_size, target and taken added to their columns; columns of these names are replaced."""
     plain = docs.drop("size", "source_size", "target", "taken")
-    told = mix(plain.select("doc_id", "source", "text")).select(F.col("doc_id").alias("_d"), F.col("_copy").alias("_c"), "size", "source_size", "target", "taken")
-    rows = plain.withColumn("_copy", F.row_number().over(same))
-    met = rows.join(told, rows["doc_id"].eqNullSafe(told["_d"]) & (rows["_copy"] == told["_c"]))
+    told = mix(plain).select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), F.col("_copy").alias("_c"), "size", "source_size", "target", "taken")
+    rows = _told_apart(plain)
+    met = rows.join(told, rows["doc_id"].eqNullSafe(told["_d"]) & (rows["_h"] == told["_g"]) & (rows["_copy"] == told["_c"]))
     return met.select(*plain.columns, "size", "source_size", "target", "taken")
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
     """Per row of `docs`: doc_id, source, size, source_size, target, taken."""
-    return mix(docs.select("doc_id", "source", "text")).drop("_copy")
+    return mix(docs).drop("_h", "_copy")

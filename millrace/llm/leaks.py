@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import OUT_ROWS, grams, mix, slices, span_hashes, texts_of
+from .shared import OUT_ROWS, grams, mix, settle, slices, span_hashes, texts_of
 
 #: Words in a window, and words of it that are no placeholders at least. Items of fewer words are one window of all.
 WINDOW, LITERALS = 8, 4
@@ -28,8 +28,9 @@ SHORTER = ((11, 14, 4, 3), (14, 23, 5, 3))
 LEAST_WORDS, SHARE = 5, 0.5
 #: Windows of so many words at most are whole items, so that a document needs each but once.
 SINGLE = min(LEAST_WORDS, *(x[2] for x in SHORTER)) - 1
-#: Benchmark windows that are sent to all tasks as a filter; a larger benchmark is joined by a shuffle instead.
-FILTER_WINDOWS = 1 << 20
+#: Bits that name a place in the sieve of benchmark windows that all tasks get (2 MB, whatever the benchmark's size), and one
+#: in the table of its words.
+SIEVE_BITS, VOCABULARY_BITS = 24, 21
 
 # Units of measure, in lower case.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml cl l gal s sec min h hr hrs kmh mph kb mb gb tb w kw mw v a hz khz mhz ghz k c f usd eur gbp percent"
@@ -159,8 +160,9 @@ def typed(w: Words, known: np.ndarray, is_name: np.ndarray) -> Template:
     name = np.zeros(len(w.text), bool)
     loose = w.kind == LITERAL
     if len(known):
-        at = np.minimum(np.searchsorted(known, w.words), len(known) - 1)
-        met = known[at] == w.words
+        places = w.words >> np.uint64(64 - VOCABULARY_BITS)
+        at = np.minimum(np.searchsorted(known, places), len(known) - 1)
+        met = known[at] == places
         name = met & is_name[at] & loose
         loose &= ~met
     raised = np.flatnonzero(loose & w.capital)
@@ -184,24 +186,49 @@ def typed(w: Words, known: np.ndarray, is_name: np.ndarray) -> Template:
 
 
 def vocabulary(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the benchmark's words that occur in small letters or with a capital, sorted, and whether they are names: those
-    that more often have a capital inside a sentence than none, or that never have none."""
+    """Places of the benchmark's words that occur in small letters or with a capital, sorted, and whether they are names: those
+    that more often have a capital inside a sentence than none, or that never have none.
+
+    A place is the first VOCABULARY_BITS of a word's hash. So the table is bounded whatever the benchmark; words that share a
+    place are judged as one, in items and documents alike.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, bounds in slices(texts_of(batch.column(0))):
                 w = words_of(data, bounds)
                 use = np.flatnonzero((w.kind == LITERAL) & (w.capital | w.small))
-                h, where = np.unique(w.words[use], return_inverse=True)
+                h, where = np.unique(w.words[use] >> np.uint64(64 - VOCABULARY_BITS), return_inverse=True)
                 sums = [np.bincount(where, x[use], len(h)).astype(np.int64) for x in (w.capital, w.capital & ~w.fresh, w.small)]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, sums)], names=["h", "raised", "inside", "small"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), *map(pa.array, sums)], names=["h", "raised", "inside", "small"])
 
     found = items.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "h long, raised long, inside long, small long")
-    rows = found.groupBy("h").agg(F.sum("raised"), F.sum("inside"), F.sum("small")).collect()  # the words of the benchmark
-    table = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 4)
-    known = np.ascontiguousarray(table[:, 0]).view(np.uint64)
-    order = np.argsort(known)
-    return known[order], ((table[:, 1] > 0) & _named(table[:, 2], table[:, 3]))[order]
+    h, raised, inside, small = (c.to_numpy() for c in found.groupBy("h").agg(F.sum("raised"), F.sum("inside"), F.sum("small")).toArrow().columns)
+    order = np.argsort(h)
+    return h[order].astype(np.uint64), ((raised > 0) & _named(inside, small))[order]
+
+
+def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of a window's hash in the sieve."""
+    least = np.uint64((1 << SIEVE_BITS) - 1)
+    return h >> np.uint64(64 - SIEVE_BITS), h >> np.uint64(40 - SIEVE_BITS) & least
+
+
+def sieve_of(windows: DataFrame) -> np.ndarray:
+    """Bits that are set at both places of every window's hash (h), in words of 64: at most 2**(SIEVE_BITS - 6) rows are read."""
+    places = F.array(F.shiftrightunsigned("h", 64 - SIEVE_BITS), F.shiftrightunsigned("h", 40 - SIEVE_BITS).bitwiseAND((1 << SIEVE_BITS) - 1))
+    bits = windows.select(F.explode(places).alias("p")).select(F.expr("p div 64").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
+    word, bit = (c.to_numpy() for c in bits.groupBy("w").agg(F.bit_or("b")).toArrow().columns)
+    out = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    out[word] = bit.view(np.uint64)
+    return out
+
+
+def _passes(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
+    out = np.ones(len(h), bool)
+    for place in _probes(h):
+        out &= (sieve[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
 
 
 _units: list[np.ndarray] = []
@@ -281,21 +308,16 @@ def _batch(key: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *(t for _, t in _WINDOWS)), strict=True)], names=[key, *(n for n, _ in _WINDOWS)])
 
 
-def template_windows(rows: DataFrame, key: str, sizes: list[list[int]] | None, names: tuple[np.ndarray, np.ndarray], wanted: np.ndarray | None = None) -> DataFrame:
+def template_windows(rows: DataFrame, key: str, sizes: list[list[int]] | None, names: tuple[np.ndarray, np.ndarray], sieve: np.ndarray | None = None) -> DataFrame:
     """key, family, at, size, h, n_words, slots: the windows of every whole text, of PLAIN words and of TYPED ones by the vocabulary `names`.
 
     `sizes` None: as window_size() says, which is how items are cut. Else of each of these sizes of the two
-    families, which is how documents are. With `wanted`, only windows with one of these hashes.
+    families, which is how documents are. With `sieve`, only windows that pass it.
     """
-    sieve = None
-    if wanted is not None:
-        sieve = np.zeros(1 << 20, bool)  # few windows pass it, and those are looked up
-        sieve[wanted >> np.uint64(44)] = True
-        wanted = np.sort(wanted)
-    held = rows.sparkSession.sparkContext.broadcast((sieve, wanted, names))
+    held = rows.sparkSession.sparkContext.broadcast((sieve, names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        few, exact, known = held.value
+        few, known = held.value
         out: list[tuple] = []
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -308,8 +330,7 @@ def template_windows(rows: DataFrame, key: str, sizes: list[list[int]] | None, n
                     for size, at, found, literals in window_hashes(t, sizes[family] if sizes else sorted({int(x) for x in np.unique(wants) if x})):
                         keep = np.ones(len(at), bool) if sizes else (wants[t.text[at]] == size) & (literals >= least[t.text[at]])
                         if few is not None:
-                            keep &= few[found >> np.uint64(44)]
-                            keep[keep] = np.isin(found[keep], exact)
+                            keep &= _passes(few, found)
                         if sizes and size <= SINGLE:
                             once = np.flatnonzero(keep)
                             once = once[np.lexsort((once, found[once], t.text[at[once]]))]
@@ -328,7 +349,7 @@ def template_windows(rows: DataFrame, key: str, sizes: list[list[int]] | None, n
     return rows.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, "text").mapInArrow(run, f"{key} long, family int, at int, size int, h long, n_words int, slots array<long>")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, most: int = FILTER_WINDOWS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, n_found, n_windows: documents that hold at least `share` of an item's windows in one place.
 
     Windows are counted by their place in the item, wherever they begin in a stretch of the document of up to twice the item's
@@ -337,18 +358,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, most: in
     Both texts are taken whole. An item of under LEAST_WORDS words is
     found where its words stand in a row, in any case, even if it is but one common word; numbers, names or units may be all that
     an item has. Null ids or texts and items without words match nothing, and a run of letters without blanks is one word; repeated rows of a
-    document or an item give one row; columns other than ids and texts are ignored. Up to `most` benchmark windows are
-    sent to the tasks as a filter, so that only hits leave them; a larger benchmark is joined by a shuffle of all windows.
+    document or an item give one row; columns other than ids and texts are ignored. Empty tables give an empty one.
+
+    A sieve of bounded size keeps most windows without a partner in their tasks; those that pass it, and all of the benchmark's,
+    are joined by hash, so that a larger benchmark costs more but is not handled in another way.
     """
     names = vocabulary(items)
-    cut = template_windows(items, "item_id", None, names).distinct()
+    cut = settle(template_windows(items, "item_id", None, names).distinct())
     met = sorted((r["family"], r["size"]) for r in cut.select("family", "size").distinct().collect())  # at most WINDOW a family
     sizes = [[size for own, size in met if own == family] for family in (PLAIN, TYPED)]
     if not met:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_found long, n_windows long")
-    hashes = cut.select("h").distinct().limit(most + 1).collect()
-    wanted = np.array([r["h"] for r in hashes], np.int64).view(np.uint64) if len(hashes) <= most else None
-    held = template_windows(docs, "doc_id", sizes, names, wanted).select("doc_id", "family", F.col("at").alias("_at"), "size", "h", F.col("slots").alias("_there"))
+    held = template_windows(docs, "doc_id", sizes, names, sieve_of(cut)).select("doc_id", "family", F.col("at").alias("_at"), "size", "h", F.col("slots").alias("_there"))
     counts = cut.groupBy("item_id", "family").agg(F.count_distinct("at").alias("n_windows"))
     reach = (F.col("n_words") + WINDOW).cast("long")  # a copy with a few words more lies in one of two places, each twice as long
     place = F.floor(F.col("_at") / reach)

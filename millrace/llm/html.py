@@ -1,13 +1,15 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into text blocks. A linear classifier gives each block the costs of calling it content or boilerplate, which
-become the capacities of its edges to source and sink; neighbours in page order and in the document tree are joined by
-smoothness edges. The minimum cut, found by maximum flow, parts content from boilerplate.
+A page is cut into text blocks, which hang below elements. A linear classifier gives every block a cost of calling it content or
+boilerplate from its own text: length, share of links, how it ends, its tag. Elements get such costs from their tag, role and
+names, for each block below them. These costs become the capacities of edges to source and sink. Smoothness edges join
+neighbours in page order, blocks to their element, and elements to the one around them, all on the scale of the costs, that of
+log-odds. The minimum cut, found by maximum flow, parts content from boilerplate: what an element tells reaches its blocks,
+and what blocks tell reaches the elements around them, through these edges alone.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,17 +28,17 @@ RAW = frozenset("script style noscript iframe textarea title".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table tr article section div main body td th blockquote".split())
 
-# Weights of the classifier, positive for content.
-OUTSIDE = {"nav": -8.0, "header": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "dialog": -8.0, "menu": -8.0, "address": -2.0, "article": 5.0, "main": 4.0}
+# Weights of the classifier, log-odds, positive for content: of elements for each block below them, and of blocks.
+OUTSIDE = {"nav": -4.0, "header": -4.0, "footer": -4.0, "aside": -4.0, "form": -2.5, "dialog": -4.0, "menu": -4.0, "address": -1.5, "article": 3.0, "main": 2.0}
 OWN = {"h1": 1.5, "h2": 1.0, "h3": 1.0, "h4": 0.5, "h5": 0.5, "h6": 0.5, "p": 1.5, "blockquote": 1.0, "pre": 1.0, "figcaption": 0.5, "td": 0.0, "li": 0.0}
-BIAS, PER_CHARS, MOST_CHARS, LINKS, SENTENCE, RIGHTS = -2.0, 100.0, 2.5, -4.0, 1.0, -4.0
-BAD_NAME, GOOD_NAME, HIDDEN = -8.0, 3.0, -20.0
+BIAS, PER_CHARS, MOST_CHARS, LINKS, SENTENCE, RIGHTS = -2.0, 100.0, 2.5, -4.0, 1.0, -1.5
+BAD_NAME, GOOD_NAME, HIDDEN = -4.0, 2.0, -20.0
+# Smoothness: between neighbours in page order below one element and below two; of content in a boilerplate element, and of
+# boilerplate in one of content, for each block.
+BESIDE, ACROSS, UNDER, WITHIN = 0.6, 0.3, 4.0, 1.0
 _BAD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|captcha|comments?|consent|cookies?|disqus|footer|foot|gdpr|header|login|masthead|menu\w*|modal|nav\w*|newsletter|notice|notification|overlay|pagination|pager|paywall|popup|promo\w*|related|replies|respond|search\w*|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|tags|toolbar|topbar|widget)(?:$|[\s_-])", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
-#: Smoothness between neighbours in page order, and what it is divided by per step between their places in the tree.
-SMOOTH, APART, SIBLINGS = 1.2, 1.5, 0.4
-
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _ROLE = re.compile(r"(?:^|\s)role\s*=\s*[\"']?\s*([a-z]+)", re.I)
@@ -48,44 +50,54 @@ class Block:
     text: str
     links: int  # characters inside links
     tag: str
-    path: tuple[int, ...]  # numbers of the elements around it, outermost first
-    lean: float  # what the elements around it say
+    parent: int  # its element, -1 for none
 
 
 @dataclass
-class _Element:
+class Element:
     tag: str
-    number: int
-    lean: float
+    parent: int
+    lean: float  # what its tag and attributes say
 
 
 @dataclass
 class _Page:
     blocks: list[Block] = field(default_factory=list)
-    stack: list[_Element] = field(default_factory=list)
+    elements: list[Element] = field(default_factory=list)
+    stack: list[tuple[str, int]] = field(default_factory=list)  # tag and, unless inline, number
+    outer: list[int] = field(default_factory=lambda: [-1])  # numbers of the open elements that are not inline
+    anchors: int = 0
     parts: list[str] = field(default_factory=list)
     links: int = 0
-    numbers: int = 0
+
+    def open(self, tag: str, lean: float) -> None:
+        number = -1
+        if tag not in INLINE:
+            self.elements.append(Element(tag, self.outer[-1], lean))
+            number = len(self.elements) - 1
+            self.outer.append(number)
+        self.stack.append((tag, number))
+        self.anchors += tag == "a"
 
     def flush(self) -> None:
         if not self.parts:
             return
         text = " ".join("".join(self.parts).split())
         if text:
-            outer = [e for e in self.stack if e.tag not in INLINE]
-            self.blocks.append(Block(text, self.links, outer[-1].tag if outer else "", tuple(e.number for e in outer), _lean(outer)))
+            at = self.outer[-1]
+            self.blocks.append(Block(text, self.links, self.elements[at].tag if at >= 0 else "", at))
         self.parts, self.links = [], 0
 
-    def close(self, at: int) -> None:
-        if any(e.tag not in INLINE for e in self.stack[at:]):
+    def close(self, at: int) -> int:
+        """Close the stack from `at` on; how many of its elements hide their text."""
+        gone = self.stack[at:]
+        inner = sum(number >= 0 for _, number in gone)
+        if inner:
             self.flush()
+            del self.outer[-inner:]
+        self.anchors -= sum(tag == "a" for tag, _ in gone)
         del self.stack[at:]
-
-
-def _lean(outer: list[_Element]) -> float:
-    """The strongest word against content wins; else the strongest for it."""
-    against = min((e.lean for e in outer), default=0.0)
-    return against if against < 0 else max((e.lean for e in outer), default=0.0)
+        return sum(tag in SKIPPED for tag, _ in gone)
 
 
 def _element_lean(tag: str, attributes: str) -> float:
@@ -99,14 +111,14 @@ def _element_lean(tag: str, attributes: str) -> float:
             lean = min(lean, BAD_NAME)
         if names and tag not in ("html", "body"):
             if _BAD.search(names):
-                lean = min(lean, BAD_NAME)
-            elif lean >= 0 and _GOOD.search(names):
-                lean = max(lean, GOOD_NAME)
+                lean = min(lean, 0.0) + BAD_NAME
+            if _GOOD.search(names):
+                lean += GOOD_NAME
     return lean
 
 
-def blocks_of(html: str) -> list[Block]:
-    """The text blocks of a page in order. Tag soup is mended: elements left open end with those around them."""
+def parsed(html: str) -> _Page:
+    """The text blocks and elements of a page in order. Tag soup is mended: elements left open end with those around them."""
     page, at, skipped = _Page(), 0, 0
     leans: dict[tuple[str, str], float] = {}
     while at < len(html):
@@ -118,17 +130,16 @@ def blocks_of(html: str) -> list[Block]:
             if not skipped and (token[0] != "<" or token == "<"):
                 words = unescape(token)
                 page.parts.append(words)
-                if any(e.tag == "a" for e in page.stack):
+                if page.anchors:
                     page.links += len(words.strip())
             continue
         tag = tag.lower()
         if found[1]:
             for i in range(len(page.stack) - 1, -1, -1):
-                if page.stack[i].tag == tag:
-                    skipped -= sum(e.tag in SKIPPED for e in page.stack[i:])
-                    page.close(i)
+                if page.stack[i][0] == tag:
+                    skipped -= page.close(i)
                     break
-                if tag in INLINE and page.stack[i].tag in SCOPES:
+                if tag in INLINE and page.stack[i][0] in SCOPES:
                     break
             continue
         if tag in VOID:
@@ -145,31 +156,29 @@ def blocks_of(html: str) -> list[Block]:
             page.flush()
             ending = CLOSES.get(tag, ())
             for i in range(len(page.stack) - 1, -1, -1):
-                own = page.stack[i].tag
+                own = page.stack[i][0]
                 if own == "p" or own in ending:
-                    skipped -= sum(e.tag in SKIPPED for e in page.stack[i:])
-                    page.close(i)
+                    skipped -= page.close(i)
                 elif own in SCOPES:
                     break
             if tag == "body":  # a head left open ends here
+                page.close(next((i for i, (own, _) in enumerate(page.stack) if own == "head"), len(page.stack)))
                 skipped = 0
-                page.close(next((i for i, e in enumerate(page.stack) if e.tag == "head"), len(page.stack)))
         if found[3].endswith("/") and tag in ("svg", "path"):
             continue
         key = (tag, found[3])
         if key not in leans:
             leans[key] = _element_lean(*key)
-        page.numbers += 1
-        page.stack.append(_Element(tag, page.numbers, leans[key]))
+        page.open(tag, leans[key])
         skipped += tag in SKIPPED
     page.flush()
-    return page.blocks
+    return page
 
 
 def score(block: Block) -> float:
-    """Log-odds of content."""
+    """Log-odds of content by the block's own text and tag."""
     size = len(block.text)
-    out = BIAS + block.lean + OWN.get(block.tag, 0.0) + min(MOST_CHARS, size / PER_CHARS) + LINKS * min(1.0, block.links / max(1, size))
+    out = BIAS + OWN.get(block.tag, 0.0) + min(MOST_CHARS, size / PER_CHARS) + LINKS * min(1.0, block.links / max(1, size))
     if block.text[-1] in ".!?…\"”»":
         out += SENTENCE
     if block.text[0] == "©" or "all rights reserved" in block.text[-80:].lower():
@@ -177,8 +186,12 @@ def score(block: Block) -> float:
     return out
 
 
-def minimum_cut(leans: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """True for the nodes on the side of the source. A node of positive lean hangs on the source, else on the sink."""
+def minimum_cut(leans: list[float], edges: list[tuple[int, int, float, float]]) -> list[bool]:
+    """True for the nodes on the side of the source, in a cut of least cost.
+
+    A node of positive lean hangs on the source, else on the sink, and costs its lean on the other side. An edge (a, b, there,
+    back) costs `there` if a alone is on the source's side, and `back` if b alone is.
+    """
     n = len(leans)
     source, sink = n, n + 1
     to: list[int] = []
@@ -195,8 +208,8 @@ def minimum_cut(leans: list[float], edges: list[tuple[int, int, float]]) -> list
 
     for i, lean in enumerate(leans):
         link(*((source, i, lean, 0.0) if lean > 0 else (i, sink, -lean, 0.0)))
-    for a, b, weight in edges:
-        link(a, b, weight, weight)
+    for edge in edges:
+        link(*edge)
     tiny = 1e-9
     while True:
         level = {source: 0}
@@ -237,50 +250,59 @@ def minimum_cut(leans: list[float], edges: list[tuple[int, int, float]]) -> list
                 room[e ^ 1] += flow
 
 
-def label(blocks: list[Block]) -> list[bool]:
-    """True for the blocks that are content.
+def graph(page: _Page) -> tuple[list[float], list[tuple[int, int, float, float]]]:
+    """Leans and edges of a page's graph: its blocks, then its elements.
 
-    Runs of siblings that lean the same way are one node: between them no cut is ever cheaper than beside them.
+    A block is joined to the nearest element around it that tells something, and so is that element to the next one. Content is
+    dear below an element that tells against it; all else that differs from what is around it is cheap. A block is also joined to
+    its own element where that tells nothing, so that blocks side by side lean on each other.
     """
-    nodes: list[list[int]] = []
-    leans: list[float] = []
-    for i, block in enumerate(blocks):
-        own = score(block)
-        if nodes and blocks[nodes[-1][-1]].path[:-1] == block.path[:-1] and (own > 0) == (leans[-1] > 0):
-            nodes[-1].append(i)
-            leans[-1] += own
-        else:
-            nodes.append([i])
-            leans.append(own)
+    n = len(page.blocks)
+    telling: list[int] = []  # of each element, itself or the nearest around it that tells something
+    around: list[int] = []
+    for i, element in enumerate(page.elements):  # an element comes after the one around it
+        around.append(telling[element.parent] if element.parent >= 0 else -1)
+        telling.append(i if element.lean else around[i])
+    below = [0] * len(page.elements)
+    for block in page.blocks:
+        if block.parent >= 0 and telling[block.parent] >= 0:
+            below[telling[block.parent]] += 1
+    for i in range(len(page.elements) - 1, -1, -1):
+        if telling[i] == i and around[i] >= 0:
+            below[around[i]] += below[i]
+    leans = [score(block) for block in page.blocks] + [e.lean * k for e, k in zip(page.elements, below, strict=True)]
     edges = []
-    last: dict[tuple[int, ...], int] = {}
-    for j, members in enumerate(nodes):
-        path = blocks[members[0]].path
-        if j:
-            before = blocks[nodes[j - 1][-1]].path
-            same = next((k for k, (a, b) in enumerate(zip(path, before, strict=False)) if a != b), min(len(path), len(before)))
-            edges.append((j - 1, j, SMOOTH / APART ** (len(path) + len(before) - 2 * same)))
-        if path[:-1] in last and last[path[:-1]] != j - 1:
-            edges.append((last[path[:-1]], j, SIBLINGS))
-        last[path[:-1]] = j
-    side = minimum_cut([math.copysign(min(abs(x), 50.0), x) for x in leans], edges)
-    out = [False] * len(blocks)
-    for members, content in zip(nodes, side, strict=True):
-        for i in members:
-            out[i] = content
-    return out
+    for i, block in enumerate(page.blocks):
+        if block.parent >= 0:
+            if (at := telling[block.parent]) >= 0:
+                edges.append((i, n + at, UNDER if page.elements[at].lean < 0 else WITHIN, WITHIN))
+            if at != block.parent and block.tag not in ("html", "body"):
+                edges.append((i, n + block.parent, BESIDE, BESIDE))
+        if i:
+            near = BESIDE if block.parent == page.blocks[i - 1].parent else ACROSS
+            edges.append((i - 1, i, near, near))
+    for i, at in enumerate(around):
+        if at >= 0 and telling[i] == i and below[i]:
+            edges.append((n + i, n + at, (UNDER if page.elements[at].lean < 0 else WITHIN) * below[i], WITHIN * below[i]))
+    return leans, edges
+
+
+def label(page: _Page) -> list[bool]:
+    """True for the blocks that are content."""
+    return minimum_cut(*graph(page))[: len(page.blocks)]
 
 
 def main_text(html: str | None) -> str:
-    blocks = blocks_of(html or "")
-    return "\n".join(b.text for b, content in zip(blocks, label(blocks), strict=True) if content)
+    page = parsed(html or "")
+    return "\n".join(b.text for b, content in zip(page.blocks, label(page), strict=True) if content)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars per row of `pages`.
 
     text is the content of the whole html, blocks joined by a newline; empty for a null or empty html or where nothing is
-    content. Pages are labelled one by one, so ids may repeat or be null and other columns don't matter.
+    content. Pages are labelled one by one, so rows may repeat, ids may repeat or be null, and other columns don't matter. An empty
+    table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

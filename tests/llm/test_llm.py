@@ -47,6 +47,13 @@ def test_lines_of_awkward_rows(spark, sql):
     assert (got[1]["n_lines"], got[5]["n_dropped"], got[5]["kept_text"]) == (1, 1, "")
 
 
+def test_lines_of_one_id_keep_their_own(spark):
+    rows = [(5, "a repeated line here\nfirst unique line"), (5, "another unique line\nsecond unique line"), (1, "a repeated line here\nx"), (5, "a repeated line here\nfirst unique line"), (None, "a repeated line here")]
+    got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    one = (5, 2, 1, "first unique line")
+    assert sorted(got, key=repr) == sorted([one, one, (5, 2, 0, "another unique line\nsecond unique line"), (1, 2, 0, "a repeated line here\nx"), (None, 1, 0, "a repeated line here")], key=repr)
+
+
 def near_brute(texts):
     sets = {d: neardup.shingle_set(t) for d, t in texts.items()}
     root = {d: d for d in sets}
@@ -75,6 +82,22 @@ def test_near_duplicates_match_brute_force(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == near_brute(dict(rows))
 
 
+def test_letters_in_patterns_are_no_near_duplicates(spark):
+    word = "a"
+    while len(word) < 2048:  # such a word and its complement are equal to polynomials modulo a power of two
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())]
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_shingle_width(spark):
+    words = [f"w{i}" for i in range(44)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:22], "x", *words[23:]]))]  # 37 of 45 shingles of four words are shared, 35 of 45 of five
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [neardup.near_duplicates(docs, n).where("kept").count() for n in (4, 5)] == [1, 2]
+    assert neardup.drop_near_duplicates(docs).count() == 2
+
+
 @pytest.mark.parametrize("hot", [1000, 3])
 def test_passages_match_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(passages, "HOT", hot)
@@ -83,8 +106,17 @@ def test_passages_match_brute_force(spark, monkeypatch, hot):
     shared = [" ".join(rng.choice(pool) for _ in range(n)) for n in (12, 13, 20, 70)]
     rows = [(i, " ".join(" ".join(rng.choice(pool) for _ in range(rng.randrange(0, 40))) + " \n" + rng.choice(shared) for _ in range(rng.randrange(4)))) for i in range(80)]
     rows += [(i + 500, rows[i][1]) for i in range(10)] + [(900, None)]
+    rows += [(40, rows[3][1] + " other words"), (40, rows[40][1]), (41, "other " + rows[3][1]), (77, rows[1][1] + " " + rows[2][1])]  # ids of several texts
     found = passages.passage_digest(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r[0]: (r[1], r[2], r[3]) for r in found.collect()} == passages.brute_force(dict(rows))
+    assert sorted(tuple(r) for r in found.collect()) == passages.brute_force(rows)
+
+
+def test_passages_of_one_id_keep_their_own_words(spark):
+    unique = " ".join(f"u{i}" for i in range(60))
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(5, shared), (5, unique), (1, shared)]
+    got = sorted((r["n_words"], r["n_removed"], r["kept_text"]) for r in passages.drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(60, 60, ""), (60, 0, unique), (60, 0, shared)])
 
 
 def test_language_held_out_accuracy(spark):
@@ -93,6 +125,44 @@ def test_language_held_out_accuracy(spark):
     assert right > 0.95 and got.where("score < 0 or score > 1").isEmpty()
 
 
+SCRIPTS = {"ar": (0x627, 28), "el": (0x3B1, 24), "hi": (0x905, 50), "ko": (0xAC00, 800), "ru": (0x430, 32), "th": (0xE01, 40), "zh": (0x4E00, 800)}
+
+
+def in_script(lang, rng):
+    first, n = SCRIPTS[lang]
+    return " ".join("".join(chr(first + int(n * rng.random() ** 2)) for _ in range(rng.randrange(1, 7))) for _ in range(60))
+
+
+def test_language_of_many_scripts():
+    rng = random.Random(2)
+    model = language.fit([(lang, in_script(lang, rng)) for lang in SCRIPTS for _ in range(64)])
+    fresh = [(lang, in_script(lang, rng)) for lang in SCRIPTS for _ in range(20)]
+    found, scores = language.predict(model, [text for _, text in fresh])
+    assert found == [lang for lang, _ in fresh] and scores.min() > 0.5
+
+
+def test_language_matches_plain_kernel_ridge():
+    """The same kernel from Python sets, and ridge regression on the landmarks' columns of the kernel matrix."""
+    docs = duckdb.sql(f"select lang, text from '{DATA}/documents.parquet' where lang is not null and length(text) > 200 order by doc_id").fetchall()
+    train, fresh = docs[:60], docs[60:110]
+    model = language.fit(train, landmarks=100)
+    found, _ = language.predict(model, [t for _, t in fresh])
+
+    def grams(text):
+        words = "".join(c.lower() if c.isalpha() else " " for c in text).split()
+        spaced = f" {' '.join(words)} "
+        return {spaced[i : i + n] for n in (1, 2, 3) for i in range(len(spaced) - n + 1)}
+
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    sets, langs = [grams(t) for _, t in train], sorted({lang for lang, _ in train})
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    goal = np.array([[1.0 if lang == own else -1.0 for lang in langs] for own, _ in train])
+    share = np.array([1 / sum(own == lang for own, _ in train) for lang, _ in train])
+    weights = np.linalg.solve(k @ (k * share[:, None]) + language.RIDGE / len(train) * k + 1e-9 * np.eye(len(k)), k @ (goal * share[:, None]))
+    plain = [langs[int(np.argmax([sum(kernel(grams(t), s) * w for s, w in zip(sets, weights[:, j], strict=True)) for j in range(len(langs))]))] for _, t in fresh]
+    assert sum(a == b for a, b in zip(found, plain, strict=True)) >= 49
+
+
 def test_rows_stay_without_a_language_to_learn_from(spark):
     docs = docs_of(spark, AWKWARD).withColumn("lang", F.lit(None).cast("string"))
     assert sorted(r["doc_id"] or 0 for r in language.keep_identified(docs).collect()) == [0, 3, 4, 5, 5, 8]
@@ -105,8 +175,6 @@ def test_leaks_match_brute_force(spark):
     exact = {(d[0], i[0]) for d in docs for i in items if i[1] in d[1]}
     found = queries.QUERIES["op10_decontamination"](spark, DATA)
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == exact
-    wide = leaks.find_leaks(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet"), most=3)
-    assert {(r["doc_id"], r["item_id"]) for r in wide.collect()} == exact
 
 
 def test_leaks_with_other_slots(spark):
@@ -158,6 +226,49 @@ def test_leaks_with_slots_that_disagree(spark):
     assert leaky(spark, item, [same, once, two, apart]) == [0, 1, 2]
 
 
+FRAMES = [
+    "{n} and {m} share {a} apples between them so that {n} gets {b} more than {m} does. How many apples does {m} get in the end?",
+    "A train leaves {p} at {a} km an hour and another one leaves {q} {b} hours later. When do both trains meet on the way from {p} to {q}?",
+    "The baker {n} sells {a} kg of flour for {b} usd a bag, while {m} from {p} asks for {c} usd. How much does {n} earn from {a} bags of flour?",
+    "If {n} reads {a} pages of a book every day and {m} reads {b}, how many days after {n} will {m} have read all {c} pages of it?",
+    "{n} pays {a} eur for {b} tickets to the old theatre of {p}. What would {c} tickets have cost if {m} had bought them instead?",
+    "In the garden of {n} there are {a} trees that each bear {b} kg of fruit. After a storm {c} trees are gone. What can {n} still harvest?",
+]
+NAMES = "Anna Boris Carla David Emil Frida Gustav Helga Ivan Julia Karim Lea Mona Nils Olga Pavel".split()
+PLACES = "Lisbon Vienna Oslo Prague Riga Turin Ghent Malmo".split()
+
+
+def asked_again(frame, rng):
+    n, m = rng.sample(NAMES, 2)
+    p, q = rng.sample(PLACES, 2)
+    return frame.format(n=n, m=m, p=p, q=q, a=rng.randrange(2, 99), b=rng.randrange(2, 99), c=rng.randrange(100, 999))
+
+
+def test_leaks_of_reparameterised_items(spark):
+    """Recall of at least 0.9 over questions with other names, places, numbers and units, in other texts; none found where there are none."""
+    rng = random.Random(4)
+    items = [(i, asked_again(frame, rng)) for i, frame in enumerate(FRAMES)]
+    filler = lambda: " ".join(rng.choice("some words of no weight that stand around a question in a longer text".split()) for _ in range(30))
+    docs, expected = [], set()
+    for i in range(120):
+        frame = i % len(FRAMES)
+        text = asked_again(FRAMES[frame], rng).replace(" kg ", rng.choice([" kg ", " lb ", " t "])).replace(" usd", rng.choice([" usd", " eur"]))
+        docs.append((i, f"{filler()}. {text} {filler()}"))
+        expected.add((i, frame))
+    docs += [(1000 + i, f"{filler()}. {rng.choice(NAMES)} has {rng.randrange(9)} of {filler()}") for i in range(60)]
+    found = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert got <= expected and len(got) >= 0.9 * len(expected), sorted(expected - got)
+
+
+def test_sieve_keeps_all_windows(spark):
+    rng = np.random.default_rng(0)
+    h = rng.integers(-(1 << 63), 1 << 63, 3000)
+    sieve = leaks.sieve_of(spark.createDataFrame([(int(x),) for x in h], "h long"))
+    assert leaks._passes(sieve, h.view(np.uint64)).all()
+    assert leaks._passes(sieve, rng.integers(0, 1 << 63, 100000).astype(np.uint64)).mean() < 1e-3
+
+
 def test_mix_is_near_its_targets(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = mixing.mix_digest(docs.union(docs.limit(3)).repartition(7))
@@ -166,10 +277,50 @@ def test_mix_is_near_its_targets(spark):
     assert got.where("taken > 2 * size or taken < 0").isEmpty()
     sums = got.groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("k"), F.first("source_size").alias("s"), F.sum("size").alias("z")).collect()
     total = sum(r["z"] for r in sums)
-    assert all(r["s"] == r["z"] and abs(r["k"] - r["t"]) <= max(40, 0.01 * r["t"]) for r in sums)
+    assert all(r["s"] == r["z"] and 0 <= r["t"] - r["k"] < 1 for r in sums)
     assert sum(r["t"] for r in sums) == pytest.approx(1.5 * total)
 
 
+def test_schedule_matches_brute_force(spark, monkeypatch):
+    """Slots are those of the golden-ratio points; the blocks of a source, in slot order, are its documents in turn, up to its target."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 16)
+    monkeypatch.setattr(mixing, "RUN_ROWS", 4)
+    rng = random.Random(8)
+    rows = [(None if i % 17 == 0 else i % 90, " ".join(f"d{i}w{j}" for j in range(rng.choice([0, 1, 3, 40, 90]))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + len(text.split())
+    targets = mixing.fill_targets(sizes.items())
+    pieces = sorted(mixing.schedule(docs).collect(), key=lambda r: (r["slot"], r["place"]))
+    names, whole = list(targets), sum(t for _, t in targets.values())
+    edges = np.cumsum([t for _, t in targets.values()])[:-1] / whole
+    slots = sum(-(-int(t + 1e-6) // 16) for _, t in targets.values())
+    for r in pieces:
+        point = (r["slot"] + 0.5) * mixing.GOLDEN
+        assert r["slot"] >= slots or names[int(np.searchsorted(edges, point - int(point), side="right"))] == r["source"]
+    texts = {}
+    for d, text, source in rows:
+        texts.setdefault((d, source), []).append(text.split())
+    blocks = {r["slot"]: (r["source"], r["text"].split()) for r in mixing.mixed_blocks(docs).collect()}
+    for source, (size, target) in targets.items():
+        own = [r for r in pieces if r["source"] == source]
+        said = [w for slot in sorted(blocks) if blocks[slot][0] == source for w in blocks[slot][1]]
+        assert sum(r["n_words"] for r in own) == len(said) == int(target + 1e-6)
+        sizes_of = [sum(r["n_words"] for r in own if r["slot"] == slot) for slot in sorted({r["slot"] for r in own})]
+        assert all(n == 16 for n in sizes_of[:-1])
+        assert said[size:] == said[: len(said) - size]  # the second pass is the first one over again
+        once = said[:size]
+        if len(once) == size:  # every word of the source, documents in one piece
+            assert sorted(once) == sorted(w for (_, s), many in texts.items() if s == source for t in many for w in t)
+            runs = [w.split("w")[0] for w in once]
+            assert sum(a != b for a, b in zip(runs, runs[1:], strict=False)) == len(set(runs)) - 1
+    taken = {}
+    for r in pieces:
+        taken[r["doc_id"], r["_h"], r["_copy"]] = taken.get((r["doc_id"], r["_h"], r["_copy"]), 0) + r["n_words"]
+    assert {k: v for k, v in taken.items()} == {(r["doc_id"], r["_h"], r["_copy"]): r["taken"] for r in mixing.mix(docs).where("taken > 0").collect()}
+
+
 def test_targets():
     got = mixing.fill_targets([("b", 10), (None, 100), ("a", 10)])
     assert got == {"a": (10, 20.0), "b": (10, 20.0), None: (100, 140.0)}
@@ -185,9 +336,20 @@ def test_tiff_codecs_and_pages(spark):
                 back = [tiff.read_page(blob, tags) for _, tags in tiff.directories(blob)]
                 assert all(np.array_equal(a.reshape(b.shape), b) for a, b in zip(pages, back, strict=True)), (compression, tile, predictor)
     bad = struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<HI", 0, 8)
-    frame = spark.createDataFrame([(1, blob), (2, b"junk"), (3, None), (4, bad)], "id long, media binary")
+
+    def one_page(*tags):
+        return struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in tags) + b"\0" * 8
+
+    plain = [(tiff.WIDTH, 4), (tiff.LENGTH, 4), (tiff.BITS, 8)]
+    halved = one_page(*plain, (tiff.TILE_WIDTH, 16), (tiff.TILE_OFFSETS, 8), (tiff.TILE_COUNTS, 4))  # a tile without its length
+    huge = one_page((tiff.WIDTH, 4_000_000), (tiff.LENGTH, 4_000_000), (tiff.BITS, 8), (tiff.STRIP_OFFSETS, 8), (tiff.STRIP_COUNTS, 4))
+    vast = one_page((tiff.WIDTH, 1 << 31), (tiff.LENGTH, 1 << 31), (tiff.BITS, 8), (tiff.ROWS_PER_STRIP, 1), (tiff.STRIP_OFFSETS, 8), (tiff.STRIP_COUNTS, 4))
+    flat = one_page(*plain, (tiff.ROWS_PER_STRIP, 0), (tiff.STRIP_OFFSETS, 8), (tiff.STRIP_COUNTS, 4))
+    frame = spark.createDataFrame([(1, blob), (2, b"junk"), (3, None), (4, bad), (5, halved), (6, huge), (7, vast), (8, flat), (9, blob[:-9])], "id long, media binary")
     rows = tiff.read_pages(frame, ["id"]).collect()
-    assert [r["page"] for r in rows if r["id"] == 1] == [0, 1, 2] and all(r["error"] for r in rows if r["id"] != 1)
+    assert [r["page"] for r in rows if r["id"] == 1] == [0, 1, 2]
+    assert {r["id"] for r in rows if r["error"]} == {2, 3, 4, 5, 6, 7, 8, 9}
+    assert tiff.read_pages(frame.where("false"), ["id"]).count() == 0
 
 
 def test_tiff_digest(spark):
@@ -197,6 +359,10 @@ def test_tiff_digest(spark):
         raw = (text or "").encode()
         padded = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         assert (got[key]["n_bytes"], got[key]["payload_bytes"], got[key]["payload_sha256"], got[key]["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        file = tiff.write_tiff([np.frombuffer(padded, np.uint8).reshape(-1, 64)], *tiff.LAYOUTS[zlib.crc32(raw) % len(tiff.LAYOUTS)])
+        assert (got[key]["media_bytes"], got[key]["media_sha256"]) == (len(file), hashlib.sha256(file).hexdigest())
+        bins = [sum(x >> 5 == b for x in padded) for b in range(8)]
+        assert got[key]["feature"] == f"64x{len(padded) // 64}x1;mean={sum(padded) / len(padded):.4f};bins={'/'.join(map(str, bins))}"
 
 
 def test_chat_escapes(spark):
@@ -232,6 +398,44 @@ def test_warc_reader_refuses_damage(spark):
     assert warc.read_archives(frame).where("error is not null").count() == 1
 
 
+def foreign(kind, block, *more):
+    head = [f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", "WARC-Date: 2020-01-01T00:00:00Z", "WARC-Target-URI: http://e.org/caf%C3%A9?q=a%2Fb", *more, f"Content-Length: {len(block)}"]
+    return "\r\n".join(["WARC/1.0", *head, "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def test_warc_records_of_others():
+    http = "Content-Type: application/http; msgtype=response"
+    page = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nhello"
+    sha = hashlib.sha1(b"hello").digest()
+    own = (None, "http://e.org/caf%C3%A9?q=a%2Fb")
+    assert warc.read_record(foreign("response", page, http)) == (*own, "response", None, b"hello", 5, sha.hex())
+    assert warc.read_record(foreign("response", page, http, f"WARC-Payload-Digest: sha1:{sha.hex()}"))[4] == b"hello"
+    assert warc.read_record(foreign("response", page, http, "WARC-Payload-Digest: sha256:00", "WARC-Concurrent-To: <a>", "WARC-Concurrent-To: <b>", "X-Long: a\r\n b"))[4] == b"hello"
+    assert warc.read_record(foreign("request", b"GET / HTTP/1.1\r\nHost: e.org\r\n\r\n", "Content-Type: application/http; msgtype=request"))[2:5] == ("request", None, b"")
+    assert warc.read_record(foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"))[2:5] == ("warcinfo", None, b"software: x\r\n")
+    for wrong in (foreign("response", page, http, f"WARC-Payload-Digest: sha1:{'0' * 40}"), foreign("response", page, f"WARC-Block-Digest: sha1:{'0' * 40}"), foreign("response", page, "A: 1", "A: 2"), foreign("response", b"no header", http)):
+        with pytest.raises(ValueError):
+            warc.read_record(wrong)
+
+
+@pytest.mark.parametrize("url", ["http://a/b", "http://a/b%20c?d=%2F", "http://ä/é ü\n%", "", None])
+def test_warc_urls_come_back(url):
+    digest = hashlib.sha1(b"x").hexdigest()
+    assert warc.read_record(warc.write_record(1, url, digest, 1, None, b"x"))[1] == url
+
+
+def test_warc_reads_in_proportion_to_its_size():
+    payload = random.Random(1).randbytes(20_000)
+    record = warc.write_record(1, "u", hashlib.sha1(payload).hexdigest(), len(payload), None, payload)
+    archive = warc.write_archive([record] * 1500)  # 30 MB that do not compress; copies of the rest for each record would be 22 GB
+    assert sum(r == record for r in warc.read_archive(archive)) == 1500
+
+
+def test_warc_of_no_pages(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string, payload string")
+    assert warc.warc_digest(none).count() == 0 and warc.read_archives(warc.write_archives(none)).count() == 0
+
+
 def test_warc_ties(spark):
     big = "z" * 1200
     rows = [(1, "u", big), (2, None, big), (2, "u", big), (None, "u", big), (3, "u", None), (4, "u", "z" * 900), (5, "u", "z" * 900)]
@@ -252,14 +456,64 @@ def test_html():
 
 
 def test_minimum_cut():
-    assert html.minimum_cut([3.0, -1.0, 3.0], [(0, 1, 1.0), (1, 2, 1.0)]) == [True, True, True]
-    assert html.minimum_cut([3.0, -5.0, 3.0], [(0, 1, 1.0), (1, 2, 1.0)]) == [True, False, True]
+    assert html.minimum_cut([3.0, -1.0, 3.0], [(0, 1, 1.0, 1.0), (1, 2, 1.0, 1.0)]) == [True, True, True]
+    assert html.minimum_cut([3.0, -5.0, 3.0], [(0, 1, 1.0, 1.0), (1, 2, 1.0, 1.0)]) == [True, False, True]
+    assert html.minimum_cut([], []) == []
+
+
+def cost_of(side, leans, edges):
+    return sum(abs(x) for x, s in zip(leans, side, strict=True) if (x > 0) != s) + sum(there * (side[a] and not side[b]) + back * (side[b] and not side[a]) for a, b, there, back in edges)
+
+
+def test_minimum_cut_costs_least():
+    rng = random.Random(6)
+    for _ in range(300):
+        n = rng.randrange(1, 9)
+        leans = [rng.choice([-4.0, -1.5, -0.5, 0.0, 0.3, 1.0, 3.0]) for _ in range(n)]
+        edges = [(*rng.sample(range(n), 2), rng.choice([0.0, 0.5, 4.0]), rng.choice([0.0, 1.0])) for _ in range(rng.randrange(12))] if n > 1 else []
+        least = min(cost_of([bool(k >> i & 1) for i in range(n)], leans, edges) for k in range(1 << n))
+        assert cost_of(html.minimum_cut(leans, edges), leans, edges) == pytest.approx(least)
+
+
+def test_labels_are_a_cut_of_least_cost():
+    """On random pages of up to 10 nodes, against all labellings of their graphs."""
+    rng = random.Random(7)
+    tags = ['<div class="comments">', "<article>", "<div>", "<aside>", '<div class="post share">']
+    for _ in range(120):
+        page = "".join(rng.choice(tags) + "".join(rng.choice(["<p>Short</p>", f"<p>{'A longer sentence of the page. ' * 6}</p>", "<p><a href=x>link</a></p>"]) for _ in range(rng.randrange(1, 3))) + rng.choice(["", "</div></article></aside>"]) for _ in range(rng.randrange(1, 4)))
+        read = html.parsed(page)
+        leans, edges = html.graph(read)
+        if len(leans) <= 12:
+            least = min(cost_of([bool(k >> i & 1) for i in range(len(leans))], leans, edges) for k in range(1 << len(leans)))
+            assert cost_of(html.minimum_cut(leans, edges), leans, edges) == pytest.approx(least)
+
+
+def test_the_cut_decides():
+    """Blocks whose own text says otherwise follow what is around them."""
+    prose = "This is a whole sentence of some length that looks like content, and another clause follows it to the end."
+    page = html.parsed(f'<div class="comments"><div><p>{prose}</p><p>{prose}</p></div></div><article><h2>Part</h2><p>{prose}</p><p>All rights reserved.</p></article>')
+    own = [html.score(b) > 0 for b in page.blocks]
+    assert own == [True, True, False, True, False] and html.label(page) == [False, False, True, True, True]
+    shop = html.parsed(f'<div class="article-body shared-box"><p>{prose}</p></div><div class="share article"><p>Mail</p></div>')
+    assert html.label(shop) == [True, False]
+    pages = duckdb.sql(f"select html from '{DATA.replace('0.001', '0.01')}/pages.parquet'").fetchall()
+    changed = total = 0
+    for (raw,) in pages:
+        read = html.parsed(raw or "")
+        changed += sum((html.score(b) > 0) != content for b, content in zip(read.blocks, html.label(read), strict=True))
+        total += len(read.blocks)
+    assert 0 < changed < total
 
 
 def test_html_rows(spark):
-    rows = [(1, "u", None), (None, None, "<article><p>Some words of content, and more of them here.</p></article>"), (1, "u", "")]
-    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert sorted(r["n_chars"] for r in got) == [0, 0, 45] or len(got) == 3
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    good = "<article><p>Some words of content, and more of them here.</p></article>"
+    rows = [(1, "u", None, "x", "y"), (None, None, good, None, None), (1, "u", "", "x", "y"), (None, None, good, None, None)]
+    got = html.extract(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(r["n_chars"] for r in got) == [0, 0, 45, 45]
+    assert html.extract(spark.createDataFrame([], schema)).count() == 0
+    long = "<article>" + "<div><p>Some words of content, and more of them here.</p><ul><li><a href=x>Home</a></li></ul></div>" * 5000 + "</article>" + "<div>" * 5000 + "<a>x" * 2000
+    assert html.extract(spark.createDataFrame([(1, "u", long, "", "")], schema)).first()["text"].count("Some words") == 5000
 
 
 def pipeline_brute(docs, items):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import OUT_ROWS, Scan, blank_table, grams, scan, slices, texts_of
+from .shared import OUT_ROWS, Scan, blank_table, grams, mix, scan, slices, texts_of
 
 WINDOW, ANCHOR = 13, 4
 #: Documents that hold an anchor above which its windows are dealt out one by one instead of as segments, so that no task
@@ -99,61 +99,64 @@ def versions(docs: DataFrame) -> DataFrame:
 
 
 def segments(joined: DataFrame) -> DataFrame:
-    """key, single, passage, doc_id, own, start, more_ids, more_owns, more_starts: the distinct segments of a batch of (doc_id,
-    text, anchors, hot, own), by anchor, each with its smallest document and, if it is found more than once, the others; the
-    windows of hot anchors one by one, by their own hash."""
+    """key, single, passage, own, doc_id, start, more_ids, more_starts: the distinct segments of a batch of (doc_id, text, anchors,
+    hot, own), by anchor, each with its smallest document and, if it is found more than once, the others; the windows of hot
+    anchors one by one, by their own hash."""
     table = blank_table(lower=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sets, hots = batch.column(0), batch.column(2), batch.column(3)
-            rows: dict[tuple[int, bool, bytes], tuple[list[int], list[int], list[int]]] = {}
-            column = texts_of(batch.column(1))
-            for from_, to, data, bounds in slices(column):
+            keys, versions_of = batch.column(0).to_pylist(), batch.column(4).to_pylist()
+            wanted, hot_ones = _marked(batch.column(2)), _marked(batch.column(3))
+            rows: dict[tuple[int, bool, bytes, int], tuple[list[int], list[int]]] = {}
+            for from_, to, data, bounds in slices(texts_of(batch.column(1))):
                 found = scan(data, bounds, table)
                 first, last, text, anchor = anchored(found)
-                edge = np.searchsorted(text, np.arange(to - from_ + 1))
+                marks = _mark(anchor, from_ + text)
+                at = np.flatnonzero(np.isin(marks, wanted))
+                hot = np.isin(marks[at], hot_ones).tolist()
                 whole = grams(found.hashes, WINDOW)
-                for i in range(to - from_):
-                    wanted = sets[from_ + i].values if sets[from_ + i].is_valid else None
-                    if wanted is None or edge[i] == edge[i + 1]:
-                        continue
-                    own = slice(edge[i], edge[i + 1])
-                    hot = np.isin(anchor[own], hots[from_ + i].values.to_numpy().view(np.uint64))
-                    at = np.flatnonzero(np.isin(anchor[own], wanted.to_numpy().view(np.uint64))) + edge[i]
-                    if not len(at):
-                        continue
-                    words = data[bounds[i] : bounds[i + 1]].tobytes().split()
-                    doc, own_text, base = keys[from_ + i].as_py(), batch.column(4)[from_ + i].as_py(), found.first[i]
-                    for j in at.tolist():
-                        a, b = int(first[j]), int(last[j])
-                        if hot[j - edge[i]]:
-                            parts = [(int(whole[k].view(np.int64)), True, k, k) for k in range(a, b + 1)]
-                        else:
-                            parts = [(int(anchor[j].view(np.int64)), False, a, b)]
-                        for key, single, x, y in parts:
-                            ids, owns, starts = rows.setdefault((key, single, b" ".join(words[x - base : y - base + WINDOW])), ([], [], []))
-                            ids.append(doc)
-                            owns.append(own_text)
-                            starts.append(int(x - base))
+                row, words, base = -1, [], 0
+                for j, a, b, i, h, is_hot in zip(at.tolist(), first[at].tolist(), last[at].tolist(), text[at].tolist(), anchor[at].view(np.int64).tolist(), hot, strict=True):
+                    if i != row:
+                        row, words, base = i, data[bounds[i] : bounds[i + 1]].tobytes().split(), int(found.first[i])
+                        doc, own = keys[from_ + i], versions_of[from_ + i]
+                    if is_hot:
+                        parts = [(k, True, x, x) for k, x in zip(whole[a : b + 1].view(np.int64).tolist(), range(a, b + 1), strict=True)]
+                    else:
+                        parts = [(h, False, a, b)]
+                    for key, single, x, y in parts:
+                        ids, starts = rows.setdefault((key, single, b" ".join(words[x - base : y - base + WINDOW]), own), ([], []))
+                        ids.append(doc)
+                        starts.append(x - base)
                 if len(rows) >= OUT_ROWS:
                     yield _segment_batch(rows)
                     rows = {}
             if rows:
                 yield _segment_batch(rows)
 
-    return joined.select("doc_id", "text", "anchors", "hot", "own").mapInArrow(run, "key long, single boolean, passage binary, doc_id long, own long, start int, more_ids array<long>, more_owns array<long>, more_starts array<int>")
+    return joined.select("doc_id", "text", "anchors", "hot", "own").mapInArrow(run, "key long, single boolean, passage binary, own long, doc_id long, start int, more_ids array<long>, more_starts array<int>")
+
+
+def _mark(anchor: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One number for an anchor in a row of a batch. Two that are one by chance only add a segment."""
+    return mix(anchor ^ mix(row.astype(np.uint64)))
+
+
+def _marked(lists: pa.ListArray) -> np.ndarray:
+    """The marks of all anchors in the rows of a column."""
+    sizes = np.array([len(x.values) if x.is_valid else 0 for x in lists], np.int64)
+    return _mark(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.repeat(np.arange(len(sizes)), sizes))
 
 
 def _segment_batch(rows: dict) -> pa.RecordBatch:
-    key, single, passage = zip(*rows, strict=True)
-    places = [sorted(zip(*lists, strict=True)) for lists in rows.values()]
-    more = [[[x[j] for x in p[1:]] if len(p) > 1 else None for p in places] for j in range(3)]
-    more[1] = [owns if owns and any(owns) else None for owns in more[1]]
-    columns = [pa.array(key, pa.int64()), pa.array(single), pa.array(passage, pa.binary())]
-    columns += [pa.array([p[0][j] for p in places], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
-    columns += [pa.array(more[j], pa.list_(t)) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "single", "passage", "doc_id", "own", "start", "more_ids", "more_owns", "more_starts"])
+    key, single, passage, own = zip(*rows, strict=True)
+    places = [sorted(zip(*lists, strict=True)) if len(lists[0]) > 1 else [(lists[0][0], lists[1][0])] for lists in rows.values()]
+    more = [[[x[j] for x in p[1:]] if len(p) > 1 else None for p in places] for j in (0, 1)]
+    columns = [pa.array(key, pa.int64()), pa.array(single), pa.array(passage, pa.binary()), pa.array(own, pa.int64())]
+    columns += [pa.array([p[0][j] for p in places], t) for j, t in enumerate((pa.int64(), pa.int32()))]
+    columns += [pa.array(more[j], pa.list_(t)) for j, t in enumerate((pa.int64(), pa.int32()))]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "single", "passage", "own", "doc_id", "start", "more_ids", "more_starts"])
 
 
 class Shard:
@@ -162,11 +165,11 @@ class Shard:
     def __init__(self) -> None:
         self.numbers: dict[bytes, int] = {}
         self.words: list[tuple[int, ...]] = []
-        self.places: list[list[tuple[list[int], list[int], list[int]]]] = []
+        self.places: list[list[tuple[list[int], int, list[int]]]] = []
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
 
-    def add(self, group: dict[bytes, list[tuple[list[int], list[int], list[int]]]]) -> None:
-        """All segments of an anchor, with the documents, ascending, their versions, and first words of each."""
+    def add(self, group: dict[bytes, list[tuple[list[int], int, list[int]]]]) -> None:
+        """All segments of an anchor, with the documents, ascending, their version, and first words of each."""
         if len(group) == 1:  # one text around this anchor: all of it recurs, or nothing
             ((passage, places),) = group.items()
             lo, hi = min(p[0][0] for p in places), max(p[0][-1] for p in places)
@@ -206,8 +209,8 @@ class Shard:
         self.automaton.make_automaton()
         for words, places in zip(self.words, self.places, strict=True):
             for end, (size, origin) in self.automaton.iter(words):
-                for ids, owns, starts in places:
-                    for doc, own, start in zip(ids, owns, starts, strict=True):
+                for ids, own, starts in places:
+                    for doc, start in zip(ids, starts, strict=True):
                         if doc > origin:
                             yield doc, own, start + end - size + 1, start + end + 1
 
@@ -221,8 +224,8 @@ def occurrences(parts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, key, group, firsts, out = Shard(), 0, None, {}, {}, []
         for batch in batches:
-            for anchor, single, passage, doc_id, own, start, more_ids, more_owns, more_starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, owns, starts = ([doc_id, *more_ids], [own, *(more_owns or [0] * len(more_ids))], [start, *more_starts]) if more_ids else ([doc_id], [own], [start])
+            for anchor, single, passage, own, doc_id, start, more_ids, more_starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, starts = ([doc_id, *more_ids], [start, *more_starts]) if more_ids else ([doc_id], [start])
                 if (anchor, single) != key:
                     if group:
                         shard.add(group)
@@ -233,9 +236,9 @@ def occurrences(parts: DataFrame) -> DataFrame:
                         shard, held = Shard(), 0
                 if single:  # rows of a window come by their smallest document: the first has the first
                     origin = firsts.setdefault(passage, doc_id)
-                    out += [(doc, version, at, at + WINDOW) for doc, version, at in zip(ids, owns, starts, strict=True) if doc > origin]
+                    out += [(doc, own, at, at + WINDOW) for doc, at in zip(ids, starts, strict=True) if doc > origin]
                 else:
-                    group.setdefault(passage, []).append((ids, owns, starts))
+                    group.setdefault(passage, []).append((ids, own, starts))
                 if len(out) >= OUT_ROWS:
                     yield batch_of(out)
                     out = []

@@ -54,8 +54,8 @@ def test_lines_of_one_id_keep_their_own(spark):
     assert sorted(got, key=repr) == sorted([one, one, (5, 2, 0, "another unique line\nsecond unique line"), (1, 2, 0, "a repeated line here\nx"), (None, 1, 0, "a repeated line here")], key=repr)
 
 
-def near_brute(texts):
-    sets = {d: neardup.shingle_set(t) for d, t in texts.items()}
+def near_brute(texts, words=4):
+    sets = {d: neardup.shingle_set(t, words) for d, t in texts.items()}
     root = {d: d for d in sets}
     for a in sorted(sets):
         for b in sorted(sets):
@@ -517,6 +517,8 @@ def test_html_rows(spark):
 
 
 def pipeline_brute(docs, items):
+    from corpus_pipeline import LINE_DOCS
+
     kept = [d for d in docs if d[1] and any(map(str.isalpha, d[1]))]
     first, holders = {}, {}
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate({i: i + 32 for i in range(65, 91)})
@@ -526,10 +528,10 @@ def pipeline_brute(docs, items):
             holders.setdefault(key(line), set()).add(d[0])
     out = []
     for d in kept:
-        stays = [x for x in d[1].split("\n") if len(key(x)) < 10 or len(holders[key(x)]) < 2 or first[key(x)] == d[0]]
+        stays = [x for x in d[1].split("\n") if len(key(x)) < 10 or len(holders[key(x)]) < LINE_DOCS or first[key(x)] == d[0]]
         if stays:
             out.append((d[0], "\n".join(stays)))
-    groups = near_brute(dict(out))
+    groups = near_brute(dict(out), 5)
     return {d: t for d, t in out if groups[d][1] == d and not any(i[1] in t for i in items)}
 
 
@@ -537,12 +539,37 @@ def test_pipeline(spark):
     import corpus_pipeline
 
     got = corpus_pipeline.run(spark, DATA)
-    docs = duckdb.sql(f"select doc_id, text from '{DATA}/documents.parquet'").fetchall()
+    docs = duckdb.sql(f"select doc_id, text, source from '{DATA}/documents.parquet'").fetchall()
     items = duckdb.sql(f"select * from '{DATA}/benchmark.parquet'").fetchall()
-    expected = pipeline_brute(docs, items)
+    expected = pipeline_brute([d[:2] for d in docs], items)
     rows = got.collect()
     found = {r["doc_id"]: r["text"] for r in rows}
     assert found.items() <= expected.items()
-    full = {r["source"] for r in rows if r["target"] >= r["source_size"] + 50}  # the mix reaches all documents of these
-    sources = dict(duckdb.sql(f"select doc_id, source from '{DATA}/documents.parquet'").fetchall())
+    sources, sizes = {d: s for d, _, s in docs}, {}
+    for d, text in expected.items():
+        sizes[sources[d]] = sizes.get(sources[d], 0) + len(text.split())
+    targets = mixing.fill_targets(sizes.items())
+    taken = {}
+    for r in rows:
+        assert (r["source_size"], r["target"]) == pytest.approx(targets[r["source"]]) and 0 < r["taken"] <= 2 * r["size"] == 2 * len(r["text"].split())
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    assert taken == {s: int(t + 1e-6) for s, (_, t) in targets.items() if t >= 1}
+    full = {s for s, (size, target) in targets.items() if target >= size}  # the mix reaches all documents of these
     assert full and not [d for d in expected.keys() - found.keys() if sources[d] in full and expected[d].split()]
+
+
+def test_stages_of_awkward_rows(spark):
+    import corpus_pipeline
+
+    docs = docs_of(spark, AWKWARD)
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (docs, docs.where("false")):
+            out = stage(spark, rows, DATA)
+            if name == "mixing":
+                assert set(docs.columns) <= set(out.columns) and out.select(*docs.columns).count() <= rows.count()
+            else:
+                assert out.columns == docs.columns, name
+            kept = {r["doc_id"] for r in out.collect()}
+            assert kept == {"language_id": {3, 4, 5, 8, None}, "line_dedup": {1, 2, 3, 4, 5, 6, 7, 8, None}, "near_dedup": {1, 2, 3, 4, 6, 7, 8, None}, "decontamination": {1, 2, 3, 4, 5, 6, 7, 8, None}, "mixing": {3, 4, 5, 7, 8, None}}[name] if rows is docs else kept == set(), name
+    same = {r["kept_text"] for r in corpus_pipeline.unrepeated(spark, docs, DATA).collect()}
+    assert same == {1}  # the table's own column of that name

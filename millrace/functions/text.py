@@ -81,7 +81,7 @@ def clean_page(text: Column) -> Column:
 def clock(ms: Column) -> Column:
     s = F.floor(ms / 1000)
     hours, minutes, seconds = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
-    return F.when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, seconds)).otherwise(F.format_string("%d:%02d", minutes, seconds))
+    return F.when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, seconds)).when(ms.isNotNull(), F.format_string("%d:%02d", minutes, seconds))
 
 
 def search_glob(pattern: str) -> str:

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors that are sent to all tasks at once; more queries are searched in several passes.
-QUERY_BYTES = 64 << 20
+#: Vectors in a block of queries and of rows: two blocks meet in one matrix product.
+QUERY_BLOCK, ROW_BLOCK = 512, 4096
 
 
 def fit(vector: Column, dim: int) -> Column:
@@ -24,6 +24,12 @@ def fit(vector: Column, dim: int) -> Column:
     return F.when((F.size(vector) >= dim) & (norm > 0), F.transform(head, lambda x: (x / norm).cast("float")))
 
 
+def of_length(vector: Column, dim: int) -> Column:
+    """The vector, or an error where it has another length; null stays null."""
+    wrong = F.raise_error(F.concat(F.lit("a vector of length "), F.size(vector).cast("string"), F.lit(f" instead of {dim}")))
+    return F.when(vector.isNull() | (F.size(vector) == dim), vector).otherwise(wrong.cast("array<float>"))
+
+
 def encode(vector: np.ndarray) -> bytes:
     return np.asarray(vector, "<f4").tobytes()
 
@@ -34,6 +40,15 @@ def decode(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, "<f4")
 
 
+def encoded(vector: Column) -> Column:
+    """Vectors as bytes, four a value."""
+    return F.pandas_udf(lambda v: v.map(encode, na_action="ignore"), "binary")(vector)  # type: ignore[call-overload]
+
+
+def decoded(blob: Column) -> Column:
+    return F.pandas_udf(lambda b: b.map(decode, na_action="ignore"), "array<float>")(blob)  # type: ignore[call-overload]
+
+
 @lru_cache(1 << 16)
 def _bucket(term: str, dim: int) -> int:
     return int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim
@@ -55,44 +70,94 @@ def embed_tokens(tokens: Column, dim: int) -> Column:
     return run(tokens)
 
 
+def _blocks(vectors: DataFrame, key: str, name: str, most: int) -> DataFrame:
+    """`name`_ids, `name`_data, `name`_dim: up to `most` vectors of one length as the bytes of a matrix of unit rows. Null and zero
+    vectors are left out."""
+
+    def pack(ids: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
+        matrix = np.concatenate(rows)
+        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids)], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary()), pa.array([matrix.shape[1]], pa.int32())], names=[f"{name}_ids", f"{name}_data", f"{name}_dim"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[np.ndarray] = []
+        rows: list[np.ndarray] = []
+        for whole in batches:
+            for from_ in range(0, whole.num_rows, most):
+                batch = whole.slice(from_, most)
+                sizes = np.unique(batch.column(1).value_lengths().to_numpy())
+                if len(sizes) > 1 or (rows and sizes[0] != rows[0].shape[1]):
+                    raise ValueError(f"vectors of lengths {sorted({*sizes.tolist(), *(r.shape[1] for r in rows)})} in one search")
+                block = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                norm = np.linalg.norm(block, axis=1)
+                good = norm > 0
+                ids.append(batch.column(0).to_numpy()[good])
+                rows.append(block[good] / norm[good, None])
+                if sum(map(len, ids)) >= most:
+                    yield pack(ids, rows)
+                    ids, rows = [], []
+        if sum(map(len, ids)):
+            yield pack(ids, rows)
+
+    return vectors.where("vector is not null").select(F.col(key).cast("long").alias(key), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, f"{name}_ids array<long>, {name}_data binary, {name}_dim int")
+
+
+def _best(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and columns of the k largest of each row of `sim`; of equal ones those of the smallest ids."""
+    n = sim.shape[1]
+    if n > k:
+        edge = np.partition(sim, n - k, axis=1)[:, n - k]  # the k-th largest: all that are no smaller may be among the best
+        query, at = np.nonzero(sim >= edge[:, None])
+    else:
+        query, at = np.divmod(np.arange(sim.size), max(n, 1))
+    order = np.lexsort((ids[at], -sim[query, at], query))
+    query, at = query[order], at[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[place < k], at[place < k]
+
+
 def search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """query_id, row_id, sim, rank: for each query (query_id, vector) the k rows (row_id, vector) of largest cosine.
 
-    Exact: query vectors go to the tasks in blocks of bounded size, each batch of rows is one matrix product, each task keeps
-    its k best per query, and a window takes the k best of those. Cosines are taken to six decimals; ties go to the
-    smaller row_id. Null or zero vectors are never found.
+    Exact: queries and rows are packed to blocks, each pair of blocks is one matrix product in a task, which hands on the k best
+    of every query, and a window takes the k best of those. So no task holds more than two blocks and their product, and nothing
+    passes through the driver. Cosines are taken to six decimals; ties go to the smaller row_id. Null or zero vectors are never
+    found. Vectors of unlike lengths are an error.
     """
-    dims = queries.selectExpr("count(*) as n", "max(size(vector)) as d").first()
-    blocks = max(1, -(-dims["n"] * (dims["d"] or 1) * 8 // QUERY_BYTES))
-    found = [_pass(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries, rows, k) for b in range(blocks)]
-    best = found[0]
-    for other in found[1:]:
-        best = best.union(other)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_ids, q_data, q_dim, r_ids, r_data, r_dim = (batch.column(j)[i] for j in range(6))
+                if q_dim.as_py() != r_dim.as_py():
+                    raise ValueError(f"queries have vectors of length {q_dim}, rows of {r_dim}")
+                asked, ids = q_ids.values.to_numpy(), r_ids.values.to_numpy()
+                left, right = (np.frombuffer(d.as_buffer(), np.float64).reshape(-1, q_dim.as_py()) for d in (q_data, r_data))
+                sim = np.round(left @ right.T, 6)
+                query, at = _best(sim, ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[query]), pa.array(ids[at]), pa.array(sim[query, at])], names=["query_id", "row_id", "sim"])
+
+    met = _blocks(queries, "query_id", "q", QUERY_BLOCK).crossJoin(_blocks(rows, "row_id", "r", ROW_BLOCK))
+    found = met.mapInArrow(run, "query_id long, row_id long, sim double")
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "row_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _pass(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    held = queries.select("query_id", "vector").where("vector is not null").toPandas()  # at most QUERY_BYTES
-    names = held["query_id"].to_numpy(np.int64)
-    matrix = np.stack(held["vector"].map(lambda v: np.asarray(v, np.float64)).to_list()) if len(held) else np.zeros((0, 1))
-    sent = rows.sparkSession.sparkContext.broadcast((names, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
+def parity(left: DataFrame, right: DataFrame) -> DataFrame:
+    """n, least, p10, median, mean of the cosines of two vectors (id, vector) of each id: the vectors of two sets of one text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit = sent.value
-        best_sim = np.zeros((len(ids), 0))
-        best_row = np.zeros((len(ids), 0), np.int64)
-        for batch in batches:
-            column = batch.column(1)
-            block = column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
-            norm = np.linalg.norm(block, axis=1, keepdims=True)
-            good = norm[:, 0] > 0
-            sim = np.round(unit @ (block[good] / norm[good]).T, 6)
-            sim = np.concatenate([best_sim, sim], axis=1)
-            row = np.concatenate([best_row, np.broadcast_to(batch.column(0).to_numpy()[good], (len(ids), good.sum()))], axis=1)
-            order = np.lexsort((row, -sim), axis=1)[:, :k]
-            best_sim, best_row = np.take_along_axis(sim, order, 1), np.take_along_axis(row, order, 1)
-        if best_sim.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_sim.shape[1])), pa.array(best_row.ravel()), pa.array(best_sim.ravel())], names=["query_id", "row_id", "sim"])
-
-    return rows.where("vector is not null").select("row_id", "vector").mapInArrow(run, "query_id long, row_id long, sim double")
+    Of n sorted cosines the median is that at place n / 2 and p10 that at n / 10, counted from 0.
+    """
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    met = left.select("id", F.col("vector").alias("a")).join(right.select("id", F.col("vector").alias("b")), "id")
+    sims = met.select(F.round(dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b")), 6).alias("s"))
+    counted = sims.groupBy("s").agg(F.count("*").alias("c"))
+    upto = counted.withColumn("_to", F.sum("c").over(Window.orderBy("s"))).crossJoin(sims.agg(F.count("*").alias("n")))  # at most 2,000,001 values
+    at = lambda part: F.min(F.when(F.col("_to") > F.floor(F.col("n") / part), F.col("s")))
+    return upto.agg(F.max("n").alias("n"), F.min("s").alias("least"), at(10).alias("p10"), at(2).alias("median"), F.round(F.sum(F.col("s") * F.col("c")) / F.max("n"), 6).alias("mean"))
+
+
+def top_agreement(left: DataFrame, right: DataFrame) -> DataFrame:
+    """n, agree: queries of two results of search(), and those whose first hits are the same row."""
+    first = lambda hits, name: hits.where("rank = 1").select("query_id", F.col("row_id").alias(name))
+    met = first(left, "_a").join(first(right, "_b"), "query_id", "full")
+    return met.agg(F.count("*").alias("n"), F.count_if(F.col("_a") == F.col("_b")).alias("agree"))

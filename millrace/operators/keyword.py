@@ -1,12 +1,19 @@
-"""Postings and keyword search."""
+"""Postings, stored or built on the way, and keyword search."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Parts of a stored posting table, by a hash of the term: a search reads those of its terms.
+BUCKETS = 32
+#: Files that each part is written in, by chunk, so that a term that all chunks have is no one task's.
+SPREAD = 4
+
 
 def analyzed(chunks: DataFrame) -> DataFrame:
     """`chunks` (chunk_id, text, perhaps heading_path) with tokens and bm25_len."""
@@ -38,26 +45,90 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count(length).alias("n"), F.avg(length).alias("average"))
 
 
-def keyword_hits(queries: DataFrame, chunks: DataFrame, pool: int, allowed: DataFrame | None = None) -> DataFrame:
-    """query_id, chunk_id, score, kw, rank: the `pool` best chunks of each query.
+@dataclass(frozen=True)
+class Postings:
+    """What keyword search reads: term, chunk_id, tf, bm25_len; term, df; one row of n and total (tokens of all chunks)."""
+
+    post: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+
+    def stats(self) -> DataFrame:
+        """n, average."""
+        return self.totals.select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("average"))
+
+    def of(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Postings and frequencies of the terms (term), a batch of queries' worth. Of stored ones only their parts are read."""
+        if "bucket" not in self.post.columns:
+            return self.post.join(terms, "term", "left_semi"), self.terms.join(terms, "term", "left_semi")
+        parts = [r["b"] for r in terms.select(bucket_of(F.col("term")).alias("b")).distinct().collect()]  # at most BUCKETS
+        return tuple(t.where(F.col("bucket").isin(parts)).join(terms, "term", "left_semi").drop("bucket") for t in (self.post, self.terms))
+
+    def replaced(self, gone: DataFrame, fresh: DataFrame) -> Postings:
+        """These postings after the chunks of `gone` (chunk_id) went and those of `fresh`, which analyzed() gave, came.
+
+        Frequencies and totals are adjusted by what went and came, which equals counting all anew.
+        """
+        gone = gone.select("chunk_id").distinct()
+        lost, came = self.post.join(gone, "chunk_id", "left_semi"), lengthed(fresh)
+        change = document_frequencies(lost).select("term", (-F.col("df")).alias("df")).unionByName(document_frequencies(came))
+        plain = self.terms.select("term", "df")
+        terms = plain.unionByName(change).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        columns = ["term", "chunk_id", "tf", "bm25_len"]
+        post = self.post.select(*columns).join(gone, "chunk_id", "left_anti").unionByName(came.select(*columns))
+        sums = [totals(own.select("chunk_id", "bm25_len").distinct()).select((F.col("n") * sign).alias("n"), (F.col("total") * sign).alias("total")) for own, sign in ((lost, -1), (came, 1))]
+        return Postings(post, terms, self.totals.unionByName(sums[0]).unionByName(sums[1]).agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def lengthed(chunks: DataFrame) -> DataFrame:
+    """term, chunk_id, tf, bm25_len."""
+    return terms_of(chunks, "chunk_id", "bm25_len").groupBy("chunk_id", "bm25_len", "term").agg(F.count("*").alias("tf"))
+
+
+def totals(chunks: DataFrame) -> DataFrame:
+    return chunks.where("bm25_len > 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("bm25_len"), F.lit(0)).alias("total"))
+
+
+def on_the_way(chunks: DataFrame) -> Postings:
+    """Postings of chunks from analyzed(), made anew by each search."""
+    post = lengthed(chunks)
+    length = F.when(F.col("bm25_len") > 0, F.col("bm25_len"))
+    return Postings(post, document_frequencies(post), chunks.agg(F.count(length).alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("total")))
+
+
+def store(found: Postings, folder: str) -> None:
+    """Write postings below `folder`: those of a term in one part, in order, so that a search prunes parts and row groups."""
+    by_term = found.post.select("term", "chunk_id", "tf", "bm25_len", bucket_of(F.col("term")).alias("bucket"))
+    dealt = by_term.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD)))
+    dealt.sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    counted = document_frequencies(dealt.sparkSession.read.parquet(f"{folder}/postings"))
+    counted.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/terms")
+    found.totals.write.parquet(f"{folder}/totals")
+
+
+def stored(spark: SparkSession, folder: str) -> Postings:
+    """The postings below `folder`."""
+    return Postings(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "totals")))
+
 
-    `queries` has query_id and text, `chunks` comes from analyzed(). `allowed` (chunk_id) filters hits but neither the
-    frequencies nor the statistics. kw: at least half of the query's distinct terms are in the chunk. Scores are ranked to
-    four decimals, ties by chunk_id.
+def keyword_hits(queries: DataFrame, found: Postings, pool: int, allowed: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score, kw, rank: the `pool` best chunks of each query (query_id, text).
 
-    Only postings of query terms are built: the terms of all queries are a small table, which meets the token stream before
-    anything is shuffled.
+    `allowed` (chunk_id) filters hits but neither the frequencies nor the statistics. kw: at least half of the query's distinct
+    terms are in the chunk. Scores are ranked to four decimals, ties by chunk_id. Only the postings of query terms are read.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("_asked"))
-    terms = asked.select("term").distinct()
-    post = terms_of(chunks, "chunk_id", "bm25_len").join(terms, "term", "left_semi").groupBy("chunk_id", "bm25_len", "term").agg(F.count("*").alias("tf"))
-    frequency = post.groupBy("term").agg(F.count("*").alias("df"))
+    post, frequency = found.of(asked.select("term").distinct())
     hits = post if allowed is None else post.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
     scored = (
         asked.join(frequency, "term")
         .join(hits, "term")
-        .crossJoin(corpus_stats(chunks))  # one row
+        .crossJoin(found.stats())  # one row
         .groupBy("query_id", "chunk_id")
         .agg(F.round(F.sum(T.term_score(F.col("n"), F.col("df"), F.col("tf"), F.col("bm25_len"), F.col("average"))), 4).alias("score"), F.count("*").alias("_met"))
         .join(sizes, "query_id")

@@ -12,6 +12,8 @@ from ..sources.files import folder_covers, stem
 PRIORITY = {"markdown": 0, "code": 1, "pdf": 2, "image": 3, "audio": 4}
 UNIT_BYTES = {"markdown": 4 << 10, "code": 4 << 10, "pdf": 80 << 10, "audio": 16 << 10, "video": 256 << 10}
 MAX_ATTEMPTS, ALPHA = 3, 0.2
+# Seconds a unit before any was measured.
+USUAL_RATES = {"markdown": 0.3, "code": 0.3, "pdf": 1.0, "image": 1.0, "audio": 0.05, "video": 0.5}
 #: Note of an image that is indexed with the document that shows it.
 LINKED = "indexed with the document that shows it"
 
@@ -189,12 +191,21 @@ def upsert_latest(rows: DataFrame, key: str, order: str, tie: str) -> DataFrame:
     return rows.withColumns({"_n": F.row_number().over(latest), "hits": F.count("*").over(Window.partitionBy(key))}).where("_n = 1").drop("_n")
 
 
-def evict(cache: DataFrame, oldest: Column, most: int) -> DataFrame:
-    """The cache without rows used before `oldest`, then without the least used, oldest first, beyond `most` rows."""
-    fresh = cache.where(F.col("last_used") >= oldest)
+def evict(cache: DataFrame, oldest: Column | None, most: int) -> DataFrame:
+    """The cache without rows used before `oldest` (None: rows don't age), then without the least used, oldest first, beyond `most` rows."""
+    fresh = cache if oldest is None else cache.where(F.col("last_used") >= oldest)
     return fresh.orderBy(F.desc("hits"), F.desc("last_used"), F.desc("key")).limit(most)
 
 
+def put_cached(cache: DataFrame, fresh: DataFrame, now: Column) -> DataFrame:
+    """The cache (space, query, vector, hits, last_used) with the vectors of `fresh` (space, query, vector); known queries keep their hits."""
+    own = fresh.dropDuplicates(["space", "query"]).select("space", "query", F.col("vector").alias("_v"))
+    known = cache.join(own, ["space", "query"], "full")
+    came = F.col("_v").isNotNull()
+    told = {"vector": F.coalesce("_v", "vector"), "hits": F.coalesce("hits", F.lit(0)), "last_used": F.when(came, now).otherwise(F.col("last_used"))}
+    return known.withColumns(told).select(*cache.columns)
+
+
 def work_cost(kind: Column, size: Column) -> Column:
     unit = F.lit(None).cast("double")
     for name, n in UNIT_BYTES.items():
@@ -202,6 +213,138 @@ def work_cost(kind: Column, size: Column) -> Column:
     return F.when(kind == "image", 1.0).otherwise(F.greatest(F.lit(1.0), size / unit))
 
 
-def moving_rate(samples: Column) -> Column:
-    """Exponentially weighted mean of an ordered array; the first value starts it."""
-    return F.aggregate(F.slice(samples, F.lit(2), F.size(samples)), F.get(samples, F.lit(0)), lambda a, x: a * (1 - ALPHA) + x * ALPHA)
+def moving_rates(samples: DataFrame, key: str, at: str, tie: str, value: str, known: DataFrame | None = None) -> DataFrame:
+    """`key`, samples, rate: the exponentially weighted mean of all samples of a key in order of time; the first one starts it, or the
+    rate in `known` (`key`, rate).
+
+    The samples of an hour are folded to their number and their part in the mean, and the hours of a key then: a mean of n
+    more samples is the one before times (1 - ALPHA) ** n, plus their part. So no task gets all samples of a key.
+    """
+    one = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.col(value).cast("double").alias("value"))
+    hours = samples.groupBy(key, F.date_trunc("hour", at).alias("_hour")).agg(F.array_sort(F.collect_list(one)).alias("_own"))
+    part = F.aggregate("_own", F.lit(0.0), lambda a, x: a * (1 - ALPHA) + x["value"] * ALPHA)
+    step = F.struct("_hour", F.size("_own").cast("long").alias("n"), part.alias("part"), F.get("_own", F.lit(0))["value"].alias("first"))
+    all_hours = hours.groupBy(key).agg(F.array_sort(F.collect_list(step)).alias("_h"))
+    start = F.get("_h", F.lit(0))["first"]
+    if known is not None:
+        all_hours = all_hours.join(known.select(key, F.col("rate").alias("_known")), key, "left")
+        start = F.coalesce("_known", start)
+    rate = F.aggregate("_h", start, lambda a, x: a * F.pow(F.lit(1 - ALPHA), x["n"]) + x["part"])
+    return all_hours.select(key, F.aggregate("_h", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("samples"), rate.alias("rate"))
+
+
+def rate_of(kind: Column, measured: Column) -> Column:
+    """Seconds a unit: as measured, else the usual ones of the kind."""
+    usual = F.lit(1.0)
+    for name, seconds in USUAL_RATES.items():
+        usual = F.when(kind == name, seconds).otherwise(usual)
+    return F.coalesce(measured, usual)
+
+
+def progress(jobs: DataFrame, rates: DataFrame) -> DataFrame:
+    """percent, eta: how much of the work of all jobs is done, by cost, and the seconds that the rest takes.
+
+    `jobs` has kind, cost and done, the share that is done of each (0 to 1); `rates` kind and rate, seconds a unit, where measured.
+    """
+    share = F.least(F.greatest("done", F.lit(0.0)), F.lit(1.0))
+    met = jobs.join(rates.select("kind", "rate"), "kind", "left")
+    left = F.col("cost") * (1 - share) * rate_of(F.col("kind"), F.col("rate"))
+    percent = F.least(F.lit(100.0), 100 * F.sum(F.col("cost") * share) / F.sum("cost"))
+    return met.agg(F.coalesce(percent, F.lit(100.0)).alias("percent"), F.coalesce(F.sum(left), F.lit(0.0)).alias("eta"))
+
+
+def list_documents(docs: DataFrame, status: str = "", kind: str = "") -> DataFrame:
+    """Documents in order of path; an empty status or kind is any."""
+    wanted = docs.where(F.col("status") == status) if status else docs
+    return (wanted.where(F.col("kind") == kind) if kind else wanted).orderBy("path")
+
+
+def with_pair_path(docs: DataFrame) -> DataFrame:
+    """`docs` with pair_path, the path of the other document of a pair."""
+    other = docs.select(F.col("document_id").alias("_other"), F.col("path").alias("pair_path"))
+    return docs.join(other, F.col("pair_id") == F.col("_other"), "left").drop("_other")
+
+
+def job_queue(jobs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Waiting jobs with path, kind and pair_path of their documents, the next one first."""
+    named = with_pair_path(docs).select("document_id", "path", "kind", "pair_path")
+    return job_order(jobs.where("state = 'queued'").join(named, "document_id"))
+
+
+def pair_count(docs: DataFrame) -> DataFrame:
+    """n: pairs, each of which its transcription counts."""
+    return docs.where("kind = 'markdown' and pair_id is not null").agg(F.count("*").alias("n"))
+
+
+def pair_warnings(texts: DataFrame, pdfs: DataFrame, found: DataFrame) -> DataFrame:
+    """path, warning of texts that could not be paired as they ask: missing (front matter names no PDF that is there), taken (another
+    text has it), several (PDFs of the text's name). See pairs() for the tables; `found` is its result."""
+    md = texts.select(F.col("path"), "source", "mirror").join(found.select(F.col("md_path").alias("path")), "path", "left_anti")
+    there = pdfs.select(F.col("path").alias("_pdf")).distinct()
+    names = pdfs.select(stem(F.col("path")).alias("_stem"), "path").groupBy("_stem").agg(F.count("*").alias("_n"), F.min("path").alias("_single"))
+    met = md.join(there, F.col("source") == F.col("_pdf"), "left").withColumn("_own", stem(F.col("path"))).join(names, F.col("_own") == F.col("_stem"), "left")
+    told = (
+        F.when(F.col("source").isNotNull() & F.col("_pdf").isNull(), "missing")
+        .when(F.col("source").isNotNull(), "taken")
+        .when(F.col("_n") > 1, "several")
+        .when(F.col("_n") == 1, "taken")
+    )
+    return met.select("path", told.alias("warning")).where("warning is not null")
+
+
+def insert_missing(rows: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` with those of `fresh` whose keys it lacks; of several with one key one comes in."""
+    return rows.unionByName(fresh.dropDuplicates(keys).join(rows.select(*keys), keys, "left_anti").select(*rows.columns))
+
+
+def enqueue_while(jobs: DataFrame, dirty: DataFrame, ids: DataFrame, switching: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Jobs and dirty documents (document_id) after those of `ids` are queued: they are dirty too while `switching` has a row."""
+    under_way = switching.limit(1).select(F.lit(1).alias("_on"))
+    marked = ids.select("document_id").crossJoin(under_way).select("document_id")  # one row at most
+    return enqueue(jobs, ids, now), insert_missing(dirty.select("document_id"), marked, ["document_id"])
+
+
+def claim(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Jobs with the waiting ones of `ids` running."""
+    own = ids.select("document_id").distinct().withColumn("_c", F.lit(True))
+    met = jobs.join(own, "document_id", "left")
+    return met.withColumn("state", F.when(F.col("_c") & (F.col("state") == "queued"), "running").otherwise(F.col("state"))).drop("_c")
+
+
+def requeued(jobs: DataFrame) -> DataFrame:
+    """Jobs with failed ones waiting again while attempts are left."""
+    again = (F.col("state") == "failed") & (F.col("attempts") < MAX_ATTEMPTS)
+    return jobs.withColumn("state", F.when(again, "queued").otherwise(F.col("state")))
+
+
+def skip_media(jobs: DataFrame, can: list[str]) -> DataFrame:
+    """`jobs` (document_id, kind) with status and note: those of sound or video that the model can't read are done, without chunks."""
+    skipped = F.col("kind").isin("audio", "video") & ~F.col("kind").isin(can)
+    return jobs.withColumns({"status": F.when(skipped, "done").otherwise("pending"), "note": F.when(skipped, F.concat(F.lit("no vectors of "), "kind"))})
+
+
+def skip_linked(jobs: DataFrame, links: DataFrame) -> DataFrame:
+    """document_id and note of the jobs (document_id, kind, path) of images that a document shows: done, without chunks of their own."""
+    shown = links.select(F.col("child_path").alias("path")).distinct()
+    return jobs.where("kind = 'image'").join(shown, "path", "left_semi").select("document_id", F.lit(LINKED).alias("note"))
+
+
+def mark_stale(docs: DataFrame, removed: list[str]) -> DataFrame:
+    """Documents with those below the removed folders, a handful, stale."""
+    below = F.lit(False)
+    for folder in removed:
+        below = below | folder_covers(F.lit(folder), F.col("path"))
+    return docs.withColumn("status", F.when(below, "stale").otherwise(F.col("status")))
+
+
+def consent_totals(jobs: DataFrame, by: str) -> DataFrame:
+    """`by`, n, images, pdf_bytes of the jobs (kind, bytes): what a service would be sent."""
+    sent = F.sum(F.when(F.col("kind") == "pdf", F.col("bytes")).otherwise(0.0))
+    return jobs.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "image").alias("images"), F.round(sent, 3).alias("pdf_bytes"))
+
+
+def frequencies_after(frequencies: DataFrame, post: DataFrame, lost: DataFrame) -> DataFrame:
+    """term, df_before, df_after: document frequencies once the chunks of `lost` (chunk_id) are gone; a term of none is left with 0."""
+    gone = post.join(lost.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("term").agg(F.count("*").alias("_gone"))
+    met = frequencies.select("term", F.col("df").alias("df_before")).join(gone, "term", "left")
+    return met.select("term", "df_before", (F.col("df_before") - F.coalesce("_gone", F.lit(0))).alias("df_after"))

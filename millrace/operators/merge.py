@@ -1,101 +1,165 @@
-"""Folds over ranked hits: order matters, so each query's hits are one short list."""
+"""Merges of ranked hits: a PDF with its transcription, and moments of one media file.
+
+Which hit takes which in depends on the order of ranks. A pass over the hits of one document, or pair of documents, names the
+host of each hit, the earlier one that it goes into; all else is grouping by host. Groups of different documents don't
+touch each other, so the pass runs over partitions sorted by query, document and rank, and holds one group's state.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from ..functions.text import clock
 
 #: Longest span of merged moments, in milliseconds.
 SPAN_MS = 60_000
 
 
-@dataclass
-class Hit:
-    doc: int
-    score: float
-    sim: float = 0.0
-    kw: bool = False
-    modality: str = "text"
-    kind: str = "markdown"
-    page: int = 0
-    pair: int = 0  # the other document of a pair, 0 for none
-    linked: bool = False
-    start: int = 0
-    end: int = 0
-    text: str = ""
-
-
-def merge_moments(hits: list[Hit]) -> list[Hit]:
-    """Later hits that overlap an earlier one of their document widen it, up to SPAN_MS."""
-    out: list[Hit] = []
-    for hit in hits:
-        at = next((i for i, o in enumerate(out) if hit.end > hit.start and o.end > o.start and o.doc == hit.doc and hit.start < o.end and o.start < hit.end and max(o.end, hit.end) - min(o.start, hit.start) <= SPAN_MS), None)
-        if at is None:
-            out.append(replace(hit))
-            continue
-        o = out[at]
-        o.start, o.end = min(o.start, hit.start), max(o.end, hit.end)
-        o.sim, o.kw = max(o.sim, hit.sim), o.kw or hit.kw
-        if o.modality != hit.modality:
-            o.modality = "audio+video"
-    return out
-
-
-def merge_pairs(hits: list[Hit]) -> list[Hit]:
-    """Hits of a PDF and its transcription on one page become one: the better one's rank, the PDF's page, the text's words."""
-    out: list[Hit] = []
-    by_page: dict[tuple[int, int], int] = {}
-    pdf_first: dict[int, int] = {}
-    text_first: dict[int, int] = {}
-    merged: set[int] = set()
-    for hit in hits:
-        if not hit.pair or hit.linked:
-            out.append(replace(hit))
-            continue
-        key = min(hit.doc, hit.pair)
-        at = None
-        if hit.page:
-            at = by_page.get((key, hit.page))
-            if at is not None and out[at].doc == hit.doc:
-                at = None
-            elif at is None and hit.kind == "pdf" and (loose := text_first.get(key)) is not None and loose not in merged:
-                at = loose
-        elif hit.kind != "pdf" and (loose := pdf_first.get(key)) is not None and loose not in merged:
-            at = loose
-        if at is not None and out[at].doc != hit.doc:
-            o = out[at]
-            pdf, text = (hit, o) if hit.kind == "pdf" else (o, hit)
-            out[at] = replace(o, page=pdf.page or o.page, text=text.text, modality=text.modality, sim=max(o.sim, hit.sim), kw=o.kw or hit.kw)
-            merged.add(at)
-            if out[at].page:
-                by_page.setdefault((key, out[at].page), at)
-            continue
-        out.append(replace(hit))
-        if hit.page:
-            by_page.setdefault((key, hit.page), len(out) - 1)
-        if hit.kind == "pdf":
-            pdf_first.setdefault(key, len(out) - 1)
-        elif not hit.page:
-            text_first.setdefault(key, len(out) - 1)
-    return out
-
-
-_FIELDS = ["doc", "score", "sim", "kw", "modality", "kind", "page", "pair", "linked", "start", "end", "text"]
-_SCHEMA = "query_id long, rank int, doc long, score double, sim double, kw boolean, modality string, kind string, page int, pair long, linked boolean, start long, end long, text string"
-
-
-def fold(hits: DataFrame, pairs: bool = True, moments: bool = True) -> DataFrame:
-    """Both folds over each query's hits (query_id, rank and the fields of Hit); a query has two pools of hits at most."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        listed = [Hit(**{f: r[f] for f in _FIELDS}) for r in group.sort_values("rank").to_dict("records")]
-        listed = merge_pairs(listed) if pairs else listed
-        listed = merge_moments(listed) if moments else listed
-        out = pd.DataFrame([vars(h) for h in listed], columns=_FIELDS)
-        out.insert(0, "rank", range(1, len(out) + 1))
-        out.insert(0, "query_id", group["query_id"].iloc[0])
-        return out
-
-    return hits.groupBy("query_id").applyInPandas(run, _SCHEMA)
+def moment_hosts(hits: Iterable[tuple[int, int, int]]) -> Iterator[int]:
+    """Hosts of (rank, start, end) of one file: the first result that overlaps and stays within SPAN_MS together with the hit."""
+    held: dict[int, tuple[int, int]] = {}
+    for rank, start, end in hits:
+        host = rank
+        if end > start:
+            joint = {r: (min(s, start), max(e, end)) for r, (s, e) in held.items() if s < end and start < e}
+            host = min((r for r, (s, e) in joint.items() if e - s <= SPAN_MS), default=rank)
+            held[host] = joint.get(host, (start, end))
+        yield host
+
+
+class PairHosts:
+    """Hosts for the hits of a PDF and its transcription."""
+
+    def __init__(self) -> None:
+        self.document: dict[int, int] = {}  # of each result, that of its first hit
+        self.page: dict[int, int] = {}  # of each result, 0 if not known
+        self.on_page: dict[int, int] = {}  # the latest result of a page
+        self.first: dict[bool, int] = {}  # the first result of the PDF, and of the transcription's text without pages
+        self.whole: set[int] = set()  # results that have both sides
+
+    def _find(self, document: int, is_pdf: bool, page: int) -> int | None:
+        beside = self.on_page.get(page) if page else None
+        if beside is not None and self.document[beside] != document:
+            return beside
+        if is_pdf != bool(page):  # a text's page without the other side's, or a PDF's hit without a page, stands alone
+            return None
+        loose = self.first.get(not is_pdf)
+        return None if loose in self.whole else loose
+
+    def host(self, rank: int, document: int, is_pdf: bool, page: int) -> int:
+        host = self._find(document, is_pdf, page)
+        if host is None:
+            host = rank
+            self.document[rank], self.page[rank] = document, page
+            if is_pdf or not page:
+                self.first.setdefault(is_pdf, rank)
+        else:
+            self.whole.add(host)
+            self.page[host] = self.page[host] or page
+        if self.page[host]:
+            self.on_page[self.page[host]] = host
+        return host
+
+
+def pair_hosts(hits: Iterable[tuple[int, int, bool, int]]) -> Iterator[int]:
+    """Hosts of (rank, document, whether it is the PDF, page) of one pair."""
+    pair = PairHosts()
+    return (pair.host(*hit) for hit in hits)
+
+
+def _with_hosts(hits: DataFrame, key: str, columns: list[str], hosts: Callable[[Iterable[tuple]], Iterator[int]]) -> DataFrame:
+    """`hits` with host, by `hosts` over the given columns of the rows of a query and key in order of rank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, feed, told = None, [], None
+        for batch in batches:
+            own = zip(*(batch.column(n).to_pylist() for n in ("query_id", key)), strict=True)
+            values = zip(*(batch.column(n).to_pylist() for n in columns), strict=True)
+            out = []
+            for named, value in zip(own, values, strict=True):
+                if named != group:
+                    group, feed = named, []
+                    told = hosts(feed.pop() for _ in iter(int, 1))  # one hit goes in, its host comes out
+                feed.append(value)
+                out.append(next(told))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, "host"])
+
+    dealt = hits.repartition("query_id", key).sortWithinPartitions("query_id", key, "rank")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema)
+    return dealt.mapInArrow(run, f"{fields}, host int")
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("host"))).drop("host")
+
+
+def _members(hits: DataFrame) -> DataFrame:
+    """query_id, host, m: the hits of each result in order of rank."""
+    rest = [c for c in hits.columns if c not in ("query_id", "host", "rank")]
+    return hits.groupBy("query_id", "host").agg(F.array_sort(F.collect_list(F.struct("rank", *rest))).alias("m"))
+
+
+def _first(column: str) -> Column:
+    return F.get(F.col("m"), F.lit(0))[column]
+
+
+def _all(column: str) -> Column:
+    return F.transform("m", lambda x: x[column])
+
+
+def merge_moments(hits: DataFrame) -> DataFrame:
+    """Hits of one media file whose ranges overlap become the best of them, widened to cover all, up to SPAN_MS.
+
+    `hits` has query_id, rank, doc, start, end (milliseconds, both 0 for none), sim, kw, modality, heading; other columns are those
+    of the best hit. The similarity is the largest, a keyword match that of any; a result of several modalities is
+    audio+video; the heading of a merged one is its span.
+    """
+    held = _members(_with_hosts(hits, "doc", ["rank", "start", "end"], moment_hosts))
+    start, end = F.array_min(_all("start")), F.array_max(_all("end"))
+    many = F.size("m") > 1
+    told = {
+        "start": start,
+        "end": end,
+        "sim": F.array_max(_all("sim")),
+        "kw": F.exists("m", lambda x: x["kw"]),
+        "modality": F.when(F.size(F.array_distinct(_all("modality"))) > 1, "audio+video").otherwise(_first("modality")),
+        "heading": F.when(many, F.concat(clock(start), F.lit("-"), clock(end))).otherwise(_first("heading")),
+    }
+    rows = held.select("query_id", "host", *(told.get(c, _first(c)).alias(c) for c in hits.columns if c not in ("query_id", "rank")))
+    return _ranked(rows).select(*hits.columns)
+
+
+def merge_pairs(hits: DataFrame) -> DataFrame:
+    """Hits of a PDF and its transcription that tell of one page become one: the better one's place, the PDF's page, the text's words.
+
+    `hits` has query_id, rank, doc, pair (the other document, 0 or null for none), linked (an image that a text shows), kind,
+    page (0 for none), path, sim, kw, modality, heading, text; other columns are those of the better hit. paired_path is added:
+    the path of the transcription in a merged result. An empty transcription leaves the PDF's text.
+    """
+    pair = F.coalesce("pair", F.lit(0))
+    alone = (pair == 0) | F.col("linked")
+    key = F.when(alone, -F.col("rank").cast("long")).otherwise(F.least("doc", "pair")).alias("_key")
+    keyed = hits.select("*", key, (F.col("kind") == "pdf").alias("_pdf"))
+    single = keyed.where("_key < 0").withColumn("host", F.col("rank").cast("int"))
+    held = _members(_with_hosts(keyed.where("_key >= 0"), "_key", ["rank", "doc", "_pdf", "page"], pair_hosts).unionByName(single))
+    # From the member on that comes after both sides are there, each one's words replace those before.
+    later = F.when(_first("_pdf"), F.slice("m", 2, F.size("m"))).otherwise(F.slice("m", 3, F.size("m")))
+    pdf = F.when(_first("_pdf") | (F.size("m") == 1), F.get("m", F.lit(0))).otherwise(F.get("m", F.lit(1)))
+    worded = F.filter(later, lambda x: F.coalesce(x["text"], F.lit("")) != "")
+    shown = F.when(F.size(worded) > 0, F.get(worded, F.size(worded) - 1)).otherwise(F.get("m", F.lit(0)))
+    several = F.size("m") > 1
+    told = {
+        "path": pdf["path"],
+        "kind": pdf["kind"],
+        "page": F.when(F.coalesce(pdf["page"], F.lit(0)) != 0, pdf["page"]).otherwise(_first("page")),
+        "sim": F.array_max(_all("sim")),
+        "kw": F.exists("m", lambda x: x["kw"]),
+        **{c: shown[c] for c in ("text", "heading", "modality")},
+    }
+    paired = F.when(several & (F.size(later) > 0), F.get(later, F.size(later) - 1)["path"]).when(several, _first("path"))
+    rows = held.select("query_id", "host", *(told.get(c, _first(c)).alias(c) for c in hits.columns if c not in ("query_id", "rank")), paired.alias("paired_path"))
+    return _ranked(rows).select(*hits.columns, "paired_path")

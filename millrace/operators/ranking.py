@@ -10,6 +10,7 @@ from ..functions import text as T
 # How far below the best an automatic cut keeps hits, how many weak hits are shown, and the ranks of labels.
 MARGIN, WEAK_SHOWN = 0.10, 3
 LEVELS = {3: "high", 2: "medium", 1: "low", 0: ""}
+NOTHING_SURE, ONLY_WEAK = "nothing matches as surely as asked", "only weak matches, likely of something else"
 
 
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame) -> DataFrame:
@@ -58,6 +59,20 @@ def by_confidence(hits: DataFrame, setting: str, strong: float, fair: float) ->
     return kept.where(~((F.col("_best") == 1) & (floor <= 1)) | (F.col("_i") <= WEAK_SHOWN)).drop("_best", "_top", "_i")
 
 
+def confidence_notices(hits: DataFrame, kept: DataFrame, strong: float | None, fair: float | None) -> DataFrame:
+    """query_id, notice: where a confidence setting has kept nothing of a query's hits, or only its weak ones are left to show."""
+    rated = hits.withColumn("level", level(F.col("sim"), F.col("kw"), strong, fair)).groupBy("query_id").agg(F.max("level").alias("_best"))
+    counts = kept.groupBy("query_id").agg(F.count("*").alias("_n"))
+    told = F.when(F.col("_best") == 0, None).when(F.col("_n").isNull(), NOTHING_SURE).when(F.col("_best") == 1, ONLY_WEAK)
+    return rated.join(counts, "query_id", "left").select("query_id", told.alias("notice")).where("notice is not null")
+
+
+def page_ranks(hits: DataFrame, page: str) -> DataFrame:
+    """query_id, `page`, rank: the pages of ranked hits, each once, in the order of their first hits."""
+    first = hits.groupBy("query_id", page).agg(F.min("rank").alias("_first"))
+    return first.select("query_id", page, F.row_number().over(Window.partitionBy("query_id").orderBy("_first", page)).alias("rank"))
+
+
 def first_k(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("_i", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("_i") <= k).drop("_i")
 

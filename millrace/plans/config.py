@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tomllib
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any
 
@@ -59,8 +61,6 @@ class Config:
 
 def seconds(duration: str) -> float:
     """A duration such as 720h or 1h30m, in seconds."""
-    import re
-
     parts = re.findall(r"(\d+(?:\.\d+)?)(ms|h|m|s)", duration.lstrip("-"))
     if "".join(a + b for a, b in parts) != duration.lstrip("-") or not duration:
         raise ValueError(f"{duration!r} is no duration")
@@ -90,37 +90,44 @@ def load(text: str) -> Config:
     return config
 
 
-def _path_problem(path: str) -> str | None:
-    if not path:
-        return "empty path"
-    if "\\" in path:
-        return "use forward slashes"
-    if path.startswith("/"):
-        return "must be relative"
-    return "must stay inside the corpus" if ".." in path.split("/") else None
+def _bad_path(path: str) -> str:
+    """What keeps a path from naming a place below the corpus, or nothing."""
+    steps = path.split("/")
+    faults = {"is blank": not path, "has a backslash": "\\" in path, "starts at the root": path[:1] == "/", "climbs out of the corpus": ".." in steps}
+    return next((told for told, wrong in faults.items() if wrong), "")
+
+
+def _bad_duration(told: str) -> str:
+    try:
+        return "" if seconds(told) >= 0 else "is negative"
+    except ValueError:
+        return "is no duration"
+
+
+def _range(low: int, high: float) -> Callable[[int], str]:
+    return lambda n: "" if low <= n <= high else f"lies outside {low} to {high:g}" if high < float("inf") else f"lies below {low}"
+
+
+#: Where a setting's values come from, and what may be wrong with one. The bounds.
+RULES: list[tuple[str, Callable[[Config], Iterable], Callable[[Any], str]]] = [
+    ("scan.folders", lambda c: c.scan.folders, _bad_path),
+    ("scan.keep", lambda c: c.scan.keep, _bad_path),
+    ("scan.kinds", lambda c: c.scan.kinds, lambda kind: "" if kind in KINDS else "is no kind"),
+    ("scan.ignore", lambda c: c.scan.ignore, lambda glob: "" if glob else "is blank"),
+    ("pairs", lambda c: [p for p in c.pairs if p.md and p.pdf], lambda p: next(filter(None, map(_bad_path, (p.md, p.pdf))), "")),
+    ("pairs", lambda c: c.pairs, lambda p: "" if p.md and p.pdf else "names one folder of two"),
+    ("chunk.tokens", lambda c: [c.chunk.tokens], _range(32, 8192)),
+    ("chunk.overlap", lambda c: [c.chunk.overlap], _range(0, float("inf"))),
+    ("chunk.overlap", lambda c: [c.chunk], lambda k: "" if k.overlap < k.tokens else "is no less than chunk.tokens"),
+    ("embed.dim", lambda c: [c.embed.dim], _range(1, float("inf"))),
+    ("cache.query_max", lambda c: [c.cache.query_max], _range(0, float("inf"))),
+    ("cache.query_ttl", lambda c: [c.cache.query_ttl], _bad_duration),
+]
 
 
 def problems(config: Config) -> list[str]:
     """All that is wrong with the settings, at once."""
-    paths = [("scan.folders", p) for p in config.scan.folders] + [("scan.keep", p) for p in config.scan.keep]
-    paths += [(f"pairs[{i}]", p) for i, pair in enumerate(config.pairs) if pair.md and pair.pdf for p in (pair.md, pair.pdf)]
-    out = [f"{where}: {p!r}: {wrong}" for where, p in paths if (wrong := _path_problem(p))]
-    out += [f"pairs[{i}]: both md and pdf are required" for i, pair in enumerate(config.pairs) if not (pair.md and pair.pdf)]
-    out += [f"scan.kinds: {k!r} is not one of {', '.join(KINDS)}" for k in config.scan.kinds if k not in KINDS]
-    if not 32 <= config.chunk.tokens <= 8192:
-        out.append("chunk.tokens must be between 32 and 8192")
-    if not 0 <= config.chunk.overlap < config.chunk.tokens:
-        out.append("chunk.overlap must be at least 0 and below chunk.tokens")
-    if config.embed.dim < 1:
-        out.append("embed.dim must be positive")
-    if config.cache.query_max < 0:
-        out.append("cache.query_max must be at least 0")
-    try:
-        if seconds(config.cache.query_ttl) < 0:
-            out.append("cache.query_ttl must be at least 0")
-    except ValueError as e:
-        out.append(f"cache.query_ttl: {e}")
-    return out
+    return [f"{name}: {value!r} {wrong}" for name, values, rule in RULES for value in values(config) if (wrong := rule(value))]
 
 
 def covers(folder: str, path: str) -> bool:

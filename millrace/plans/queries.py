@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +18,10 @@ from ..operators import merge
 from ..operators import ranking as R
 from ..sources import files as S
 from ..streaming.watch import quiet_bursts
+from ..sources.storage import exists, shared_folder
+from . import index as I
 from . import spaces
+from . import search as SE
 from .search import SearchOptions, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,8 +29,8 @@ ORACLE: dict[str, str] = {}
 
 #: Hits per query, dimension of hashed vectors, and thresholds of similarity on these tables.
 TOP, DIM, STRONG, FAIR = 10, 64, 0.75, 0.55
-#: Samples that a moving rate looks at; 0.8 ** 256 is about 1e-25.
-RATE_SAMPLES = 256
+#: Folders of the indexes that this process has built, by session and tables.
+_built: dict[tuple[str, str], str] = {}
 
 
 def query(sql: str | None = None):  # type: ignore[no-untyped-def]
@@ -52,6 +56,17 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return K.analyzed(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source"))
 
 
+def index(spark: SparkSession, d: str) -> I.Index:
+    """The index of the documents, each one chunk with a hashed vector. The first query that wants it builds it, below the shared
+    folder; those after it in the session search what is there."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _built or not exists(spark, _built[key]):
+        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        I.build(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source"), folder, DIM)
+        _built[key] = folder
+    return I.opened(spark, _built[key])
+
+
 def path() -> Column:
     return F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
 
@@ -92,7 +107,7 @@ def corpus_stats(spark, d):
 
 @query(f"WITH {_kw(TOP)} SELECT query_id, chunk_id, score, rank FROM kw")
 def bm25_topk(spark, d):
-    return K.keyword_hits(asked(spark, d), chunks(spark, d), TOP).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    return K.keyword_hits(asked(spark, d), index(spark, d).postings, TOP).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 _WHERE = "k.lang = 'en' AND k.source || '/' || k.lang || '/' || k.doc_id || '.md' GLOB 'src[1-9]*/en/*.md'"
@@ -102,12 +117,12 @@ _WHERE = "k.lang = 'en' AND k.source || '/' || k.lang || '/' || k.doc_id || '.md
 def bm25_filtered_topk(spark, d):
     docs = table(spark, d, "documents")
     allowed = docs.where((F.col("lang") == "en") & path().rlike(T.search_glob("src[1-9]*/en/*.md"))).select(F.col("doc_id").alias("chunk_id"))
-    return K.keyword_hits(asked(spark, d), chunks(spark, d), TOP, allowed).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    return K.keyword_hits(asked(spark, d), index(spark, d).postings, TOP, allowed).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_kw(5 * TOP)} SELECT query_id, count(*) AS hits, count(*) FILTER (WHERE kw) AS covered FROM kw GROUP BY query_id")
 def keyword_coverage(spark, d):
-    return K.keyword_hits(asked(spark, d), chunks(spark, d), 5 * TOP).groupBy("query_id").agg(F.count("*").alias("hits"), F.count_if("kw").alias("covered"))
+    return K.keyword_hits(asked(spark, d), index(spark, d).postings, 5 * TOP).groupBy("query_id").agg(F.count("*").alias("hits"), F.count_if("kw").alias("covered"))
 
 
 def _vectors(spark, d, dim=None):
@@ -176,9 +191,12 @@ hyb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 def _hybrid(spark, d, **options):
     """Hybrid search of all benchmark texts over all documents."""
-    own = chunks(spark, d).withColumn("vector", V.embed_tokens(F.col("tokens"), DIM))
-    questions = asked(spark, d).withColumn("vector", V.embed_tokens(T.tokens(F.col("text")), DIM))
-    return search(questions, own, SearchOptions(k=TOP, **options))
+    own = index(spark, d)
+    return search(_questions(spark, d), own.chunks, SearchOptions(k=TOP, **options), postings=own.postings)
+
+
+def _questions(spark, d):
+    return SE.embedded(asked(spark, d), lambda text: V.embed_tokens(T.tokens(text), DIM), DIM)
 
 
 @query(f"WITH {_hybrid_sql(5 * TOP)} SELECT query_id, chunk_id, round(score, 4) AS score, round(sim, 3) AS sim, kw, rank FROM hyb WHERE rank <= {TOP}")
@@ -244,39 +262,91 @@ b AS (SELECT *, regexp_extract(head, '(?s)^(.*)[ \\n]', 1) AS before FROM c)
 SELECT query_id, chunk_id, rank, CASE WHEN length(text) <= 200 THEN text WHEN octet_length(encode(before)) > 100 THEN before || '…' ELSE head || '…' END AS snippet FROM b"""
 )
 def final_topk_trim(spark, d):
-    hits = K.keyword_hits(asked(spark, d), chunks(spark, d), TOP)
+    hits = K.keyword_hits(asked(spark, d), index(spark, d).postings, TOP)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return hits.join(docs, "chunk_id").select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), T.trimmed(F.col("text"), 200).alias("snippet"))
 
 
 def _relevant(spark, d):
-    """Documents that hold a passage: a keyword match narrows them down, then the text is searched."""
-    questions = asked(spark, d).withColumnRenamed("text", "q")
-    rare = questions.select("query_id", "q", F.array_max(F.transform(F.array_distinct(T.tokens(F.col("q"))), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"].alias("w"))
-    words = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("w"))
-    return words.join(rare, "w").where("contains(text, q)").select("query_id", "chunk_id")
+    """Documents that hold a passage, in any case: postings of its rarest whole word narrow them down, then texts are searched.
+
+    The first and last token may be parts of words in a document, so they don't narrow; a passage without others meets every text.
+    """
+    questions = asked(spark, d).withColumn("q", F.lower("text"))
+    inner = F.slice(T.tokens(F.col("text")), 2, F.greatest(F.size(T.tokens(F.col("text"))) - 2, F.lit(0)))
+    words = questions.select("query_id", F.explode(F.array_distinct(inner)).alias("term"))
+    post, frequency = index(spark, d).postings.of(words.select("term").distinct())
+    rarest = words.join(frequency, "term").groupBy("query_id").agg(F.min(F.struct("df", "term"))["term"].alias("term"))
+    near = rarest.join(post.select("term", "chunk_id"), "term").select("query_id", "chunk_id")
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.lower("text").alias("t"))
+    met = near.join(questions, "query_id").join(texts, "chunk_id")
+    bare = questions.join(words.select("query_id").distinct(), "query_id", "left_anti").where("q <> ''")
+    return met.unionByName(bare.crossJoin(texts), allowMissingColumns=True).where("contains(t, q)").select("query_id", "chunk_id")
 
 
 @query(
-    f"""WITH {_kw(TOP)}, rel AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b, documents d WHERE contains(d.text, b.text)),
+    f"""WITH {_kw(TOP)}, rel AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b, documents d WHERE contains(lower(d.text), lower(b.text))),
 f AS (SELECT r.query_id, min(k.rank) AS first FROM rel r LEFT JOIN kw k USING (query_id, chunk_id) GROUP BY r.query_id)
 SELECT count(*) AS queries, round(avg(coalesce((first <= 1)::INT, 0)), 6) AS hit_at_1, round(avg(coalesce((first <= 5)::INT, 0)), 6) AS hit_at_5,
        round(avg(coalesce((first <= 10)::INT, 0)), 6) AS recall_at_10, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM f"""
 )
 def retrieval_metrics(spark, d):
-    return R.retrieval_metrics(K.keyword_hits(asked(spark, d), chunks(spark, d), TOP), _relevant(spark, d))
+    return R.retrieval_metrics(K.keyword_hits(asked(spark, d), index(spark, d).postings, TOP), _relevant(spark, d))
+
+
+@query(
+    f"""WITH {_kw(5 * TOP)}, rel AS (SELECT DISTINCT item_id AS query_id, source FROM benchmark b, documents d WHERE contains(lower(d.text), lower(b.text))),
+p AS (SELECT query_id, source, min(rank) AS first FROM kw JOIN toks ON doc_id = chunk_id GROUP BY ALL),
+k AS (SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY first, source) AS rank FROM p),
+f AS (SELECT r.query_id, min(k.rank) AS first FROM rel r LEFT JOIN k USING (query_id, source) GROUP BY r.query_id)
+SELECT count(*) AS queries, round(avg(coalesce((first <= 1)::INT, 0)), 6) AS hit_at_1, round(avg(coalesce((first <= 5)::INT, 0)), 6) AS hit_at_5,
+       round(avg(coalesce((first <= 10)::INT, 0)), 6) AS recall_at_10, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM f"""
+)
+def page_metrics(spark, d):
+    """Sources as pages: several hits of one source are one."""
+    sources = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
+    hits = R.page_ranks(K.keyword_hits(asked(spark, d), index(spark, d).postings, 5 * TOP).join(sources, "chunk_id"), "source").withColumnRenamed("source", "chunk_id")
+    relevant = _relevant(spark, d).join(sources, "chunk_id").select("query_id", F.col("source").alias("chunk_id")).distinct()
+    return R.retrieval_metrics(hits, relevant)
 
 
+# Two sets of vectors of each pair of neighbours: whole ones of one against those of the other cut to half their length.
 @query(
-    f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS a, {_FIT32} AS b FROM embeddings),
-s AS (SELECT vec_id, round(list_cosine_similarity(a[1:32], b), 6) AS sim, label FROM v JOIN embeddings USING (vec_id))
-SELECT label::INT AS label, count(*) AS n, min(sim) AS least, round(avg(sim), 6) AS mean FROM s GROUP BY label"""
+    """WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT round(list_cosine_similarity(x.e[1:32], y.e[33:64]), 6) AS sim FROM a x JOIN a y USING (vec_id)),
+o AS (SELECT sim, row_number() OVER (ORDER BY sim) - 1 AS i, count(*) OVER () AS n FROM s)
+SELECT max(n) AS n, min(sim) AS least, max(sim) FILTER (WHERE i = n // 10) AS p10, max(sim) FILTER (WHERE i = n // 2) AS median, round(avg(sim), 6) AS mean FROM o"""
 )
 def vector_parity(spark, d):
-    e = table(spark, d, "embeddings").select("label", F.slice("embedding", 1, 32).alias("a"), V.fit(F.col("embedding"), 32).alias("b"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    sim = F.round(dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b")), 6)
-    return e.withColumn("sim", sim).groupBy("label").agg(F.count("*").alias("n"), F.min("sim").alias("least"), F.round(F.avg("sim"), 6).alias("mean"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    half = lambda from_: e.select("id", F.slice("embedding", from_, 32).alias("vector"))
+    return V.parity(half(1), half(33))
+
+
+@query(f"WITH {_vec_sql(k=1)}, half AS (SELECT q.vec_id AS query_id, r.vec_id AS row_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e[1:32], r.e[1:32]), 6) DESC, r.vec_id) AS rank FROM v q, v r WHERE q.vec_id % 20 = 0 AND r.vec_id % 20 <> 0 QUALIFY rank = 1), "
+       "whole AS (SELECT q.vec_id AS query_id, r.vec_id AS row_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, r.e), 6) DESC, r.vec_id) AS rank FROM v q, v r WHERE q.vec_id % 20 = 0 AND r.vec_id % 20 <> 0 QUALIFY rank = 1) "
+       "SELECT count(*) AS n, count(*) FILTER (WHERE a.row_id = b.row_id) AS agree FROM whole a JOIN half b USING (query_id)")
+def vector_agreement(spark, d):
+    """Whether whole vectors and those cut to half their length have the same nearest one, the queries themselves aside."""
+    found = []
+    for rows in (_vectors(spark, d), _vectors(spark, d, 32)):
+        found.append(V.search(rows.where("row_id % 20 = 0").select(F.col("row_id").alias("query_id"), "vector"), rows.where("row_id % 20 <> 0"), 1))
+    return V.top_agreement(*found)
+
+
+@query("SELECT vec_id, len(embedding) * 4 AS bytes, embedding[1]::DOUBLE AS first, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
+def vector_codec(spark, d):
+    """Vectors to bytes and back."""
+    e = table(spark, d, "embeddings").select("vec_id", V.encoded(F.col("embedding")).alias("blob"))
+    back = e.select("vec_id", F.octet_length("blob").cast("long").alias("bytes"), V.decoded(F.col("blob")).alias("v"))
+    return back.select("vec_id", "bytes", F.get("v", F.lit(0)).cast("double").alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
+
+
+@query("SELECT vec_id, len(embedding) AS dim, len(embedding) >= 32 AS fits FROM embeddings")
+def vector_dims(spark, d):
+    """Vectors of the stated length, and whether they can be cut to 32: one of another length would end the query."""
+    e = table(spark, d, "embeddings").select("vec_id", V.of_length(F.col("embedding"), 64).alias("v"))
+    return e.select("vec_id", F.size("v").cast("long").alias("dim"), V.fit(F.col("v"), 32).isNotNull().alias("fits"))
 
 
 _WORDS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\x{0B}\x{85}\p{Z}]+'), lambda w: w <> ''))"
@@ -335,21 +405,44 @@ def pdf_units(spark, d):
     return unit(texts, "text").unionByName(unit(pages, "pdf_page"))
 
 
-@query(r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '<img [^>]*alt="([^"]*)"[^>]*>', '\1', 'g'), '(?m)^\[[^\]]+\]:[^\n]*$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) AS digest FROM pages""")
+_MARKDOWN = "'![a pic](x/' || n_chars || '.png \"t\")' || chr(10) || chr(10) || chr(10) || chr(10) || '<img class=x alt=\"tagged\" src=y>' || chr(10) || text || chr(10) || '[ref]: http://a/' || doc_id || chr(10) || 'see [1]: no' || chr(10)"
+
+
+@query(rf"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_MARKDOWN}, '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '<img [^>]*alt="([^"]*)"[^>]*>', '\1', 'g'), '(?m)^\[[^\]]+\]:[^\n]*$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'))) AS digest FROM documents""")
 def text_cleanup(spark, d):
-    return table(spark, d, "pages").select("page_id", F.sha2(T.clean_markdown(F.col("html")), 256).alias("digest"))
+    docs = table(spark, d, "documents")
+    id_, n = F.col("doc_id").cast("string"), F.col("n_chars").cast("string")
+    text = F.concat(F.lit("![a pic](x/"), n, F.lit('.png "t")\n\n\n\n<img class=x alt="tagged" src=y>\n'), "text", F.lit("\n[ref]: http://a/"), id_, F.lit("\nsee [1]: no\n"))
+    return docs.select("doc_id", F.sha2(T.clean_markdown(text), 256).alias("digest"))
+
+
+@query("SELECT doc_id, sha256(trim(regexp_replace(translate(chr(2) || text || chr(1) || chr(31) || ' ', chr(2), '-'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'))) AS digest FROM documents")
+def page_cleanup(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.clean_page(F.concat(F.lit("\x02"), "text", F.lit("\x01\x1f "))), 256).alias("digest"))
 
 
-@query("SELECT page_id, CASE WHEN contains(html, chr(0)) THEN 'binary' WHEN trim(html) = '' THEN 'empty' WHEN octet_length(encode(html)) > len(string_split(html, chr(10))) * 300 THEN 'minified' END AS problem FROM pages")
+# Pages as code: cut to lines at some tags, every seventh is line breaks alone, every eleventh has a NUL.
+_CODE = "(SELECT page_id, CASE WHEN page_id % 7 = 0 THEN chr(10) || ' ' || chr(10) WHEN page_id % 11 = 0 THEN html || chr(0) WHEN page_id % 2 = 0 THEN replace(html, '</p>', '</p>' || chr(10)) || chr(10) ELSE html END AS t FROM pages)"
+
+
+def _code(spark, d):
+    html = F.col("html")
+    text = F.when(F.col("page_id") % 7 == 0, "\n \n").when(F.col("page_id") % 11 == 0, F.concat(html, F.lit("\x00"))).when(F.col("page_id") % 2 == 0, F.concat(F.replace(html, F.lit("</p>"), F.lit("</p>\n")), F.lit("\n"))).otherwise(html)
+    return table(spark, d, "pages").select("page_id", "url", text.alias("text"))
+
+
+@query(f"SELECT page_id, CASE WHEN contains(t, chr(0)) THEN 'binary' WHEN octet_length(encode(t)) // (len(string_split(t, chr(10))) - ends_with(t, chr(10))::INT) > 300 THEN 'minified' WHEN NOT regexp_matches(t, '\\S') THEN 'empty' END AS problem FROM {_CODE}")
 def code_reject(spark, d):
-    return table(spark, d, "pages").select("page_id", S.code_problem(F.col("html")).alias("problem"))
+    return _code(spark, d).select("page_id", S.code_problem(F.col("text").cast("binary")).alias("problem"))
 
 
-@query("SELECT doc_id, doc_id || '.md > ' || lang AS title, sha256(lang || chr(10) || chr(10) || text) AS input, translate(source || '-' || lang || '_x', '-_', '  ') AS name FROM documents")
+@query("""SELECT doc_id, doc_id || '.md' || CASE WHEN lang = 'fr' THEN '' ELSE ' > ' || lang END AS title,
+sha256(CASE WHEN source = 'src1' THEN (n_chars - 1)::VARCHAR ELSE CASE WHEN lang = 'fr' THEN '' WHEN source = 'src2' THEN lang || ': ' ELSE lang || chr(10) || chr(10) END || text END) AS input, translate(source || '-' || lang || '_x', '-_', '  ') AS name FROM documents""")
 def embed_input(spark, d):
-    title = F.concat(S.base_name(path()), F.lit(" > "), F.col("lang"))
-    body = F.sha2(F.concat("lang", F.lit("\n\n"), "text"), 256)
-    return table(spark, d, "documents").select("doc_id", title.alias("title"), body.alias("input"), F.translate(F.concat("source", F.lit("-"), "lang", F.lit("_x")), "-_", "  ").alias("name"))
+    modality = F.when(F.col("source") == "src1", "pdf_page").when(F.col("source") == "src2", "image").otherwise("text")
+    units = table(spark, d, "documents").select("doc_id", path().alias("path"), modality.alias("modality"), F.when(F.col("lang") != "fr", F.col("lang")).alias("heading_path"), "text", F.col("n_chars").alias("page"), "source", "lang")
+    name = S.file_words(F.concat(F.lit("a-b/"), "source", F.lit("-"), "lang", F.lit("_x.tar")))
+    return SE.embedding_input(units).select("doc_id", "title", F.sha2("input", 256).alias("input"), name.alias("name"))
 
 
 _PATH = "source || '/' || lang || '/' || doc_id || '.md'"
@@ -463,11 +556,16 @@ def link_reassign(spark, d):
 
 @query(f"WITH {_BASE}, lost AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT term, count(*) AS df_before, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM lost)) AS df_after FROM post GROUP BY term")
 def delete_cascade(spark, d):
-    post = K.postings(chunks(spark, d))
-    lost = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("chunk_id")).distinct()
-    before = K.document_frequencies(post).withColumnRenamed("df", "df_before")
-    gone = post.join(lost, "chunk_id", "left_semi").groupBy("term").agg(F.count("*").alias("_gone"))
-    return before.join(gone, "term", "left").select("term", "df_before", (F.col("df_before") - F.coalesce("_gone", F.lit(0))).alias("df_after"))
+    own = index(spark, d).postings
+    return M.frequencies_after(own.terms, own.post, table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("chunk_id")))
+
+
+@query(f"WITH {_BASE}, n AS (SELECT doc_id, {_tok('lang')} AS t FROM documents WHERE source = 'src1'), a AS (SELECT doc_id, t FROM toks WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT doc_id, t FROM n), g AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS term FROM a) GROUP BY term) SELECT term, df, s.n, s.total FROM g, (SELECT count(*) FILTER (WHERE len(t) > 0) AS n, sum(len(t))::BIGINT AS total FROM a) s")
+def replace_postings(spark, d):
+    """Stored postings after the chunks of one source were replaced, their frequencies and totals adjusted instead of counted anew."""
+    docs = table(spark, d, "documents").where("source = 'src1'").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("text"))
+    after = index(spark, d).postings.replaced(docs, K.analyzed(docs))
+    return after.terms.crossJoin(after.totals).select("term", "df", F.col("n").cast("long").alias("n"), F.col("total").cast("long").alias("total"))
 
 
 @query(f"WITH {_BASE}, n AS (SELECT doc_id, {_tok('lang')} AS t FROM documents WHERE source = 'src1'), a AS (SELECT doc_id, t FROM toks WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT doc_id, t FROM n) SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS term FROM a) GROUP BY term")
@@ -537,13 +635,13 @@ def folder_counts(spark, d):
 
 @query(f"SELECT doc_id, CASE WHEN starts_with({_PATH}, 'src1/') OR starts_with({_PATH}, 'src2/en/') THEN 'stale' ELSE 'done' END AS status FROM documents")
 def stale_mark(spark, d):
-    gone = S.folder_covers(F.lit("src1"), path()) | S.folder_covers(F.lit("src2/en"), path())
-    return table(spark, d, "documents").select("doc_id", F.when(gone, "stale").otherwise("done").alias("status"))
+    docs = table(spark, d, "documents").select("doc_id", path().alias("path"), F.lit("done").alias("status"))
+    return M.mark_stale(docs, ["src1", "src2/en"]).select("doc_id", "status")
 
 
 @query(f"SELECT source, count(*) AS n, sum(CASE WHEN {_KIND} = 'image' THEN 1 ELSE 0 END)::BIGINT AS images, round(sum(CASE WHEN {_KIND} = 'pdf' THEN octet_length(encode(text)) ELSE 0 END)::DOUBLE, 3) AS pdf_bytes FROM documents GROUP BY source")
 def consent_totals(spark, d):
-    return _jobs(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "image").alias("images"), F.round(F.sum(F.when(F.col("kind") == "pdf", F.col("bytes")).otherwise(0.0)), 3).alias("pdf_bytes"))
+    return M.consent_totals(_jobs(spark, d), "source")
 
 
 @query(
@@ -551,13 +649,19 @@ def consent_totals(spark, d):
 SELECT event_type, len(v) AS samples, round(list_reduce(v, lambda a, x: a * 0.8::DOUBLE + x * 0.2::DOUBLE), 6) AS rate FROM r"""
 )
 def ewma_rate(spark, d):
-    # a sample's weight falls by a fifth with each later one: before the last RATE_SAMPLES it is below a double's precision
+    rates = M.moving_rates(table(spark, d, "events"), "event_type", "ts", "event_id", "value")
+    return rates.select("event_type", "samples", F.round("rate", 6).alias("rate"))
+
+
+# A rate that was saved goes on, here that of every type but one.
+@query(
+    """WITH r AS (SELECT event_type, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY event_type)
+SELECT event_type, len(v) AS samples, round(list_reduce(list_prepend(CASE WHEN event_type = 'click' THEN v[1] ELSE 100.0 END, v), lambda a, x: a * 0.8::DOUBLE + x * 0.2::DOUBLE), 6) AS rate FROM r"""
+)
+def ewma_saved(spark, d):
     events = table(spark, d, "events")
-    latest = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    last = events.select("event_type", "ts", "event_id", "value").withColumn("_i", F.row_number().over(latest)).where(F.col("_i") <= RATE_SAMPLES)
-    rates = last.groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("v"))
-    counts = events.groupBy("event_type").agg(F.count("*").alias("samples"))
-    return rates.join(counts, "event_type").select("event_type", "samples", F.round(M.moving_rate(F.col("v")), 6).alias("rate"))
+    known = events.where("event_type <> 'click'").select("event_type", F.lit(100.0).alias("rate")).distinct()
+    return M.moving_rates(events, "event_type", "ts", "event_id", "value", known).select("event_type", "samples", F.round("rate", 6).alias("rate"))
 
 
 @query(f"WITH j AS (SELECT {_KIND} AS kind, octet_length(encode(text))::DOUBLE AS b FROM documents) SELECT kind, count(*) AS jobs, round(sum(CASE kind WHEN 'image' THEN 1.0::DOUBLE WHEN 'markdown' THEN greatest(1.0::DOUBLE, b / 4096) WHEN 'pdf' THEN greatest(1.0::DOUBLE, b / 81920) ELSE greatest(1.0::DOUBLE, b / 16384) END), 4) AS cost FROM j GROUP BY kind")
@@ -565,23 +669,63 @@ def progress_eta(spark, d):
     return _jobs(spark, d).groupBy("kind").agg(F.count("*").alias("jobs"), F.round(F.sum(M.work_cost(F.col("kind"), F.col("bytes"))), 4).alias("cost"))
 
 
-@query(f"SELECT doc_id AS document_id, {_KIND} IN ('audio') AS skipped FROM documents")
+_COST = "CASE kind WHEN 'image' THEN 1.0::DOUBLE WHEN 'markdown' THEN greatest(1.0::DOUBLE, b / 4096) WHEN 'pdf' THEN greatest(1.0::DOUBLE, b / 81920) ELSE greatest(1.0::DOUBLE, b / 16384) END"
+
+
+@query(f"""WITH j AS (SELECT {_KIND} AS kind, octet_length(encode(text))::DOUBLE AS b, (doc_id % 5) / 4.0::DOUBLE AS done FROM documents), c AS (SELECT *, {_COST} AS cost FROM j)
+SELECT round(100 * sum(cost * done) / sum(cost), 4) AS percent, round(sum(cost * (1 - done) * CASE kind WHEN 'markdown' THEN 2.5::DOUBLE WHEN 'pdf' THEN 1.0::DOUBLE WHEN 'audio' THEN 0.05::DOUBLE ELSE 1.0::DOUBLE END), 4) AS eta FROM c""")
+def work_progress(spark, d):
+    """A rate was measured for texts alone; the rest of the kinds take the usual time."""
+    jobs = _jobs(spark, d).select("kind", M.work_cost(F.col("kind"), F.col("bytes")).alias("cost"), ((F.col("document_id") % 5) / 4.0).alias("done"))
+    rates = table(spark, d, "region").limit(1).select(F.lit("markdown").alias("kind"), F.lit(2.5).alias("rate"))
+    return M.progress(jobs, rates).select(F.round("percent", 4).alias("percent"), F.round("eta", 4).alias("eta"))
+
+
+@query(f"SELECT doc_id AS document_id, CASE WHEN {_KIND} = 'audio' THEN 'done' ELSE 'pending' END AS status, CASE WHEN {_KIND} = 'audio' THEN 'no vectors of audio' END AS note FROM documents")
 def media_skip(spark, d):
-    return _jobs(spark, d).select("document_id", (~F.col("kind").isin("markdown", "pdf", "image", "code")).alias("skipped"))
+    return M.skip_media(_jobs(spark, d), ["text", "image"]).select("document_id", "status", "note")
 
 
 @query(f"WITH l AS (SELECT DISTINCT conv_id FROM conversations) SELECT doc_id AS document_id FROM documents WHERE {_KIND} = 'image' AND doc_id IN (SELECT conv_id FROM l)")
 def linked_skip(spark, d):
-    linked = table(spark, d, "conversations").select(F.col("conv_id").alias("document_id")).distinct()
-    return _jobs(spark, d).where("kind = 'image'").join(linked, "document_id", "left_semi").select("document_id")
+    links = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("child_path"))
+    return M.skip_linked(_jobs(spark, d).withColumn("path", F.col("document_id").cast("string")), links).select("document_id")
+
+
+# Results of all shapes, from turns: pages, moments that may start at 0, linked images, pairs, groups and labels.
+_ROWS = """(SELECT conv_id AS query_id, turn + 1 AS rank, length(text) / 8 AS score, CASE WHEN role = 'user' THEN 0 ELSE length(text) % 8 / 8 END AS sim, turn % 4 AS level, 'f' || conv_id AS path,
+turn % 3 AS page, CASE WHEN turn % 2 = 0 THEN 0 ELSE turn * 25000 END AS start_, CASE WHEN role = 'user' THEN 0 ELSE turn * 25000 + 30000 END AS end_, CASE WHEN turn = 0 THEN '' ELSE role END AS heading, text,
+CASE WHEN turn = 1 THEN 'md' ELSE '' END AS paired, CASE WHEN turn = 2 THEN 'up' END AS parent, turn % 2 AS chunks FROM conversations)"""
+
+
+def _rows(spark, d):
+    turns = table(spark, d, "conversations")
+    user, n, turn = F.col("role") == "user", F.char_length("text"), F.col("turn").cast("int")
+    start, end = F.when(turn % 2 == 0, 0).otherwise(turn * 25000), F.when(user, 0).otherwise(turn * 25000 + 30000)
+    return turns.select(
+        F.col("conv_id").alias("query_id"), (turn + 1).alias("rank"), (n / 8).alias("score"), F.when(user, 0.0).otherwise(n % 8 / 8).alias("sim"), (turn % 4).alias("level"), F.concat(F.lit("f"), F.col("conv_id").cast("string")).alias("path"),
+        F.lit("pdf").alias("kind"), F.lit("text").alias("modality"), (turn % 3).alias("page"), start.cast("long").alias("start"), end.cast("long").alias("end"), F.when(turn == 0, "").otherwise(F.col("role")).alias("heading"), "text",
+        F.when(turn == 1, "md").otherwise("").alias("paired_path"), F.when(turn == 2, "up").alias("parent_path"), (turn % 2).cast("long").alias("chunks"),
+    )
 
 
-@query(f"WITH {_vec_sql()} SELECT query_id, row_id, round(sim, 4)::VARCHAR AS score, CASE WHEN label = 0 THEN NULL ELSE label::VARCHAR END AS page FROM vec")
+@query(f"""SELECT query_id, rank::INT AS rank, score, CASE WHEN sim > 0 THEN sim END AS similarity, CASE level WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' END AS confidence, path, CASE WHEN page > 0 THEN page::INT END AS page,
+CASE WHEN end_ > 0 THEN start_::BIGINT END AS start_ms, CASE WHEN end_ > 0 THEN end_::BIGINT END AS end_ms, nullif(heading, '') AS heading_path, sha256(text) AS text, nullif(paired, '') AS paired_path, parent AS parent_path, CASE WHEN chunks > 0 THEN chunks::BIGINT END AS chunks,
+(5 + (sim > 0)::INT + (level > 0)::INT + (page > 0)::INT + 2 * (end_ > 0)::INT + (heading <> '')::INT + (paired <> '')::INT + (parent IS NOT NULL)::INT + (chunks > 0)::INT)::INT AS fields FROM {_ROWS}""")
 def result_json(spark, d):
-    rows = _vectors(spark, d)
-    hits = _self_search(rows, TOP).join(rows.select("row_id", "label"), "row_id")
-    told = hits.select("query_id", "row_id", F.to_json(F.struct(F.round("sim", 4).alias("score"), F.when(F.col("label") != 0, F.col("label")).alias("page"))).alias("j"))
-    return told.select("query_id", "row_id", F.get_json_object("j", "$.score").alias("score"), F.get_json_object("j", "$.page").alias("page"))
+    schema = "score double, similarity double, confidence string, path string, page int, start_ms long, end_ms long, heading_path string, text string, paired_path string, parent_path string, chunks long"
+    told = SE.result_json(_rows(spark, d)).select("query_id", "rank", F.from_json("json", schema).alias("j"), F.size(F.json_object_keys("json")).alias("fields"))
+    return told.select("query_id", "rank", "j.*", "fields").withColumn("text", F.sha2("text", 256))
+
+
+@query(f"""WITH t AS (SELECT *, trim(regexp_replace(text, '[\\s\\x{{0B}}\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS plain, {_CLOCK.format("start_::BIGINT")} || '-' || {_CLOCK.format("end_::BIGINT")} AS span FROM {_ROWS})
+SELECT query_id, rank::INT AS rank, concat_ws(chr(10), printf('%2d', rank::INT) || '. ' || path || CASE WHEN page > 0 THEN ', page ' || page ELSE '' END || CASE WHEN end_ > start_ THEN ', ' || span ELSE '' END || ' (' ||
+CASE WHEN level > 0 THEN CASE level WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END || ', similarity ' || printf('%.2f', round(sim::DOUBLE, 2)) ELSE 'score ' || printf('%.3f', score::DOUBLE) END || ')',
+'    shown in ' || parent, '    transcribed in ' || coalesce(nullif(paired, ''), CASE WHEN paired = '' THEN NULL END), CASE WHEN NOT end_ > start_ AND heading <> '' THEN '    ' || heading END,
+'    ' || CASE WHEN length(plain) > 220 THEN substring(plain, 1, 220) || '…' ELSE nullif(plain, '') END) AS lines FROM t""")
+def result_lines(spark, d):
+    rows = _rows(spark, d).withColumns({"paired_path": F.nullif("paired_path", F.lit("")), "sim": F.round("sim", 2)})
+    return SE.shown(rows)
 
 
 @query()
@@ -595,28 +739,69 @@ def code_chunks(spark, d):
     return C.chunk_code(pages.where(S.code_problem(F.col("text")).isNull()))
 
 
+# Titles with marks of all kinds; whether a small section joins the next, by whether both fit into a chunk.
+@query(
+    """WITH s AS (SELECT doc_id, lang || ' of ' || source || ' a*b link pic <x' AS title, n_chars % 7 AS n FROM documents), w AS (SELECT *, repeat('word ', 7 * n::INT + 2) AS body FROM s),
+j AS (SELECT *, greatest((length(trim(body)) + 3) // 4, ((7 * n + 2) * 4 + 2) // 3) AS size FROM w)
+SELECT doc_id AS document_id, 0 AS ord, title AS heading_path, CASE WHEN size < 16 THEN trim(body) || chr(10) || chr(10) || '## Next' || chr(10) || 'after' ELSE trim(body) END AS text, 0 AS page FROM j
+UNION ALL SELECT doc_id, 1, title || ' > Next', 'after', 0 FROM j WHERE size >= 16"""
+)
+def heading_sections(spark, d):
+    docs = table(spark, d, "documents")
+    body = F.expr("repeat('word ', cast(7 * (n_chars % 7) + 2 as int))")
+    text = F.concat(F.lit("# **"), "lang", F.lit("** _of_ `"), "source", F.lit("` a\\*b [link](u) ![pic](v) \\<x ##\n\n"), body, F.lit("\n\n## <b>Next</b>\nafter\n"))
+    found = C.chunk_documents(docs.select(F.col("doc_id").alias("document_id"), text.alias("text")), 64, 8)
+    return found.select("document_id", "ord", "heading_path", "text", "page")
+
+
 def _media_hits(spark, d):
-    """Ranked hits of media windows: per customer the windows of its orders, the dearest first."""
+    """Ranked hits of media windows: per customer the windows of its orders, the dearest first, each in the order of time."""
     own = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc"), "o_totalprice", F.posexplode(C.media_windows(F.round("o_totalprice").cast("long"))).alias("i", "w"))
     order = Window.partitionBy("query_id").orderBy(F.desc("o_totalprice"), "doc", "i")
-    kind = F.when(F.col("i") % 2 == 0, "video").otherwise("audio")
-    return own.select("query_id", F.row_number().over(order).alias("rank"), "doc", F.col("o_totalprice").alias("score"), (1.0 / (F.col("i") + 1)).alias("sim"), (F.col("i") == 0).alias("kw"), kind.alias("modality"), F.lit("video").alias("kind"), F.lit(0).alias("page"), F.lit(0).alias("pair"), F.lit(False).alias("linked"), F.col("w.start_ms").alias("start"), F.col("w.end_ms").alias("end"), F.lit("").alias("text"))
+    kind = F.when((F.col("i") % 2 == 0) | (F.col("doc") % 3 == 0), "video").otherwise("audio")
+    return own.select("query_id", F.row_number().over(order).alias("rank"), "doc", (1.0 / (F.col("i") + 1)).alias("sim"), (F.col("i") % 4 == 1).alias("kw"), kind.alias("modality"), F.lit("").alias("heading"), F.col("w.start_ms").alias("start"), F.col("w.end_ms").alias("end"))
 
 
-@query()
+# Windows overlap their neighbours, and two fit the longest span: those of an even place take in the next one, and a short last one.
+@query(
+    f"""WITH m AS (SELECT o_custkey AS query_id, o_orderkey AS doc, o_totalprice, round(o_totalprice)::BIGINT AS dur FROM orders),
+w AS (SELECT *, unnest(range(0, greatest(0, ceil((dur - 30000) / 25000.0))::BIGINT + 1)) AS i FROM m WHERE dur > 0),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o_totalprice DESC, doc, i) AS r, i * 25000 AS s, least(i * 25000 + 30000, dur) AS e, CASE WHEN i % 2 = 0 OR doc % 3 = 0 THEN 'video' ELSE 'audio' END AS modality FROM w),
+g AS (SELECT query_id, doc, min(r) AS r, max(1.0::DOUBLE / (i + 1)) AS sim, bool_or(i % 4 = 1) AS kw, CASE WHEN count(DISTINCT modality) > 1 THEN 'audio+video' ELSE min(modality) END AS modality, min(s) AS start, max(e) AS end_ms, count(*) AS n FROM h GROUP BY query_id, doc, CASE WHEN i % 2 = 0 AND i >= 2 AND e - (i - 2) * 25000 <= 60000 THEN i // 2 - 1 ELSE i // 2 END)
+SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank, round(sim, 6) AS sim, kw, modality, start, end_ms, CASE WHEN n > 1 THEN {_CLOCK.format("start")} || '-' || {_CLOCK.format("end_ms")} ELSE '' END AS heading FROM g"""
+)
 def merge_moments(spark, d):
-    return merge.fold(_media_hits(spark, d), pairs=False)
+    out = merge.merge_moments(_media_hits(spark, d))
+    return out.select("query_id", "doc", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"), "kw", "modality", "start", F.col("end").alias("end_ms"), "heading")
 
 
-@query()
+# Turns of a conversation as hits, the longest first: users' are pages of a PDF, assistants' those of its transcription, which in
+# every third conversation has no pages. There the first hits of both sides are one result, the host being the better one; and the
+# second hit of the other side than the host's, with the first one of the host's side after it.
+@query(
+    """WITH t AS (SELECT conv_id, turn, text, role = 'user' AS pdf, turn // 2 + 1 AS p FROM conversations WHERE role <> 'system' QUALIFY row_number() OVER (PARTITION BY conv_id, turn // 2, role ORDER BY turn) = 1),
+h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn, pdf) AS r, CASE WHEN pdf OR conv_id % 3 <> 0 THEN p ELSE 0 END AS page FROM t),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, pdf ORDER BY r) AS i, min(r) FILTER (WHERE NOT pdf) OVER c < min(r) FILTER (WHERE pdf) OVER c AS md_leads FROM h WINDOW c AS (PARTITION BY conv_id)),
+x AS (SELECT *, max(CASE WHEN i = 2 AND pdf = md_leads THEN r END) OVER (PARTITION BY conv_id) AS x FROM n),
+y AS (SELECT *, min(CASE WHEN pdf <> md_leads AND r > x THEN r END) OVER (PARTITION BY conv_id) AS y FROM x),
+k AS (SELECT *, CASE WHEN conv_id % 3 <> 0 THEN 'p' || p WHEN i = 1 THEN 'first' WHEN y IS NOT NULL AND r IN (x, y) THEN 'second' ELSE 'r' || r END AS g FROM y),
+m AS (SELECT conv_id, min(r) AS r, max(page) AS page, max(round(1.0::DOUBLE / r, 6)) AS sim, bool_or(pdf) AS kw, count(*) AS n, bool_or(pdf) AS has_pdf,
+      max(CASE WHEN NOT pdf THEN text END) AS md, max(CASE WHEN pdf THEN text END) AS own FROM k GROUP BY conv_id, g)
+SELECT conv_id AS query_id, row_number() OVER (PARTITION BY conv_id ORDER BY r) AS rank, page::INT AS page, sim, kw, CASE WHEN has_pdf THEN 'pdf' ELSE 'markdown' END AS kind, CASE WHEN has_pdf THEN 'x.pdf' ELSE 'x.md' END AS path,
+CASE WHEN n > 1 THEN 'x.md' END AS paired_path, CASE WHEN md IS NOT NULL THEN 'text' ELSE 'pdf_page' END AS modality, sha256(coalesce(md, own)) AS text FROM m"""
+)
 def merge_pairs(spark, d):
-    """Turns of a conversation as pages: users' of a PDF, assistants' of its transcription; conversations of a size are a query."""
-    turns = table(spark, d, "conversations")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.char_length("text")), "conv_id", "turn", "role")
+    turns = table(spark, d, "conversations").where("role <> 'system'").withColumn("p", F.floor(F.col("turn") / 2) + 1)
+    once = turns.withColumn("_n", F.row_number().over(Window.partitionBy("conv_id", "p", "role").orderBy("turn"))).where("_n = 1")
     pdf = F.col("role") == "user"
-    own = turns.withColumn("query_id", F.col("conv_id")).withColumn("rank", F.row_number().over(order))
-    hits = own.select("query_id", "rank", (F.col("conv_id") * 2 + pdf.cast("int") + 1).alias("doc"), (1.0 / F.col("rank")).alias("score"), F.lit(0.5).alias("sim"), pdf.alias("kw"), F.lit("text").alias("modality"), F.when(pdf, "pdf").otherwise("markdown").alias("kind"), F.when(pdf, F.col("turn") + 1).otherwise(0).cast("int").alias("page"), (F.col("conv_id") * 2 + 2 - pdf.cast("int")).alias("pair"), F.lit(False).alias("linked"), F.lit(0).alias("start"), F.lit(0).alias("end"), "text")
-    return merge.fold(hits, moments=False)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.char_length("text")), "turn", pdf)
+    rank = F.row_number().over(order)
+    hits = once.withColumn("query_id", F.col("conv_id")).select(
+        "query_id", rank.alias("rank"), (F.col("conv_id") * 2 + pdf.cast("int") + 1).alias("doc"), (F.col("conv_id") * 2 + 2 - pdf.cast("int")).alias("pair"), F.lit(False).alias("linked"), F.round(1.0 / rank, 6).alias("sim"), pdf.alias("kw"),
+        F.when(pdf, "pdf_page").otherwise("text").alias("modality"), F.when(pdf, "pdf").otherwise("markdown").alias("kind"), F.when(pdf | (F.col("conv_id") % 3 != 0), F.col("p")).otherwise(0).cast("int").alias("page"), F.when(pdf, "x.pdf").otherwise("x.md").alias("path"), F.lit("").alias("heading"), "text",
+    )
+    out = merge.merge_pairs(hits)
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "page", "sim", "kw", "kind", "path", "paired_path", "modality", F.sha2("text", 256).alias("text"))
 
 
 @query("SELECT event_type AS key, min(ts) AS from_ts, max(ts) + INTERVAL 20 SECOND AS to_ts, count(*) AS events FROM (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM (SELECT event_type, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 20 SECOND THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY event_type, burst")
@@ -728,3 +913,163 @@ def give_up_switch(spark, d):
     dirty = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("document_id"))
     out = spaces.cancelled(docs, held, dirty, F.lit("live"))
     return out.select("document_id", ((F.col("status") == "done") & (F.col("embed_id") == "live")).alias("live"), F.col("chunk_count").cast("int").alias("chunk_count"))
+
+
+# Chunks in full: French ones are shown as images of another path, Spanish ones are pages.
+_PLACE = f"CASE lang WHEN 'fr' THEN 'img/' || doc_id || '.png' ELSE {_PATH} END"
+
+
+def _full_chunks(spark, d):
+    own = index(spark, d).chunks
+    rows = own.select("*", F.col("chunk_id").alias("document_id"), F.when(F.col("lang") == "fr", "image").otherwise("text").alias("modality"), F.lit("").alias("heading_path"), F.when(F.col("lang") == "es", 3).otherwise(0).alias("page"), F.when(F.col("lang") == "fr", F.concat(F.lit("img/"), F.col("chunk_id").cast("string"), F.lit(".png"))).alias("source_path"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), path().alias("path"), F.lit("markdown").alias("kind"), F.lit(None).cast("long").alias("pair_id"))
+    return rows, docs
+
+
+_SHOWN = f"""SELECT query_id, place AS rank, score, 0.0::DOUBLE AS sim, {_PLACE} AS path, CASE lang WHEN 'fr' THEN 'image' ELSE 'markdown' END AS kind, CASE lang WHEN 'fr' THEN 'image' ELSE 'text' END AS modality, CASE lang WHEN 'es' THEN 3 ELSE 0 END AS page,
+CASE lang WHEN 'fr' THEN {_PATH} END AS parent_path, CASE WHEN length(text) <= 200 THEN text WHEN octet_length(encode(before)) > 100 THEN before || '…' ELSE head || '…' END AS text"""
+
+
+@query(
+    f"""WITH {_kw(5 * TOP, f"{_PLACE.replace('doc_id', 'k.doc_id').replace('lang', 'k.lang').replace('source', 'k.source')} GLOB 'img/*[02468].png'")},
+c AS (SELECT query_id, rank AS place, score, d.*, substring(text, 1, 200) AS head FROM kw JOIN documents d ON doc_id = chunk_id WHERE rank <= {TOP}), b AS (SELECT *, regexp_extract(head, '(?s)^(.*)[ \n]', 1) AS before FROM c)
+{_SHOWN} FROM b"""
+)
+def search_results(spark, d):
+    """Whole results of keyword search, filtered by modality and path."""
+    options = SearchOptions(k=0, mode="keyword", modalities=("image",), path_glob="img/*[02468].png", max_chars=200)
+    rows, _ = SE.search_documents(asked(spark, d), *_full_chunks(spark, d), options, index(spark, d).postings)
+    return rows.select("query_id", F.col("rank").cast("long").alias("rank"), "score", "sim", "path", "kind", "modality", "page", "parent_path", "text")
+
+
+@query(f"""WITH f AS (SELECT DISTINCT item_id AS query_id, item_id % 5 = 0 AS blank FROM benchmark)
+SELECT query_id, CASE WHEN blank THEN 'empty query' ELSE 'keywords only: the index holds vectors of a, not of b' END AS notice FROM f""")
+def search_notices(spark, d):
+    """Every fifth query is blank, and the queries' vectors are of another space."""
+    queries = asked(spark, d).withColumn("text", F.when(F.col("query_id") % 5 == 0, "  ").otherwise(F.col("text")))
+    return SE.search_documents(queries, *_full_chunks(spark, d), SearchOptions(k=1), index(spark, d).postings, ("a", "b"))[1]
+
+
+@query(
+    f"""WITH m AS (SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS audio, (o_custkey % 3 <> 0) AS sound, (o_custkey % 5 <> 0) AS sight, CASE WHEN o_custkey % 7 = 0 THEN 0 ELSE round(o_totalprice)::BIGINT END AS dur FROM orders),
+e AS (SELECT *, CASE WHEN dur <= 0 THEN 'no length' WHEN audio AND NOT sound THEN 'no audio track' WHEN NOT audio AND NOT sight THEN 'no video track' END AS error FROM m),
+u AS (SELECT *, unnest(CASE WHEN error IS NOT NULL THEN [NULL] WHEN audio THEN ['audio'] WHEN sound THEN ['video', 'audio'] ELSE ['video'] END) AS modality FROM e),
+w AS (SELECT *, unnest(CASE WHEN error IS NOT NULL THEN [NULL] ELSE range(0, greatest(0, ceil((dur - 30000) / 25000.0))::BIGINT + 1) END) * 25000 AS start_ms FROM u),
+s AS (SELECT *, least(start_ms + 30000, dur) AS end_ms FROM w)
+SELECT id AS document_id, modality, CASE WHEN error IS NULL THEN 'clip no ' || id END AS text, {_CLOCK.format("start_ms")} || '-' || {_CLOCK.format("end_ms")} AS heading_path, start_ms, CASE WHEN error IS NULL THEN end_ms END AS end_ms, error FROM s"""
+)
+def media_units(spark, d):
+    o = table(spark, d, "orders")
+    audio = F.col("o_orderkey") % 2 == 0
+    name = F.concat(F.lit("m/clip-no_"), F.col("o_orderkey").cast("string"), F.when(audio, ".mp3").otherwise(".mp4"))
+    length = F.when(F.col("o_custkey") % 7 == 0, 0).otherwise(F.round("o_totalprice")).cast("long")
+    files = o.select(F.col("o_orderkey").alias("document_id"), name.alias("path"), F.when(audio, "audio").otherwise("video").alias("kind"), length.alias("duration_ms"), (F.col("o_custkey") % 3 != 0).alias("has_audio"), (F.col("o_custkey") % 5 != 0).alias("has_video"))
+    return C.media_units(files).drop("path")
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'pdf_page' WHEN turn % 3 = 0 THEN 'image' ELSE 'text' END AS modality, role <> 'user' AND turn % 3 <> 0 AS embedded FROM conversations WHERE role <> 'user'")
+def capability_filter(spark, d):
+    kind = F.when(F.col("role") == "user", "pdf_page").when(F.col("turn") % 3 == 0, "image").otherwise("text")
+    return C.embeddable(table(spark, d, "conversations").select("conv_id", "turn", kind.alias("modality")), ["text", "audio"])
+
+
+@query("SELECT doc_id || '/a-' || lang || '_b.c.png' AS path, 'image' AS modality, 'a ' || lang || ' b.c' AS text FROM documents WHERE lang IN ('de', 'fr')")
+def image_units(spark, d):
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("/a-"), "lang", F.lit("_b.c"), F.when(F.col("lang").isin("de", "fr"), ".png").otherwise(".md"))
+    return S.image_units(table(spark, d, "documents").select(name.alias("path"), S.kind(name).alias("kind")))
+
+
+def _listed(spark, d):
+    docs = _paired_docs(spark, d)
+    return docs.withColumn("status", F.when(F.col("document_id") % 4 == 0, "stale").otherwise("done"))
+
+
+_LISTED = "(SELECT doc_id AS document_id, 'img/' || (doc_id % 97) || '.png' AS path, CASE WHEN lang = 'de' THEN 'image' WHEN doc_id % 2 = 1 THEN 'pdf' ELSE 'markdown' END AS kind, CASE WHEN doc_id % 4 = 0 THEN 'stale' ELSE 'done' END AS status, CASE WHEN lang <> 'de' THEN doc_id + 1 - 2 * (doc_id % 2) END AS pair_id FROM documents)"
+
+
+@query(f"SELECT document_id, path, kind, status FROM {_LISTED} WHERE status = 'done' AND kind = 'pdf'")
+def document_list(spark, d):
+    return M.list_documents(_listed(spark, d), "done", "pdf").select("document_id", "path", "kind", "status")
+
+
+@query(f"SELECT count(*) AS n FROM {_LISTED} WHERE kind = 'markdown' AND pair_id IS NOT NULL")
+def pair_count(spark, d):
+    return M.pair_count(_listed(spark, d))
+
+
+@query(f"SELECT l.document_id, l.path, l.kind, p.path AS pair_path FROM {_LISTED} l LEFT JOIN {_LISTED} p ON p.document_id = l.pair_id WHERE l.document_id % 3 = 0")
+def job_queue(spark, d):
+    docs = _listed(spark, d)
+    jobs = docs.select("document_id", F.when(F.col("document_id") % 3 == 0, "queued").otherwise("failed").alias("state"), F.lit(1).alias("enqueued_at"))
+    return M.job_queue(jobs, docs).select("document_id", "path", "kind", "pair_path")
+
+
+@query("SELECT doc_id AS document_id FROM documents WHERE source = 'src1' UNION SELECT doc_id FROM labels WHERE toxic = 1")
+def dirty_while_switching(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "source")
+    jobs = docs.select("document_id", F.lit("failed").alias("state"), F.lit(1).alias("attempts"), F.lit(1).alias("enqueued_at"))
+    toxic = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("document_id"))
+    return M.enqueue_while(jobs, docs.where("source = 'src1'").select("document_id"), toxic, table(spark, d, "region"), F.lit(2))[1]
+
+
+@query("SELECT doc_id AS document_id, CASE WHEN toxic = 1 AND lang = 'en' THEN 'running' WHEN lang = 'fr' THEN 'queued' WHEN lang = 'de' THEN 'failed' ELSE 'queued' END AS state FROM (SELECT d.doc_id, lang, max(toxic) AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.doc_id, lang)")
+def job_claims(spark, d):
+    """Waiting jobs of toxic documents are claimed; French ones failed twice and wait again, German ones failed for good."""
+    kind = F.when(F.col("lang").isin("fr", "de"), "failed").otherwise("queued")
+    jobs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "lang", kind.alias("state"), F.when(F.col("lang") == "fr", 2).otherwise(3).alias("attempts"))
+    toxic = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("document_id"))
+    out = M.requeued(M.claim(jobs.where("lang <> 'es'"), toxic)).unionByName(jobs.where("lang = 'es'"))
+    return out.select("document_id", "state")
+
+
+@query("SELECT doc_id AS document_id, CASE WHEN n_chars % 3 > 0 AND lang IN ('en', 'de') THEN 'done' ELSE 'pending' END AS status FROM documents")
+def revive(spark, d):
+    embed = F.when(F.col("lang") == "en", "a").when(F.col("lang") == "de", "b").when(F.col("lang") == "fr", "")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), M.revived_status(F.col("n_chars") % 3, embed).alias("status"))
+
+
+@query(
+    f"""WITH {_PAIRS}, n AS (SELECT doc_id, count(*) AS n FROM pdf GROUP BY doc_id)
+SELECT m.path AS path, CASE WHEN m.source IS NOT NULL AND p.path IS NULL THEN 'missing' WHEN m.source IS NOT NULL THEN 'taken' WHEN n.n > 1 THEN 'several' ELSE 'taken' END AS warning
+FROM md m LEFT JOIN pdf p ON p.path = m.source LEFT JOIN n ON n.doc_id = m.doc_id WHERE m.path NOT IN (SELECT md_path FROM paired) AND (m.source IS NOT NULL OR n.n >= 1)"""
+)
+def pair_warnings(spark, d):
+    texts, pdfs = _pairing(spark, d)
+    return M.pair_warnings(texts, pdfs, M.pairs(texts, pdfs))
+
+
+@query("SELECT item_id AS query_id, substring(text, 1, 24) AS text FROM benchmark")
+def clipped_input(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.clip(F.col("text"), 8).alias("text"))
+
+
+@query("SELECT DISTINCT source || '/' || lang AS path, 0 AS size FROM documents UNION ALL SELECT DISTINCT source || '/x', 1 FROM documents")
+def insert_or_ignore(spark, d):
+    docs = table(spark, d, "documents")
+    old = docs.select(F.concat_ws("/", "source", "lang").alias("path"), F.lit(0).alias("size")).dropDuplicates(["path"])
+    new = docs.select(F.explode(F.array(F.concat_ws("/", "source", "lang"), F.concat("source", F.lit("/x")))).alias("path"), F.lit(1).alias("size"))
+    return M.insert_missing(old, new, ["path"])
+
+
+@query("SELECT text AS query, CASE WHEN n % 2 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS first, (n % 3)::INT AS hits, CASE WHEN n % 2 = 0 THEN 9 ELSE 0 END AS last_used FROM (SELECT text, min(item_id) AS n FROM benchmark GROUP BY text) WHERE n % 2 = 0 OR n % 3 > 0")
+def cache_put(spark, d):
+    items = table(spark, d, "benchmark").groupBy("text").agg(F.min("item_id").alias("n"))
+    row = lambda vector, hits, at: [F.lit("s").alias("space"), F.col("text").alias("query"), F.array(F.lit(vector)).alias("vector"), hits.cast("int").alias("hits"), F.lit(at).alias("last_used")]
+    cache, fresh = items.where("n % 3 > 0").select(*row(1.0, F.col("n") % 3, 0)), items.where("n % 2 = 0").select(*row(2.0, F.lit(0), 9))
+    return M.put_cached(cache, fresh, F.lit(9)).select("query", F.get("vector", F.lit(0)).alias("first"), "hits", "last_used")
+
+
+@query(f"WITH h AS (SELECT doc_id, {_tok("source || ' ' || coalesce(text, '')")} AS t FROM documents) SELECT count(*) FILTER (WHERE len(t) > 0) AS n, round(avg(len(t)) FILTER (WHERE len(t) > 0), 6) AS average FROM h")
+def headed_stats(spark, d):
+    """Lengths of chunks whose headings count."""
+    own = K.analyzed(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("heading_path"), "text"))
+    return K.corpus_stats(own).select("n", F.round("average", 6).alias("average"))
+
+
+@query("SELECT DISTINCT path, 'src' || n AS folder FROM (SELECT source || '/' || lang || '/a.md' AS path, unnest(range(0, 12)) AS n FROM documents) WHERE starts_with(path, 'src' || n || '/')")
+def folder_overlap(spark, d):
+    """Files of overlapping folders, each once."""
+    files = table(spark, d, "documents").select(F.concat_ws("/", "source", "lang", F.lit("a.md")).alias("path"))
+    once = files.dropDuplicates(["path"])
+    folders = spark.range(12).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("folder"))  # the configured folders
+    return once.join(folders, S.folder_covers(F.col("folder"), F.col("path"))).select("path", "folder")

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import OtherSpace
+
 #: Room that a switch wants free, as a multiple of what it is thought to need.
 ROOM = 1.5
 #: Nullable columns that each version of the chunk table added.
@@ -63,10 +65,31 @@ def vectors_usable(live: str, asked: str, mode: str) -> bool:
     if live in ("", asked):
         return True
     if mode == "vector":
-        raise ValueError(f"the index holds vectors of {live}, not of {asked}")
+        raise OtherSpace(f"the index holds vectors of {live}, not of {asked}")
     return False
 
 
+def fitting(live: str, wanted: str, chunks: int) -> str:
+    """The space that writes go to: the wanted one adopts an index without one, or without chunks. OtherSpace if they differ."""
+    if live in ("", wanted) or chunks == 0:
+        return wanted
+    raise OtherSpace(f"the index holds vectors of {live}, not of {wanted}; rebuild it first")
+
+
+def written(live: str, building: str) -> list[str]:
+    """The spaces that a changed document's chunks are written to: the live one, and one under way, so that it misses nothing."""
+    return [live] if building in ("", live) else [live, building]
+
+
+def told_by(space: str) -> tuple[str, str, int]:
+    """Model, revision and dimension that a space's name, model@revision:dim, tells."""
+    rest, _, dim = space.rpartition(":")
+    model, _, revision = rest.rpartition("@")
+    if not (model and revision and dim.split("#")[0].isdigit()):
+        raise ValueError(f"{space!r} names no space")
+    return model, revision, int(dim.split("#")[0])
+
+
 def target(root: str, space: str, name: str) -> str:
     return f"{root}/space={space}/{name}"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ KINDS = {
     "audio": "mp3 wav m4a flac ogg".split(),
     "video": "mp4 mov mkv webm".split(),
 }
+#: Kinds that settings call otherwise.
+CONFIGURED = {"md": "markdown"}
 GENERATED = "package-lock.json yarn.lock pnpm-lock.yaml go.sum Cargo.lock poetry.lock".split()
 LARGEST_CODE = 1 << 20
 
@@ -73,10 +77,59 @@ def front_matter_source(text: Column) -> Column:
     return F.when((F.get(lines, F.lit(0)) == "---") & (F.size(found) > 0), F.btrim(value, F.lit("\"'")))
 
 
-def code_problem(text: Column) -> Column:
-    """Why a code file is not read, or null: NUL bytes, no text, lines of over 300 bytes in the mean."""
-    n_lines = F.size(F.split(text, "\n"))
-    return F.when(F.instr(text, "\x00") > 0, "binary").when(F.trim(text) == "", "empty").when(F.octet_length(text) > n_lines * 300, "minified")
+def code_problem(content: Column) -> Column:
+    """Why a code file (its text, or its bytes) is not read, or null: NUL bytes or no UTF-8, lines of 301 bytes or more in the mean,
+    nothing but white space. The line break at its end starts no line."""
+    text = content.cast("string")
+    n_lines = F.size(F.split(text, "\n")) - text.endswith("\n").cast("int")
+    return (
+        F.when((F.instr(text, "\x00") > 0) | ~F.is_valid_utf8(text), "binary")
+        .when((n_lines > 0) & (F.floor(F.octet_length(text) / n_lines) > 300), "minified")
+        .when(~text.rlike(r"(?U)\S"), "empty")
+    )
+
+
+def listing_of(spark: SparkSession, root: str, folders: list[str]) -> tuple[DataFrame, list[str]]:
+    """path (below root), size, mtime of the files of all folders, each once, and the folders that aren't there.
+
+    `folders` are the configured ones, a handful; "." is the root.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = lambda f: root if f == "." else f"{root}/{f}"
+    there = {f: jvm.org.apache.hadoop.fs.Path(place(f)) for f in folders}
+    found = [f for f, p in there.items() if p.getFileSystem(conf).exists(p)]
+    rows = spark.createDataFrame([], "path string, size long, mtime timestamp")
+    for f in found:
+        rows = rows.unionByName(listing(spark, place(f)))
+    return rows.withColumn("path", below(spark, root)).dropDuplicates(["path"]), [f for f in folders if f not in found]
+
+
+def below(spark: SparkSession, root: str, path: str = "path") -> Column:
+    """The place below `root` of a path that a listing gives."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
+    bare = F.regexp_replace(path, r"^[a-z0-9]+:(?://[^/]*)?/*", "/")
+    return F.regexp_replace(bare, "^" + re.escape(base), "")
+
+
+def in_scope(files: DataFrame, folders: list[str], ignore: list[str], enabled: list[str] | None = None) -> DataFrame:
+    """path, size, mtime, kind of the files (path, size, mtime) that a scan takes: of an enabled kind, not generated, and not ignored
+    within the folder that was asked for, which itself no rule hides. A file of several folders counts if one of them has it."""
+    asked = F.lit(False)
+    for folder in folders:
+        own = F.col("path") if folder == "." else F.when(F.col("path") == folder, base_name(F.col("path"))).otherwise(F.substring("path", len(folder) + 2, 1 << 20))
+        asked = asked | (folder_covers(F.lit(folder), F.col("path")) & ~ignored(own, ignore))
+    told = files.select("path", "size", "mtime", kind(F.col("path"), enabled).alias("kind")).where(F.col("kind").isNotNull() & asked)
+    return told.where((F.col("kind") != "code") | ~generated(F.col("path"), F.col("size")))
+
+
+def image_units(files: DataFrame) -> DataFrame:
+    """path, modality, text of image files: one unit each, named for keyword search."""
+    return files.where("kind = 'image'").select("path", F.lit("image").alias("modality"), file_words(F.col("path")).alias("text"))
+
+
+def file_words(path: Column) -> Column:
+    """A file's name as words: without extension, dashes and underscores as blanks."""
+    return F.translate(F.regexp_replace(base_name(path), r"\.[^.]*$", ""), "-_", "  ")
 
 
 def folder_covers(folder: Column, path: Column) -> Column:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+T = TypeVar("T")
+
+
 def watch(spark: SparkSession, rescan: Callable[[int], None], every: str = "2 seconds", checkpoint: str | None = None) -> StreamingQuery:
     """Call `rescan(batch)` at every trigger. `checkpoint` belongs in a folder that outlives the driver."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
@@ -16,6 +21,63 @@ def watch(spark: SparkSession, rescan: Callable[[int], None], every: str = "2 se
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 
+#: Seconds without a change before a rescan, and seconds after which one is made anyway.
+QUIET_S, SAFETY_S = 2.0, 600.0
+
+
+class Debounce:
+    """When to rescan: once a listing has stopped changing for a while, or has not been looked into for long.
+
+    `settings` reads the settings anew and `check` tells what is wrong with them; the last good ones stay in use.
+    """
+
+    def __init__(self, settings: Callable[[], T], check: Callable[[T], list[str]], quiet: float = QUIET_S, safety: float = SAFETY_S) -> None:
+        self.read, self.check, self.quiet, self.safety = settings, check, quiet, safety
+        self.settings = settings()
+        self.seen: object = None
+        self.changed_at: float | None = None
+        self.scanned_at: float | None = None
+        self.faults: list[str] = []
+
+    def due(self, mark: object, now: float) -> bool:
+        """Whether a tick at `now` that finds the folders in the state `mark` is one to rescan at."""
+        self._reload()
+        if mark != self.seen:
+            self.seen, self.changed_at = mark, now
+        waited = self.changed_at is not None and now - self.changed_at >= self.quiet
+        overdue = self.scanned_at is not None and now - self.scanned_at >= self.safety
+        if not (waited or overdue or self.scanned_at is None):
+            return False
+        self.changed_at, self.scanned_at = None, now
+        return True
+
+    def _reload(self) -> None:
+        try:
+            fresh = self.read()
+            self.faults = self.check(fresh)
+        except ValueError as e:
+            self.faults = [str(e)]
+        if not self.faults:
+            self.settings = fresh
+
+
+def listing_mark(files: DataFrame) -> tuple:
+    """The state of a listing (path, size, mtime) in one row: it differs where a file came, went or changed."""
+    hashed = F.xxhash64("path", "size", "mtime")
+    row = files.agg(F.count("*"), F.sum(hashed.cast("decimal(38,0)")), F.bit_xor(hashed)).first()
+    return tuple(row)
+
+
+def watch_folder(spark: SparkSession, listing: Callable[[], DataFrame], rescan: Callable[[T], None], debounce: Debounce, every: str = "1 second", checkpoint: str | None = None) -> StreamingQuery:
+    """Call `rescan` with the settings whenever the listing has changed and then been quiet, and at least every SAFETY_S."""
+
+    def tick(_: int) -> None:
+        if debounce.due(listing_mark(listing()), time.monotonic()):
+            rescan(debounce.settings)
+
+    return watch(spark, tick, every, checkpoint)
+
+
 def quiet_bursts(events: DataFrame, gap: str = "2 seconds", late: str = "10 minutes") -> DataFrame:
     """Bursts of change events per key, each ended by a quiet gap: key, from, to, events. For streams and tables alike."""
     marked = events.withWatermark("ts", late) if events.isStreaming else events

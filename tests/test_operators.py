@@ -11,8 +11,11 @@ from millrace.operators import keyword as K
 from millrace.operators import links as L
 from millrace.operators import maintain as M
 from millrace.operators import ranking as R
-from millrace.operators.merge import Hit, merge_moments, merge_pairs
-from millrace.plans import config, spaces
+from millrace.operators import merge
+from millrace.plans import config, errors, spaces
+from millrace.plans import index as I
+from millrace.plans import search as SE
+from millrace.plans.corpus import Corpus
 from millrace.plans.search import SearchOptions, search
 from millrace.sources import files as S
 
@@ -88,17 +91,39 @@ def test_code_chunks_cover_all_lines():
     assert {n for _, _, a, b in chunks for n in range(a, b + 1)} == set(range(1, 200))
 
 
-def test_merge_moments():
-    hits = [Hit(1, 0.9, 0.5, modality="video", start=0, end=30000), Hit(2, 0.8, start=0, end=30000), Hit(1, 0.7, 0.6, True, "audio", start=25000, end=55000), Hit(3, 0.6), Hit(1, 0.5, start=50000, end=80000)]
-    got = merge_moments(hits)
-    assert len(got) == 4 and (got[0].start, got[0].end, got[0].modality, got[0].sim, got[0].kw, got[0].score) == (0, 55000, "audio+video", 0.6, True, 0.9)
+def moments(spark, rows):
+    """(doc, start, end, sim, kw, modality) in order of rank."""
+    hits = spark.createDataFrame([(1, i + 1, d, s, e, x, k, m, "") for i, (d, s, e, x, k, m) in enumerate(rows)], "query_id long, rank int, doc long, start long, end long, sim double, kw boolean, modality string, heading string")
+    return [tuple(r)[1:] for r in merge.merge_moments(hits).orderBy("rank").collect()]
 
 
-def test_merge_pairs():
-    got = merge_pairs([Hit(1, 0.9, pair=2, text="md"), Hit(2, 0.8, 0.7, kind="pdf", page=1, pair=1, modality="pdf_page")])
-    assert [(h.doc, h.page, h.text, h.sim) for h in got] == [(1, 1, "md", 0.7)]
-    assert len(merge_pairs([Hit(1, 0.9, pair=2, page=1), Hit(1, 0.8, pair=2, page=1)])) == 2
-    assert len(merge_pairs([Hit(1, 0.9, pair=2, linked=True), Hit(2, 0.8, kind="pdf", page=1, pair=1)])) == 2
+def test_merge_moments(spark):
+    got = moments(spark, [(1, 0, 30000, 0.5, False, "video"), (2, 0, 30000, 0.1, False, "video"), (1, 25000, 55000, 0.6, True, "audio"), (3, 0, 0, 0.2, False, "text"), (1, 50000, 80000, 0.3, False, "video")])
+    assert got == [(1, 1, 0, 55000, 0.6, True, "audio+video", "0:00-0:55"), (2, 2, 0, 30000, 0.1, False, "video", ""), (3, 3, 0, 0, 0.2, False, "text", ""), (4, 1, 50000, 80000, 0.3, False, "video", "")]
+    # the first result that fits takes a hit in, even if a later one overlaps more; widened ranges count
+    assert [h[2:4] for h in moments(spark, [(1, 0, 20000, 0.0, False, "a"), (1, 30000, 50000, 0.0, False, "a"), (1, 15000, 40000, 0.0, False, "a"), (1, 35000, 60000, 0.0, False, "a")])] == [(0, 60000), (30000, 50000)]
+
+
+def pairs(spark, rows):
+    """(rank of the result, page, path, paired_path, text, modality) for hits (doc, kind, page, text); documents 1 and 2 are a pair."""
+    named = {1: "a.md", 2: "a.pdf", 3: "b.md"}
+    hits = spark.createDataFrame([(7, i + 1, d, {1: 2, 2: 1}.get(d, 0), d == 1 and k == "image", k, p, named[d], 0.1 * i, i == 1, "pdf_page" if k == "pdf" else "text", "h", t) for i, (d, k, p, t) in enumerate(rows)], "query_id long, rank int, doc long, pair long, linked boolean, kind string, page int, path string, sim double, kw boolean, modality string, heading string, text string")
+    return [(r["rank"], r["page"], r["path"], r["paired_path"], r["text"], r["modality"]) for r in merge.merge_pairs(hits).orderBy("rank").collect()]
+
+
+def test_merge_pairs(spark):
+    md, pdf = "markdown", "pdf"
+    assert pairs(spark, [(1, md, 0, "words"), (2, pdf, 1, "scan")]) == [(1, 1, "a.pdf", "a.md", "words", "text")]
+    assert len(pairs(spark, [(1, md, 1, "x"), (1, md, 1, "y"), (3, md, 1, "z")])) == 3
+    assert len(pairs(spark, [(1, "image", 0, "x"), (2, pdf, 1, "y")])) == 2  # a linked image goes by itself
+    # a page's hit of the same document is no host, so that it goes on to the text without pages
+    assert [r[1:4] for r in pairs(spark, [(2, pdf, 1, "a"), (1, md, 0, "b"), (1, md, 0, "c"), (2, pdf, 1, "d")])] == [(1, "a.pdf", "a.md"), (1, "a.pdf", "a.md")]
+    # of several hits of a page the latest takes the other side in
+    assert [r[4] for r in pairs(spark, [(2, pdf, 1, "first"), (2, pdf, 1, "second"), (1, md, 1, "said")])] == ["first", "said"]
+    # an empty transcription leaves the PDF's words
+    assert pairs(spark, [(2, pdf, 1, "scan"), (1, md, 1, "")]) == [(1, 1, "a.pdf", "a.md", "scan", "pdf_page")]
+    # a result that has both sides takes more of the later document's hits on its page
+    assert pairs(spark, [(1, md, 2, "one"), (2, pdf, 2, "two"), (2, pdf, 2, "three")]) == [(1, 2, "a.pdf", "a.pdf", "three", "pdf_page")]
 
 
 @pytest.mark.parametrize(("hits", "setting", "kept"), [([(0.8, False), (0.72, False)], "auto", [3, 2]), ([(0.8, False), (0.66, False), (0.66, True)], "auto", [3, 3]), ([(0.5, False)] * 5, "auto", [1, 1, 1]), ([(0.5, False)] * 5, "all", [1, 1, 1]), ([(0.7, False), (0.5, False)], "high", []), ([(0.7, True), (0.5, False)], "high", [3]), ([(0.0, False)] * 4, "auto", [0] * 4)])
@@ -108,7 +133,7 @@ def test_confidence(spark, hits, setting, kept):
 
 
 def test_search_modes(spark):
-    docs = K.analyzed(spark.createDataFrame([(1, "transformer attention heads"), (2, "bread and yeast"), (3, None)], "chunk_id long, text string")).withColumn("vector", V.embed_tokens(F.col("tokens"), 32))
+    docs = K.analyzed(spark.createDataFrame([(1, "attention of heads"), (2, "bread and yeast"), (3, None)], "chunk_id long, text string")).withColumn("vector", V.embed_tokens(F.col("tokens"), 32))
     ask = spark.createDataFrame([(7, "attention heads")], "query_id long, text string").withColumn("vector", V.embed_tokens(T.tokens(F.col("text")), 32))
     for mode in ("hybrid", "vector", "keyword"):
         assert search(ask, docs, SearchOptions(k=1, mode=mode)).first()["chunk_id"] == 1
@@ -123,11 +148,164 @@ def test_pairing_precedence(spark):
 
 
 def test_vector_search_in_blocks(spark, monkeypatch):
-    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "row_id long, vector array<float>")
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)] + [(99, None), (98, [0.0, 0.0, 0.0])], "row_id long, vector array<float>")
     asked = rows.where("row_id < 9").select(F.col("row_id").alias("query_id"), "vector")
     whole = sorted(map(tuple, V.search(asked, rows, 4).collect()))
-    monkeypatch.setattr(V, "QUERY_BYTES", 64)
-    assert sorted(map(tuple, V.search(asked, rows, 4).collect())) == whole
+    monkeypatch.setattr(V, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(V, "ROW_BLOCK", 7)
+    assert sorted(map(tuple, V.search(asked, rows, 4).collect())) == whole and len(whole) == 36
+    data = {r["row_id"]: np.array(r["vector"], float) for r in rows.where("row_id < 90").collect()}
+    cosine = lambda a, b: round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 6)
+    for q in range(9):
+        best = sorted(((-cosine(data[q], v), i) for i, v in data.items()))[:4]
+        assert [(r[1], r[3]) for r in whole if r[0] == q] == sorted((i, n + 1) for n, (_, i) in enumerate(best))
+    assert V.search(asked.where("false"), rows, 4).count() == 0 == V.search(asked, rows.where("false"), 4).count()
+
+
+def test_vectors_of_other_lengths_are_refused(spark):
+    ragged = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0, 0.0, 0.0]), (3, [1.0, 0.0, 0.0, 0.0])], "row_id long, vector array<float>")
+    four, two = (spark.createDataFrame([(1, v)], "query_id long, vector array<float>") for v in ([1.0, 0.0, 0.0, 0.0], [1.0, 0.0]))
+    for asked, rows in ((four, ragged), (two, ragged.where("row_id = 3")), (ragged.withColumnRenamed("row_id", "query_id"), four.withColumnRenamed("query_id", "row_id"))):
+        with pytest.raises(Exception, match="length"):
+            V.search(asked, rows, 2).collect()
+    with pytest.raises(Exception, match="length [35] instead of 4"):
+        ragged.select(V.of_length(F.col("vector"), 4)).collect()
+
+
+def test_postings_after_any_changes_are_those_made_anew(spark, tmp_path):
+    texts = {i: " ".join(f"w{(i * j) % 11}" for j in range(1, i % 5 + 2)) for i in range(20)} | {20: "", 21: "the"}
+    chunks = lambda held: K.analyzed(spark.createDataFrame(list(held.items()), "chunk_id long, text string"))
+    K.store(K.on_the_way(chunks(texts)), str(tmp_path / "k"))
+    found = K.stored(spark, str(tmp_path / "k"))
+    for gone, came in (([3, 4, 20], {3: "w1 new words", 30: "w2"}), ([0, 1, 2, 30], {}), ([], {40: "w3 w3"})):
+        texts = {i: t for i, t in texts.items() if i not in gone} | came
+        found = found.replaced(spark.createDataFrame([(g,) for g in gone], "chunk_id long"), chunks(came))
+        anew = K.on_the_way(chunks(texts))
+        for a, b in ((found.post.select("term", "chunk_id", "tf", "bm25_len"), anew.post.select("term", "chunk_id", "tf", "bm25_len")), (found.terms.select("term", "df"), anew.terms), (found.stats(), anew.stats())):
+            assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    ask = spark.createDataFrame([(1, "w1 w2 w3 absent")], "query_id long, text string")
+    assert K.keyword_hits(ask, found, 5).collect() == K.keyword_hits(ask, anew, 5).collect()
+    with pytest.raises(errors.NotBuilt):
+        I.opened(spark, str(tmp_path / "none"))
+
+
+def test_code_overlap_counts_joined_lines():
+    lines = "\n".join(["x" * 40] * 60) + "\n"
+    assert [(a, b) for _, _, a, b in C.code_chunks(lines, "a.py")] == [(1, 23), (21, 43), (41, 60)]
+    assert C.code_chunks("\n\n", "a.py") == [] and [c[1] for c in C.code_chunks("a\n\n", "a.py")] == ["a\n"]
+
+
+@pytest.mark.parametrize(("title", "words"), [("A `b*c` **d** _e_", "A b*c d e"), ("[x *y*](u) ![alt](v)", "x y alt"), ("snake_case 2 * 3 \\*", "snake_case 2 * 3 *"), ("<b>t</b> <http://a>", "t http://a"), ("", "")])
+def test_inline_text(title, words):
+    shown = C.inline_text(title)
+    assert shown.replace("  ", " ") == words.replace(" 2 * 3", " 2  3").replace("  ", " ") or shown == words
+
+
+def test_fences_end_with_their_own_kind():
+    assert C.markdown_sections("````\n```\n# no\n~~~\n````\n# yes\nx") == [("", "````\n```\n# no\n~~~\n````", 0), ("yes", "x", 0)]
+
+
+@pytest.mark.parametrize(("content", "problem"), [(b"a\n", None), (b"a\x00", "binary"), (b"\xff\xfe", "binary"), (b"\n \n\n", "empty"), (b"x" * 300 + b"\n", "minified"), (b"x" * 299 + b"\n", None), (b"x" * 300, None), (b"x" * 301, "minified")])
+def test_code_problem(spark, content, problem):
+    assert spark.createDataFrame([(bytearray(content),)], "c binary").select(S.code_problem(F.col("c")).alias("x")).first()["x"] == problem
+
+
+def test_debounce():
+    from millrace.streaming.watch import Debounce
+
+    told = {"v": 1}
+
+    def settings():
+        if told["v"] == "broken":
+            raise ValueError("cannot read")
+        return told["v"]
+
+    run = Debounce(settings, lambda v: ["bad"] if v == "bad" else [])
+    assert [run.due(m, t) for m, t in (("a", 0), ("b", 1), ("c", 2), ("c", 3), ("c", 4), ("c", 5), ("d", 6), ("d", 8.5), ("d", 700))] == [True, False, False, False, True, False, False, True, True]
+    for told["v"] in ("bad", "broken"):
+        run.due("d", 701)
+        assert run.settings == 1 and run.faults
+    told["v"] = 2
+    run.due("d", 702)
+    assert run.settings == 2 and not run.faults
+
+
+def test_spaces_that_writes_go_to():
+    assert spaces.fitting("", "b", 0) == spaces.fitting("a", "b", 0) == spaces.fitting("b", "b", 9) == "b"
+    with pytest.raises(errors.OtherSpace):
+        spaces.fitting("a", "b", 1)
+    assert spaces.written("a", "") == spaces.written("a", "a") == ["a"] and spaces.written("a", "b") == ["a", "b"]
+    assert spaces.told_by("m/x@abc:64#ff") == ("m/x", "abc", 64)
+    with pytest.raises(ValueError):
+        spaces.told_by("m")
+
+
+def test_search_of_pairs_and_moments(spark):
+    docs = spark.createDataFrame([(1, "a.md", "markdown", 2), (2, "a.pdf", "pdf", 1), (3, "v.mp4", "video", None), (4, "b.md", "markdown", None)], "document_id long, path string, kind string, pair_id long")
+    rows = [(10, 1, "text", "alpha beta words", 0, None, None, None), (20, 2, "pdf_page", "alpha beta", 1, None, None, None), (30, 3, "video", "alpha clip", 0, None, 0, 30000), (31, 3, "audio", "alpha clip", 0, None, 25000, 55000), (40, 4, "image", "alpha picture", 0, "i.png", None, None)]
+    chunks = K.analyzed(spark.createDataFrame([(c, d, m, t, "", p, s, a, b) for c, d, m, t, p, s, a, b in rows], "chunk_id long, document_id long, modality string, text string, heading_path string, page int, source_path string, start_ms long, end_ms long"))
+    own = chunks.withColumn("vector", V.embed_tokens(F.col("tokens"), 32))
+    ask = spark.createDataFrame([(7, "alpha beta"), (8, " ")], "query_id long, text string").withColumn("vector", V.embed_tokens(T.tokens(F.col("text")), 32))
+    got, notices = SE.search_documents(ask, own, docs, SearchOptions())
+    shown = {r["path"]: r for r in got.collect()}
+    assert set(shown) == {"a.pdf", "v.mp4", "i.png"} and shown["a.pdf"]["paired_path"] == "a.md" and shown["i.png"]["parent_path"] == "b.md"
+    assert (shown["v.mp4"]["modality"], shown["v.mp4"]["heading"], shown["v.mp4"]["end"]) == ("audio+video", "0:00-0:55", 55000)
+    assert [tuple(r) for r in notices.collect()] == [(8, "empty query")]
+    few, _ = SE.search_documents(ask, own, docs, SearchOptions(modalities=("image",), mode="vector"))
+    assert [r["path"] for r in few.collect()] == ["i.png"]
+    grouped, _ = SE.search_documents(ask, own, docs, SearchOptions(group="doc", path_glob="*.md"))
+    assert {r["path"]: r["chunks"] for r in grouped.collect()} == {"a.md": 1}
+    weak, told = SE.search_documents(ask, own, docs, SearchOptions(mode="vector", strong=2.0, fair=1.5, confidence="high"))
+    assert weak.count() == 0 and [r["notice"] for r in told.orderBy("query_id").collect()] == [R.NOTHING_SURE, "empty query"]
+    with pytest.raises(errors.OtherSpace):
+        SE.search_documents(ask, own, docs, SearchOptions(mode="vector"), spaces=("a", "b"))
+    assert SearchOptions(k=-3).settled().k == 10 and SearchOptions().settled().max_chars == 2000
+
+
+def test_corpus_from_scan_to_search(spark, tmp_path):
+    root, store = tmp_path / "docs", tmp_path / "store"
+    (root / "a b").mkdir(parents=True)
+    (root / "drafts").mkdir()
+    (root / "a b" / "one.md").write_text("# Bread\nyeast and flour make bread")
+    (root / "two.md").write_text("# Trains\nrails and engines")
+    (root / "tool.py").write_text("def oven():\n    return 'flour'\n")
+    (root / "min.js").write_text("x" * 900)
+    (root / "drafts" / "no.md").write_text("flour")
+    (root / "cat-photo.png").write_bytes(b"\x89PNG")
+    (root / "notes.txt").write_text("flour")
+    settings = config.load("[scan]\nfolders = ['.', 'a b', 'gone']\nignore = ['drafts/**']")
+    corpus = Corpus(spark, str(root), str(store), settings)
+    with pytest.raises(errors.NotBuilt):
+        corpus.status()
+    report = corpus.scan()
+    assert (report["new"], report["indexed"], report["failed"], report["missing_folders"]) == (5, 4, 1, ["gone"])
+    assert [r["path"] for r in corpus.documents().collect()] == ["a b/one.md", "cat-photo.png", "min.js", "tool.py", "two.md"]
+    assert [r["error"] for r in corpus.documents("failed").collect()] == ["minified"]
+    rows, _ = corpus.search("bread flour", SearchOptions(k=2))
+    best = rows.orderBy("rank").collect()
+    assert best[0]["path"] == "a b/one.md" and "Bread" in best[0]["heading"] and len(best) == 2
+    with pytest.raises(errors.EmptyQuery):
+        corpus.search("  ")
+    ids = {r["path"]: r["document_id"] for r in corpus.documents().collect()}
+    (root / "two.md").rename(root / "rails.md")
+    (root / "tool.py").unlink()
+    (root / "a b" / "one.md").write_text("# Bread\nrye and salt only")
+    report = corpus.scan()
+    assert (report["moved"], report["changed"], report["deleted"], report["new"]) == (1, 1, 1, 0)
+    after = {r["path"]: r["document_id"] for r in corpus.documents().collect()}
+    assert after["rails.md"] == ids["two.md"] and "tool.py" not in after
+    asked = spark.createDataFrame([(1, "rye"), (2, "flour"), (3, "engines"), (4, "photo")], "query_id long, text string")
+    found = corpus.search(asked, SearchOptions(mode="keyword"))[0].select("query_id", "path").collect()
+    assert sorted(map(tuple, found)) == [(1, "a b/one.md"), (3, "rails.md"), (4, "cat-photo.png")]
+    again = corpus.scan()
+    assert (again["unchanged"], again["indexed"]) == (4, 0)
+    told = corpus.status()
+    assert told["documents"] == 4 and told["folders"] == {".": 4, "a b": 1, "gone": 0} and told["queued"] == 0
+    corpus.settings = config.load("[embed]\ndim = 32")
+    _, notices = corpus.search("rye", SearchOptions())
+    assert "keywords only" in notices.first()["notice"]
+    assert corpus.rebuild().mode == "switch" and corpus.rebuild().mode == "none"
+    assert corpus.search("rye", SearchOptions(mode="vector", k=1))[0].first()["path"] == "a b/one.md"
 
 
 def test_watch_sees_edits_and_deletes(spark, tmp_path):
@@ -173,6 +351,8 @@ def test_diff_of_stale(spark):
 def test_settings():
     told = config.load("[scan]\nkeep = ['old']\n[[pairs]]\nmd = 'md'\npdf = '../pdf'\n[chunk]\ntokens = 16\n[cache]\nquery_ttl = '1x'")
     assert told.scan.keep == ["old"] and told.chunk.overlap == 32 and config.seconds("1h30m") == 5400
+    assert sorted(x.split(":")[0] for x in config.problems(told)) == ["cache.query_ttl", "chunk.overlap", "chunk.tokens", "pairs"]
+    assert [bool(config._bad_path(p)) for p in ("", "/a", "a/../b", "a\\b", "a/b..c", ".")] == [True, True, True, True, False, False]
     assert len(config.problems(told)) == 4 and config.problems(config.Config()) == []
     with pytest.raises(ValueError, match="chunk.size"):
         config.load("[chunk]\nsize = 1")

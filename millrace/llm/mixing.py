@@ -72,9 +72,9 @@ def _numbered(rows: DataFrame, group: str, run: Column, order: list[Column], val
     return inner.join(bases.select(group, own, base), [group, own]).withColumn(name, (F.col(base) + F.col("_in")).cast("long")).drop(own, "_in", base)
 
 
-def _told_apart(docs: DataFrame) -> DataFrame:
-    """`docs` with _h and _copy, which with doc_id tell its rows apart; rows alike are numbered in any order."""
-    own = docs.withColumn("_h", F.xxhash64("source", "text"))
+def _told_apart(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """`columns` of `docs` with _h and _copy, which with doc_id tell its rows apart; rows alike are numbered in any order."""
+    own = docs.select("doc_id", "source", *columns, F.xxhash64("source", "text").alias("_h"))
     return own.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("_h")))
 
 
@@ -85,7 +85,7 @@ def _sized(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
     The sizes per source are read by the driver: one row per source.
     """
     spark = docs.sparkSession
-    base = settle(_told_apart(docs.select("doc_id", "source", "text")).select("doc_id", "source", "_h", "_copy", word_count(F.col("text")).alias("size")))
+    base = settle(_told_apart(docs, word_count(F.col("text")).alias("size")))
     targets = fill_targets([(r["source"], r["size"]) for r in base.groupBy("source").agg(F.sum("size").alias("size")).collect()])
     names = list(targets)
     words = [int(targets[n][1] + 1e-6) for n in names]
@@ -141,7 +141,7 @@ def schedule(docs: DataFrame) -> DataFrame:
 
 def mixed_blocks(docs: DataFrame) -> DataFrame:
     """slot, source, text: the words of the mix, one row per block, by words parted by single spaces."""
-    plain = _told_apart(docs.select("doc_id", "source", "text")).select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), F.col("_copy").alias("_c"), "text")
+    plain = _told_apart(docs, "text").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), F.col("_copy").alias("_c"), "text")
     told = schedule(docs)
     met = told.join(plain, told["doc_id"].eqNullSafe(plain["_d"]) & (told["_h"] == plain["_g"]) & (told["_copy"] == plain["_c"]))
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("from_word") + 1).cast("int"), F.col("n_words").cast("int"))
@@ -169,7 +169,7 @@ def mix_with_texts(docs: DataFrame) -> DataFrame:
     """`docs` with size, source_size, target and taken added to their columns; columns of these names are replaced."""
     plain = docs.drop("size", "source_size", "target", "taken")
     told = mix(plain).select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), F.col("_copy").alias("_c"), "size", "source_size", "target", "taken")
-    rows = _told_apart(plain)
+    rows = _told_apart(plain, *(c for c in plain.columns if c not in ("doc_id", "source")))
     met = rows.join(told, rows["doc_id"].eqNullSafe(told["_d"]) & (rows["_h"] == told["_g"]) & (rows["_copy"] == told["_c"]))
     return met.select(*plain.columns, "size", "source_size", "target", "taken")
 

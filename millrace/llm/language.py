@@ -148,6 +148,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # bounded by the parameters, not by the input
     at = len(keep)
+    text_at = keep.index("text") if "text" in keep else at + 1  # a text is sent once
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,13 +160,14 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
                 todo = [i for i in range(batch.num_rows) if own and batch.column(at)[i].as_py()]
                 for j in range(0, len(todo), BATCH):
                     rows = todo[j : j + BATCH]
-                    found, values = predict(own, [batch.column(at + 1)[i].as_py() for i in rows])
+                    found, values = predict(own, [batch.column(text_at)[i].as_py() for i in rows])
                     for i, lang, value in zip(rows, found, values, strict=True):
                         langs[i], scores[i] = lang, value
                 yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(langs), pa.array(scores)], names=[*keep, *names])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*keep, lettered.alias("_lettered"), F.when(lettered, F.col("text")).alias("_text")).mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
+    more = [] if "text" in keep else [F.when(lettered, F.col("text")).alias("_text")]
+    return docs.select(*keep, lettered.alias("_lettered"), *more).mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def language_digest(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: White space of the word contracts: space and \t \n \v \f \r, and nothing else.
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Text bytes that one numpy pass takes at a time; a longer text is taken alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Rows that a Python task hands back to Spark at a time.
 OUT_ROWS = 1 << 16
 

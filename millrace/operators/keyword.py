@@ -11,7 +11,7 @@ from ..functions import text as T
 
 #: Parts of a stored posting table, by a hash of the term: a search reads those of its terms.
 BUCKETS = 32
-#: Files that each part is written in, by chunk, so that a term that all chunks have is no one task's.
+#: Files that each part is written in at least, by chunk, so that a term that all chunks have is no one task's.
 SPREAD = 4
 
 
@@ -100,13 +100,21 @@ def on_the_way(chunks: DataFrame) -> Postings:
     return Postings(post, document_frequencies(post), chunks.agg(F.count(length).alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("total")))
 
 
+def spread(spark: SparkSession) -> int:
+    """Files of a part: some two for each shuffle partition of the session over all parts, so that the partitions that the data need
+    all get work, whatever the number of parts."""
+    return max(SPREAD, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+
+
 def store(found: Postings, folder: str) -> None:
     """Write postings below `folder`: those of a term in one part, in order, so that a search prunes parts and row groups."""
+    files = spread(found.post.sparkSession)
     by_term = found.post.select("term", "chunk_id", "tf", "bm25_len", bucket_of(F.col("term")).alias("bucket"))
-    dealt = by_term.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD)))
+    dealt = by_term.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(files)))
     dealt.sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
     counted = document_frequencies(dealt.sparkSession.read.parquet(f"{folder}/postings"))
-    counted.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/terms")
+    by_part = counted.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("term", F.lit("file")), F.lit(files)))
+    by_part.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/terms")
     found.totals.write.parquet(f"{folder}/totals")
 
 

@@ -36,6 +36,19 @@ def snapshot_diff(known: DataFrame, found: DataFrame) -> DataFrame:
     return k.join(f, F.col("k.path") == F.col("f.path"), "full").select(F.coalesce("k.path", "f.path").alias("path"), change.alias("change"))
 
 
+def numbered(parts: DataFrame, order: str, after: int, name: str) -> DataFrame:
+    """`parts` with `name` for its _part: numbers from `after` + 1 on, in the order of _part and `order`.
+
+    `parts` is a written table whose _part is the task that a range of `order` was dealt to; so no window holds all rows, and the
+    one over the parts themselves has a row for each of them.
+    """
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", (F.coalesce(F.sum("_size").over(upto), F.lit(0)) + after).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return parts.join(starts, "_part").withColumn(name, (F.col("_start") + own).cast("long")).drop("_part", "_start")
+
+
 def really_gone(gone: DataFrame, keep: list[str], there: DataFrame) -> DataFrame:
     """`gone` (path, status) without the documents of folders that are kept, while their files are there and they aren't stale.
 

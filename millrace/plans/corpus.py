@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -118,7 +118,7 @@ class Corpus:
         renamed = self._kept(M.moves(gone.select("path", "kind", "sha256"), fresh.select("path", "kind", "sha256")))
         base = known.agg(F.coalesce(F.max("document_id"), F.lit(0))).first()[0]
         added = fresh.join(renamed.select(F.col("new_path").alias("path")), "path", "left_anti")
-        numbered = added.select((F.row_number().over(Window.orderBy("path")) + base).cast("long").alias("document_id"), "path")
+        numbered = M.numbered(self._kept(added.select("path").repartitionByRange("path").withColumn("_part", F.spark_partition_id())), "path", base, "document_id")
         kept = known.join(gone.select("path").join(renamed.select(F.col("old_path").alias("path")), "path", "left_anti"), "path", "left_anti")
         named = kept.join(renamed, F.col("path") == F.col("old_path"), "left").withColumn("path", F.coalesce("new_path", "path")).drop("old_path", "new_path")
         told = found.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.col("sha256").alias("_sha"))

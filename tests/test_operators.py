@@ -262,6 +262,25 @@ def test_search_of_pairs_and_moments(spark):
     assert SearchOptions(k=-3).settled().k == 10 and SearchOptions().settled().max_chars == 2000
 
 
+@pytest.mark.parametrize("n", [0, 1, 97])
+def test_numbers_follow_the_order_over_all_parts(spark, tmp_path, n):
+    rows = spark.createDataFrame([(f"p{(i * 37) % 101:03}",) for i in range(n)], "path string").repartition(3)
+    rows.repartitionByRange(5, "path").withColumn("_part", F.spark_partition_id()).write.parquet(str(tmp_path / "parts"))
+    parts = spark.read.parquet(str(tmp_path / "parts"))
+    found = M.numbered(parts, "path", 10, "document_id").collect()
+    assert n < 50 or parts.select("_part").distinct().count() > 1
+    assert sorted((r["document_id"], r["path"]) for r in found) == list(enumerate(sorted(r["path"] for r in rows.collect()), 11))
+
+
+def test_stored_postings_use_all_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2000")
+        assert K.spread(spark) * K.BUCKETS >= 2000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_corpus_from_scan_to_search(spark, tmp_path):
     root, store = tmp_path / "docs", tmp_path / "store"
     (root / "a b").mkdir(parents=True)

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: White space of the word contracts: space and \t \n \v \f \r, and nothing else.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -161,3 +163,32 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out = out * np.uint64(0xD6E8FEB86659FD93) + hashes[j : n + j]
     return mix(out + np.uint64(k))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet below the shared folder and read back, so that its lineage ends at files that all executors see."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def numbered(rows: DataFrame, part: list[str], order: list[str], name: str) -> DataFrame:
+    """`rows`, stored, with idx (from 0 within each value of `part`, by `order`, nulls first) and n (rows of that value).
+
+    The rows are sorted over ranges of all keys, so that one value of `part` spreads over as many tasks as it needs, and rows alike in all keys
+    are told apart by their place in the input. Rows of a range are counted per value; only these counts, of which there are no more than ranges and
+    values together, meet in a window.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in (*part, *order)] + [F.col("_salt").asc()]
+    ranged = rows.withColumn("_salt", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_salt")
+    placed = stored(ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), name)
+    runs = placed.groupBy(*part, "_pid").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    whole = Window.partitionBy(*part)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    named = [F.col(c).alias(f"_of_{c}") for c in part]
+    runs = runs.select(*named, F.col("_pid").alias("_run"), (before - F.col("_first")).alias("_shift"), F.sum("_n").over(whole).alias("n"))
+    same = F.col("_pid") == F.col("_run")
+    for c in part:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    joined = placed.join(runs, same)
+    return joined.select(*rows.columns, (F.col("_at") + F.col("_shift")).alias("idx"), "n")

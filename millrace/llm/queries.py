@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, language, leaks, lines, merkle, mixing, neardup, passages, tiff, warc
+from . import chat, html, language, leaks, lines, merkle, mixing, neardup, passages, repair, tiff, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": lambda spark, d: mixing.mix_digest(table(spark, d, "documents")),
     "op9_warc": lambda spark, d: warc.warc_digest(table(spark, d, "pages")),
     "op10_decontamination": lambda spark, d: leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op11_repair": lambda spark, d: repair.repair_digest(table(spark, d, "conversations")),
     "op13_merkle": lambda spark, d: merkle.merkle_digest(table(spark, d, "documents")),
 }
 
@@ -29,5 +30,6 @@ ORACLE: dict[str, str] = {
     "op4_line_dedup": lines.DIGEST_SQL,
     "op6_chat": chat.DIGEST_SQL,
     "op9_warc": warc.DIGEST_SQL,
+    "op11_repair": repair.DIGEST_SQL,
     "op13_merkle": merkle.DIGEST_SQL,
 }

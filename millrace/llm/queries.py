@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, language, leaks, lines, merkle, mixing, neardup, passages, repair, tiff, warc
+from . import chat, html, language, leaks, lines, merkle, mixing, neardup, passages, pii, repair, tiff, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op9_warc": lambda spark, d: warc.warc_digest(table(spark, d, "pages")),
     "op10_decontamination": lambda spark, d: leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op11_repair": lambda spark, d: repair.repair_digest(table(spark, d, "conversations")),
+    "op12_personal": lambda spark, d: pii.personal_digest(table(spark, d, "documents")),
     "op13_merkle": lambda spark, d: merkle.merkle_digest(table(spark, d, "documents")),
 }
 

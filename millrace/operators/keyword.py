@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Parts of a stored posting table, by a hash of the term: a search reads those of its terms.
-BUCKETS = 32
-#: Files that each part is written in at least, by chunk, so that a term that all chunks have is no one task's.
-SPREAD = 4
+#: Chunk numbers that a cell of the posting table spans. Small cells have tight bounds, and most terms have one posting a cell anyway.
+CELL = 8
+#: Chunks from which bounds are worth a look: below, all postings of a query's terms are scored at once. The results are the same.
+PRUNED = 1 << 20
+#: Distinct terms of a batch that are told to the scan one by one; of more, only their parts.
+MANY = 1000
+#: Scores are compared to four decimals; a cell whose bound lies this much under the k-th score can't have a chunk among the best.
+SLACK = 1e-3
 
 
 def analyzed(chunks: DataFrame) -> DataFrame:
@@ -47,41 +52,79 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Postings:
-    """What keyword search reads: term, chunk_id, tf, bm25_len; term, df; one row of n and total (tokens of all chunks)."""
+    """What keyword search reads: blocks, term and df, and one row of n and total (tokens of all chunks).
 
-    post: DataFrame
+    A block has the postings of a term within a cell of `width` chunk numbers: term, cell, n, held (chunk_id, tf, bm25_len of each, by
+    chunk_id), tops (tf, bm25_len of those that no other one of the block beats in both). Whatever the mean length is by then,
+    one of tops has the block's largest term score. Stored blocks and terms lie in `parts` parts by a hash of the term; 0: not stored.
+    """
+
+    blocks: DataFrame
     terms: DataFrame
     totals: DataFrame
+    width: int = CELL
+    parts: int = 0
+    known: tuple[int, int] | None = None  # n and total, where they are stored
+
+    @property
+    def post(self) -> DataFrame:
+        """term, chunk_id, tf, bm25_len."""
+        return self.blocks.select("term", F.explode("held").alias("_h")).select("term", "_h.chunk_id", "_h.tf", "_h.bm25_len")
 
     def stats(self) -> DataFrame:
         """n, average."""
         return self.totals.select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("average"))
 
-    def of(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Postings and frequencies of the terms (term), a batch of queries' worth. Of stored ones only their parts are read."""
-        if "bucket" not in self.post.columns:
-            return self.post.join(terms, "term", "left_semi"), self.terms.join(terms, "term", "left_semi")
-        parts = [r["b"] for r in terms.select(bucket_of(F.col("term")).alias("b")).distinct().collect()]  # at most BUCKETS
-        return tuple(t.where(F.col("bucket").isin(parts)).join(terms, "term", "left_semi").drop("bucket") for t in (self.post, self.terms))
+    def with_stats(self, rows: DataFrame) -> DataFrame:
+        """`rows` with n and average: those of stored postings are known, others come as a table of one row."""
+        if self.known is None:
+            return rows.crossJoin(self.stats())
+        n, total = self.known
+        return rows.withColumns({"n": F.lit(n), "average": F.lit(total / n if n else None).cast("double")})
+
+    def of(self, terms: DataFrame) -> Postings:
+        """The postings of the terms (term), a batch of queries' worth, and perhaps others. Of stored ones only the terms' parts are read, and of these,
+        if the terms are few, the row groups that may hold one."""
+        if not self.parts:
+            return self
+        part = part_of(F.col("term"), self.parts).alias("p")
+        found = terms.select("term", part).distinct().limit(MANY + 1).collect()
+        few = len(found) <= MANY
+        parts = {r["p"] for r in found} if few else {r["p"] for r in terms.select(part).distinct().collect()}  # at most `parts`
+        wanted = F.col("part").isin(sorted(parts)) if len(parts) < self.parts else F.lit(True)
+        wanted = wanted & F.col("term").isin(sorted({r["term"] for r in found})) if few else wanted
+        return replace(self, blocks=self.blocks.where(wanted).drop("part"), terms=self.terms.where(wanted).drop("part"))
 
     def replaced(self, gone: DataFrame, fresh: DataFrame) -> Postings:
         """These postings after the chunks of `gone` (chunk_id) went and those of `fresh`, which analyzed() gave, came.
 
-        Frequencies and totals are adjusted by what went and came, which equals counting all anew.
+        Cells that neither touches keep their blocks. Frequencies and totals are adjusted by what went and came, which equals counting all anew.
         """
         gone = gone.select("chunk_id").distinct()
-        lost, came = self.post.join(gone, "chunk_id", "left_semi"), lengthed(fresh)
-        change = document_frequencies(lost).select("term", (-F.col("df")).alias("df")).unionByName(document_frequencies(came))
-        plain = self.terms.select("term", "df")
-        terms = plain.unionByName(change).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        came = lengthed(fresh)
+        hit = gone.union(fresh.select("chunk_id")).select(cell_of("chunk_id", self.width).alias("cell")).distinct()
         columns = ["term", "chunk_id", "tf", "bm25_len"]
-        post = self.post.select(*columns).join(gone, "chunk_id", "left_anti").unionByName(came.select(*columns))
+        touched = Postings(self.blocks.join(hit, "cell", "left_semi"), self.terms, self.totals).post
+        lost = touched.join(gone, "chunk_id", "left_semi")
+        change = document_frequencies(lost).select("term", (-F.col("df")).alias("df")).unionByName(document_frequencies(came))
+        terms = self.terms.select("term", "df").unionByName(change).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        anew = blocks_of(touched.join(gone, "chunk_id", "left_anti").select(*columns).unionByName(came.select(*columns)), self.width)
+        kept = self.blocks.join(hit, "cell", "left_anti").select(*anew.columns)
         sums = [totals(own.select("chunk_id", "bm25_len").distinct()).select((F.col("n") * sign).alias("n"), (F.col("total") * sign).alias("total")) for own, sign in ((lost, -1), (came, 1))]
-        return Postings(post, terms, self.totals.unionByName(sums[0]).unionByName(sums[1]).agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+        return Postings(kept.unionByName(anew), terms, self.totals.select("n", "total").unionByName(sums[0]).unionByName(sums[1]).agg(F.sum("n").alias("n"), F.sum("total").alias("total")), self.width)
+
+
+def cell_of(chunk_id: str, width: int) -> Column:
+    return F.floor(F.col(chunk_id) / width)
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def part_of(term: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
+
+
+def parts_for(tokens: int) -> int:
+    """Parts of a stored table: as many as the root of its tokens in 64ths, a power of two. So parts and what each holds both grow."""
+    return 1 << max(0, round(math.log2(max(1.0, tokens**0.5 / 64))))
 
 
 def lengthed(chunks: DataFrame) -> DataFrame:
@@ -89,57 +132,132 @@ def lengthed(chunks: DataFrame) -> DataFrame:
     return terms_of(chunks, "chunk_id", "bm25_len").groupBy("chunk_id", "bm25_len", "term").agg(F.count("*").alias("tf"))
 
 
+def blocks_of(post: DataFrame, width: int, *keys: str) -> DataFrame:
+    """Blocks of postings (term, chunk_id, tf, bm25_len), which may already have their cell and lie together by it. `keys`: more columns to group by."""
+    post = post if "cell" in post.columns else post.withColumn("cell", cell_of("chunk_id", width))
+    one = F.struct("chunk_id", F.col("tf").cast("int").alias("tf"), F.col("bm25_len").cast("int").alias("bm25_len"))
+    held = post.groupBy("cell", "term", *keys).agg(F.array_sort(F.collect_list(one)).alias("held"))
+    ordered = F.array_sort(F.transform("held", lambda h: F.struct((-h["tf"]).alias("less"), h["bm25_len"].alias("size"))))  # most of the term first
+    none = F.struct(F.array().cast("array<struct<tf:int,bm25_len:int>>").alias("kept"), F.lit((1 << 31) - 1).alias("least"))
+    step = lambda s, x: F.when(x["size"] < s["least"], F.struct(F.concat(s["kept"], F.array(F.struct((-x["less"]).alias("tf"), x["size"].alias("bm25_len")))).alias("kept"), x["size"].alias("least"))).otherwise(s)
+    alone = F.get("held", F.lit(0))
+    tops = F.when(F.size("held") == 1, F.array(F.struct(alone["tf"].alias("tf"), alone["bm25_len"].alias("bm25_len")))).otherwise(F.aggregate(ordered, none, step)["kept"])
+    return held.select("term", "cell", *keys, F.size("held").alias("n"), tops.alias("tops"), "held")
+
+
 def totals(chunks: DataFrame) -> DataFrame:
     return chunks.where("bm25_len > 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("bm25_len"), F.lit(0)).alias("total"))
 
 
-def on_the_way(chunks: DataFrame) -> Postings:
-    """Postings of chunks from analyzed(), made anew by each search."""
-    post = lengthed(chunks)
+def on_the_way(chunks: DataFrame, width: int = CELL) -> Postings:
+    """Postings of chunks from analyzed(), made anew by each search. Chunks are dealt by cell once; their postings and blocks are made there."""
     length = F.when(F.col("bm25_len") > 0, F.col("bm25_len"))
-    return Postings(post, document_frequencies(post), chunks.agg(F.count(length).alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("total")))
+    dealt = chunks.select("chunk_id", "bm25_len", "tokens", cell_of("chunk_id", width).alias("cell")).repartition("cell")
+    post = terms_of(dealt, "cell", "chunk_id", "bm25_len").groupBy("cell", "chunk_id", "bm25_len", "term").agg(F.count("*").alias("tf"))
+    found = blocks_of(post, width)
+    return Postings(found, frequencies_of(found), chunks.agg(F.count(length).alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("total")), width)
+
+
+def frequencies_of(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def spread(spark: SparkSession) -> int:
+def spread(spark: SparkSession, parts: int) -> int:
     """Files of a part: some two for each shuffle partition of the session over all parts, so that the partitions that the data need
-    all get work, whatever the number of parts."""
-    return max(SPREAD, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    all get work, whatever the number of parts, and a term that all chunks have is no one task's."""
+    return max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // parts)
 
 
 def store(found: Postings, folder: str) -> None:
     """Write postings below `folder`: those of a term in one part, in order, so that a search prunes parts and row groups."""
-    files = spread(found.post.sparkSession)
-    by_term = found.post.select("term", "chunk_id", "tf", "bm25_len", bucket_of(F.col("term")).alias("bucket"))
-    dealt = by_term.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(files)))
-    dealt.sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    counted = document_frequencies(dealt.sparkSession.read.parquet(f"{folder}/postings"))
-    by_part = counted.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("term", F.lit("file")), F.lit(files)))
-    by_part.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/terms")
-    found.totals.write.parquet(f"{folder}/totals")
+    spark = found.totals.sparkSession
+    sums = found.totals.select("n", "total").first()
+    parts = parts_for(sums["total"] or 0)
+    files = spread(spark, parts)
+    spark.createDataFrame([(sums["n"] or 0, sums["total"] or 0, found.width, parts)], "n long, total long, width long, parts int").coalesce(1).write.parquet(f"{folder}/totals")
+    by_term = found.blocks.select("term", "cell", "n", "tops", "held", part_of(F.col("term"), parts).alias("part"))
+    dealt = by_term.repartition("part", F.pmod(F.xxhash64("cell"), F.lit(files)))
+    dealt.sortWithinPartitions("part", "term", "cell").write.partitionBy("part").parquet(f"{folder}/postings")
+    counted = frequencies_of(spark.read.parquet(f"{folder}/postings")) if sums["total"] else found.terms
+    by_part = counted.withColumn("part", part_of(F.col("term"), parts)).repartition("part")
+    by_part.sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{folder}/terms")
+
+
+BLOCKS = "term string, cell long, n int, tops array<struct<tf:int,bm25_len:int>>, held array<struct<chunk_id:long,tf:int,bm25_len:int>>, part int"
+_opened: dict[tuple[str, str], tuple] = {}
 
 
 def stored(spark: SparkSession, folder: str) -> Postings:
-    """The postings below `folder`."""
-    return Postings(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "totals")))
+    """The postings below `folder`, which never change."""
+    sums = spark.read.schema("n long, total long, width long, parts int").parquet(f"{folder}/totals")
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _opened:
+        row = sums.first()
+        _opened[key] = (row["width"], row["parts"], (row["n"], row["total"]))
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}")
+    return Postings(read("postings", BLOCKS), read("terms", "term string, df long, part int"), sums.select("n", "total"), *_opened[key])
+
+
+@dataclass(frozen=True)
+class Asked:
+    """A batch of queries met with postings: query_id, _asked (its distinct terms), term, df."""
+
+    terms: DataFrame
+    found: Postings
+
+    def scores(self, cells: DataFrame | None, allowed: DataFrame | None) -> DataFrame:
+        """query_id, chunk_id, score, _met, _asked of the chunks in these cells (query_id, cell; None: in all), from all of their postings of the query's terms."""
+        blocks = self.found.blocks.select("term", "cell", "held")
+        held = self.terms.join(blocks, "term") if cells is None else cells.join(self.terms, "query_id").join(blocks, ["term", "cell"])
+        rows = held.select("query_id", "_asked", "df", F.explode("held").alias("_h")).select("query_id", "_asked", "df", "_h.chunk_id", "_h.tf", "_h.bm25_len")
+        hits = rows if allowed is None else rows.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+        score = F.sum(T.term_score(F.col("n"), F.col("df"), F.col("tf"), F.col("bm25_len"), F.col("average")))
+        return self.found.with_stats(hits).groupBy("query_id", "chunk_id").agg(F.round(score, 4).alias("score"), F.count("*").alias("_met"), F.max("_asked").alias("_asked"))
+
+    def cells(self) -> DataFrame:
+        """query_id, cell, bound: the sum of the terms' largest scores in the cell, which no chunk's score exceeds."""
+        top = F.array_max(F.transform("tops", lambda t: T.term_score(F.col("n"), F.col("df"), t["tf"], t["bm25_len"], F.col("average"))))
+        reach = self.found.with_stats(self.terms.join(self.found.blocks.select("term", "cell", "tops"), "term"))
+        return reach.groupBy("query_id", "cell").agg(F.sum(top).alias("bound"))
+
+    def needed(self, pool: int, allowed: DataFrame | None) -> DataFrame:
+        """query_id, cell of the cells that may have one of the `pool` best chunks.
+
+        The `pool` cells of largest bounds are scored first; their pool-th best score is no more than the pool-th best of all, so that cells
+        with smaller bounds are out.
+        """
+        cells = self.cells()
+        first = Window.partitionBy("query_id").orderBy(F.desc("bound"), "cell")
+        some = cells.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= pool).select("query_id", "cell")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+        least = self.scores(some, allowed).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= pool).groupBy("query_id").agg(F.when(F.count("*") == pool, F.min("score")).alias("_least"))
+        return cells.join(least, "query_id", "left").where(F.col("_least").isNull() | (F.col("bound") >= F.col("_least") - SLACK)).select("query_id", "cell")
+
 
+def met(queries: DataFrame, found: Postings) -> Asked:
+    words = queries.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("_t"))
+    asked = words.select("query_id", F.size("_t").alias("_asked"), F.explode("_t").alias("term"))
+    own = found.of(asked.select("term"))
+    return Asked(asked.join(own.terms, "term"), own)
 
-def keyword_hits(queries: DataFrame, found: Postings, pool: int, allowed: DataFrame | None = None) -> DataFrame:
+
+def keyword_hits(queries: DataFrame, found: Postings, pool: int, allowed: DataFrame | None = None, pruned: bool | None = None) -> DataFrame:
     """query_id, chunk_id, score, kw, rank: the `pool` best chunks of each query (query_id, text).
 
     `allowed` (chunk_id) filters hits but neither the frequencies nor the statistics. kw: at least half of the query's distinct
-    terms are in the chunk. Scores are ranked to four decimals, ties by chunk_id. Only the postings of query terms are read.
+    terms are in the chunk. Scores are ranked to four decimals, ties by chunk_id. Only the postings of query terms are read, and, if `pruned`, of
+    these only the cells that may have one of the best; see Asked.needed(). By default that is done from PRUNED chunks on.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    sizes = asked.groupBy("query_id").agg(F.count("*").alias("_asked"))
-    post, frequency = found.of(asked.select("term").distinct())
-    hits = post if allowed is None else post.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-    scored = (
-        asked.join(frequency, "term")
-        .join(hits, "term")
-        .crossJoin(found.stats())  # one row
-        .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum(T.term_score(F.col("n"), F.col("df"), F.col("tf"), F.col("bm25_len"), F.col("average"))), 4).alias("score"), F.count("*").alias("_met"))
-        .join(sizes, "query_id")
-    )
+    batch = met(queries, found)
+    pruned = found.known is not None and found.known[0] >= PRUNED if pruned is None else pruned
+    scored = batch.scores(batch.needed(pool, allowed) if pruned else None, allowed)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pool).select("query_id", "chunk_id", "score", (2 * F.col("_met") >= F.col("_asked")).alias("kw"), "rank")
+
+
+def postings_read(queries: DataFrame, found: Postings, pool: int) -> DataFrame:
+    """query_id, postings, read: postings of a query's terms, and those in the cells that a pruned search for the `pool` best reads."""
+    batch = met(queries, found)
+    sizes = batch.terms.join(batch.found.blocks.select("term", "cell", "n"), "term")
+    read = batch.needed(pool, None).withColumn("_in", F.lit(True))
+    return sizes.join(read, ["query_id", "cell"], "left").groupBy("query_id").agg(F.sum("n").alias("postings"), F.coalesce(F.sum(F.when(F.col("_in"), F.col("n"))), F.lit(0)).alias("read"))

@@ -275,8 +275,9 @@ def _relevant(spark, d):
     questions = asked(spark, d).withColumn("q", F.lower("text"))
     inner = F.slice(T.tokens(F.col("text")), 2, F.greatest(F.size(T.tokens(F.col("text"))) - 2, F.lit(0)))
     words = questions.select("query_id", F.explode(F.array_distinct(inner)).alias("term"))
-    post, frequency = index(spark, d).postings.of(words.select("term").distinct())
-    rarest = words.join(frequency, "term").groupBy("query_id").agg(F.min(F.struct("df", "term"))["term"].alias("term"))
+    own = index(spark, d).postings.of(words.select("term").distinct())
+    post = own.post
+    rarest = words.join(own.terms, "term").groupBy("query_id").agg(F.min(F.struct("df", "term"))["term"].alias("term"))
     near = rarest.join(post.select("term", "chunk_id"), "term").select("query_id", "chunk_id")
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.lower("text").alias("t"))
     met = near.join(questions, "query_id").join(texts, "chunk_id")

@@ -1,7 +1,10 @@
 """Golden cases of the operators."""
 
+import random
+
 import numpy as np
 import pytest
+
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -185,6 +188,24 @@ def test_postings_after_any_changes_are_those_made_anew(spark, tmp_path):
             assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     ask = spark.createDataFrame([(1, "w1 w2 w3 absent")], "query_id long, text string")
     assert K.keyword_hits(ask, found, 5).collect() == K.keyword_hits(ask, anew, 5).collect()
+
+
+@pytest.mark.parametrize("width", [1, 4, 64])
+def test_bounds_lose_no_hit(spark, tmp_path, width):
+    rng = random.Random(width)
+    texts = [(i * 3, " ".join(f"w{int(rng.paretovariate(0.6)) % 60}" for _ in range(rng.randrange(30)))) for i in range(400)]
+    K.store(K.on_the_way(K.analyzed(spark.createDataFrame(texts, "chunk_id long, text string")), width), str(tmp_path / "k"))
+    found = K.stored(spark, str(tmp_path / "k"))
+    ask = spark.createDataFrame([(q, " ".join(f"w{rng.randrange(60)}" for _ in range(1 + q % 4))) for q in range(30)] + [(90, "absent"), (91, "")], "query_id long, text string")
+    some = spark.createDataFrame([(i * 6,) for i in range(60)], "chunk_id long")
+    for pool, allowed in ((5, None), (5, some), (500, None)):
+        runs = [sorted(map(tuple, K.keyword_hits(ask, found, pool, allowed, pruned).collect())) for pruned in (False, True)]
+        assert runs[0] == runs[1] and runs[0]
+    shares = K.postings_read(ask, found, 5).agg(F.sum("read") / F.sum("postings")).first()[0]
+    assert shares < (0.9 if width < 64 else 1.01)
+
+
+def test_index_that_is_not_there(spark, tmp_path):
     with pytest.raises(errors.NotBuilt):
         I.opened(spark, str(tmp_path / "none"))
 
@@ -276,7 +297,8 @@ def test_stored_postings_use_all_partitions(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "2000")
-        assert K.spread(spark) * K.BUCKETS >= 2000
+        assert all(K.spread(spark, K.parts_for(n)) * K.parts_for(n) >= 2000 for n in (1, 10**6, 10**13))
+        assert K.parts_for(0) == 1 and K.parts_for(10**6) < K.parts_for(10**9) < K.parts_for(10**13) < 1 << 17
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 

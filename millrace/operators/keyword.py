@@ -65,11 +65,13 @@ class Postings:
     width: int = CELL
     parts: int = 0
     known: tuple[int, int] | None = None  # n and total, where they are stored
+    extra: tuple[str, ...] = ()  # more columns of blocks, which live() needs
 
     @property
     def post(self) -> DataFrame:
         """term, chunk_id, tf, bm25_len."""
-        return self.blocks.select("term", F.explode("held").alias("_h")).select("term", "_h.chunk_id", "_h.tf", "_h.bm25_len")
+        rows = self.blocks.select("term", *self.extra, F.explode("held").alias("_h")).select("term", *self.extra, "_h.chunk_id", "_h.tf", "_h.bm25_len")
+        return self.live(rows)
 
     def stats(self) -> DataFrame:
         """n, average."""
@@ -85,16 +87,20 @@ class Postings:
     def of(self, terms: DataFrame) -> Postings:
         """The postings of the terms (term), a batch of queries' worth, and perhaps others. Of stored ones only the terms' parts are read, and of these,
         if the terms are few, the row groups that may hold one."""
-        if not self.parts:
-            return self
-        part = part_of(F.col("term"), self.parts).alias("p")
-        found = terms.select("term", part).distinct().limit(MANY + 1).collect()
-        few = len(found) <= MANY
-        parts = {r["p"] for r in found} if few else {r["p"] for r in terms.select(part).distinct().collect()}  # at most `parts`
+        return self.chosen(hashed_terms(terms)) if self.parts else self
+
+    def chosen(self, found: tuple[set[str] | None, set[int]]) -> Postings:
+        """The parts of stored postings that hold these terms; see hashed_terms()."""
+        terms, hashes = found
+        parts = {h % self.parts for h in hashes}
         wanted = F.col("part").isin(sorted(parts)) if len(parts) < self.parts else F.lit(True)
-        wanted = wanted & F.col("term").isin(sorted({r["term"] for r in found})) if few else wanted
+        wanted = wanted if terms is None else wanted & F.col("term").isin(sorted(terms))
         return replace(self, blocks=self.blocks.where(wanted).drop("part"), terms=self.terms.where(wanted).drop("part"))
 
+    def live(self, rows: DataFrame) -> DataFrame:
+        """Postings of opened blocks without those of chunks that are void."""
+        return rows
+
     def replaced(self, gone: DataFrame, fresh: DataFrame) -> Postings:
         """These postings after the chunks of `gone` (chunk_id) went and those of `fresh`, which analyzed() gave, came.
 
@@ -118,13 +124,26 @@ def cell_of(chunk_id: str, width: int) -> Column:
     return F.floor(F.col(chunk_id) / width)
 
 
+#: Parts at most; part numbers of any table are the hash modulo its parts, a power of two.
+MOST_PARTS = 1 << 17
+
+
 def part_of(term: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
+def hashed_terms(terms: DataFrame) -> tuple[set[str] | None, set[int]]:
+    """The distinct terms (None: more than MANY), and the parts, of MOST_PARTS, that they lie in."""
+    part = part_of(F.col("term"), MOST_PARTS).alias("p")
+    found = terms.select("term", part).distinct().limit(MANY + 1).collect()
+    if len(found) <= MANY:
+        return {r["term"] for r in found}, {r["p"] for r in found}
+    return None, {r["p"] for r in terms.select(part).distinct().collect()}  # MOST_PARTS numbers at most
+
+
 def parts_for(tokens: int) -> int:
     """Parts of a stored table: as many as the root of its tokens in 64ths, a power of two. So parts and what each holds both grow."""
-    return 1 << max(0, round(math.log2(max(1.0, tokens**0.5 / 64))))
+    return min(MOST_PARTS, 1 << max(0, round(math.log2(max(1.0, max(0, tokens) ** 0.5 / 64)))))
 
 
 def lengthed(chunks: DataFrame) -> DataFrame:
@@ -168,8 +187,11 @@ def spread(spark: SparkSession, parts: int) -> int:
     return max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // parts)
 
 
-def store(found: Postings, folder: str) -> None:
-    """Write postings below `folder`: those of a term in one part, in order, so that a search prunes parts and row groups."""
+def store(found: Postings, folder: str, change: DataFrame | None = None) -> None:
+    """Write postings below `folder`: those of a term in one part, in order, so that a search prunes parts and row groups.
+
+    `change` (term, df) is added to the frequencies that the postings have.
+    """
     spark = found.totals.sparkSession
     sums = found.totals.select("n", "total").first()
     parts = parts_for(sums["total"] or 0)
@@ -178,7 +200,9 @@ def store(found: Postings, folder: str) -> None:
     by_term = found.blocks.select("term", "cell", "n", "tops", "held", part_of(F.col("term"), parts).alias("part"))
     dealt = by_term.repartition("part", F.pmod(F.xxhash64("cell"), F.lit(files)))
     dealt.sortWithinPartitions("part", "term", "cell").write.partitionBy("part").parquet(f"{folder}/postings")
-    counted = frequencies_of(spark.read.parquet(f"{folder}/postings")) if sums["total"] else found.terms
+    counted = frequencies_of(spark.read.schema(BLOCKS).parquet(f"{folder}/postings"))
+    if change is not None:
+        counted = counted.unionByName(change).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
     by_part = counted.withColumn("part", part_of(F.col("term"), parts)).repartition("part")
     by_part.sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{folder}/terms")
 
@@ -207,9 +231,11 @@ class Asked:
 
     def scores(self, cells: DataFrame | None, allowed: DataFrame | None) -> DataFrame:
         """query_id, chunk_id, score, _met, _asked of the chunks in these cells (query_id, cell; None: in all), from all of their postings of the query's terms."""
-        blocks = self.found.blocks.select("term", "cell", "held")
+        extra = self.found.extra
+        blocks = self.found.blocks.select("term", "cell", "held", *extra)
         held = self.terms.join(blocks, "term") if cells is None else cells.join(self.terms, "query_id").join(blocks, ["term", "cell"])
-        rows = held.select("query_id", "_asked", "df", F.explode("held").alias("_h")).select("query_id", "_asked", "df", "_h.chunk_id", "_h.tf", "_h.bm25_len")
+        rows = held.select("query_id", "_asked", "df", *extra, F.explode("held").alias("_h")).select("query_id", "_asked", "df", *extra, "_h.chunk_id", "_h.tf", "_h.bm25_len")
+        rows = self.found.live(rows)
         hits = rows if allowed is None else rows.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
         score = F.sum(T.term_score(F.col("n"), F.col("df"), F.col("tf"), F.col("bm25_len"), F.col("average")))
         return self.found.with_stats(hits).groupBy("query_id", "chunk_id").agg(F.round(score, 4).alias("score"), F.count("*").alias("_met"), F.max("_asked").alias("_asked"))

@@ -1,17 +1,21 @@
 """A folder of documents with its index: scan, search, look, rebuild, watch.
 
-The tables of a version lie below `store/space=<version>`: documents, chunks (analyzed, with vectors) and postings. A command writes
-a whole new version and then makes it the current one in one step, so that readers see the old or the new one; a command that finds
-another version current than the one it started from raises Locked and changes nothing.
+The tables are segments, see segments.py: a scan writes what has changed and publishes it as the next version, in one step. A command that finds
+that another writer published meanwhile raises Locked and changes nothing.
+
+What waits to be read is the documents' own state: pending ones, failed ones with attempts left, and running ones whose lease ran out. A scan
+first publishes what it found, then claims such documents for a while, reads them, and publishes what came out; a scan that is cut off leaves
+claims that end by themselves.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,65 +23,85 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking as C
 from ..operators import keyword as K
+from ..operators import links as L
 from ..operators import maintain as M
 from ..sources import files as S
 from ..streaming.watch import Debounce, watch_folder
 from . import index as I
 from . import search as SE
 from . import spaces
-from .config import Config, problems
+from . import versions as VS
+from .cache import QueryCache
+from .config import Config, problems, seconds
 from .errors import CorpusError, Locked, NoModel, NotBuilt
+from .segments import DOCUMENTS, LINKS, PLACES, SLICES, Store
+
+#: How long a claim holds, in milliseconds.
+LEASE_MS = 3_600_000
+KNOWN = [c.split()[0] for c in DOCUMENTS.split(", ")]
+#: Note of a PDF whose text is read from its transcription.
+PAIRED = "text indexed from its Markdown transcription"
+
 
-DOCUMENTS = "document_id long, path string, kind string, sha256 string, size long, mtime long, status string, error string, chunk_count long, pair_id long, embed_id string"
-CHUNKS = "chunk_id long, document_id long, ord int, modality string, text string, heading_path string, page int, source_path string, start_ms long, end_ms long"
-#: Chunks that a document may have: a chunk's id is the document's times this, plus its place.
-PLACES = 1 << 20
+def plain_texts(files: DataFrame) -> DataFrame:
+    """path, text, error of files (path, content): the usual reader."""
+    return files.select("path", F.col("content").cast("string").alias("text"), F.lit(None).cast("string").alias("error"))
 
 
 @dataclass
 class Corpus:
     """`root` is the folder, `store` one that all executors share. `embed` makes vectors of a column of texts; without one, of a
-    hashed bag of tokens. `settings.embed` names the vector space."""
+    hashed bag of tokens. `settings.embed` names the vector space.
+
+    `pages` (path, page, text) and `media` (path, duration_ms, has_audio, has_video) tell what is in PDF, audio and video files, which are not
+    decoded here; without the table, such files wait. `reader` gets files (path, content) and gives path, text and error.
+    """
 
     spark: SparkSession
     root: str
     store: str
     settings: Config = field(default_factory=Config)
     embed: Callable[[Column], Column] | None = None
+    pages: DataFrame | None = None
+    media: DataFrame | None = None
+    reader: Callable[[DataFrame], DataFrame] = plain_texts
+    now: Callable[[], int] = lambda: int(time.time() * 1000)
 
     def __post_init__(self) -> None:
         if wrong := problems(self.settings):
             raise CorpusError("; ".join(wrong))
+        self.tables = Store(self.spark, self.store)
+        self.cache = QueryCache(self.spark, f"{self.store}/cache")
+        self.owner = uuid.uuid4().hex
 
     @property
     def space(self) -> str:
         """The vector space that the settings name."""
         return f"{self.settings.embed.profile}@1:{self.settings.embed.dim}"
 
-    def _version(self) -> str:
-        return spaces.current(self.spark, self.store)
-
-    def _live(self) -> tuple[str, str]:
-        """The current version and its vector space."""
-        version = self._version()
-        if not version:
+    def version(self) -> VS.Version:
+        """What is published now."""
+        found = self.tables.latest()
+        if not found.number:
             raise NotBuilt(f"nothing is indexed in {self.store} yet")
-        return version, version.rpartition("-")[0]
-
-    def _table(self, version: str, name: str) -> DataFrame:
-        return self.spark.read.parquet(spaces.target(self.store, version, name))
+        return found
 
     def documents(self, status: str = "", kind: str = "") -> DataFrame:
         """Documents in order of path, with pair_path; an empty status or kind is any."""
-        return M.list_documents(M.with_pair_path(self._table(self._live()[0], "documents")), status, kind)
+        return M.list_documents(M.with_pair_path(self.tables.documents(self.version())), status, kind)
 
     def index(self) -> I.Index:
-        return I.opened(self.spark, spaces.target(self.store, self._live()[0], "index"))
+        version = self.version()
+        return I.Index(self.tables.chunks(version), self.tables.postings(version))
 
-    def _vector(self, text: Column) -> Column:
-        dim = self.settings.embed.dim
+    def _vector(self, text: Column, dim: int | None = None) -> Column:
+        dim = dim or self.settings.embed.dim
         return V.of_length(self.embed(text).cast("array<float>"), dim) if self.embed else V.embed_tokens(T.tokens(text), dim)
 
+    def _maker(self, space: str) -> Callable[[DataFrame], DataFrame]:
+        dim = spaces.told_by(space)[2]
+        return lambda chunks: chunks.withColumn("vector", self._vector(F.col("text"), dim))
+
     def _folders(self) -> list[str]:
         return self.settings.scan.folders or ["."]
 
@@ -88,141 +112,263 @@ class Corpus:
         kinds = [S.CONFIGURED.get(k, k) for k in scan.kinds]
         return S.in_scope(files.withColumn("mtime", F.unix_micros("mtime")), self._folders(), scan.ignore, kinds), missing
 
-    def _contents(self, since: int) -> DataFrame:
-        """path, content of the files that changed at `since` (microseconds) or later; older ones are not opened."""
-        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root).where(F.col("modificationTime") >= F.timestamp_micros(F.lit(since)))
-        return found.select(S.below(self.spark, self.root).alias("path"), "content")
-
-    def _kept(self, rows: DataFrame) -> DataFrame:
-        """`rows` written to the store once, since several steps read them."""
-        folder = f"{self.store}/work/{uuid.uuid4().hex}"
-        rows.write.parquet(folder)
-        return self.spark.read.schema(rows.schema).parquet(folder)
+    def _contents(self, wanted: DataFrame) -> DataFrame:
+        """path, content of the files of `wanted` (path, mtime in microseconds); files that changed before the oldest of these are not opened."""
+        since = wanted.agg(F.min("mtime")).first()[0]
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root)
+        found = found.where(F.col("modificationTime") >= F.timestamp_micros(F.lit(since if since is not None else 1 << 52)))
+        return found.select(S.below(self.spark, self.root).alias("path"), "content").join(wanted.select("path"), "path", "left_semi")
+
+    def _readable(self) -> list[str]:
+        """Kinds of documents that can be read with the tables that are there."""
+        return ["markdown", "code", "image", *(["pdf"] if self.pages is not None else []), *(["audio", "video"] if self.media is not None else [])]
+
+    def _mirror(self, path: Column) -> Column:
+        """The PDF that a folder of transcriptions, as set up, mirrors; null for other texts."""
+        out = F.lit(None).cast("string")
+        for pair in self.settings.pairs:
+            place = F.concat(F.lit(f"{pair.pdf}/"), F.regexp_replace(F.substring(path, len(pair.md) + 2, 1 << 20), r"\.[^./]*$", ".pdf"))
+            out = F.when(path.startswith(f"{pair.md}/"), place).otherwise(out)
+        return out
 
     def scan(self) -> dict:
         """Compare the folder with the index, and index what has changed. What was done, as numbers and lists of folders."""
-        before = self._version()
+        work = f"{self.store}/work/{uuid.uuid4().hex}"
+
+        def kept(rows: DataFrame) -> DataFrame:
+            """`rows` written once, since several steps read them; gone after the scan."""
+            folder = f"{work}/{uuid.uuid4().hex}"
+            rows.write.parquet(folder)
+            return self.spark.read.schema(rows.schema).parquet(folder)
+
+        try:
+            report, listed = self._discover(kept)
+            done = {"indexed": 0, "failed": 0, "linked": 0}
+            tried = self.spark.createDataFrame([], "document_id long")
+            while claimed := self._claim(kept, tried):  # images that lost their text, and PDFs their transcription, come up after a round
+                version, mine = claimed
+                for name, n in self._work(version, mine, listed, kept).items():
+                    done[name] += n
+                tried = kept(tried.union(mine.select("document_id")))
+            self.tables.compact(self.tables.latest())
+            return report | done
+        finally:
+            VS.remove(self.spark, work)
+
+    def _discover(self, kept: Callable[[DataFrame], DataFrame]) -> tuple[dict, DataFrame]:
+        """Publish what the folder's listing changes: new, changed, moved, revived and deleted documents, and pairs."""
+        base = self.tables.latest()
         listed, missing = self._listed()
-        listed = self._kept(listed)
-        known = self._table(before, "documents") if before else self.spark.createDataFrame([], DOCUMENTS)
+        listed = kept(listed)
+        known = kept(self.tables.documents(base))
         moved = listed.join(known.select("path", F.col("size").alias("_s"), F.col("mtime").alias("_m")), "path", "left").where("_s is null or _s <> size or _m <> mtime")
-        since = moved.agg(F.min("mtime")).first()[0]
-        contents = self._contents(since if since is not None else 1 << 52)
-        texts = moved.select("path", "size", "mtime", "kind").join(contents, "path").withColumn("sha256", F.sha2("content", 256))
-        texts = self._kept(texts.select("path", "size", "mtime", "kind", "sha256", F.col("content").cast("string").alias("text")))
-        same = listed.join(moved.select("path"), "path", "left_anti").join(known.select("path", "sha256"), "path")
-        found = texts.select("path", "size", "mtime", "sha256", "kind").unionByName(same.select("path", "size", "mtime", "sha256", "kind"))
-        change = self._kept(M.snapshot_diff(known.select("path", "size", "mtime", "sha256", "status"), found.select("path", "size", "mtime", "sha256")))
+        texts = kept(moved.join(self._contents(moved), "path").withColumn("sha256", F.sha2("content", 256)).select("path", "size", "mtime", "kind", "sha256", F.when(F.col("kind") == "markdown", S.front_matter_source(F.col("content").cast("string"))).alias("source")))
+        same = listed.join(moved.select("path"), "path", "left_anti").join(known.select("path", "sha256", "source"), "path")
+        found = texts.unionByName(same.select(*texts.columns))
+        change = kept(M.snapshot_diff(known.select("path", "size", "mtime", "sha256", "status"), found.select("path", "size", "mtime", "sha256")))
         gone = M.really_gone(change.where("change = 'gone'").join(known.select("path", "status", "kind", "sha256", "document_id"), "path"), self.settings.scan.keep, listed.select("path"))
         fresh = change.where("change = 'new'").join(found, "path")
-        renamed = self._kept(M.moves(gone.select("path", "kind", "sha256"), fresh.select("path", "kind", "sha256")))
-        base = known.agg(F.coalesce(F.max("document_id"), F.lit(0))).first()[0]
+        renamed = kept(M.moves(gone.select("path", "kind", "sha256"), fresh.select("path", "kind", "sha256")))
+        lost = kept(gone.join(renamed.select(F.col("old_path").alias("path")), "path", "left_anti").select("document_id"))
+        first = known.agg(F.coalesce(F.max("document_id"), F.lit(0))).first()[0]
         added = fresh.join(renamed.select(F.col("new_path").alias("path")), "path", "left_anti")
-        numbered = M.numbered(self._kept(added.select("path").repartitionByRange("path").withColumn("_part", F.spark_partition_id())), "path", base, "document_id")
-        kept = known.join(gone.select("path").join(renamed.select(F.col("old_path").alias("path")), "path", "left_anti"), "path", "left_anti")
-        named = kept.join(renamed, F.col("path") == F.col("old_path"), "left").withColumn("path", F.coalesce("new_path", "path")).drop("old_path", "new_path")
-        told = found.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.col("sha256").alias("_sha"))
+        numbered = M.numbered(kept(added.select("path").repartitionByRange("path").withColumn("_part", F.spark_partition_id())), "path", first, "document_id")
+        left, _ = M.delete_documents(known, self.tables.links(base).withColumnRenamed("document_id", "parent_id"), lost)
+        named = left.join(renamed, F.col("path") == F.col("old_path"), "left").withColumn("path", F.coalesce("new_path", "path")).drop("old_path", "new_path")
+        told = found.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.col("sha256").alias("_sha"), F.col("source").alias("_source"))
         met = named.join(told, "path", "left").join(change.where("change in ('changed', 'revived')"), "path", "left")
         status = F.when(F.col("change") == "changed", "pending").when(F.col("change") == "revived", M.revived_status(F.col("chunk_count"), F.col("embed_id"))).otherwise(F.col("status"))
-        old = met.withColumns({"status": status, "size": F.coalesce("_size", "size"), "mtime": F.coalesce("_mtime", "mtime"), "sha256": F.coalesce("_sha", "sha256")}).select(*known.columns)
-        new = added.join(numbered, "path").select("document_id", "path", "kind", "sha256", "size", "mtime", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(0).cast("long").alias("chunk_count"), F.lit(None).cast("long").alias("pair_id"), F.lit(None).cast("string").alias("embed_id"))
-        docs = self._kept(old.unionByName(new))
+        old = met.withColumns({"status": status, "attempts": F.when(F.col("change") == "changed", 0).otherwise(F.col("attempts")), "size": F.coalesce("_size", "size"), "mtime": F.coalesce("_mtime", "mtime"), "sha256": F.coalesce("_sha", "sha256"), "source": F.when(F.col("_sha").isNull(), F.col("source")).otherwise(F.col("_source"))}).select(*KNOWN)
+        blank = {"status": F.lit("pending"), "chunk_count": F.lit(0).cast("long"), "attempts": F.lit(0), "until": F.lit(0).cast("long"), "pair_id": F.lit(None).cast("long")} | {c: F.lit(None).cast("string") for c in ("error", "embed_id", "owner")}
+        new = added.join(numbered, "path").withColumns(blank).select(*KNOWN)
+        docs = kept(old.unionByName(new))
+        pairs = M.pairs(docs.where("kind = 'markdown' and status <> 'stale'").select("path", "source", self._mirror(F.col("path")).alias("mirror")), docs.where("kind = 'pdf' and status <> 'stale'").select("path"))
+        docs = kept(M.apply_pairs(docs, kept(pairs)).select(*KNOWN))
         counts = {r["change"]: r["count"] for r in change.groupBy("change").count().collect()}  # a row for each kind of change
         report = {name: counts.get(name, 0) for name in ("new", "changed", "revived", "unchanged", "touched")}
-        report |= {"moved": renamed.count(), "found": found.count(), "missing_folders": missing}
+        report |= {"moved": renamed.count(), "found": found.count(), "missing_folders": missing, "pairs": M.pair_count(docs).first()["n"]}
         report["new"] -= report["moved"]
-        report["deleted"] = counts.get("gone", 0) - report["moved"]
-        if before and not any(report[k] for k in ("new", "changed", "revived", "touched", "moved", "deleted")):
-            return report | {"indexed": 0, "failed": 0}
-        return report | self._index(before, docs, known, texts)
-
-    def _units(self, docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Chunks of the pending documents whose text is there, and document_id, error of those that are not read."""
-        todo = docs.where("status = 'pending'").select("document_id", "path").join(texts.select("path", "kind", "text"), "path")
-        wrong = S.code_problem(F.col("text"))
-        code = todo.where("kind = 'code'").withColumn("error", wrong)
-        markdown = C.chunk_documents(todo.where("kind = 'markdown'"), self.settings.chunk.tokens, self.settings.chunk.overlap).select("document_id", "ord", F.lit("text").alias("modality"), "text", "heading_path", "page")
-        lines = C.chunk_code(code.where("error is null")).select("document_id", "ord", F.lit("text").alias("modality"), "text", F.col("label").alias("heading_path"), F.lit(0).alias("page"))
-        pictures = S.image_units(todo).join(todo.select("document_id", "path"), "path").select("document_id", F.lit(0).alias("ord"), "modality", "text", F.lit("").alias("heading_path"), F.lit(0).alias("page"))
-        units = markdown.unionByName(lines).unionByName(pictures)
+        report["deleted"] = lost.count()
+        turned = kept(docs.exceptAll(known))
+        if not base.number or report["deleted"] or not turned.isEmpty():
+            own = self.tables.segment(base, docs=turned, gone=lost if report["deleted"] else None)
+            self.tables.publish(base, own, space=base.space or self.space)
+        return report, listed
+
+    def _claim(self, kept: Callable[[DataFrame], DataFrame], tried: DataFrame) -> tuple[VS.Version, DataFrame] | None:
+        """Lease all readable documents that wait, but those `tried` (document_id) before: what is published then, and their rows. None if nothing waits."""
+        base, now = self.tables.latest(), self.now()
+        waiting = (F.col("status") == "pending") | ((F.col("status") == "failed") & (F.col("attempts") < M.MAX_ATTEMPTS)) | ((F.col("status") == "running") & (F.col("until") < now))
+        mine = kept(self.tables.documents(base).where(waiting & F.col("kind").isin(self._readable())).join(tried, "document_id", "left_anti").withColumns({"status": F.lit("running"), "owner": F.lit(self.owner), "until": F.lit(now + LEASE_MS).cast("long")}))
+        if mine.isEmpty():
+            return None
+        return self.tables.publish(base, self.tables.segment(base, docs=mine)), mine
+
+    def _units(self, mine: DataFrame, texts: DataFrame, listed: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Units of the claimed documents, in order, and document_id, error of those that can't be read."""
+        todo = mine.select("document_id", "path", "kind", F.col("pair_id").isNotNull().alias("paired")).join(texts, "path", "left")
+        code = todo.where("kind = 'code'").withColumn("error", F.coalesce("error", S.code_problem(F.col("text"))))
         none = lambda kind: F.lit(None).cast(kind)
-        rows = units.select((F.col("document_id") * PLACES + F.col("ord")).alias("chunk_id"), "document_id", "ord", "modality", "text", "heading_path", "page", none("string").alias("source_path"), none("long").alias("start_ms"), none("long").alias("end_ms"))
-        return rows, code.where("error is not null").select("document_id", "error")
-
-    def _index(self, before: str, docs: DataFrame, known: DataFrame, texts: DataFrame) -> dict:
-        live = before.rpartition("-")[0]
-        space = spaces.fitting(live, self.space, known.limit(1).count())
-        version = f"{space}-{uuid.uuid4().hex}"
-        folder = lambda name: spaces.target(self.store, version, name)
-        units, errors = self._units(docs, texts)
-        errors = self._kept(errors)
-        own = K.analyzed(units).withColumn("vector", self._vector(F.col("text")))
-        own.write.parquet(folder("fresh"))
-        fresh = self.spark.read.parquet(folder("fresh"))
-        if before:
-            last = self.index()
-            changed = docs.where("status = 'pending'").select("document_id").union(known.join(docs, "document_id", "left_anti").select("document_id")).distinct()
-            gone = last.chunks.join(changed, "document_id", "left_semi").select("chunk_id")
-            M.replace_chunks(last.chunks.join(changed, "document_id", "left_anti"), fresh).write.parquet(folder("index/chunks"))
-            K.store(last.postings.replaced(gone, fresh), folder("index/keyword"))
-        else:
-            fresh.write.parquet(folder("index/chunks"))
-            K.store(K.on_the_way(fresh), folder("index/keyword"))
-        counts = self.spark.read.parquet(folder("index/chunks")).groupBy("document_id").agg(F.count("*").alias("_n"))
-        read = F.col("kind").isin("markdown", "code", "image")
-        met = docs.drop("chunk_count").join(counts, "document_id", "left").join(errors.withColumnRenamed("error", "_error"), "document_id", "left").withColumn("chunk_count", F.coalesce("_n", F.lit(0).cast("long")))
-        pending = F.col("status") == "pending"
-        told = {"error": F.when(pending, F.col("_error")).otherwise(F.col("error")), "embed_id": F.when(pending & read, F.lit(space)).otherwise(F.col("embed_id")), "status": F.when(pending & F.col("_error").isNotNull(), "failed").when(pending & read, "done").otherwise(F.col("status"))}
-        met.withColumns(told).select(*known.columns).write.parquet(folder("documents"))
-        if self._version() != before:
-            raise Locked(f"another writer changed {self.store}")
-        spaces.switch(self.spark, self.store, version)
-        failed = errors.count()
-        return {"indexed": docs.where("status = 'pending'").where(read).count() - failed, "failed": failed}
+        fields = {"part": F.lit(0), "at": F.col("ord").cast("long"), "modality": F.lit("text"), "heading_path": F.lit(""), "page": F.lit(0), "source_path": none("string"), "start_ms": none("long"), "end_ms": none("long")}
+        unit = lambda rows, **more: rows.select("document_id", "text", *((fields | more)[c].alias(c) for c in fields))
+        own = {"heading_path": F.col("heading_path"), "page": F.col("page").cast("int")}
+        shown = links.select("document_id", F.coalesce(F.nullif("alt", F.lit("")), S.file_words(F.col("child_path"))).alias("text"), "child_path", "heading_path", "page")
+        units = [
+            unit(C.chunk_documents(todo.where("kind = 'markdown' and error is null"), self.settings.chunk.tokens, self.settings.chunk.overlap), **own),
+            unit(shown, **own, part=F.lit(1), at=F.xxhash64("child_path"), modality=F.lit("image"), source_path=F.col("child_path")),
+            unit(C.chunk_code(code.where("error is null")), heading_path=F.col("label")),
+            unit(todo.where("kind = 'image'").select("document_id", "path", S.file_words(F.col("path")).alias("text")), at=F.lit(0).cast("long"), modality=F.lit("image"), source_path=F.col("path")),
+        ]
+        errors = [todo.where("error is not null").select("document_id", "error"), code.where("error is not null").select("document_id", "error")]
+        if self.pages is not None:
+            pdf = todo.where("kind = 'pdf'")
+            pages = pdf.select("document_id", "path", "paired").join(self.pages.select("path", "page", T.clean_page(F.coalesce("text", F.lit(""))).alias("words")), "path")
+            said = pages.where("words <> '' and not paired").select("document_id", F.col("words").alias("text"), "page")
+            units.append(unit(said, page=F.col("page"), at=F.col("page").cast("long")))
+            if self.settings.index.pdf_page_images:
+                units.append(unit(pages.select("document_id", F.lit("").alias("text"), "page"), page=F.col("page"), part=F.lit(1), at=F.col("page").cast("long"), modality=F.lit("pdf_page")))
+            filled = pages.select("document_id") if self.settings.index.pdf_page_images else said.select("document_id")
+            errors.append(pdf.where("not paired").join(filled, "document_id", "left_anti").select("document_id", F.lit("no content").alias("error")))
+        if self.media is not None:
+            clips = todo.where(F.col("kind").isin("audio", "video")).select("document_id", "path", "kind").join(self.media, "path", "left")
+            made = C.media_units(clips)
+            units.append(unit(made.where("error is null"), at=F.col("start_ms"), part=F.when(F.col("modality") == "video", 0).otherwise(1), modality=F.col("modality"), heading_path=F.col("heading_path"), start_ms=F.col("start_ms"), end_ms=F.col("end_ms")))
+            errors.append(made.where("error is not null").select("document_id", "error").distinct())
+        every, wrong = units[0], errors[0]
+        for u in units[1:]:
+            every = every.unionByName(u)
+        for e in errors[1:]:
+            wrong = wrong.unionByName(e)
+        place = F.row_number().over(Window.partitionBy("document_id").orderBy("part", "at", "page")) - 1
+        held = F.when(place < PLACES, place).otherwise(F.raise_error(F.lit(f"a document of more than {PLACES} chunks")).cast("int"))
+        rows = every.withColumn("ord", held).select((F.col("document_id") * PLACES + F.col("ord")).alias("chunk_id"), "document_id", "ord", "modality", "text", "heading_path", "page", "source_path", "start_ms", "end_ms")
+        return rows, wrong.groupBy("document_id").agg(F.min("error").alias("error"))
+
+    def _work(self, base: VS.Version, mine: DataFrame, listed: DataFrame, kept: Callable[[DataFrame], DataFrame]) -> dict:
+        """Read the claimed documents, and publish what came out."""
+        wanted = mine.where(F.col("kind").isin("markdown", "code")).select("path", "mtime")
+        texts = kept(self.reader(self._contents(wanted)).select("path", "text", "error"))
+        shown = L.image_links(mine.where("kind = 'markdown'").join(texts.where("error is null"), "path").select("document_id", "path", "text"))
+        links = kept(L.resolve_links(shown, listed.select("path")).where("child_path is not null").select(*(c.split()[0] for c in LINKS.split(", "))))
+        before = self.tables.links(base)
+        docs = kept(self.tables.documents(base))
+        by_parent = lambda rows: rows.withColumnRenamed("document_id", "parent_id")
+        every = kept(before.select("document_id", "child_path").join(mine.select("document_id"), "document_id", "left_anti").unionByName(links.select("document_id", "child_path")).distinct())
+        # an image that any text shows has no chunks of its own
+        alone = mine.join(every.select(F.col("child_path").alias("path")).distinct(), "path", "left_anti")
+        alone = kept(alone.unionByName(mine.where("kind <> 'image'").join(alone.select("document_id"), "document_id", "left_anti")))
+        units, errors = self._units(alone, texts, listed, links)
+        errors = kept(errors)
+        chunks = kept(K.analyzed(units))
+        counts = chunks.groupBy("document_id").agg(F.count("*").alias("_n"))
+        space = base.space if base.space == self.space or base.number and any(s.chunks for s in base.segments) else self.space
+        if space != self.space:
+            spaces.fitting(space, self.space, 1)
+        met = mine.drop("chunk_count").join(counts, "document_id", "left").join(errors.withColumnRenamed("error", "_error"), "document_id", "left").withColumn("chunk_count", F.coalesce("_n", F.lit(0).cast("long")))
+        bad = F.col("_error").isNotNull()
+        note = F.when((F.col("kind") == "pdf") & F.col("pair_id").isNotNull(), PAIRED)
+        told = {"error": F.coalesce("_error", note), "embed_id": F.when(~bad, F.lit(space)), "status": F.when(bad, "failed").otherwise("done"), "attempts": F.when(bad, F.col("attempts") + 1).otherwise(0), "owner": F.lit(None).cast("string"), "until": F.lit(0).cast("long")}
+        read = kept(met.withColumns(told).select(*KNOWN))
+        # what the links do to other documents
+        parents = mine.where("kind = 'markdown'").select("document_id")
+        noted = docs.join(read.select("document_id"), "document_id", "left_anti").unionByName(read).withColumn("note", F.col("error"))
+        _, linked = M.replace_links(noted, by_parent(before), by_parent(links), parents)
+        taken = every.select(F.col("child_path").alias("path")).distinct().withColumn("_in", F.lit(True))
+        linked = linked.withColumn("error", F.col("note")).join(taken, "path", "left")
+        child = F.col("_in") & (F.col("kind") == "image")
+        linked = linked.withColumns({"status": F.when(child, "done").otherwise(F.col("status")), "error": F.when(child, M.LINKED).otherwise(F.col("error")), "chunk_count": F.when(child, 0).otherwise(F.col("chunk_count"))})
+        turned = kept(linked.select(*KNOWN).exceptAll(docs))
+        children = docs.where("kind = 'image' and chunk_count > 0").join(links.select(F.col("child_path").alias("path")).distinct(), "path", "left_semi").select("document_id")
+        to = spaces.written(space, base.building)
+        own = self.tables.segment(base, docs=turned, chunks=chunks, links=links, replaced=mine.select("document_id").union(children), vectors={s: self._maker(s) for s in to})
+        self.tables.publish(base, own, space=space)
+        return {"indexed": mine.count() - errors.count(), "failed": errors.count(), "linked": mine.join(alone.select("document_id"), "document_id", "left_anti").count()}
 
     def search(self, query: str | DataFrame, options: SE.SearchOptions | None = None) -> tuple[DataFrame, DataFrame]:
-        """Results and notices of one query, or of many (query_id, text); see plans.search.search_documents()."""
+        """Results and notices of one query, or of many (query_id, text); see plans.search.search_documents().
+
+        Vectors of queries that were asked before, in this space, come from the cache; a batch of such ones doesn't call the embedder.
+        """
         options = options or SE.SearchOptions()
-        version, live = self._live()
+        version = self.version()
         asked = query if isinstance(query, DataFrame) else self.spark.createDataFrame([(0, SE.one_query(query))], "query_id long, text string")
-        if options.mode != "keyword" and spaces.vectors_usable(live, self.space, options.mode):
-            asked = SE.embedded(asked, self._vector, self.settings.embed.dim)
-        own = self.index()
-        return SE.search_documents(asked, own.chunks, self._table(version, "documents"), options, own.postings, (live, self.space))
+        if options.mode != "keyword" and spaces.vectors_usable(version.space, self.space, options.mode):
+            cache = self.settings.cache
+            asked = self.cache.embedded(asked, self.space, lambda rows: SE.embedded(rows, self._vector, self.settings.embed.dim), self.now(), cache.query_max)
+        docs = self.tables.documents(version)
+        return SE.search_documents(asked, self.tables.chunks(version), docs, options, self.tables.postings(version), (version.space, self.space), self.tables.vectors(version, version.space))
 
     def status(self) -> dict:
         """Numbers of the index, ready to be written as JSON."""
-        version, live = self._live()
-        docs = self._table(version, "documents")
+        version = self.version()
+        docs = self.tables.documents(version)
         by = lambda column: {r[column]: r["count"] for r in docs.groupBy(column).count().collect()}
+        told = by("status")
         return {
-            "root": self.root, "space": live, "wanted_space": self.space, "documents": docs.count(), "by_status": by("status"), "by_kind": by("kind"), "pairs": M.pair_count(docs).first()["n"],
-            "chunks": self._table(version, "index/chunks").count(), "queued": docs.where("status = 'pending'").count(), "folders": {r["folder"]: r["n"] for r in self.folders().collect()},
+            "root": self.root, "space": version.space, "wanted_space": self.space, "building": version.building, "documents": sum(told.values()), "by_status": told, "by_kind": by("kind"), "pairs": M.pair_count(docs).first()["n"],
+            "chunks": self.tables.chunks(version).count(), "queued": told.get("pending", 0) + told.get("running", 0), "segments": len(version.segments), "folders": {r["folder"]: r["n"] for r in self.folders().collect()},
         }
 
     def folders(self) -> DataFrame:
         """folder, n: documents below each configured folder."""
         asked = self.spark.createDataFrame([(f,) for f in self._folders()], "folder string")
-        docs = self._table(self._live()[0], "documents").select("document_id", "path")
+        docs = self.tables.documents(self.version()).select("document_id", "path")
         return asked.join(docs, S.folder_covers(F.col("folder"), F.col("path")), "left").groupBy("folder").agg(F.count("document_id").alias("n"))
 
+    def remove_folder(self, folder: str) -> int:
+        """Take a folder out of the settings: its documents are stale, and found until the next scan deletes or revives them. How many."""
+        base = self.version()
+        docs = self.tables.documents(base)
+        rest = [f for f in self._folders() if f != folder]
+        held = F.lit(False)
+        for f in rest:
+            held = held | S.folder_covers(F.lit(f), F.col("path"))
+        turned = M.mark_stale(docs, [folder]).where(~held).exceptAll(docs)
+        n = turned.count()
+        if n:
+            self.tables.publish(base, self.tables.segment(base, docs=turned))
+        self.settings.scan.folders = rest
+        return n
+
     def rebuild(self, size: int = 0, free_mb: int = -1, force: bool = False) -> spaces.Rebuild:
-        """Make the vectors of all chunks anew for the space that the settings name; searches read the old ones meanwhile."""
-        version, live = self._live()
-        chunks = self._table(version, "index/chunks")
-        dims = tuple(spaces.told_by(s)[2] for s in (live, self.space))
-        plan = spaces.rebuild(live, "", self.space, chunks.count(), size, dims, free_mb, force)
-        if plan.mode != "none":
-            fresh = f"{self.space}-{uuid.uuid4().hex}"
-            folder = lambda name: spaces.target(self.store, fresh, name)
-            chunks.withColumn("vector", self._vector(F.col("text"))).write.parquet(folder("index/chunks"))
-            K.store(self.index().postings, folder("index/keyword"))
-            self._table(version, "documents").withColumn("embed_id", F.when(F.col("embed_id").isNotNull(), F.lit(self.space))).write.parquet(folder("documents"))
-            if self._version() != version:
-                raise Locked(f"another writer changed {self.store}")
-            spaces.switch(self.spark, self.store, fresh)
+        """Make the vectors of all chunks anew for the space that the settings name; searches read the old ones meanwhile.
+
+        The space is published as under way, so that scans write its vectors too. Vectors are made by segment and slice, each of which is
+        kept once whole: a rebuild that was cut off goes on where it stood, and segments that came meanwhile are taken in. Then the space is published
+        as the live one. Going back to the live space's settings gives a rebuild up.
+        """
+        version = self.version()
+        dims = tuple(spaces.told_by(s)[2] for s in (version.space, self.space))
+        plan = spaces.rebuild(version.space, version.building, self.space, sum(s.chunks for s in version.segments), size, dims, free_mb, force)
+        if plan.mode == "cancelled":
+            self.tables.publish(version, building="")
+        if plan.mode in ("none", "cancelled"):
+            return plan
+        if version.building != self.space:
+            version = self.tables.publish(version, building=self.space)
+        while True:
+            for s in [s for s in version.segments if s.chunks and self.space not in s.spaces]:
+                for k in range(SLICES):
+                    self.tables.slice(s, self.space, k, self._maker(self.space))
+            latest = self.tables.latest()
+            if latest.building != self.space:
+                raise Locked(f"another writer gave the rebuild of {self.store} up")
+            made = {s.name for s in version.segments}
+            if all(s.name in made or self.space in s.spaces or not s.chunks for s in latest.segments):
+                break
+            version = latest
+        done = tuple(VS.replace(s, spaces=tuple(sorted({*s.spaces, self.space}))) if s.chunks else s for s in latest.segments)
+        named = self.tables.documents(latest).where("embed_id is not null")
+        turned = named.withColumn("embed_id", F.lit(self.space)).exceptAll(named)
+        VS.publish(self.spark, self.store, latest, VS.replace(latest, segments=(*done, self.tables.segment(latest, docs=turned)), space=self.space, building=""))
         return plan
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove segments that only older versions than the newest `keep` name; searches that still read these must be over."""
+        self.cache.fold(self.settings.cache.query_max, int(self.now() - 1000 * seconds(self.settings.cache.query_ttl)))
+        return self.tables.vacuum(keep)
+
+
     def watch(self, settings: Callable[[], Config], checkpoint: str | None = None) -> StreamingQuery:
         """Scan whenever the folder has changed and then been quiet, with the settings as they are then."""
 

@@ -48,11 +48,13 @@ class SearchOptions:
         return (20 if self.group else 5) * (self.k if self.k > 0 else DEFAULT_K)
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, options: SearchOptions, allowed: DataFrame | None = None, postings: K.Postings | None = None) -> DataFrame:
-    """query_id, chunk_id, score, sim, kw, rank: the fused lists, or the one list of the mode. See search() for the tables."""
+def candidates(queries: DataFrame, chunks: DataFrame, options: SearchOptions, allowed: DataFrame | None = None, postings: K.Postings | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score, sim, kw, rank: the fused lists, or the one list of the mode. See search() for the tables; `vectors` (chunk_id, vector)
+    may lie beside the chunks."""
     found = []
     if options.mode != "keyword":
-        rows = chunks if allowed is None else chunks.join(allowed, "chunk_id", "left_semi")
+        rows = chunks if vectors is None else vectors
+        rows = rows if allowed is None else rows.join(allowed, "chunk_id", "left_semi")
         found.append(V.search(queries, rows.select(F.col("chunk_id").alias("row_id"), "vector"), options.pool).withColumnRenamed("row_id", "chunk_id"))
     if options.mode != "vector":
         found.append(K.keyword_hits(queries, postings or K.on_the_way(chunks), options.pool, allowed))
@@ -109,7 +111,7 @@ def in_reach(chunks: DataFrame, docs: DataFrame, options: SearchOptions) -> Data
     return rows.select("chunk_id")
 
 
-def search_documents(queries: DataFrame, chunks: DataFrame, docs: DataFrame, options: SearchOptions, postings: K.Postings | None = None, spaces: tuple[str, str] = ("", "")) -> tuple[DataFrame, DataFrame]:
+def search_documents(queries: DataFrame, chunks: DataFrame, docs: DataFrame, options: SearchOptions, postings: K.Postings | None = None, spaces: tuple[str, str] = ("", ""), vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Results and notices of a batch of queries (query_id, text and, unless the mode is keyword, vector).
 
     Results have query_id, rank, score, sim, level, path, kind, modality, page, start, end, heading, text, paired_path, parent_path,
@@ -124,7 +126,7 @@ def search_documents(queries: DataFrame, chunks: DataFrame, docs: DataFrame, opt
     if options.mode != "keyword" and not vectors_usable(*spaces, options.mode):
         options = replace(options, mode="keyword")
         notices = notices.unionByName(asked.select("query_id", F.lit(f"keywords only: the index holds vectors of {spaces[0]}, not of {spaces[1]}").alias("notice")))
-    hits = details(candidates(asked, chunks, options, in_reach(chunks, docs, options), postings), chunks, docs)
+    hits = details(candidates(asked, chunks, options, in_reach(chunks, docs, options), postings, vectors), chunks, docs)
     merged = merge.merge_moments(merge.merge_pairs(hits))
     if options.group:
         merged = R.group_by(merged.withColumn("_document", F.coalesce("parent_path", "path")), "_document").drop("_document")

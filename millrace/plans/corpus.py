@@ -142,21 +142,24 @@ class Corpus:
             return self.spark.read.schema(rows.schema).parquet(folder)
 
         try:
-            report, listed = self._discover(kept)
+            report, listed, version, mine = self._discover(kept)
             done = {"indexed": 0, "failed": 0, "linked": 0}
-            tried = self.spark.createDataFrame([], "document_id long")
-            while claimed := self._claim(kept, tried):  # images that lost their text, and PDFs their transcription, come up after a round
-                version, mine = claimed
+            tried = mine.select("document_id")
+            while not mine.isEmpty():
                 for name, n in self._work(version, mine, listed, kept).items():
                     done[name] += n
-                tried = kept(tried.union(mine.select("document_id")))
+                version, mine = self._claim(kept, tried)  # images that lost their text come up after a round
+                tried = tried.union(mine.select("document_id"))
             self.tables.compact(self.tables.latest())
             return report | done
         finally:
             VS.remove(self.spark, work)
 
-    def _discover(self, kept: Callable[[DataFrame], DataFrame]) -> tuple[dict, DataFrame]:
-        """Publish what the folder's listing changes: new, changed, moved, revived and deleted documents, and pairs."""
+    def _discover(self, kept: Callable[[DataFrame], DataFrame]) -> tuple[dict, DataFrame, VS.Version, DataFrame]:
+        """Publish what the folder's listing changes: new, changed, moved, revived and deleted documents, pairs, and claims of all that waits.
+
+        What was done, the listing, what is published then, and the claimed documents.
+        """
         base = self.tables.latest()
         listed, missing = self._listed()
         listed = kept(listed)
@@ -183,7 +186,7 @@ class Corpus:
         new = added.join(numbered, "path").withColumns(blank).select(*KNOWN)
         docs = kept(old.unionByName(new))
         pairs = M.pairs(docs.where("kind = 'markdown' and status <> 'stale'").select("path", "source", self._mirror(F.col("path")).alias("mirror")), docs.where("kind = 'pdf' and status <> 'stale'").select("path"))
-        docs = kept(M.apply_pairs(docs, kept(pairs)).select(*KNOWN))
+        docs = kept(self._claimed(M.apply_pairs(docs, pairs).select(*KNOWN)))
         counts = {r["change"]: r["count"] for r in change.groupBy("change").count().collect()}  # a row for each kind of change
         report = {name: counts.get(name, 0) for name in ("new", "changed", "revived", "unchanged", "touched")}
         report |= {"moved": renamed.count(), "found": found.count(), "missing_folders": missing, "pairs": M.pair_count(docs).first()["n"]}
@@ -192,17 +195,23 @@ class Corpus:
         turned = kept(docs.exceptAll(known))
         if not base.number or report["deleted"] or not turned.isEmpty():
             own = self.tables.segment(base, docs=turned, gone=lost if report["deleted"] else None)
-            self.tables.publish(base, own, space=base.space or self.space)
-        return report, listed
+            base = self.tables.publish(base, own, space=base.space or self.space)
+        return report, listed, base, turned.where((F.col("status") == "running") & (F.col("owner") == self.owner))
 
-    def _claim(self, kept: Callable[[DataFrame], DataFrame], tried: DataFrame) -> tuple[VS.Version, DataFrame] | None:
-        """Lease all readable documents that wait, but those `tried` (document_id) before: what is published then, and their rows. None if nothing waits."""
-        base, now = self.tables.latest(), self.now()
+    def _claimed(self, docs: DataFrame) -> DataFrame:
+        """`docs` with this writer's lease on all readable ones that wait."""
+        now = self.now()
         waiting = (F.col("status") == "pending") | ((F.col("status") == "failed") & (F.col("attempts") < M.MAX_ATTEMPTS)) | ((F.col("status") == "running") & (F.col("until") < now))
-        mine = kept(self.tables.documents(base).where(waiting & F.col("kind").isin(self._readable())).join(tried, "document_id", "left_anti").withColumns({"status": F.lit("running"), "owner": F.lit(self.owner), "until": F.lit(now + LEASE_MS).cast("long")}))
-        if mine.isEmpty():
-            return None
-        return self.tables.publish(base, self.tables.segment(base, docs=mine)), mine
+        mine = waiting & F.col("kind").isin(self._readable())
+        told = {"status": F.lit("running"), "owner": F.lit(self.owner), "until": F.lit(now + LEASE_MS).cast("long")}
+        return docs.withColumns({c: F.when(mine, v).otherwise(F.col(c)) for c, v in told.items()})
+
+    def _claim(self, kept: Callable[[DataFrame], DataFrame], tried: DataFrame) -> tuple[VS.Version, DataFrame]:
+        """Lease what has come to wait since, but for those `tried` (document_id): what is published then, and their rows, none if nothing waits."""
+        base = self.tables.latest()
+        docs = self.tables.documents(base).join(tried, "document_id", "left_anti")
+        mine = kept(self._claimed(docs).exceptAll(docs))
+        return (base if mine.isEmpty() else self.tables.publish(base, self.tables.segment(base, docs=mine))), mine
 
     def _units(self, mine: DataFrame, texts: DataFrame, listed: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Units of the claimed documents, in order, and document_id, error of those that can't be read."""

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import keyword as K
@@ -31,7 +31,7 @@ VECTORS = "chunk_id long, document_id long, vector array<float>"
 DEAD = "what string, document_id long"
 TERMS = "term string, df long, part int"
 #: Segments of a tier that are merged, and rows of the lowest tier's largest segment.
-FANOUT, LOWEST = 4, 4096
+FANOUT, LOWEST = 8, 4096
 #: Chunks that a document may have: a chunk's id is the document's times this, plus its place. More are an error.
 PLACES = 1 << 20
 #: Chunk ids that a cell of the posting table spans: some documents' worth.
@@ -105,7 +105,7 @@ class Store:
 
     def vectors(self, version: Version, space: str) -> DataFrame:
         """chunk_id, document_id, vector of the chunks that have one in this space."""
-        return self._live(version.segments, [s for s in version.segments if space in s.spaces], f"vectors/{space_folder(space)}/*", VECTORS, "content")
+        return self._live(version.segments, [s for s in version.segments if space in s.spaces], f"vectors/{space_folder(space)}/slice=*", VECTORS, "content")
 
     def postings(self, version: Version) -> K.Postings:
         return self._postings(version.segments, True)
@@ -153,8 +153,7 @@ class Store:
             own = self._keyword(own, came, lost)
         if came is not None and vectors:
             for space, make in vectors.items():
-                for k in range(SLICES):
-                    self.slice(own, space, k, make)
+                self._vectors(make(came), own, space)
             own = replace(own, spaces=tuple(vectors))
         return own
 
@@ -172,13 +171,18 @@ class Store:
         K.store(replace(found, totals=self.spark.createDataFrame([(row["n"], row["total"])], "n long, total long")), self.folder(own, "keyword"), went)
         return replace(own, total=row["n"], tokens=row["total"], terms=True)
 
+    def _vectors(self, rows: DataFrame, segment: Segment, space: str) -> None:
+        """All slices at once, for a segment that isn't published yet."""
+        told = rows.select("chunk_id", "document_id", "vector", slice_of().alias("slice"))
+        told.write.partitionBy("slice").parquet(self.folder(segment, f"vectors/{space_folder(space)}"))
+
     def slice(self, segment: Segment, space: str, k: int, make: Callable[[DataFrame], DataFrame]) -> bool:
         """Make part `k` of the segment's vectors, unless it is there. Whether there was work to do."""
-        folder = self.folder(segment, f"vectors/{space_folder(space)}/{k}")
+        folder = self.folder(segment, f"vectors/{space_folder(space)}/slice={k}")
         if exists(self.spark, f"{folder}/_SUCCESS"):
             return False
         chunks = self.spark.read.schema(CHUNKS).parquet(self.folder(segment, "chunks"))
-        mine = chunks.where(F.pmod(F.xxhash64("document_id"), F.lit(SLICES)) == k)
+        mine = chunks.where(slice_of() == k)
         make(mine).select("chunk_id", "document_id", "vector").write.mode("overwrite").parquet(folder)
         return True
 
@@ -224,9 +228,7 @@ class Store:
         having = [s for s in young if s.chunks]
         spaces = set.intersection(*(set(s.spaces) for s in having)) if having else set()
         for space in sorted(spaces) if own.chunks else ():
-            rows = self.vectors(part, space).withColumn("_slice", F.pmod(F.xxhash64("document_id"), F.lit(SLICES)))
-            for k in range(SLICES):
-                rows.where(F.col("_slice") == k).drop("_slice").write.parquet(self.folder(own, f"vectors/{space_folder(space)}/{k}"))
+            self._vectors(self.vectors(part, space), own, space)
         own = replace(own, spaces=tuple(sorted(spaces)) if own.chunks else ())
         try:
             return VS.publish(self.spark, self.root, version, replace(version, segments=(*old, own)))
@@ -246,6 +248,10 @@ class Store:
         return len(void)
 
 
+def slice_of() -> Column:
+    return F.pmod(F.xxhash64("document_id"), F.lit(SLICES))
+
+
 def space_folder(space: str) -> str:
     """A folder's name for a vector space."""
     return "".join(c if c.isalnum() or c in "-_." else f"={ord(c):x}=" for c in space)

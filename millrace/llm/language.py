@@ -24,6 +24,8 @@ from .shared import OUT_ROWS
 BITS, LONGEST = 18, 3
 #: Texts per language in the training sample, landmarks among them, and the ridge.
 SAMPLE, LANDMARKS, RIDGE = 256, 48, 1e-2
+#: Characters of a text that are learnt from, at most.
+SAMPLE_CHARS = 1 << 16
 #: Texts scored by one matrix product.
 BATCH = 256
 
@@ -126,15 +128,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, per_lang: int = SAMPLE, strata: int = 8) -> list[tuple[str, str]]:
-    """At most `per_lang` (lang, text) per language, by a hash of the id, from rows that are not held out.
+    """At most `per_lang` (lang, text) per language, by a hash of id and text, from rows that are not held out; rows alike in both count once. Of a text
+    longer than SAMPLE_CHARS the first so many characters are learnt from, so that the driver gets 64 MB a language at most, of letters of four bytes.
 
-    Each language is dealt to `strata` windows, whose tops are taken before the shuffle too, so no task gets a language.
+    Each language is dealt to `strata` windows, whose tops are taken before the shuffle too, so no task gets a language. The texts are then
+    fetched by language, id and text hash, those that were ranked and no others.
     """
-    rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit("sample")).alias("_h"))
-    top = Window.partitionBy("lang", F.pmod("_h", F.lit(strata))).orderBy("_h", "doc_id")
-    kept = rows.select("doc_id", "lang", "_h").withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= max(1, per_lang // strata))
-    chosen = kept.select("doc_id", "lang", "_h").collect()  # bounded: per_lang ids a language
-    found = rows.where(F.col("doc_id").isin([r["doc_id"] for r in chosen])).select("_h", "doc_id", "lang", "text").distinct().collect() if chosen else []
+    rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("doc_id", "lang", F.xxhash64("text").alias("_t"), F.xxhash64("doc_id", F.lit("sample")).alias("_h"), "text")
+    top = Window.partitionBy("lang", F.pmod("_h", F.lit(strata))).orderBy("_h", "doc_id", "_t")
+    keys = rows.select("lang", "doc_id", "_t", "_h")
+    kept = keys.withColumn("_n", F.dense_rank().over(top)).where(F.col("_n") <= max(1, per_lang // strata)).select("lang", "doc_id", "_t").distinct()
+    chosen = kept.collect()  # bounded: per_lang keys a language
+    if not chosen:
+        return []
+    named = docs.sparkSession.createDataFrame(chosen, "lang string, doc_id long, _t long")
+    piece = rows.where(F.col("doc_id").isin([r["doc_id"] for r in chosen])).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
+    found = piece.join(named, ["lang", "doc_id", "_t"], "left_semi").groupBy("lang", "_h", "doc_id", "_t").agg(F.min("text").alias("text")).collect()
     return [(r["lang"], r["text"]) for r in sorted(found, key=lambda r: (r["lang"], r["_h"], r["doc_id"], r["text"]))]
 
 

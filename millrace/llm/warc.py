@@ -37,25 +37,26 @@ STEP_BYTES = 1 << 16
 RECORD = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, error string"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    """Of a page and its payload, since pages may share an id or have none; only rows alike in both share a record's name."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
 def _header_text(value: str) -> str:
-    """Header values stand on one line: controls and blanks are percent-coded."""
-    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
+    """Header values stand on one line and in ASCII: controls, blanks and other letters are percent-coded, by their bytes in UTF-8."""
+    return re.sub(r"[^\x21-\x7e]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
 
 
 def write_record(page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None, payload: bytes) -> bytes:
     """A resource response, or a revisit, which has no payload of its own."""
     kind = "response" if refers_to is None else "revisit"
-    head = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", "sha1:" + b32encode(bytes.fromhex(digest)).decode())]
+    head = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", "sha1:" + b32encode(bytes.fromhex(digest)).decode())]
     head += [("WARC-Target-URI", _header_text(url))] if url is not None else []
     head += [("X-Source-URL", b64encode(url.encode()).decode())] if url is not None and url != _header_text(url) else []
     head += [("X-Page-ID", str(page_id))] if page_id is not None else []
     head += [("X-Payload-Length", str(size))]
     if refers_to is not None:
-        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page", str(refers_to))]
+        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page", str(refers_to))]
         payload = b""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + payload
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
@@ -112,7 +113,8 @@ def read_record(raw: bytes) -> tuple:
         if not mark:
             raise ValueError("no HTTP header in the block")
     digest = _sha1(fields.get("warc-payload-digest"))
-    size = int(fields["x-payload-length"]) if "x-payload-length" in fields else len(payload)
+    size = _number(fields, "x-payload-length")
+    size = len(payload) if size is None else size
     if kind == "revisit":
         payload = None
     else:
@@ -121,8 +123,16 @@ def read_record(raw: bytes) -> tuple:
             raise ValueError("the payload digest does not hold")
         digest = own
     url = b64decode(fields["x-source-url"]).decode() if "x-source-url" in fields else fields.get("warc-target-uri")
-    number = lambda name: int(fields[name]) if name in fields else None
-    return number("x-page-id"), url, kind, number("x-refers-to-page"), payload, size, digest
+    return _number(fields, "x-page-id"), url, kind, _number(fields, "x-refers-to-page"), payload, size, digest
+
+
+def _number(fields: dict[str, str], name: str) -> int | None:
+    """The field as a number of 64 bits; null where it isn't there."""
+    if name not in fields:
+        return None
+    if not re.fullmatch("-?[0-9]{1,19}", fields[name]) or not -(1 << 63) <= int(fields[name]) < 1 << 63:
+        raise ValueError(f"{name} is no number of 64 bits")
+    return int(fields[name])
 
 
 def write_archive(records: list[bytes]) -> bytes:
@@ -151,10 +161,20 @@ def read_archive(content: bytes) -> Iterator[bytes]:
         if len(content) < 8 + size:
             raise ValueError("the dictionary is cut short")
         body = content[8 : 8 + size]
-        if body[:4] == ZSTD_MAGIC:
-            body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
-        held, at = zstandard.ZstdCompressionDict(body), 8 + size
-    reader = zstandard.ZstdDecompressor(dict_data=held)
+        try:
+            if body[:4] == ZSTD_MAGIC:
+                unpack = zstandard.ZstdDecompressor().decompressobj()
+                body = unpack.decompress(body)
+                if not unpack.eof:
+                    raise ValueError("the dictionary is cut short")
+            held, at = zstandard.ZstdCompressionDict(body), 8 + size
+        except zstandard.ZstdError as e:
+            raise ValueError(f"bad dictionary: {e}") from None
+    try:
+        reader = zstandard.ZstdDecompressor(dict_data=held)
+        reader.decompressobj()
+    except zstandard.ZstdError as e:
+        raise ValueError(f"the dictionary is refused: {e}") from None
     view = memoryview(content)
     while at < len(content):
         if len(content) >= at + 8 and 0x184D2A50 <= struct.unpack_from("<I", content, at)[0] <= 0x184D2A5F:
@@ -238,7 +258,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     for raw in read_archive(content.as_py() or b""):
                         try:
                             rows.append((*read_record(raw), None))
-                        except (ValueError, UnicodeDecodeError, KeyError) as e:
+                        except (ValueError, OverflowError) as e:
                             rows.append((*[None] * 7, str(e)))
                         held += len(raw)
                         if held >= ARCHIVE_BYTES:

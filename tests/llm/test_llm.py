@@ -398,6 +398,34 @@ def test_warc_reader_refuses_damage(spark):
     assert warc.read_archives(frame).where("error is not null").count() == 1
 
 
+def test_warc_reader_gives_a_row_for_what_it_cannot_read(spark):
+    import zstandard
+
+    skip = lambda body: struct.pack("<II", warc.DICTIONARY_MAGIC, len(body)) + body
+    held = zstandard.ZstdCompressor().compress(b"words " * 400)
+    page = warc.write_record(1, "u", hashlib.sha1(b"x").hexdigest(), 1, None, b"x")
+    revisit = warc.write_record(1, "u", hashlib.sha1(b"x").hexdigest(), 1, 7, b"")
+    frame = zstandard.ZstdCompressor().compress
+    bad = [skip(held[:20] + b"\xff" * 9 + held[29:]) + frame(page), skip(held[:-9]) + frame(page), skip(b"\x37\xa4\x30\xec" + b"\x00" * 40) + frame(page)]
+    bad += [frame(page.replace(b"X-Page-ID: 1", b"X-Page-ID: 99999999999999999999")), frame(revisit.replace(b"X-Payload-Length: 1", b"X-Payload-Length: 99999999999999999999")), frame(page.replace(b"X-Page-ID: 1", b"X-Page-ID: one"))]
+    archives = spark.createDataFrame([(str(i), b) for i, b in enumerate([*bad, frame(page)])], "archive string, content binary")
+    rows = warc.read_archives(archives).collect()
+    assert len(rows) == len(bad) + 1 and sum(r["error"] is not None for r in rows) == len(bad)
+
+
+def test_warc_records_of_one_id_have_names_of_their_own():
+    names = {warc.record_id(None, hashlib.sha1(x).hexdigest()) for x in (b"a", b"b")} | {warc.record_id(1, hashlib.sha1(b"a").hexdigest())}
+    assert len(names) == 3
+    assert b"WARC-Target-URI: http://a/%C3%A9\r\n" in warc.write_record(1, "http://a/é", hashlib.sha1(b"").hexdigest(), 0, None, b"")
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(1, f"text number {i} of one id", "en") for i in range(1500)] + [(3, "les mots", "fr")] * 40 + [(4, "x" * (language.SAMPLE_CHARS + 9), "de")]
+    got = language.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 64)
+    assert sum(lang == "en" for lang, _ in got) <= 64 and sum(lang == "fr" for lang, _ in got) == 1
+    assert max(len(t) for _, t in got) <= language.SAMPLE_CHARS
+
+
 def foreign(kind, block, *more):
     head = [f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", "WARC-Date: 2020-01-01T00:00:00Z", "WARC-Target-URI: http://e.org/caf%C3%A9?q=a%2Fb", *more, f"Content-Length: {len(block)}"]
     return "\r\n".join(["WARC/1.0", *head, "", ""]).encode() + block + b"\r\n\r\n"

@@ -142,6 +142,173 @@ def search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Stored blocks from which a search looks at their bounds first; fewer are all read. The results are the same.
+BOUNDED = 64
+#: Rows whose vectors are the seeds of clusters, at most, and rows of a cluster's share.
+SEEDS, SEED_ROWS = 256, 1024
+STORED = "block long, ids array<long>, data binary, dim int, n int, centroid array<double>, reach double"
+
+
+def _unit(data: bytes, dim: int) -> np.ndarray:
+    """The rows of a stored block, each of length 1."""
+    rows = np.frombuffer(data, "<f4").reshape(-1, dim).astype(np.float64)
+    return rows / np.linalg.norm(rows, axis=1)[:, None]
+
+
+def stored_blocks(rows: DataFrame, count: int) -> DataFrame:
+    """Blocks of the vectors of `rows` (row_id, vector), of which there are about `count`, to be written once and searched often.
+
+    Rows are dealt to the seed nearest to them, seeds being rows by hash, and packed by cluster into blocks of up to ROW_BLOCK: ids, data (floats),
+    centroid (length 1) and reach, the smallest cosine of a row and the centroid. A cluster is packed as its rows come in, in as many tasks as
+    it needs. Null and zero vectors are left out; unlike lengths are an error.
+    """
+    seeds = max(1, min(SEEDS, count // SEED_ROWS))
+    plain = rows.where("vector is not null").select(F.col("row_id").cast("long").alias("row_id"), F.col("vector").cast("array<float>").alias("vector"))
+    first = [r["vector"] for r in plain.orderBy(F.xxhash64("row_id"), "row_id").limit(seeds).collect()]  # SEEDS rows at most
+    heads = np.array(first, np.float64) if len({len(v) for v in first}) == 1 else None
+    if heads is not None:
+        heads = heads[np.linalg.norm(heads, axis=1) > 0]
+        heads = heads / np.linalg.norm(heads, axis=1)[:, None]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.unique(batch.column(1).value_lengths().to_numpy())
+            if heads is None or len(sizes) != 1 or (len(heads) and sizes[0] != heads.shape[1]):
+                raise ValueError("vectors of unlike lengths in one index")
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            good = np.linalg.norm(flat.astype(np.float64), axis=1) > 0
+            near = (flat[good].astype(np.float64) @ heads.T).argmax(1) if len(heads) else np.zeros(int(good.sum()), int)
+            yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), pa.array(batch.column(0).to_numpy()[good], pa.int64()), pa.array([v.astype("<f4").tobytes() for v in flat[good]], pa.binary())], names=["cluster", "row_id", "data"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        cluster = None
+
+        def block() -> pa.RecordBatch:
+            dim = len(held[0][1]) // 4
+            data = b"".join(v for _, v in held)
+            unit = _unit(data, dim)
+            centre = unit.mean(0)
+            size = np.linalg.norm(centre)
+            centre = centre / size if size > 0 else unit[0]
+            out = [pa.array([[i for i, _ in held]], pa.list_(pa.int64())), pa.array([data], pa.binary()), pa.array([dim], pa.int32()), pa.array([len(held)], pa.int32()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([float((unit @ centre).min())])]
+            return pa.RecordBatch.from_arrays(out, names=["ids", "data", "dim", "n", "centroid", "reach"])
+
+        for batch in batches:
+            for c, i, v in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if held and (c != cluster or len(held) == ROW_BLOCK):
+                    yield block()
+                    held = []
+                cluster = c
+                held.append((i, v))
+        if held:
+            yield block()
+
+    spread = max(1, count // (seeds * ROW_BLOCK * 4))
+    dealt = plain.mapInArrow(deal, "cluster int, row_id long, data binary").repartition("cluster", F.pmod(F.xxhash64("row_id"), F.lit(spread))).sortWithinPartitions("cluster")
+    made = dealt.mapInArrow(pack, "ids array<long>, data binary, dim int, n int, centroid array<double>, reach double")
+    return made.select(F.monotonically_increasing_id().alias("block"), "*")
+
+
+def _products(met: DataFrame, k: int) -> DataFrame:
+    """query_id, row_id, sim: of each row of `met`, a block (ids, data, dim) beside queries (q_ids, q_data, q_dim), every query's k best."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_ids, q_data, q_dim, ids, data, dim = (batch.column(j)[i] for j in range(6))
+                if q_dim.as_py() != dim.as_py():
+                    raise ValueError(f"queries have vectors of length {q_dim}, rows of {dim}")
+                asked, own = q_ids.values.to_numpy(), ids.values.to_numpy()
+                sim = np.round(np.frombuffer(q_data.as_buffer(), np.float64).reshape(-1, q_dim.as_py()) @ _unit(data.as_py(), dim.as_py()).T, 6)
+                query, at = _best(sim, own, k)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[query]), pa.array(own[at]), pa.array(sim[query, at])], names=["query_id", "row_id", "sim"])
+
+    return met.select("q_ids", "q_data", "q_dim", "ids", "data", "dim").mapInArrow(run, "query_id long, row_id long, sim double")
+
+
+def bounds(queries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """query_id, block, n, bound: no row of the block has a larger cosine with the query. By the angles: that of query and centroid, less the widest within the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_ids, q_data, q_dim, block, n, centres, reach = (batch.column(j)[i] for j in range(7))
+                asked, own = q_ids.values.to_numpy(), block.values.to_numpy()
+                centre = centres.values.flatten().to_numpy().reshape(len(own), -1)
+                if centre.shape[1] != q_dim.as_py():
+                    raise ValueError(f"queries have vectors of length {q_dim}, rows of {centre.shape[1]}")
+                turn = np.arccos(np.clip(np.frombuffer(q_data.as_buffer(), np.float64).reshape(-1, q_dim.as_py()) @ centre.T, -1, 1))
+                bound = np.cos(np.maximum(0, turn - np.arccos(np.clip(reach.values.to_numpy(), -1, 1))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, len(own))), pa.array(np.tile(own, len(asked))), pa.array(np.tile(n.values.to_numpy(), len(asked)), pa.int32()), pa.array(bound.ravel())], names=["query_id", "block", "n", "bound"])
+
+    several = blocks.groupBy(F.floor(F.col("block") / ROW_BLOCK), F.pmod(F.xxhash64("block"), F.lit(8))).agg(*(F.collect_list(c).alias(c) for c in ("block", "n", "centroid", "reach")))
+    met = _blocks(queries, "query_id", "q", QUERY_BLOCK).crossJoin(several.select("block", "n", "centroid", "reach"))  # queries in blocks against centroids in blocks
+    return met.mapInArrow(run, "query_id long, block long, n int, bound double")
+
+
+def search_blocks(queries: DataFrame, blocks: DataFrame, k: int, bounded: bool | None = None) -> DataFrame:
+    """What search() finds, among stored blocks. If `bounded`, by default from BOUNDED blocks on, blocks are read in two steps: those of
+    largest bounds that hold k rows together, then those whose bound reaches the k-th cosine found there."""
+    bounded = blocks.count() >= BOUNDED if bounded is None else bounded
+    order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "row_id")
+    best = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if not bounded:
+        return best(_products(_blocks(queries, "query_id", "q", QUERY_BLOCK).crossJoin(blocks.select("ids", "data", "dim")), k))
+    exact, first, rest = _two_steps(queries, blocks, k)
+    return best(first.unionByName(exact(rest)))
+
+
+def _two_steps(queries: DataFrame, blocks: DataFrame, k: int):  # type: ignore[no-untyped-def]
+    reach = bounds(queries, blocks.select("block", "n", "centroid", "reach"))
+    upto = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = reach.withColumn("_before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    vector = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        """The k best of each pair of a query and a block; the queries of a block meet it some QUERY_BLOCK at a time."""
+        own = pairs.select("query_id", "block").join(vector, "query_id")
+        dealt = own.repartition("block", F.pmod(F.xxhash64("query_id"), F.lit(8))).sortWithinPartitions("block")
+
+        def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, rows, block = [], [], None
+
+            def out() -> pa.RecordBatch:
+                m = np.array(rows)
+                m = m / np.linalg.norm(m, axis=1)[:, None]
+                return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([m.tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32())], names=["block", "q_ids", "q_data", "q_dim"])
+
+            for batch in batches:
+                for q, b, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if ids and (b != block or len(ids) == QUERY_BLOCK):
+                        yield out()
+                        ids, rows = [], []
+                    block = b
+                    ids.append(q)
+                    rows.append(v)
+            if ids:
+                yield out()
+
+        met = dealt.select("query_id", "block", "vector").mapInArrow(group, "block long, q_ids array<long>, q_data binary, q_dim int")
+        return _products(met.join(blocks.select("block", "ids", "data", "dim"), "block"), k)
+
+    first = exact(placed.where(F.col("_before") < k))
+    nth = Window.partitionBy("query_id").orderBy(F.desc("sim"))
+    least = first.withColumn("_n", F.row_number().over(nth)).where(F.col("_n") == k).select("query_id", F.col("sim").alias("_least"))
+    rest = placed.where(F.col("_before") >= k).join(least, "query_id", "left").where(F.col("_least").isNull() | (F.col("bound") >= F.col("_least") - 1e-6))
+    return exact, first, rest
+
+
+def blocks_read(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """query_id, blocks, read: stored blocks, and those that a bounded search for k reads."""
+    _, _, rest = _two_steps(queries, blocks, k)
+    reach = bounds(queries, blocks.select("block", "n", "centroid", "reach"))
+    upto = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    some = reach.withColumn("_before", F.coalesce(F.sum("n").over(upto), F.lit(0))).groupBy("query_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("_before") < k).alias("_first"))
+    more = rest.groupBy("query_id").agg(F.count("*").alias("_more"))
+    return some.join(more, "query_id", "left").select("query_id", "blocks", (F.col("_first") + F.coalesce("_more", F.lit(0))).alias("read"))
+
+
 def parity(left: DataFrame, right: DataFrame) -> DataFrame:
     """n, least, p10, median, mean of the cosines of two vectors (id, vector) of each id: the vectors of two sets of one text.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import kind
-from .chunking import markdown_sections
+from .chunking import placed_blocks
 
 _FENCED = re.compile(r"^(```|~~~).*?(?:^\1[^\n]*$|\Z)", re.M | re.S)
 _CODE = re.compile(r"`[^`\n]*`")
@@ -20,19 +20,26 @@ _ATTRIBUTE = re.compile(r"\b(src|alt)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
 
 
 def images(text: str) -> list[tuple[str, str, str, int]]:
-    """(target as written, alternative text, heading path, page) of the images of a Markdown text, in order; none in code."""
-    defined = {label.strip().lower(): to for label, to in _DEFINED.findall(text)}
+    """(target as written, alternative text, heading path, page) of the images of a Markdown text, in order; none in code or headings."""
+    defined: dict[str, str] = {}
+    for label, to in _DEFINED.findall(text):
+        defined.setdefault(label.strip().lower(), to)
     out = []
-    for heading, body, page in markdown_sections(text):
-        for found in _SHOWN.finditer(_CODE.sub("", _FENCED.sub("", body))):
+    for heading, page, block in placed_blocks(text):
+        if block.kind in ("heading", "fenced", "indented", "rule"):
+            continue
+        body = block.text if block.kind == "html" else _CODE.sub("", _FENCED.sub("", block.text))
+        for found in _SHOWN.finditer(body):
             if found["tag"]:
                 told = {name.lower(): a or b for name, a, b in _ATTRIBUTE.findall(found["tag"])}
                 to, alt = told.get("src"), told.get("alt", "")
+            elif block.kind == "html":
+                continue
             else:
                 alt = found["alt"]
                 to = found["to"] if found["to"] is not None else defined.get((found["ref"] or alt).strip().lower())
             if to:
-                out.append((to, alt, heading, page))
+                out.append((to, alt.strip(), heading, page))
     return out
 
 

@@ -17,6 +17,7 @@ from .errors import NotBuilt
 class Index:
     chunks: DataFrame
     postings: K.Postings
+    blocks: DataFrame | None = None  # of vectors, see vectors.stored_blocks(); None: the vectors are the chunks'
 
 
 def build(chunks: DataFrame, folder: str, dim: int | None = None) -> Index:
@@ -31,6 +32,8 @@ def build(chunks: DataFrame, folder: str, dim: int | None = None) -> Index:
         own = own.withColumn("vector", V.embed_tokens(F.col("tokens"), dim))
     own.write.parquet(f"{folder}/chunks")
     stored = spark.read.parquet(f"{folder}/chunks")
+    if "vector" in stored.columns:
+        V.stored_blocks(stored.select(F.col("chunk_id").alias("row_id"), "vector"), stored.count()).write.parquet(f"{folder}/vectors")
     K.store(K.on_the_way(stored), f"{folder}/keyword")
     return opened(spark, folder)
 
@@ -38,4 +41,5 @@ def build(chunks: DataFrame, folder: str, dim: int | None = None) -> Index:
 def opened(spark: SparkSession, folder: str) -> Index:
     if not exists(spark, f"{folder}/keyword/totals/_SUCCESS"):
         raise NotBuilt(f"no index at {folder}")
-    return Index(spark.read.parquet(f"{folder}/chunks"), K.stored(spark, f"{folder}/keyword"))
+    blocks = spark.read.schema(V.STORED).parquet(f"{folder}/vectors") if exists(spark, f"{folder}/vectors/_SUCCESS") else None
+    return Index(spark.read.parquet(f"{folder}/chunks"), K.stored(spark, f"{folder}/keyword"), blocks)

@@ -192,7 +192,7 @@ hyb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 def _hybrid(spark, d, **options):
     """Hybrid search of all benchmark texts over all documents."""
     own = index(spark, d)
-    return search(_questions(spark, d), own.chunks, SearchOptions(k=TOP, **options), postings=own.postings)
+    return search(_questions(spark, d), own.chunks, SearchOptions(k=TOP, **options), postings=own.postings, blocks=own.blocks)
 
 
 def _questions(spark, d):

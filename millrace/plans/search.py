@@ -48,13 +48,16 @@ class SearchOptions:
         return (20 if self.group else 5) * (self.k if self.k > 0 else DEFAULT_K)
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, options: SearchOptions, allowed: DataFrame | None = None, postings: K.Postings | None = None, vectors: DataFrame | None = None) -> DataFrame:
+def candidates(queries: DataFrame, chunks: DataFrame, options: SearchOptions, allowed: DataFrame | None = None, postings: K.Postings | None = None, vectors: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, sim, kw, rank: the fused lists, or the one list of the mode. See search() for the tables; `vectors` (chunk_id, vector)
-    may lie beside the chunks."""
+    may lie beside the chunks, and so may `blocks` of all of these, which serve searches without a filter."""
     found = []
     if options.mode != "keyword":
         rows = chunks if vectors is None else vectors
         rows = rows if allowed is None else rows.join(allowed, "chunk_id", "left_semi")
+    if options.mode != "keyword" and blocks is not None and allowed is None:
+        found.append(V.search_blocks(queries, blocks, options.pool).withColumnRenamed("row_id", "chunk_id"))
+    elif options.mode != "keyword":
         found.append(V.search(queries, rows.select(F.col("chunk_id").alias("row_id"), "vector"), options.pool).withColumnRenamed("row_id", "chunk_id"))
     if options.mode != "vector":
         found.append(K.keyword_hits(queries, postings or K.on_the_way(chunks), options.pool, allowed))
@@ -71,14 +74,14 @@ def _sure(hits: DataFrame, options: SearchOptions) -> DataFrame:
     return R.by_confidence(hits, options.confidence, options.strong, options.fair)
 
 
-def search(queries: DataFrame, chunks: DataFrame, options: SearchOptions, allowed: DataFrame | None = None, postings: K.Postings | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, options: SearchOptions, allowed: DataFrame | None = None, postings: K.Postings | None = None, blocks: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, sim, kw, rank, level and the grouping column: the k best hits of each query.
 
     `queries` has query_id, text and, unless the mode is keyword, vector; `chunks` comes from keyword.analyzed(), or is the
     chunk table beside stored `postings`, and has a vector then too. `allowed` (chunk_id) filters candidates but not the statistics.
     """
     options = options.settled()
-    hits = candidates(queries, chunks, options, allowed, postings)
+    hits = candidates(queries, chunks, options, allowed, postings, blocks=blocks)
     if options.group:
         hits = R.group_by(hits.join(chunks.select("chunk_id", options.group), "chunk_id"), options.group)
     return R.first_k(_sure(hits, options), options.k)

@@ -1,6 +1,7 @@
 """Golden cases of the operators."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -223,7 +224,7 @@ def test_inline_text(title, words):
 
 
 def test_fences_end_with_their_own_kind():
-    assert C.markdown_sections("````\n```\n# no\n~~~\n````\n# yes\nx") == [("", "````\n```\n# no\n~~~\n````", 0), ("yes", "x", 0)]
+    assert C.markdown_sections("````\n```\n# no\n~~~\n````\n# yes\nx") == [("", "```\n```\n# no\n~~~\n```", 0), ("yes", "x", 0)]
 
 
 @pytest.mark.parametrize(("content", "problem"), [(b"a\n", None), (b"a\x00", "binary"), (b"\xff\xfe", "binary"), (b"\n \n\n", "empty"), (b"x" * 300 + b"\n", "minified"), (b"x" * 299 + b"\n", None), (b"x" * 300, None), (b"x" * 301, "minified")])
@@ -437,3 +438,77 @@ def test_cache_counts_hits(spark):
     found, after = M.cached(asked, cache, "s", 1, F.lit(9).cast("long"))
     assert {r["query_id"]: r["vector"] for r in found.collect()} == {1: [1.0], 2: [1.0], 3: None}
     assert sorted((r["space"], r["query"], r["hits"], r["last_used"]) for r in after.collect()) == [("s", "a b", 6, 9), ("s", "c", 1, 0), ("t", "a b", 1, 0)]
+
+
+@pytest.mark.parametrize(("text", "sections"), [
+    ("a\n<!-- page: 3 -->\nb", [("", "a", 0), ("", "b", 3)]),  # a mark is a block of its own and may end a paragraph
+    ("<!--page3-->\n# A\nb\n\n<!-- PAGE 4 -->\nc", [("A", "b", 3), ("A", "c", 4)]),
+    ("a <!-- page 7 --> b", [("", "a  b", 0)]),  # within a line it marks nothing
+    ("- item\n\n  # no heading\n- more\n\n# Yes\nx", [("", "- item\n\n  # no heading\n- more", 0), ("Yes", "x", 0)]),
+    ("<div>\n# no heading\n</div>\n\n# Yes\nx", [("", "<div>\n# no heading\n</div>", 0), ("Yes", "x", 0)]),
+    ("<!-- a\n# no\n\nb -->\n# Yes\nx", [("", "<!-- a\n# no", 0), ("Yes", "x", 0)]),
+    ("Two\nlines\n===\nx", [("Two lines", "x", 0)]),
+    ("> # quoted\n> text\nlazy\n\n## B\ny", [("", "> # quoted\n> text\nlazy", 0), ("B", "y", 0)]),
+    ("    # code\n\n    more\n\n# A\nb", [("", "    # code\n\n    more".strip(), 0), ("A", "b", 0)]),
+    ("para\n    # still para\n***\nnext", [("", "para\n    # still para\n\nnext", 0)]),
+    ("1) one\n2) two\n\n3. other list", [("", "1) one\n2) two\n\n3. other list", 0)]),
+    ("x\n2. no list\n- a list\n", [("", "x\n2. no list\n\n- a list", 0)]),
+    ("~~~py x\n# no\n~~~\nt", [("", "```py\n# no\n```\n\nt", 0)]),
+    ("```\nnever closed\n# no", [("", "```\nnever closed\n# no\n```", 0)]),
+    ("![A b](x.png) and <img src=q alt='c d'> end ![e][r]\n\n\n\n[r]: http://x\nlast", [("", "A b and c d end e\n\nlast", 0)]),
+    ("\ufeff---\ntitle: x\n...\n# A\nb", [("A", "b", 0)]),
+    ("---\nnever closed\n\n# A\nb", [("", "never closed", 0), ("A", "b", 0)]),
+    ("# A\n### C\nx\n## B\ny\n#\nz", [("A > C", "x", 0), ("A > B", "y", 0), ("", "z", 0)]),
+    ("#no heading\n####### seven", [("", "#no heading\n####### seven", 0)]),
+    ("a\r\n# B\r\nc\r\n", [("", "a", 0), ("B", "c", 0)]),
+    ("", []),
+])
+def test_blocks_of_markdown(text, sections):
+    assert C.markdown_sections(text) == sections
+
+
+def test_guide_of_several_pages():
+    text = "---\nsource: ../a.pdf\n---\n# guide\n\nIndexes documents.\n\n![Diagram](img/a.png)\n\n## Installing\n\n- Windows: `a.exe`\n- macOS: `a`\n\n<!-- page 2 -->\n\n## Searching\n\n### Terminal\n\nRun it.\n\n![logo][ref]\n\n<img src=\"screens/t%20s.png\" alt=\"The screen\">\n\n```sh\na search\n```\n\n[ref]: logo.png"
+    assert C.markdown_sections(text) == [
+        ("guide", "Indexes documents.\n\nDiagram", 0),
+        ("guide > Installing", "- Windows: `a.exe`\n- macOS: `a`", 0),
+        ("guide > Searching > Terminal", "Run it.\n\nlogo\n\nThe screen\n\n```sh\na search\n```", 2),
+    ]
+    assert L.images(text) == [("img/a.png", "Diagram", "guide", 0), ("logo.png", "logo", "guide > Searching > Terminal", 2), ("screens/t%20s.png", "The screen", "guide > Searching > Terminal", 2)]
+
+
+def test_images_in_headings_and_code_do_not_count():
+    assert [x[:3] for x in L.images("# ![h](h.png)\n\n    ![i](i.png)\n\n- a ![l](l.png)\n\n> ![q](q.png)\n\n<p>\n![raw](raw.png)\n</p>")] == [("l.png", "l", "h"), ("q.png", "q", "h")]
+
+
+@pytest.mark.parametrize("text", ["> " * 20000 + "x", "- " * 20000 + "x", "<div>\n" * 20000, "a\n" * 40000, "```\n" * 20001, "[" * 40000, "<!--\n" * 20000, "* * " * 20000])
+def test_markdown_takes_time_in_proportion(text):
+    began = time.time()
+    C.markdown_sections(text)
+    assert time.time() - began < 5
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_stored_blocks_lose_no_hit(spark, tmp_path, monkeypatch, clustered):
+    monkeypatch.setattr(V, "ROW_BLOCK", 16)
+    monkeypatch.setattr(V, "SEED_ROWS", 32)
+    rng = np.random.default_rng(4)
+    heads = rng.standard_normal((12, 8)) * (3 if clustered else 0)
+    data = [(i, (heads[i % 12] + rng.standard_normal(8) * 0.3).tolist()) for i in range(600)] + [(900, [0.0] * 8), (901, None), (902, data_of(1)), (903, data_of(1))]
+    rows = spark.createDataFrame(data, "row_id long, vector array<float>")
+    V.stored_blocks(rows, 600).write.parquet(str(tmp_path / "v"))
+    blocks = spark.read.schema(V.STORED).parquet(str(tmp_path / "v"))
+    ask = spark.createDataFrame([(i, (heads[i % 12] + rng.standard_normal(8) * 0.3).tolist()) for i in range(40)] + [(70, [0.0] * 8), (71, None), (72, data_of(1))], "query_id long, vector array<double>")
+    for k in (1, 7, 700):
+        want = sorted(map(tuple, V.search(ask, rows, k).collect()))
+        for bounded in (False, True):
+            assert sorted(map(tuple, V.search_blocks(ask, blocks, k, bounded).select("query_id", "row_id", "sim", "rank").collect())) == want
+    read = V.blocks_read(ask, blocks, 7).agg(F.sum("read") / F.sum("blocks")).first()[0]
+    assert read < (0.3 if clustered else 1.01)
+    with pytest.raises(Exception, match="length"):
+        V.search_blocks(ask.limit(1).withColumn("vector", F.array(F.lit(1.0))), blocks, 1).collect()
+    assert V.stored_blocks(rows.where("false"), 0).count() == 0
+
+
+def data_of(seed):
+    return np.random.default_rng(seed).standard_normal(8).tolist()

@@ -16,6 +16,7 @@ from ..operators import links as L
 from ..operators import maintain as M
 from ..operators import merge
 from ..operators import ranking as R
+from ..operators import substring as SUB
 from ..sources import files as S
 from ..streaming.watch import quiet_bursts
 from ..sources.storage import exists, shared_folder
@@ -270,19 +271,28 @@ def final_topk_trim(spark, d):
 def _relevant(spark, d):
     """Documents that hold a passage, in any case: postings of its rarest whole word narrow them down, then texts are searched.
 
-    The first and last token may be parts of words in a document, so they don't narrow; a passage without others meets every text.
+    The first and last token may be parts of words in a document, so they don't narrow; passages without others go through a gram index.
     """
     questions = asked(spark, d).withColumn("q", F.lower("text"))
     inner = F.slice(T.tokens(F.col("text")), 2, F.greatest(F.size(T.tokens(F.col("text"))) - 2, F.lit(0)))
     words = questions.select("query_id", F.explode(F.array_distinct(inner)).alias("term"))
     own = index(spark, d).postings.of(words.select("term").distinct())
-    post = own.post
     rarest = words.join(own.terms, "term").groupBy("query_id").agg(F.min(F.struct("df", "term"))["term"].alias("term"))
-    near = rarest.join(post.select("term", "chunk_id"), "term").select("query_id", "chunk_id")
+    near = rarest.join(own.post.select("term", "chunk_id"), "term").select("query_id", "chunk_id")
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.lower("text").alias("t"))
-    met = near.join(questions, "query_id").join(texts, "chunk_id")
-    bare = questions.join(words.select("query_id").distinct(), "query_id", "left_anti").where("q <> ''")
-    return met.unionByName(bare.crossJoin(texts), allowMissingColumns=True).where("contains(t, q)").select("query_id", "chunk_id")
+    found = near.join(questions, "query_id").join(texts, "chunk_id").where("contains(t, q)").select("query_id", "chunk_id")
+    bare = questions.join(words.select("query_id").distinct(), "query_id", "left_anti").select(F.col("query_id").alias("short_id"), F.col("q").alias("text"))
+    return found.union(SUB.contained(bare, texts.select(F.col("chunk_id").alias("long_id"), F.col("t").alias("text"))))
+
+
+@query("SELECT l.conv_id AS short_id, l.turn, d.conv_id AS long_id, d.turn AS long_turn FROM (SELECT conv_id, turn, substring(text, 3, 12) AS s FROM conversations WHERE turn = 0) l, conversations d WHERE l.s <> '' AND contains(d.text, l.s)")
+def substring_join(spark, d):
+    """Turns that hold the characters 3 to 14 of a conversation's first turn."""
+    turns = table(spark, d, "conversations")
+    own = F.struct("conv_id", "turn")
+    short = turns.where("turn = 0").select(own.alias("short_id"), F.substring("text", 3, 12).alias("text"))
+    found = SUB.contained(short, turns.select(own.alias("long_id"), "text"))
+    return found.select(F.col("short_id.conv_id").alias("short_id"), F.col("short_id.turn").alias("turn"), F.col("long_id.conv_id").alias("long_id"), F.col("long_id.turn").alias("long_turn"))
 
 
 @query(

@@ -512,3 +512,14 @@ def test_stored_blocks_lose_no_hit(spark, tmp_path, monkeypatch, clustered):
 
 def data_of(seed):
     return np.random.default_rng(seed).standard_normal(8).tolist()
+
+
+def test_substring_join_matches_brute_force(spark):
+    from millrace.operators import substring as SUB
+
+    rng = random.Random(11)
+    long = [(i, "".join(rng.choice("ab c") for _ in range(rng.randrange(60)))) for i in range(60)] + [(90, None), (91, ""), (92, "文字の列 é")]
+    short = [(i, "".join(rng.choice("ab c") for _ in range(n))) for i, n in enumerate([1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 3, 5])] + [(70, None), (71, ""), (72, "字の"), (73, long[0][1])]
+    got = SUB.contained(spark.createDataFrame(short, "short_id long, text string"), spark.createDataFrame(long, "long_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted((a, b) for a, s in short for b, t in long if s and t and s in t)
+    assert SUB.contained(spark.createDataFrame([(1, "")], "short_id long, text string"), got.selectExpr("long_id", "'x' as text")).count() == 0

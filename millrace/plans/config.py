@@ -90,6 +90,11 @@ def load(text: str) -> Config:
     return config
 
 
+def from_dict(told: dict[str, Any]) -> Config:
+    """Settings from what dataclasses.asdict() made of some."""
+    return _fill(Config(), told, "", [])
+
+
 def _bad_path(path: str) -> str:
     """What keeps a path from naming a place below the corpus, or nothing."""
     steps = path.split("/")

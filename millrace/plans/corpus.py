@@ -13,7 +13,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ from . import search as SE
 from . import spaces
 from . import versions as VS
 from .cache import QueryCache
-from .config import Config, problems, seconds
+from .config import Config, from_dict, problems, seconds
 from .errors import CorpusError, Locked, NoModel, NotBuilt
 from .segments import DOCUMENTS, LINKS, PLACES, SLICES, Store
 
@@ -379,13 +379,13 @@ class Corpus:
 
 
     def watch(self, settings: Callable[[], Config], checkpoint: str | None = None) -> StreamingQuery:
-        """Scan whenever the folder has changed and then been quiet, with the settings as they are then."""
+        """Scan whenever the folder has changed and then been quiet, with the settings as they are then; see watch_folder() for restarts."""
 
         def rescan(config: Config) -> None:
             self.settings = config
             self.scan()
 
-        return watch_folder(self.spark, lambda: self._listed()[0], rescan, Debounce(settings, problems), checkpoint=checkpoint)
+        return watch_folder(self.spark, lambda: self._listed()[0], rescan, Debounce(settings, problems, dump=asdict, parse=from_dict), checkpoint=checkpoint)
 
     def model(self) -> Callable[[Column], Column]:
         """The embedder that was set up, for callers that need one."""

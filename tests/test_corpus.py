@@ -3,6 +3,7 @@
 import os
 import random
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -270,3 +271,47 @@ def test_documents_that_wait_are_read_though_their_files_did_not_change(spark, t
     root.mkdir()
     assert corpus.scan()["deleted"] == 2 and corpus.search("apples", SearchOptions(mode="keyword"))[0].count() == 0
     assert K.corpus_stats(corpus.index().chunks).first()["n"] == 0
+
+
+def test_watch_goes_on_after_a_restart(spark, tmp_path):
+    from dataclasses import asdict
+
+    from millrace.streaming.watch import Debounce, watch_folder
+
+    good = config.load("[scan]\nkeep = ['a']")
+    make = lambda read: Debounce(read, config.problems, quiet=5.0, safety=1e9, dump=asdict, parse=config.from_dict)
+    one = make(lambda: good)
+    assert one.due([1, "x", 2], 100.0) and not one.due([2, "y", 3], 200.0)
+
+    def broken():
+        raise ValueError("no settings")
+
+    two = make(broken)
+    assert two.settings is None and not two.due([9], 1.0)
+    two = make(broken)
+    two.restore(one.state())
+    assert not two.due([2, "y", 3], 204.0) and two.due([2, "y", 3], 205.0) and two.settings == good and two.faults
+    two.again(205.0)
+    assert not two.due([2, "y", 3], 209.0) and two.due([2, "y", 3], 210.0)
+    # the same with streams: the first one sees a change and is stopped in its rescan; the second one makes up for it
+    root, memory = tmp_path / "docs", str(tmp_path / "memory")
+    write(root, {"a.md": "one"})
+    corpus, seen = Corpus(spark, str(root), str(tmp_path / "store")), []
+
+    def run(rescan, until):
+        query = watch_folder(spark, lambda: corpus._listed()[0], rescan, Debounce(lambda: good, config.problems, quiet=0.5, dump=asdict, parse=config.from_dict), checkpoint=memory)
+        end = time.time() + 60
+        while not until(query) and time.time() < end:
+            time.sleep(0.2)
+        query.stop()
+
+    run(lambda s: seen.append("first"), lambda q: len(seen) == 1 and os.path.exists(f"{memory}/debounce.json"))
+    write(root, {"b.md": "two"})
+
+    def cut_off(settings):
+        seen.append("cut")
+        raise RuntimeError("cut off")
+
+    run(cut_off, lambda q: q.exception() is not None)
+    run(lambda s: seen.append("made up"), lambda q: seen[-1] == "made up")
+    assert seen[0] == "first" and "cut" in seen and seen[-1] == "made up"

@@ -13,7 +13,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..functions.embedder import Runner, embed_units
 from ..operators import chunking as C
 from ..operators import keyword as K
 from ..operators import links as L
@@ -54,7 +55,8 @@ class Corpus:
     hashed bag of tokens. `settings.embed` names the vector space.
 
     `pages` (path, page, text) and `media` (path, duration_ms, has_audio, has_video) tell what is in PDF, audio and video files, which are not
-    decoded here; without the table, such files wait. `reader` gets files (path, content) and gives path, text and error.
+    decoded here; without the table, such files wait. `reader` gets files (path, content) and gives path, text and error. A `runner` embeds units by
+    batches in place of `embed`, of what search.embedding_input() makes of them, and queries as modality query.
     """
 
     spark: SparkSession
@@ -65,6 +67,7 @@ class Corpus:
     pages: DataFrame | None = None
     media: DataFrame | None = None
     reader: Callable[[DataFrame], DataFrame] = plain_texts
+    runner: Runner | None = None
     now: Callable[[], int] = lambda: int(time.time() * 1000)
 
     def __post_init__(self) -> None:
@@ -100,7 +103,23 @@ class Corpus:
 
     def _maker(self, space: str) -> Callable[[DataFrame], DataFrame]:
         dim = spaces.told_by(space)[2]
-        return lambda chunks: chunks.withColumn("vector", self._vector(F.col("text"), dim))
+        if self.runner is None:
+            return lambda chunks: chunks.withColumn("vector", self._vector(F.col("text"), dim))
+
+        def run(chunks: DataFrame) -> DataFrame:
+            paths = self.tables.documents(self.tables.latest()).select("document_id", "path")
+            told = SE.embedding_input(chunks.select("chunk_id", "document_id", "modality", "text", "heading_path", "page").join(paths, "document_id"))
+            return embed_units(told, replace(self.runner, dim=dim))
+
+        return run
+
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        """`queries` with vector."""
+        dim = self.settings.embed.dim
+        if self.runner is None:
+            return SE.embedded(queries, self._vector, dim)
+        told = queries.withColumns({"modality": F.lit("query"), "input": T.normal_query(F.col("text"))})
+        return embed_units(told, replace(self.runner, dim=dim)).drop("modality", "input")
 
     def _folders(self) -> list[str]:
         return self.settings.scan.folders or ["."]
@@ -303,7 +322,7 @@ class Corpus:
         asked = query if isinstance(query, DataFrame) else self.spark.createDataFrame([(0, SE.one_query(query))], "query_id long, text string")
         if options.mode != "keyword" and spaces.vectors_usable(version.space, self.space, options.mode):
             cache = self.settings.cache
-            asked = self.cache.embedded(asked, self.space, lambda rows: SE.embedded(rows, self._vector, self.settings.embed.dim), self.now(), cache.query_max)
+            asked = self.cache.embedded(asked, self.space, self._asked, self.now(), cache.query_max)
         docs = self.tables.documents(version)
         return SE.search_documents(asked, self.tables.chunks(version), docs, options, self.tables.postings(version), (version.space, self.space), self.tables.vectors(version, version.space))
 
@@ -387,8 +406,8 @@ class Corpus:
 
         return watch_folder(self.spark, lambda: self._listed()[0], rescan, Debounce(settings, problems, dump=asdict, parse=from_dict), checkpoint=checkpoint)
 
-    def model(self) -> Callable[[Column], Column]:
+    def model(self) -> Callable[[Column], Column] | Runner:
         """The embedder that was set up, for callers that need one."""
-        if self.embed is None:
+        if self.embed is None and self.runner is None:
             raise NoModel("no embedder is set up; vectors are hashed tokens")
-        return self.embed
+        return self.embed or self.runner

@@ -1,14 +1,13 @@
-"""Vector spaces of an index: which one is live, when to rebuild, and the switch to a new one.
+"""Vector spaces of an index: which one is live, when to rebuild, and what a switch to a new one means for documents.
 
-The tables of a space lie below `root/space=<name>`. A rebuild writes a new folder while searches read the live one; then the
-pointer file `root/CURRENT` is replaced in one step.
+A rebuild makes vectors of the new space beside those of the live one, which searches read meanwhile; which is live is told by the published version.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .errors import OtherSpace
@@ -90,32 +89,6 @@ def told_by(space: str) -> tuple[str, str, int]:
     return model, revision, int(dim.split("#")[0])
 
 
-def target(root: str, space: str, name: str) -> str:
-    return f"{root}/space={space}/{name}"
-
-
-def current(spark: SparkSession, root: str) -> str:
-    """The live space, or an empty string."""
-    jvm = spark._jvm
-    file = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    system = file.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.text(str(file)).first()[0] if system.exists(file) else ""
-
-
-def switch(spark: SparkSession, root: str, space: str) -> None:
-    """Make `space` live: searches that start from now on read its tables. The old space's folder is left to its readers."""
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs
-    system = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    fresh, file = hadoop.Path(f"{root}/CURRENT.next"), hadoop.Path(f"{root}/CURRENT")
-    out = system.create(fresh, True)
-    out.write(bytearray(space.encode()))
-    out.close()
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    hadoop.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration()).rename(fresh, file, options)
-
-
 def cancelled(docs: DataFrame, chunks: DataFrame, dirty: DataFrame, live: Column) -> DataFrame:
     """Documents after a switch was given up: those that changed meanwhile or have no live chunk are pending, the rest done."""
     counts = chunks.groupBy("document_id").agg(F.count("*").alias("_n"))

@@ -315,3 +315,41 @@ def test_watch_goes_on_after_a_restart(spark, tmp_path):
     run(cut_off, lambda q: q.exception() is not None)
     run(lambda s: seen.append("made up"), lambda q: seen[-1] == "made up")
     assert seen[0] == "first" and "cut" in seen and seen[-1] == "made up"
+
+
+def test_runner_batches_in_order(spark, tmp_path):
+    from millrace.functions.embedder import Runner, batches_of, embed_units
+
+    assert list(batches_of(["text"] * 5 + ["audio"] * 2 + ["text"], 3)) == [(0, 3), (3, 5), (5, 6), (6, 7), (7, 8)]
+    log = str(tmp_path / "log")
+
+    def load():
+        with open(log, "a") as f:
+            f.write(f"load {os.getpid()}\n")
+
+        def model(modality, inputs):
+            with open(log, "a") as f:
+                f.write(f"{modality} {len(inputs)}\n")
+            return [[float(len(x)), 1.0] for x in inputs]
+
+        return model
+
+    rows = [(i, "video" if i % 10 == 3 else "text" if i % 10 < 8 else "pdf_page", None if i == 5 else "x" * i) for i in range(60)]
+    units = spark.createDataFrame(rows, "id long, modality string, input string").coalesce(1)
+    runner = Runner(f"m{tmp_path}", load, 2, ("text", "video"))
+    got = {r["id"]: r["vector"] for r in embed_units(units, runner).collect()}
+    assert got == {i: [float(i), 1.0] if m != "pdf_page" and x is not None else None for i, m, x in rows}
+    told = open(log).read().split("\n")[:-1]
+    loads = [x for x in told if x.startswith("load")]
+    assert len(loads) == len(set(loads)) and "video 1" in told and not any(x.startswith("video") and x != "video 1" for x in told)
+    assert max(int(x.split()[1]) for x in told if x.startswith("text")) <= 16
+    for bad, match in ((lambda m, xs: [[1.0, 2.0]] * (len(xs) + 1), "vectors for"), (lambda m, xs: [[1.0]] * len(xs), "length 1")):
+        with pytest.raises(Exception, match=match):
+            embed_units(units, Runner(f"bad{match}{tmp_path}", lambda bad=bad: bad, 2)).collect()
+    root = tmp_path / "docs"
+    write(root, {"a.md": "# One\nbread", "b.md": "rye and salt"})
+    corpus = Corpus(spark, str(root), str(tmp_path / "store"), config.load("[embed]\ndim = 2"), runner=Runner(f"c{tmp_path}", load, 2))
+    corpus.scan()
+    version = corpus.version()
+    assert sorted(tuple(r["vector"]) for r in corpus.tables.vectors(version, version.space).collect()) == [(10.0, 1.0), (12.0, 1.0)]
+    assert corpus.search("rye", SearchOptions(k=1))[0].first()["path"] == "b.md"

@@ -11,6 +11,7 @@ and what blocks tell reaches the elements around them, through these edges alone
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -29,14 +30,18 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPES = frozenset("ul ol dl table tr article section div main body td th blockquote".split())
 
 # Weights of the classifier, log-odds, positive for content: of elements for each block below them, and of blocks.
-OUTSIDE = {"nav": -4.0, "header": -4.0, "footer": -4.0, "aside": -4.0, "form": -2.5, "dialog": -4.0, "menu": -4.0, "address": -1.5, "article": 3.0, "main": 2.0}
+OUTSIDE = {"nav": -8.0, "header": -8.0, "footer": -8.0, "aside": -8.0, "form": -6.0, "dialog": -8.0, "menu": -8.0, "address": -1.5, "article": 3.0, "main": 2.0}
 OWN = {"h1": 1.5, "h2": 1.0, "h3": 1.0, "h4": 0.5, "h5": 0.5, "h6": 0.5, "p": 1.5, "blockquote": 1.0, "pre": 1.0, "figcaption": 0.5, "td": 0.0, "li": 0.0}
-BIAS, PER_CHARS, MOST_CHARS, LINKS, SENTENCE, RIGHTS = -2.0, 100.0, 2.5, -4.0, 1.0, -1.5
-BAD_NAME, GOOD_NAME, HIDDEN = -4.0, 2.0, -20.0
-# Smoothness: between neighbours in page order below one element and below two; of content in a boilerplate element, and of
-# boilerplate in one of content, for each block.
-BESIDE, ACROSS, UNDER, WITHIN = 0.6, 0.3, 4.0, 1.0
-_BAD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|captcha|comments?|consent|cookies?|disqus|footer|foot|gdpr|header|login|masthead|menu\w*|modal|nav\w*|newsletter|notice|notification|overlay|pagination|pager|paywall|popup|promo\w*|related|replies|respond|search\w*|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|tags|toolbar|topbar|widget)(?:$|[\s_-])", re.I)
+BIAS, PER_CHARS, MOST_CHARS, LINKS, SENTENCE, RIGHTS = -2.0, 100.0, 2.5, -3.0, 1.0, -1.5
+# Of names: those of boilerplate, of content, of both at once, and of readers' comments; of hidden elements; and of a block that lies outside
+# the article elements of a page whose text mostly lies in these.
+BAD_NAME, GOOD_NAME, MIXED_NAME, COMMENTS, HIDDEN, APART = -6.0, 2.0, 0.0, -8.0, -20.0, -6.0
+# Smoothness: between neighbours in page order below one element and below two; of content in a boilerplate element; of
+# boilerplate in one of content, for a block of its own and for each block of an element in it.
+BESIDE, ACROSS, UNDER, KEPT, WITHIN = 0.6, 0.3, 8.0, 4.0, 1.0
+_BAD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|captcha|consent|cookies?|footer|foot|gdpr|header|login|masthead|menu\w*|modal|nav\w*|newsletter|notice|notification|overlay|pagination|pager|paywall|popup|promo\w*|related|search\w*|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|tags|toolbar|topbar|widget)(?:$|[\s_-])", re.I)
+_WITH = re.compile(r"\b(?:has|no|with|without)[_-][\w-]+", re.I)
+_READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|discussion|feedback|guestbook|opinions?|replies|respond|responses|reviews?)(?:$|[\s_-])", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
@@ -69,8 +74,12 @@ class _Page:
     anchors: int = 0
     parts: list[str] = field(default_factory=list)
     links: int = 0
+    held: Counter = field(default_factory=Counter)  # open elements by tag, so that no end tag looks for one that isn't there
 
     def open(self, tag: str, lean: float) -> None:
+        if tag == "header" and lean == OUTSIDE[tag] and self.held["article"]:
+            lean = 0.0  # an article's own head
+        self.held[tag] += 1
         number = -1
         if tag not in INLINE:
             self.elements.append(Element(tag, self.outer[-1], lean))
@@ -96,6 +105,8 @@ class _Page:
             self.flush()
             del self.outer[-inner:]
         self.anchors -= sum(tag == "a" for tag, _ in gone)
+        for tag, _ in gone:
+            self.held[tag] -= 1
         del self.stack[at:]
         return sum(tag in SKIPPED for tag, _ in gone)
 
@@ -110,10 +121,12 @@ def _element_lean(tag: str, attributes: str) -> float:
         if role and role[1].lower() in ROLES:
             lean = min(lean, BAD_NAME)
         if names and tag not in ("html", "body"):
-            if _BAD.search(names):
-                lean = min(lean, 0.0) + BAD_NAME
-            if _GOOD.search(names):
-                lean += GOOD_NAME
+            names = _WITH.sub("", names)  # a body "with-sidebar" is no sidebar
+            bad, good = _BAD.search(names), _GOOD.search(names)
+            if _READERS.search(names) and tag != "article":
+                lean = min(lean, COMMENTS)
+            elif bad or good:
+                lean += MIXED_NAME if bad and good else BAD_NAME if bad else GOOD_NAME
     return lean
 
 
@@ -135,6 +148,8 @@ def parsed(html: str) -> _Page:
             continue
         tag = tag.lower()
         if found[1]:
+            if not page.held[tag]:
+                continue
             for i in range(len(page.stack) - 1, -1, -1):
                 if page.stack[i][0] == tag:
                     skipped -= page.close(i)
@@ -155,13 +170,13 @@ def parsed(html: str) -> _Page:
         if tag not in INLINE:
             page.flush()
             ending = CLOSES.get(tag, ())
-            for i in range(len(page.stack) - 1, -1, -1):
+            for i in range(len(page.stack) - 1, -1, -1) if page.held["p"] or any(page.held[own] for own in ending) else ():
                 own = page.stack[i][0]
                 if own == "p" or own in ending:
                     skipped -= page.close(i)
                 elif own in SCOPES:
                     break
-            if tag == "body":  # a head left open ends here
+            if tag == "body" and page.held["head"]:  # a head left open ends here
                 page.close(next((i for i, (own, _) in enumerate(page.stack) if own == "head"), len(page.stack)))
                 skipped = 0
         if found[3].endswith("/") and tag in ("svg", "path"):
@@ -250,11 +265,25 @@ def minimum_cut(leans: list[float], edges: list[tuple[int, int, float, float]])
                 room[e ^ 1] += flow
 
 
+def _apart(page: _Page) -> list[bool]:
+    """True for the blocks outside all article elements, if most of what looks like content lies in these."""
+    inside = [False] * len(page.elements)
+    for i, element in enumerate(page.elements):
+        inside[i] = element.tag == "article" or (element.parent >= 0 and inside[element.parent])
+    sizes = [0, 0]
+    for block in page.blocks:
+        if score(block) > 0:
+            sizes[block.parent >= 0 and inside[block.parent]] += len(block.text)
+    told = sizes[1] > sizes[0]
+    return [told and not (block.parent >= 0 and inside[block.parent]) for block in page.blocks]
+
+
 def graph(page: _Page) -> tuple[list[float], list[tuple[int, int, float, float]]]:
     """Leans and edges of a page's graph: its blocks, then its elements.
 
     A block is joined to the nearest element around it that tells something, and so is that element to the next one. Content is
-    dear below an element that tells against it; all else that differs from what is around it is cheap. A block is also joined to
+    dear below an element that is labelled boilerplate, and so is a block of boilerplate in an element that tells for content; an element of boilerplate
+    within content is cheap. A block is also joined to
     its own element where that tells nothing, so that blocks side by side lean on each other.
     """
     n = len(page.blocks)
@@ -270,12 +299,13 @@ def graph(page: _Page) -> tuple[list[float], list[tuple[int, int, float, float]]
     for i in range(len(page.elements) - 1, -1, -1):
         if telling[i] == i and around[i] >= 0:
             below[around[i]] += below[i]
-    leans = [score(block) for block in page.blocks] + [e.lean * k for e, k in zip(page.elements, below, strict=True)]
+    apart = _apart(page)
+    leans = [score(block) + APART * out for block, out in zip(page.blocks, apart, strict=True)] + [e.lean * k for e, k in zip(page.elements, below, strict=True)]
     edges = []
     for i, block in enumerate(page.blocks):
         if block.parent >= 0:
             if (at := telling[block.parent]) >= 0:
-                edges.append((i, n + at, UNDER if page.elements[at].lean < 0 else WITHIN, WITHIN))
+                edges.append((i, n + at, UNDER, WITHIN if page.elements[at].lean < 0 else KEPT))
             if at != block.parent and block.tag not in ("html", "body"):
                 edges.append((i, n + block.parent, BESIDE, BESIDE))
         if i:
@@ -283,7 +313,7 @@ def graph(page: _Page) -> tuple[list[float], list[tuple[int, int, float, float]]
             edges.append((i - 1, i, near, near))
     for i, at in enumerate(around):
         if at >= 0 and telling[i] == i and below[i]:
-            edges.append((n + i, n + at, (UNDER if page.elements[at].lean < 0 else WITHIN) * below[i], WITHIN * below[i]))
+            edges.append((n + i, n + at, UNDER * below[i], WITHIN * below[i]))
     return leans, edges
 
 

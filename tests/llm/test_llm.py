@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 from base64 import b32encode
 
@@ -533,6 +534,36 @@ def test_the_cut_decides():
     assert 0 < changed < total
 
 
+PROSE = "This is a long paragraph of an article that says quite a lot of things, and goes on for some time so that it is content."
+READER = f"<p>{PROSE} COMMENT</p>"
+
+
+@pytest.mark.parametrize(("page", "blocks"), [
+    (f"<article><p>{PROSE}</p><ul><li>Apples</li><li>Pears</li></ul><p>{PROSE}</p></article>", [PROSE, "Apples", "Pears", PROSE]),
+    (f"<article><p>{PROSE}</p><table><tr><th>Year</th><td>1999</td></tr></table><dl><dt>Term</dt><dd>Def</dd></dl><figure><figcaption>A cap</figcaption></figure></article>", [PROSE, "Year", "1999", "Term", "Def", "A cap"]),
+    (f"<article><p>{PROSE}</p><p>No end here</p><div>Short words</div><p><a href=x>mostly a link of words here</a> ok</p><p>{PROSE}</p></article>", [PROSE, "No end here", "Short words", "mostly a link of words here ok", PROSE]),
+    (f"<article><header><h1>My title</h1></header><p>{PROSE}</p></article>", ["My title", PROSE]),
+    (f"<article><p>{PROSE}</p></article><section id=comments><div class='post-body'>{READER}</div></section>", [PROSE]),
+    (f"<article><p>{PROSE}</p><section id=comments><div class='entry-content'>{READER}{READER}</div></section></article>", [PROSE]),
+    (f"<article><p>{PROSE}</p></article><footer><div class=text>{READER}</div></footer>", [PROSE]),
+    (f"<article><p>{PROSE}</p></article><div class=reader-opinions>{READER}</div>", [PROSE]),
+    (f"<article><p>{PROSE}</p><p>{PROSE}</p></article><div class=unheard-of>{READER}</div>", [PROSE, PROSE]),
+    (f"<article><p>{PROSE}</p><div class='ad'>{READER}</div><p>{PROSE}</p></article>", [PROSE, PROSE]),
+    (f"<main><p>{PROSE}</p><p>{PROSE}</p><aside>{READER}{READER}</aside></main>", [PROSE, PROSE]),
+    (f"<div class='nav'>a b</div><div class='content with-sidebar'><h1>Title here</h1><p>{PROSE}</p><ul><li>One</li></ul><div class='sidebar'>{READER}</div></div>", ["Title here", PROSE, "One"]),
+    (f"<body><p>{PROSE}</p><p>{PROSE}</p></body>", [PROSE, PROSE]),
+])
+def test_html_pages(page, blocks):
+    assert html.main_text(page).split("\n") == blocks
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20000, "<div>" * 5000 + "</p></i>" * 11000, "<b>x" * 20000, "<p>" * 20000, "<b><p>" * 8000, "<a><div>" * 8000])
+def test_html_takes_time_in_proportion(page):
+    began = time.time()
+    html.main_text(page)
+    assert time.time() - began < 3
+
+
 def test_html_rows(spark):
     schema = "page_id long, url string, html string, text string, n_chars string"
     good = "<article><p>Some words of content, and more of them here.</p></article>"

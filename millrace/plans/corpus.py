@@ -153,6 +153,8 @@ class Corpus:
     def scan(self) -> dict:
         """Compare the folder with the index, and index what has changed. What was done, as numbers and lists of folders."""
         work = f"{self.store}/work/{uuid.uuid4().hex}"
+        live = self.tables.latest()
+        spaces.fitting(live.space, self.space, sum(s.chunks for s in live.segments))  # before anything is claimed
 
         def kept(rows: DataFrame) -> DataFrame:
             """`rows` written once, since several steps read them; gone after the scan."""
@@ -290,8 +292,6 @@ class Corpus:
         chunks = kept(K.analyzed(units))
         counts = chunks.groupBy("document_id").agg(F.count("*").alias("_n"))
         space = base.space if base.space == self.space or base.number and any(s.chunks for s in base.segments) else self.space
-        if space != self.space:
-            spaces.fitting(space, self.space, 1)
         met = mine.drop("chunk_count").join(counts, "document_id", "left").join(errors.withColumnRenamed("error", "_error"), "document_id", "left").withColumn("chunk_count", F.coalesce("_n", F.lit(0).cast("long")))
         bad = F.col("_error").isNotNull()
         note = F.when((F.col("kind") == "pdf") & F.col("pair_id").isNotNull(), PAIRED)

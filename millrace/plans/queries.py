@@ -834,7 +834,7 @@ def _shown(spark, d):
     docs = table(spark, d, "documents").withColumns({"a": F.col("n_chars") % 60, "b": F.col("doc_id") % 7})
     text = F.concat(
         F.lit("# "), "lang", F.lit("\n\n![one](../img/"), F.col("a").cast("string"), F.lit("%20x.png?raw=1 \"t\")\n\n![two][ref]\n![out](../../up.png) ![web](https://example.com/a.png)\n\n## Part\n\n<img alt='tag' src='/img/"),
-        F.col("b").cast("string"), F.lit("%20x.png'>\n![text](notes.txt)\n\n![again](<./../img/"), F.col("a").cast("string"), F.lit(" x.png>)\n```\n![code](c.png)\n```\n\n[ref]: pics/"), F.col("b").cast("string"), F.lit(".jpg\n"),
+        F.col("b").cast("string"), F.lit("%20x.png'>\n\n![text](notes.txt)\n\n![again](<./../img/"), F.col("a").cast("string"), F.lit(" x.png>)\n```\n![code](c.png)\n```\n\n[ref]: pics/"), F.col("b").cast("string"), F.lit(".jpg\n"),
     )
     files = docs.where("lang = 'en'").select(F.concat(F.lit("img/"), F.col("a").cast("string"), F.lit(" x.png")).alias("path"))
     files = files.union(docs.select(F.concat(F.lit("md/assets/"), F.col("b").cast("string"), F.lit(".jpg")))).union(docs.select(F.lit("md/notes.txt")))

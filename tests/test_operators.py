@@ -346,6 +346,8 @@ def test_corpus_from_scan_to_search(spark, tmp_path):
     corpus.settings = config.load("[embed]\ndim = 32")
     _, notices = corpus.search("rye", SearchOptions())
     assert "keywords only" in notices.first()["notice"]
+    with pytest.raises(errors.OtherSpace):
+        corpus.scan()
     assert corpus.rebuild().mode == "switch" and corpus.rebuild().mode == "none"
     assert corpus.search("rye", SearchOptions(mode="vector", k=1))[0].first()["path"] == "a b/one.md"
 

@@ -10,36 +10,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import kind
-from .chunking import placed_blocks
+from .chunking import leaf_blocks, markdown_blocks, placed_blocks, references, without_front_matter
+from .inline import inline
 
-_FENCED = re.compile(r"^(```|~~~).*?(?:^\1[^\n]*$|\Z)", re.M | re.S)
-_CODE = re.compile(r"`[^`\n]*`")
-_DEFINED = re.compile(r"^ {0,3}\[([^\]]+)\]:\s*(<[^>\n]*>|\S+)", re.M)
-_SHOWN = re.compile(r"!\[(?P<alt>[^\]]*)\](?:\(\s*(?P<to><[^>\n]*>|[^\s)]*)[^)]*\)|\[(?P<ref>[^\]]*)\])?|(?P<tag><img\b[^>]*>)", re.I)
+_SHOWN = re.compile(r"<img\b[^>]*>", re.I)
 _ATTRIBUTE = re.compile(r"\b(src|alt)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
 
 
+def _tagged(html: str) -> Iterator[tuple[str, str]]:
+    """(target, alternative text) of the image tags in HTML."""
+    for tag in _SHOWN.findall(html):
+        told = {name.lower(): a or b for name, a, b in _ATTRIBUTE.findall(tag)}
+        yield told.get("src", ""), told.get("alt", "")
+
+
 def images(text: str) -> list[tuple[str, str, str, int]]:
-    """(target as written, alternative text, heading path, page) of the images of a Markdown text, in order; none in code or headings."""
-    defined: dict[str, str] = {}
-    for label, to in _DEFINED.findall(text):
-        defined.setdefault(label.strip().lower(), to)
+    """(target as written, alternative text, heading path, page) of the images of a Markdown text, in order; none in code or in headings at its top level."""
+    blocks = list(markdown_blocks(without_front_matter(text)))
+    defined = references(blocks)
     out = []
-    for heading, page, block in placed_blocks(text):
-        if block.kind in ("heading", "fenced", "indented", "rule"):
+    for heading, page, block in placed_blocks(text, blocks, defined):
+        if block.kind == "heading" or not ("![" in block.text or "<" in block.text):
             continue
-        body = block.text if block.kind == "html" else _CODE.sub("", _FENCED.sub("", block.text))
-        for found in _SHOWN.finditer(body):
-            if found["tag"]:
-                told = {name.lower(): a or b for name, a, b in _ATTRIBUTE.findall(found["tag"])}
-                to, alt = told.get("src"), told.get("alt", "")
-            elif block.kind == "html":
-                continue
+        for leaf in leaf_blocks(block):
+            if leaf.kind == "html":
+                found = list(_tagged(leaf.text))
+            elif leaf.kind in ("heading", "paragraph"):
+                read = inline(leaf.text, defined)
+                placed = [(at, to, alt) for to, alt, at in read.images] + [(at, *image) for tag, at in read.tags for image in _tagged(tag)]
+                found = [(to, alt) for _, to, alt in sorted(placed, key=lambda x: x[0])]
             else:
-                alt = found["alt"]
-                to = found["to"] if found["to"] is not None else defined.get((found["ref"] or alt).strip().lower())
-            if to:
-                out.append((to, alt.strip(), heading, page))
+                found = []
+            out.extend((to, alt.strip(), heading, page) for to, alt in found if to)
     return out
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,14 @@ SINGLE = min(LEAST_WORDS, *(x[2] for x in SHORTER)) - 1
 #: in the table of its words.
 SIEVE_BITS, VOCABULARY_BITS = 24, 21
 
-# Units of measure, in lower case.
+# Units of measure as they are short and in full (those in full with an s or es too), words for numbers; in lower case. "One" is no such, being mostly a pronoun.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml cl l gal s sec min h hr hrs kmh mph kb mb gb tb w kw mw v a hz khz mhz ghz k c f usd eur gbp percent"
+FULL_UNITS = (
+    "millimetre millimeter centimetre centimeter metre meter kilometre kilometer inch foot feet yard mile acre hectare milligram gram kilogram kilo tonne ton ounce pound stone "
+    "millilitre milliliter litre liter pint quart gallon cup barrel bushel second minute hour day week month year decade watt kilowatt volt ampere hertz degree celsius fahrenheit "
+    "byte kilobyte megabyte gigabyte calorie joule knot dollar euro cent penny pence yen rupee franc"
+)
+NUMBERS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
 LITERAL, NUMBER, NAME, UNIT, SIGN = 0, 1, 2, 3, 4
 PLAIN, TYPED = 0, 1
 _GAP, _LETTER, _DIGIT, _SIGN = 0, 1, 2, 3
@@ -53,7 +60,7 @@ _JOINS[list(b" \t\n\r-'")] = True
 class Words:
     """Words of some texts: number of the text, kind (names are not told yet), hash of the word in lower case, and whether it
     has a capital and then a small letter, begins with no capital, starts a sentence, follows the last one with nothing or only
-    blanks, hyphens and apostrophes between them."""
+    blanks, hyphens and apostrophes between them, is a number in letters."""
 
     text: np.ndarray
     kind: np.ndarray
@@ -62,6 +69,7 @@ class Words:
     small: np.ndarray
     fresh: np.ndarray
     close: np.ndarray
+    spelled: np.ndarray
 
 
 @dataclass
@@ -74,24 +82,68 @@ class Template:
     words: np.ndarray
 
 
+def _word_hashes(words: list[str]) -> np.ndarray:
+    """Sorted hashes of words in ASCII."""
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    gaps = np.flatnonzero(raw == 32)
+    return np.sort(span_hashes(_LOWER[raw], np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])))
+
+
+@cache
+def _listed() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the units and of the words for numbers."""
+    full = FULL_UNITS.split()
+    return _word_hashes([*UNITS.split(), *full, *(w + "s" for w in full), *(w + "es" for w in full)]), _word_hashes([w + end for w in NUMBERS.split() for end in ("", "s")])
+
+
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
+@cache
+def _small_letters() -> np.ndarray:
+    """The small letter of each code point of two or three bytes, if that has as many, else itself."""
+    width = lambda c: 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+    small = [chr(c).lower() for c in range(0x10000)]
+    return np.array([ord(x) if len(x) == 1 and width(ord(x)) == width(c) else c for c, x in enumerate(small)], np.int64)
+
+
+def _lower_wide(data: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """First bytes of the capitals of two or three bytes; `value` gets the bytes of their small letters."""
+    found = []
+    for width, from_, to in ((2, 0xC3, 0xDF), (3, 0xE1, 0xEF)):
+        at = np.flatnonzero((data >= from_) & (data <= to))
+        code = data[at].astype(np.int64) & (0x3F >> (width - 1))
+        for step in range(1, width):
+            code = code << 6 | data[at + step] & 0x3F
+        small = _small_letters()[code]
+        raised = np.flatnonzero(small != code)
+        at, small = at[raised], small[raised]
+        for step in range(width - 1, 0, -1):
+            value[at + step] = (small & 0x3F | 0x80) + 1
+            small = small >> 6
+        value[at] = (small | (0xC0 if width == 2 else 0xE0)) + 1
+        found.append(at)
+    return np.concatenate(found)
+
+
 def words_of(data: np.ndarray, bounds: np.ndarray) -> Words:
     """Words of the texts that `bounds` parts in UTF-8 bytes.
 
-    A word is a run of letters or of digits; 3.5 and 1:30 are one number. A unit is a word of UNITS after a number, a
-    sign is a percent or dollar sign at one. Capitals are ASCII or Latin-1. Latin-1 and general punctuation and currency signs part words.
+    A word is a run of letters or of digits; 3.5 and 1:30 are one number, and so are the words of NUMBERS. A unit is a word of UNITS or FULL_UNITS after
+    a number, a sign is a percent or dollar sign at one. Capitals are those of any script whose small letters take as many bytes. Latin-1 and
+    general punctuation and currency signs part words.
     """
     n = len(data)
     none, flags = np.zeros(0, np.int64), np.zeros(0, bool)
-    nothing = Words(none, none, none.astype(np.uint64), flags, flags, flags, flags)
+    nothing = Words(none, none, none.astype(np.uint64), flags, flags, flags, flags, flags)
     if n == 0:
         return nothing
     kind_of = _CLASS[data]
     value = _LOWER[data]
     wide = data >= 0xC2
     if wide.any():
-        at = np.flatnonzero(data[:-1] == 0xC3)
-        upper = at[(data[at + 1] >= 0x80) & (data[at + 1] <= 0x9E) & (data[at + 1] != 0x97)] + 1
-        value[upper] += 0x20
+        upper = _lower_wide(data, value)
         marks = np.flatnonzero(data == 0xC2)
         kind_of[marks] = kind_of[np.minimum(marks + 1, n - 1)] = _GAP
         marks = np.flatnonzero(data[:-1] == 0xE2)
@@ -125,19 +177,24 @@ def words_of(data: np.ndarray, bounds: np.ndarray) -> Words:
     fresh = ~same
     fresh[1:] |= closes[starts[1:]] > closes[ends[:-1]]
     raised = (data >= 65) & (data <= 90)
-    raised[upper - 1] = True
-    second = starts + np.where(data[starts] == 0xC3, 2, 1)
+    raised[upper] = True
+    first = data[starts]
+    second = starts + 1 + (first >= 0xC0) + (first >= 0xE0) + (first >= 0xF0)
     capital = raised[starts] & (second < ends) & ~raised[np.minimum(second, n - 1)]
     after_number = np.zeros(len(starts), bool)
-    after_number[1:] = same[1:] & digit[:-1]
-    kind = np.where(digit, NUMBER, np.where(kind_of[starts] == _SIGN, SIGN, np.where(after_number & np.isin(hashes, _unit_hashes()), UNIT, LITERAL)))
+    units, numbers = _listed()
+    spelled = (kind_of[starts] == _LETTER) & _among(hashes, numbers)
+    after_number[1:] = same[1:] & (digit | spelled)[:-1] & ~spelled[1:]
+    after = np.flatnonzero(after_number)
+    after_number[after] = _among(hashes[after], units)
+    kind = np.where(digit | spelled, NUMBER, np.where(kind_of[starts] == _SIGN, SIGN, np.where(after_number, UNIT, LITERAL)))
     head = np.flatnonzero(~inner)
     words = np.add.reduceat(hashes * np.where(inner, np.uint64(3), np.uint64(1)), head)
     small = (kind_of[starts] == _LETTER) & ~raised[starts]
     marks = np.concatenate([[0], np.cumsum(~_JOINS[data])])
     close = same.copy()
     close[1:] &= marks[starts[1:]] == marks[ends[:-1]]
-    return Words(text[head], kind[head], words, capital[head], small[head], fresh[head], close[head])
+    return Words(text[head], kind[head], words, capital[head], small[head], fresh[head], close[head], spelled[head])
 
 
 def plain(w: Words) -> Template:
@@ -152,7 +209,7 @@ def _named(inside: np.ndarray, small: np.ndarray) -> np.ndarray:
 
 def typed(w: Words, known: np.ndarray, is_name: np.ndarray) -> Template:
     """Numbers, names and units as placeholders, other words in lower case. A name of several words is one placeholder, and so
-    is a number with its sign.
+    is a number with its sign or of several words, as in twenty-five and 3 million.
 
     A word is a name or not wherever it stands and in whatever case: `known` (sorted) and `is_name` say it of the words of the
     benchmark, and of other words the text itself does.
@@ -176,7 +233,7 @@ def typed(w: Words, known: np.ndarray, is_name: np.ndarray) -> Template:
         name[own] = same & told[place]
     kind = np.where(name, NAME, w.kind)
     more = np.zeros(len(kind), bool)
-    more[1:] = w.close[1:] & (((kind[1:] == NAME) & (kind[:-1] == NAME)) | ((kind[1:] == SIGN) & (kind[:-1] == NUMBER)) | ((kind[1:] == NUMBER) & (kind[:-1] == SIGN)))
+    more[1:] = w.close[1:] & (((kind[1:] == NAME) & (kind[:-1] == NAME)) | ((kind[1:] == SIGN) & (kind[:-1] == NUMBER)) | ((kind[1:] == NUMBER) & (kind[:-1] == SIGN)) | (w.spelled[1:] & (kind[:-1] == NUMBER)))
     head = np.flatnonzero(~more)
     if not len(head):
         return Template(w.text, kind, w.words, w.words)
@@ -231,17 +288,6 @@ def _passes(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-_units: list[np.ndarray] = []
-
-
-def _unit_hashes() -> np.ndarray:
-    if not _units:
-        raw = np.frombuffer(UNITS.encode(), np.uint8)
-        gaps = np.flatnonzero(raw == 32)
-        _units.append(span_hashes(_LOWER[raw], np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])))
-    return _units[0]
-
-
 def window_size(n_words: np.ndarray, family: int) -> tuple[np.ndarray, np.ndarray]:
     """Words in the windows of items of so many words, 0 for none, and literals that a window needs."""
     size = np.where(n_words >= (1 if family == PLAIN else LEAST_WORDS), np.minimum(n_words, WINDOW), 0)

@@ -632,3 +632,46 @@ def test_stages_of_awkward_rows(spark):
             assert kept == {"language_id": {3, 4, 5, 8, None}, "line_dedup": {1, 2, 3, 4, 5, 6, 7, 8, None}, "near_dedup": {1, 2, 3, 4, 6, 7, 8, None}, "decontamination": {1, 2, 3, 4, 5, 6, 7, 8, None}, "mixing": {3, 4, 5, 7, 8, None}}[name] if rows is docs else kept == set(), name
     same = {r["kept_text"] for r in corpus_pipeline.unrepeated(spark, docs, DATA).collect()}
     assert same == {1}  # the table's own column of that name
+
+
+def test_leaks_with_units_and_numbers_in_letters(spark):
+    item = "A train goes 60 km in 2 h before it stops for water at the bridge. How far does it go in twelve hours at this pace?"
+    other = "A train goes fifty miles in 3 hours before it stops for water at the bridge. How far does it go in 11 days at this pace?"
+    most = "A train goes two hundred feet in twenty-five seconds before it stops for water at the bridge. How far does it go in 3 million years at this pace?"
+    assert leaky(spark, item, [other, most, other.replace("train", "boat").replace("stops", "halts").replace("bridge", "harbour").replace("far", "long").replace("pace", "price").replace("goes", "sails"), item.upper()]) == [0, 1, 3]
+    assert leaky(spark, other, [item, most]) == [0, 1]
+
+
+SCRIPTS = [
+    ("У {n} было {a} яблок, и половину из них {n} отдал соседу по имени {m} в городе {p}. Сколько яблок осталось у {n} после этого?", "Иван Ольга Борис Пётр Елена Юрий", "Киеве Москве Риге"),
+    ("Η {n} έχει {a} μήλα και δίνει τα μισά από αυτά στον γείτονα {m} στην πόλη {p}. Πόσα μήλα έμειναν τότε στο καλάθι της {n};", "Άννα Ελένη Μαρία Νίκη Σοφία Όλγα", "Αθήνα Πάτρα Λάρισα"),
+    ("{n} má {a} jablek a polovinu z nich dá sousedovi, který se jmenuje {m} a bydlí ve městě {p}. Kolik jablek pak {n} ještě má?", "Šárka Čeněk Žofie Řehoř Ďurko Ľudmila", "Žilina Říčany Šumperk"),
+    ("{n} có {a} quả táo và cho người hàng xóm tên là {m} ở thành phố {p} một nửa số đó. Hỏi sau đó {n} còn lại bao nhiêu quả?", "Ánh Đức Ổi Ẩn Ước Ý Ngọc", "Huế Vinh Quảng"),
+]
+
+
+def test_leaks_in_other_scripts(spark):
+    """Recall of at least 0.9 with names and numbers of other scripts, in small letters and capitals as well; other questions are not found."""
+    rng = random.Random(5)
+    items, docs, expected = [], [], set()
+    ask = lambda frame, names, places: frame.format(a=rng.randrange(2, 99), p=rng.choice(places.split()), **dict(zip("nm", rng.sample(names.split(), 2), strict=True)))
+    for i, script in enumerate(SCRIPTS):
+        items.append((i, ask(*script)))
+        for j in range(12):
+            docs.append((len(docs), f"{ask(*script)} And more."))
+            expected.add((len(docs) - 1, i))
+        for change in (str.upper, str.lower):
+            docs.append((len(docs), change(items[i][1])))
+            expected.add((len(docs) - 1, i))
+        docs.append((len(docs), " ".join(rng.sample(items[i][1].split(), len(items[i][1].split())))))
+    found = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert got <= expected and len(got) >= 0.9 * len(expected), sorted(expected - got)
+
+
+@pytest.mark.parametrize("text", ["ÀÉÎ Öß", "Ελλάδα ΣΟΦΊΑ", "Щука Ёж", "Đức ẤN Ộ", "Ａｂ", "İK ẞ", "日本 x", "𐐀𐐁 a", "ÿ"])
+def test_capitals_of_any_script(text):
+    """Words hash as those of the text in small letters, as far as these take as many bytes."""
+    small = "".join(c.lower() if len(c.lower()) == 1 and len(c.lower().encode()) == len(c.encode()) and ord(c) < 0x10000 else c for c in text)
+    of = lambda t: leaks.words_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+    assert of(text).words.tolist() == of(small).words.tolist()

@@ -8,10 +8,12 @@ last one cut to fit: slots beyond them stay empty, and the few that the sequence
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,13 +142,27 @@ def schedule(docs: DataFrame) -> DataFrame:
 
 
 def mixed_blocks(docs: DataFrame) -> DataFrame:
-    """slot, source, text: the words of the mix, one row per block, by words parted by single spaces."""
+    """slot, source, text: the words of the mix, one row per block, by words parted by single spaces. Rows that the mix takes no word of are in no block; an
+    empty table gives none.
+
+    The pieces of a document, no more than its words and two passes make, meet its text once, so that a long text is cut in one go.
+    """
     plain = _told_apart(docs, "text").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), F.col("_copy").alias("_c"), "text")
-    told = schedule(docs)
+    piece = F.struct("slot", F.col("place").cast("long").alias("place"), F.col("from_word").cast("long").alias("from_word"), F.col("n_words").cast("long").alias("n_words"))
+    told = schedule(docs).groupBy("source", "doc_id", "_h", "_copy").agg(F.collect_list(piece).alias("_pieces"))
     met = told.join(plain, told["doc_id"].eqNullSafe(plain["_d"]) & (told["_h"] == plain["_g"]) & (told["_copy"] == plain["_c"]))
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("from_word") + 1).cast("int"), F.col("n_words").cast("int"))
-    parts = met.select("slot", "source", "place", F.array_join(words, " ").alias("_part"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "_part"))), lambda x: x["_part"]), " ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile(WORD)
+        for batch in batches:
+            for source, text, pieces in zip(*batch.columns, strict=True):
+                words = word.findall(text.as_py())
+                own = pieces.as_py()
+                parts = [" ".join(words[p["from_word"] : p["from_word"] + p["n_words"]]) for p in own]
+                yield pa.RecordBatch.from_arrays([pa.array([p["slot"] for p in own], pa.int64()), pa.array([source.as_py()] * len(own), pa.string()), pa.array([p["place"] for p in own], pa.int64()), pa.array(parts, pa.string())], names=["slot", "source", "place", "part"])
+
+    parts = met.select("source", "text", "_pieces").mapInArrow(run, "slot long, source string, place long, part string")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: x["part"]), " ")
     return parts.groupBy("slot", "source").agg(joined.alias("text"))
 
 

@@ -675,3 +675,30 @@ def test_capitals_of_any_script(text):
     small = "".join(c.lower() if len(c.lower()) == 1 and len(c.lower().encode()) == len(c.encode()) and ord(c) < 0x10000 else c for c in text)
     of = lambda t: leaks.words_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
     assert of(text).words.tolist() == of(small).words.tolist()
+
+
+def test_pipeline_writes_the_mix(spark, tmp_path):
+    """The blocks hold the words that the last stage says were taken, each slot once, all full but for one a source."""
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, DATA, str(tmp_path))
+    blocks = corpus_pipeline.blocks(spark, str(tmp_path))
+    assert blocks.columns == ["slot", "source", "text"] and blocks.select("slot").distinct().count() == blocks.count() > 0
+    counted = blocks.select("source", F.size(F.split("text", " ")).alias("n"))
+    assert counted.where(F.col("n") > mixing.BLOCK_WORDS).isEmpty()
+    assert counted.where(F.col("n") < mixing.BLOCK_WORDS).groupBy("source").count().where("count > 1").isEmpty()
+    assert sorted(map(tuple, counted.groupBy("source").agg(F.sum("n")).collect()), key=str) == sorted(map(tuple, got.groupBy("source").agg(F.sum("taken")).collect()), key=str)
+    own, kept = (set(" ".join(r["text"] for r in df.select("text").collect() if r["text"]).split()) for df in (blocks, got))
+    assert own == kept
+    corpus_pipeline.run(spark, DATA, str(tmp_path))  # a second run into the folder takes the place of the first
+    assert corpus_pipeline.blocks(spark, str(tmp_path)).count() == blocks.count()
+
+
+def test_blocks_of_awkward_rows(spark):
+    rows = [(1, None, "a"), (2, "", "a"), (None, "x y", None), (None, "x y", None), (3, "  p\u00a0q\tr\n", "b"), (3, "s " * 5000, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = {(r["slot"], r["source"]): r["text"] for r in mixing.mixed_blocks(docs).collect()}
+    words = [w for (_, source), text in texts.items() if source == "b" for w in text.split(" ")]
+    assert set(words) <= {"p\u00a0q", "r", "s"} and all(len(t.split(" ")) <= mixing.BLOCK_WORDS for t in texts.values())
+    assert sum(len(t.split(" ")) for t in texts.values()) == mixing.mix_digest(docs).agg(F.sum("taken")).first()[0]
+    assert mixing.mixed_blocks(docs.where("false")).isEmpty()

@@ -689,7 +689,7 @@ def test_pipeline_writes_the_mix(spark, tmp_path):
     assert counted.where(F.col("n") < mixing.BLOCK_WORDS).groupBy("source").count().where("count > 1").isEmpty()
     assert sorted(map(tuple, counted.groupBy("source").agg(F.sum("n")).collect()), key=str) == sorted(map(tuple, got.groupBy("source").agg(F.sum("taken")).collect()), key=str)
     own, kept = (set(" ".join(r["text"] for r in df.select("text").collect() if r["text"]).split()) for df in (blocks, got))
-    assert own == kept
+    assert own and own <= kept  # the last document of a source may be taken in part
     corpus_pipeline.run(spark, DATA, str(tmp_path))  # a second run into the folder takes the place of the first
     assert corpus_pipeline.blocks(spark, str(tmp_path)).count() == blocks.count()
 

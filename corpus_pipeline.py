@@ -1,4 +1,5 @@
-"""From raw documents to a training mix, in five stages; each is written as Parquet and read again as the next one's input.
+"""From raw documents to a training mix, in five stages; each is written as Parquet and read again as the next one's input. After the
+last one the blocks of the mix are written as well.
 
 In every stage a null text counts as an empty one, texts are taken whole, repeated rows are treated alike, columns that the stage
 does not use pass through under their names whatever these are, and an empty table gives an empty one. Ties between documents go
@@ -17,6 +18,8 @@ from millrace.llm import language, leaks, lines, mixing, neardup, shared
 #: Documents that hold a line from which the stage drops it. The copies of a text, mostly fewer, are left whole for the
 #: near-duplicate stage: with two instead of five, most copies would reach it as remnants that are like nothing any more.
 LINE_DOCS = 5
+#: Folder of the mixed blocks, beside those of the stages.
+BLOCKS = "blocks"
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,15 +66,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table. Stages are written below spark.checkpoint.dir."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over the documents table, and the mix itself. Both are written below `folder`, or else one of its own below
+    spark.checkpoint.dir; what an earlier run wrote there is replaced."""
     docs = shared.table(spark, sf_dir, "documents")
-    folder = f"{shared.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = folder or f"{shared.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        last = docs
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+    mixing.mixed_blocks(last).write.mode("overwrite").parquet(f"{folder}/{BLOCKS}")
     return docs
 
 
+def blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """slot, source, text: the mix that run() wrote into the folder, a row per block of equal length; training reads them by slot."""
+    return spark.read.parquet(f"{folder}/{BLOCKS}")
+
+
 QUERIES = {"pipeline": run}
 ORACLE: dict[str, str] = {}

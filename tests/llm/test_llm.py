@@ -683,7 +683,8 @@ def test_pipeline_writes_the_mix(spark, tmp_path):
 
     got = corpus_pipeline.run(spark, DATA, str(tmp_path))
     blocks = corpus_pipeline.blocks(spark, str(tmp_path))
-    assert blocks.columns == ["slot", "source", "text"] and blocks.select("slot").distinct().count() == blocks.count() > 0
+    n = blocks.count()
+    assert blocks.columns == ["slot", "source", "text"] and blocks.select("slot").distinct().count() == n > 0
     counted = blocks.select("source", F.size(F.split("text", " ")).alias("n"))
     assert counted.where(F.col("n") > mixing.BLOCK_WORDS).isEmpty()
     assert counted.where(F.col("n") < mixing.BLOCK_WORDS).groupBy("source").count().where("count > 1").isEmpty()
@@ -691,7 +692,7 @@ def test_pipeline_writes_the_mix(spark, tmp_path):
     own, kept = (set(" ".join(r["text"] for r in df.select("text").collect() if r["text"]).split()) for df in (blocks, got))
     assert own and own <= kept  # the last document of a source may be taken in part
     corpus_pipeline.run(spark, DATA, str(tmp_path))  # a second run into the folder takes the place of the first
-    assert corpus_pipeline.blocks(spark, str(tmp_path)).count() == blocks.count()
+    assert corpus_pipeline.blocks(spark, str(tmp_path)).count() == n
 
 
 def test_blocks_of_awkward_rows(spark):

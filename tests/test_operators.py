@@ -519,3 +519,28 @@ def test_substring_join_matches_brute_force(spark):
     got = SUB.contained(spark.createDataFrame(short, "short_id long, text string"), spark.createDataFrame(long, "long_id long, text string"))
     assert sorted(map(tuple, got.collect())) == sorted((a, b) for a, s in short for b, t in long if s and t and s in t)
     assert SUB.contained(spark.createDataFrame([(1, "")], "short_id long, text string"), got.selectExpr("long_id", "'x' as text")).count() == 0
+
+
+def test_scores_as_arrays_are_those_of_joins(spark, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(7 * i, " ".join(rng.choices(words, k=rng.randrange(1, 30)))) for i in range(300)] + [(5, None), (6, "the")]
+    stored = str(tmp_path / "k")
+    K.store(K.on_the_way(K.analyzed(spark.createDataFrame(docs, "chunk_id long, text string"))), stored)
+    found = K.stored(spark, stored)
+    ask = spark.createDataFrame([(f"q{i}", " ".join(rng.choices([*words, "unknown"], k=6))) for i in range(30)] + [("none", "unknown")], "query_id string, text string")
+    allowed = spark.createDataFrame([(7 * i,) for i in range(0, 300, 3)], "chunk_id long")
+    told = lambda own: [sorted(map(tuple, K.keyword_hits(ask, own, 9, some).collect())) for some in (None, allowed)]
+    monkeypatch.setattr(K, "SCORES", 64)
+    monkeypatch.setattr(K, "AT_ONCE", 50)
+    arrays, plan = told(found), K.keyword_hits(ask, found, 9)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(K, "TOLD", 0)
+    assert arrays == told(found) == told(K.on_the_way(K.analyzed(spark.createDataFrame(docs, "chunk_id long, text string"))))
+    assert "HashAggregate(keys=[query_id" not in plan  # no table of all pairs of query and chunk
+
+
+def test_postings_are_dealt_once(spark):
+    docs = K.analyzed(spark.createDataFrame([(1, "b a b"), (2, "a1 bb bb"), (3, None), (4, "")], "chunk_id long, text string"))
+    rows = K.lengthed(docs)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, rows.collect())) == [("a1", 2, 1, 3), ("bb", 2, 2, 3)]

@@ -544,3 +544,12 @@ def test_postings_are_dealt_once(spark):
     rows = K.lengthed(docs)
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, rows.collect())) == [("a1", 2, 1, 3), ("bb", 2, 2, 3)]
+
+
+def test_vector_blocks_meet_without_a_product(spark):
+    rows = spark.range(300).select(F.col("id").alias("row_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
+    asked = rows.where("row_id % 20 = 0").withColumnRenamed("row_id", "query_id")
+    blocks = V.stored_blocks(rows, 300)
+    for found in (V.search(asked, rows, 3), V.search_blocks(asked, blocks, 3, False), V.search_blocks(asked, blocks, 3, True)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan

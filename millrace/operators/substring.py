@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Characters of a gram, the longest first; a short text takes the longest that it has room for.
 GRAMS = (8, 4, 2, 1)
+#: Grams that are looked for, at most, that every task knows, so that others are dropped where they arise.
+SOUGHT = 1 << 20
 
 
 def grams(text: Column, size: int) -> Column:
@@ -31,12 +33,16 @@ def contained(short: DataFrame, long: DataFrame) -> DataFrame:
     sizes = F.char_length("text")
     asked = short.where("text <> ''").select("short_id", "text", reduce(lambda rest, n: F.when(sizes >= n, F.lit(n)).otherwise(rest), reversed(GRAMS), F.lit(1)).alias("_size"))
     ordered = reduce(lambda rest, n: F.when(F.col("_size") == n, F.array_min(F.transform(grams(F.col("text"), n), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]).otherwise(rest), GRAMS, F.lit(None).cast("string"))
-    keyed = asked.withColumn("_gram", ordered)
+    keyed = asked.withColumn("_gram", F.xxhash64(ordered, "_size"))  # of what has the same hash too, whole texts decide
     wanted = [r["_size"] for r in asked.select("_size").distinct().collect()]  # of GRAMS
     if not wanted:
         return short.select("short_id").crossJoin(long.select("long_id")).where("false")
     known = long.where("text is not null")
-    offered = [known.select("long_id", F.explode(grams(F.col("text"), n)).alias("_gram"), F.lit(n).alias("_size")) for n in wanted]
-    proposed = reduce(DataFrame.unionByName, offered).join(keyed.select("short_id", "_gram", "_size"), ["_gram", "_size"]).select("short_id", "long_id")
+    offered = [known.select("long_id", F.explode(grams(F.col("text"), n)).alias("_g")).select("long_id", F.xxhash64("_g", F.lit(n)).alias("_gram")) for n in wanted]
+    proposals = reduce(DataFrame.unionByName, offered)
+    sought = keyed.select("_gram").distinct()
+    if sought.limit(SOUGHT + 1).count() <= SOUGHT:  # else all grams of all long texts are dealt by gram
+        proposals = proposals.join(F.broadcast(sought), "_gram", "left_semi")
+    proposed = proposals.join(keyed.select("short_id", "_gram"), "_gram").select("short_id", "long_id")
     met = proposed.join(asked.select("short_id", F.col("text").alias("_short")), "short_id").join(known.select("long_id", F.col("text").alias("_long")), "long_id")
     return met.where("contains(_long, _short)").select("short_id", "long_id")

@@ -15,6 +15,7 @@ from millrace.operators import keyword as K
 from millrace.operators import links as L
 from millrace.operators import maintain as M
 from millrace.operators import ranking as R
+from millrace.operators import substring as SUB
 from millrace.operators import merge
 from millrace.plans import config, errors, spaces
 from millrace.plans import index as I
@@ -553,3 +554,13 @@ def test_vector_blocks_meet_without_a_product(spark):
     for found in (V.search(asked, rows, 3), V.search_blocks(asked, blocks, 3, False), V.search_blocks(asked, blocks, 3, True)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_grams_that_are_not_sought_stay_where_they_arise(spark, monkeypatch):
+    short = spark.createDataFrame([(1, "bread and yeast"), (2, "of"), (3, "")], "short_id long, text string")
+    long = spark.createDataFrame([(1, "we bake bread and yeast cakes of flour"), (2, "off"), (3, None), (4, "bread and butter")], "long_id long, text string")
+    found = SUB.contained(short, long)
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    pairs = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(SUB, "SOUGHT", 0)
+    assert pairs == sorted(map(tuple, SUB.contained(short, long).collect())) == [(1, 1), (2, 1), (2, 2)]

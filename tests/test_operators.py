@@ -564,3 +564,12 @@ def test_grams_that_are_not_sought_stay_where_they_arise(spark, monkeypatch):
     pairs = sorted(map(tuple, found.collect()))
     monkeypatch.setattr(SUB, "SOUGHT", 0)
     assert pairs == sorted(map(tuple, SUB.contained(short, long).collect())) == [(1, 1), (2, 1), (2, 2)]
+
+
+def test_blocks_stay_where_they_lie_when_few_chunks_change(spark):
+    texts = spark.createDataFrame([(i, f"word{i} common") for i in range(40)], "chunk_id long, text string")
+    some = texts.where("chunk_id < 3")
+    after = K.on_the_way(K.analyzed(texts)).replaced(some, K.analyzed(some.withColumn("text", F.lit("fresh"))))
+    assert "strategy=broadcast" in after.terms._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["term"]: r["df"] for r in after.terms.collect()}
+    assert found["common"] == 37 and found["fresh"] == 3 and "word1" not in found

@@ -573,3 +573,11 @@ def test_blocks_stay_where_they_lie_when_few_chunks_change(spark):
     assert "strategy=broadcast" in after.terms._jdf.queryExecution().optimizedPlan().toString()
     found = {r["term"]: r["df"] for r in after.terms.collect()}
     assert found["common"] == 37 and found["fresh"] == 3 and "word1" not in found
+
+
+def test_chunks_are_handed_on_some_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"# T{i}\n\n" + "word " * 90 * i) for i in range(9)] + [(9, None)], "document_id long, text string")
+    chunks = lambda: sorted(map(tuple, C.chunk_documents(docs, 64, 8).collect()))
+    whole = chunks()
+    monkeypatch.setattr(C, "AT_ONCE", 2)
+    assert chunks() == whole and len({row[0] for row in whole}) == 8

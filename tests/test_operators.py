@@ -1,5 +1,6 @@
 """Golden cases of the operators."""
 
+import hashlib
 import random
 import time
 
@@ -581,3 +582,26 @@ def test_chunks_are_handed_on_some_at_a_time(spark, monkeypatch):
     whole = chunks()
     monkeypatch.setattr(C, "AT_ONCE", 2)
     assert chunks() == whole and len({row[0] for row in whole}) == 8
+
+
+def test_postings_are_gathered_by_term_before_they_are_dealt(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    texts = [(rng.randrange(-40, 400), " ".join(f"w{int(rng.paretovariate(0.6)) % 50}" for _ in range(rng.randrange(40)))) for _ in range(200)] + [(1 << 40, "w1 w1"), (5, None), (6, "the")]
+    docs = K.analyzed(spark.createDataFrame(list(dict(texts).items()), "chunk_id long, text string")).coalesce(1)
+    post = sorted(map(tuple, K.lengthed(docs).collect()))
+    gathered = K._gathered(docs, 8, 1)
+    assert gathered.count() == len({p[0] for p in post})
+    assert sorted((r["term"], *p) for r in gathered.collect() for p in zip(r["ids"], r["tfs"], r["sizes"])) == post
+    monkeypatch.setattr(K, "GATHERED", 64)
+    monkeypatch.setattr(K, "STORED_ROWS", 200)  # several files of a part
+    K.store(K.on_the_way(docs), str(tmp_path / "k"))
+    told = lambda blocks: sorted(map(str, blocks.select("term", "cell", "n", "tops", "held").collect()))
+    assert told(K.stored(spark, str(tmp_path / "k")).blocks) == told(K.blocks_of(K.lengthed(docs), 8))
+
+
+def test_hashed_vectors_count_tokens(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, None), (4, ["b"])], "i int, tokens array<string>")
+    at = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8
+    want = {1: ["a", "b", "a"], 2: [], 3: [], 4: ["b"]}
+    for r in rows.select("i", V.embed_tokens(F.col("tokens"), 8).alias("v")).collect():
+        assert r["v"] == [float(sum(at(w) == i for w in want[r["i"]])) for i in range(8)]

@@ -605,3 +605,15 @@ def test_hashed_vectors_count_tokens(spark):
     want = {1: ["a", "b", "a"], 2: [], 3: [], 4: ["b"]}
     for r in rows.select("i", V.embed_tokens(F.col("tokens"), 8).alias("v")).collect():
         assert r["v"] == [float(sum(at(w) == i for w in want[r["i"]])) for i in range(8)]
+
+
+def test_texts_stay_where_they_lie_when_few_hits_ask(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"p{i}.md", "markdown", None) for i in range(9)], "document_id long, path string, kind string, pair_id long")
+    chunks = K.analyzed(spark.createDataFrame([(i, i, "text", f"alpha word{i}", "", 0, None, None, None) for i in range(9)], "chunk_id long, document_id long, modality string, text string, heading_path string, page int, source_path string, start_ms long, end_ms long"))
+    ask = spark.createDataFrame([(7, "alpha"), (8, "alpha word3")], "query_id long, text string")
+    found = lambda: SE.search_documents(ask, chunks, docs, SearchOptions(k=4, mode="keyword"))[0]
+    few = found()
+    assert "strategy=broadcast" in few._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(map(str, few.collect()))
+    monkeypatch.setattr(SE, "TOLD_HITS", 0)
+    assert rows == sorted(map(str, found().collect())) and len(rows) == 8

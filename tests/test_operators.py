@@ -20,6 +20,7 @@ from millrace.operators import substring as SUB
 from millrace.operators import merge
 from millrace.plans import config, errors, spaces
 from millrace.plans import index as I
+from millrace.plans import queries as Q
 from millrace.plans import search as SE
 from millrace.plans.corpus import Corpus
 from millrace.plans.search import SearchOptions, search
@@ -617,3 +618,14 @@ def test_texts_stay_where_they_lie_when_few_hits_ask(spark, monkeypatch):
     rows = sorted(map(str, few.collect()))
     monkeypatch.setattr(SE, "TOLD_HITS", 0)
     assert rows == sorted(map(str, found().collect())) and len(rows) == 8
+
+
+def test_passages_are_found_without_dealing_texts(spark, tmp_path, monkeypatch):
+    texts = spark.createDataFrame([(1, "One Rare passage here"), (2, "one rare Passage"), (3, None), (4, "a passage here of one rare kind"), (5, "so one rare passage herein")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "one rare passage here"), (2, "rare kind"), (3, "no such passage at all")], "query_id long, text string")
+    postings = I.build(texts, str(tmp_path / "i")).postings
+    found = Q._holding(asked, postings, texts)
+    assert "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString()
+    pairs = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(SE, "TOLD_HITS", 0)
+    assert pairs == sorted(map(tuple, Q._holding(asked, postings, texts).collect())) == [(1, 1), (1, 5), (2, 4)]

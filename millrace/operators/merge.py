@@ -7,8 +7,10 @@ touch each other, so the pass runs over partitions sorted by query, document and
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,16 +21,73 @@ from ..functions.text import clock
 SPAN_MS = 60_000
 
 
-def moment_hosts(hits: Iterable[tuple[int, int, int]]) -> Iterator[int]:
-    """Hosts of (rank, start, end) of one file: the first result that overlaps and stays within SPAN_MS together with the hit."""
-    held: dict[int, tuple[int, int]] = {}
-    for rank, start, end in hits:
-        host = rank
-        if end > start:
-            joint = {r: (min(s, start), max(e, end)) for r, (s, e) in held.items() if s < end and start < e}
-            host = min((r for r, (s, e) in joint.items() if e - s <= SPAN_MS), default=rank)
-            held[host] = joint.get(host, (start, end))
-        yield host
+def moment_hosts(ranges: Iterable[tuple[int, int]]) -> list[int]:
+    """Hosts of hits (start, end) of one file in order of rank, by number: the first result that overlaps and stays within SPAN_MS together with the hit.
+
+    Results lie in minutes by their start. One that takes a hit in begins in that of the hit's end or the one before; one longer than SPAN_MS takes none in.
+    """
+    minutes: dict[int, dict[int, tuple[int, int]]] = {}
+    hosts = []
+    for number, (start, end) in enumerate(ranges):
+        host, low, high = number, start, end
+        if start < end <= start + SPAN_MS:
+            last = (end - 1) // SPAN_MS
+            for minute in (last - 1, last):
+                for r, (s, e) in minutes.get(minute, {}).items():
+                    if r < host and s < end and start < e and max(e, end) - min(s, start) <= SPAN_MS:
+                        host, low, high = r, min(s, start), max(e, end)
+                        before = minute
+            if host < number:
+                del minutes[before][host]
+            minutes.setdefault(low // SPAN_MS, {})[host] = (low, high)
+        hosts.append(host)
+    return hosts
+
+
+def _merged_moments(hits: DataFrame) -> DataFrame:
+    """Results of merge_moments() with host, and whether they have several hits and several modalities, as `_many` and `_mixed`.
+
+    The window lays the hits of a file that a query has together in order of rank, and needs no exchange where those of a query lie together already. They pass
+    as arrays; the last file of a batch waits for the next one.
+    """
+    columns = [c for c in hits.columns if c not in ("query_id", "rank")]
+
+    def results(own: pa.Table, begins: list[int]) -> pa.RecordBatch:
+        start, end = own.column("start").to_pylist(), own.column("end").to_pylist()
+        host = np.fromiter((a + h for a, b in itertools.pairwise(begins) for h in moment_hosts(zip(start[a:b], end[a:b], strict=True))), np.int64, own.num_rows)
+        order = np.argsort(host, kind="stable")  # a host is the first of its hits
+        sorted_host = host[order]
+        first = np.flatnonzero(np.append(True, sorted_host[1:] != sorted_host[:-1]))
+        over = lambda f, values: f.reduceat(np.asarray(values)[order], first)
+        best = own.take(pa.array(sorted_host[first]))
+        kind = own.column("modality").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        told = {
+            "start": pa.array(over(np.minimum, start), pa.int64()), "end": pa.array(over(np.maximum, end), pa.int64()),
+            "sim": pa.array(over(np.fmax, own.column("sim").to_numpy())), "kw": pa.array(over(np.logical_or, own.column("kw").fill_null(False).to_numpy())),
+        }
+        named = {c: (told[c] if c in told else best.column(c)).cast(best.schema.field(c).type) for c in ("query_id", *columns)}
+        named |= {"host": best.column("rank"), "_many": pa.array(np.diff(np.append(first, len(host))) > 1), "_mixed": pa.array(over(np.minimum, kind) != over(np.maximum, kind))}
+        return pa.Table.from_pydict(named).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waits: list[pa.RecordBatch] = []
+        for batch in batches:
+            last = np.flatnonzero(batch.column("_place").to_numpy() == 1)
+            waits.append(batch)
+            if len(last) and (last[-1] or len(waits) > 1):
+                yield out([*waits[:-1], batch.slice(0, last[-1])])
+                waits = [batch.slice(last[-1])]
+        if sum(w.num_rows for w in waits):
+            yield out(waits)
+
+    def out(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        own = pa.Table.from_batches(batches).combine_chunks()
+        return results(own, [*np.flatnonzero(own.column("_place").to_numpy() == 1).tolist(), own.num_rows])
+
+    fields = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema}
+    schema = ", ".join([fields["query_id"], *(fields[c] for c in columns), "host int", "_many boolean", "_mixed boolean"])
+    placed = hits.withColumn("rank", F.col("rank").cast("int")).withColumn("_place", F.row_number().over(Window.partitionBy("query_id", "doc").orderBy("rank")))
+    return placed.mapInArrow(run, schema)
 
 
 class PairHosts:
@@ -118,19 +177,11 @@ def merge_moments(hits: DataFrame) -> DataFrame:
     of the best hit. The similarity is the largest, a keyword match that of any; a result of several modalities is
     audio+video; the heading of a merged one is its span.
     """
-    held = _members(_with_hosts(hits, "doc", ["rank", "start", "end"], moment_hosts))
-    start, end = F.array_min(_all("start")), F.array_max(_all("end"))
-    many = F.size("m") > 1
     told = {
-        "start": start,
-        "end": end,
-        "sim": F.array_max(_all("sim")),
-        "kw": F.exists("m", lambda x: x["kw"]),
-        "modality": F.when(F.size(F.array_distinct(_all("modality"))) > 1, "audio+video").otherwise(_first("modality")),
-        "heading": F.when(many, F.concat(clock(start), F.lit("-"), clock(end))).otherwise(_first("heading")),
+        "modality": F.when(F.col("_mixed"), "audio+video").otherwise(F.col("modality")),
+        "heading": F.when(F.col("_many"), F.concat(clock(F.col("start")), F.lit("-"), clock(F.col("end")))).otherwise(F.col("heading")),
     }
-    rows = held.select("query_id", "host", *(told.get(c, _first(c)).alias(c) for c in hits.columns if c not in ("query_id", "rank")))
-    return _ranked(rows).select(*hits.columns)
+    return _ranked(_merged_moments(hits).withColumns(told)).select(*hits.columns)
 
 
 def merge_pairs(hits: DataFrame) -> DataFrame:

@@ -629,3 +629,48 @@ def test_passages_are_found_without_dealing_texts(spark, tmp_path, monkeypatch):
     pairs = sorted(map(tuple, found.collect()))
     monkeypatch.setattr(SE, "TOLD_HITS", 0)
     assert pairs == sorted(map(tuple, Q._holding(asked, postings, texts).collect())) == [(1, 1), (1, 5), (2, 4)]
+
+
+def test_moments_of_long_files_match_plain_search(spark):
+    rng = random.Random(3)
+    rows = []
+    for doc in range(40):
+        for _ in range(rng.randrange(60)):
+            start = rng.randrange(-20_000, 400_000)
+            rows.append((rng.randrange(2), doc, start, start + rng.choice([0, 500, 20_000, 30_000, 60_000, 60_001, 90_000]), rng.random(), rng.random() < 0.3, rng.choice(["audio", "video"])))
+    rng.shuffle(rows)
+    hits = [(q, i + 1, d, s, e, x, k, m, "h") for i, (q, d, s, e, x, k, m) in enumerate(rows)]
+    held: dict = {}
+    for q, rank, d, s, e, x, k, m, h in hits:  # every result of the file is looked at
+        own = held.setdefault((q, d), [])
+        fits = [r for r in own if s < e and r[1] < r[2] and r[1] < e and s < r[2] and max(r[2], e) - min(r[1], s) <= merge.SPAN_MS]
+        if fits:
+            r = fits[0]
+            r[1:] = [min(r[1], s), max(r[2], e), max(r[3], x), r[4] or k, r[5] | {m}, r[6] + 1]
+        else:
+            own.append([rank, s, e, x, k, {m}, 1])
+    want = sorted((q, r[0], d, r[1], r[2], r[3], r[4], "audio+video" if len(r[5]) > 1 else min(r[5]), r[6] > 1) for (q, d), own in held.items() for r in own)
+    schema = "query_id long, rank int, doc long, start long, end long, sim double, kw boolean, modality string, heading string"
+    table = spark.createDataFrame(hits, schema)
+    batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # files go over several batches
+    try:
+        got = merge.merge_moments(table).collect()
+        dealt = merge._merged_moments(table.repartition(3, "query_id"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batches)
+    placed = {}
+    for w in want:
+        placed.setdefault(w[0], []).append((w[0], len(placed.get(w[0], [])) + 1, *w[2:]))
+    assert sorted((r["query_id"], r["rank"], r["doc"], r["start"], r["end"], r["sim"], r["kw"], r["modality"], r["heading"] != "h") for r in got) == sorted(x for own in placed.values() for x in own)
+    assert dealt.count("Exchange hashpartitioning") == 1  # hits that lie together by query are not dealt anew
+
+
+def test_media_hits_of_orders_that_repeat(spark, tmp_path):
+    orders = [(1, 5, 70000.0), (1, 5, 70000.0), (1, 6, 70000.0), (1, 7, 0.0), (2, 8, 20000.4), (1, 9, None), (1, 4, 90000.0)]
+    spark.createDataFrame(orders, "o_custkey long, o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted((r["query_id"], r["rank"], r["doc"], r["start"]) for r in Q._media_hits(spark, str(tmp_path)).collect())
+    rows = [(c, -p, o, i * 25000) for c, o, p in orders if p for i in range(max(0, -(-(round(p) - 30000) // 25000)) + 1)]
+    rows.sort()
+    want = [(c, sum(r[0] == c for r in rows[:n]) + 1, o, s) for n, (c, _, o, s) in enumerate(rows)]
+    assert got == want
